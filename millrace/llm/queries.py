@@ -2,17 +2,104 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_bk
+from . import bpe_tree, ivfpq, kdtopk, packing, simhash_bk, urlrep
 from .common import table
 
 
+def op1_kdtopk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtopk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_urlrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_kdtopk": op1_kdtopk,
+    "op2_urlrep": op2_urlrep,
+    "op6_packing": op6_packing,
+    "op7_ivfpq": op7_ivfpq,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+
+_TOP_K = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % {kdtopk.EVERY} = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {kdtopk.K}
+"""
+
+
+def _url_sql() -> str:
+    fits = "\n".join(
+        f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{{{k}}}'"
+        for k, (h, _, p) in ((k, r[1].partition("/")) for k, r in sorted(enumerate(urlrep.RULES), key=lambda x: -len(x[1][1])))
+    )
+    rule = fits.format(*[r for _, r in urlrep.RULES])
+    own = fits.format(*[v for v, _ in urlrep.RULES])
+    host = f"translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    path = "regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+    none = "url IS NULL OR strpos(url, '://') = 0"
+    strength = f"""
+    SELECT CASE WHEN coalesce(n, 0) = 0 OR g < 2 THEN {urlrep.MOST}
+      WHEN k / n * (1 - k / n) <= 0 OR n - nn / n - (g - 1) <= 0 THEN {urlrep.MOST}
+      WHEN r <= 1 / (1 + {urlrep.MOST}) THEN {urlrep.MOST} WHEN r >= 1 / (1 + {urlrep.LEAST}) THEN {urlrep.LEAST} ELSE (1 - r) / r END AS s
+    FROM (SELECT *, ((kk - n * (k / n) * (k / n)) - (k / n) * (1 - k / n) * (g - 1)) / nullif((k / n) * (1 - k / n) * (n - nn / n - (g - 1)), 0) AS r
+      FROM (SELECT CAST(count(*) AS DOUBLE) AS g, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k, sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(k AS DOUBLE) * k / n) AS kk FROM {{0}} WHERE n > 0))"""
+    return f"""
+WITH p AS (
+  SELECT page_id, CASE WHEN {none} THEN '' ELSE {host} END AS host, CASE WHEN {none} THEN '' ELSE {path} END AS path FROM pages
+), rows AS (
+  SELECT *, CASE
+{rule} END AS rule, CASE
+{own} END AS own FROM p
+), hosts AS (
+  SELECT host, count(rule) AS n, count(CASE WHEN own = 'block' THEN 1 END) AS k,
+    string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1] AS suffix,
+    concat_ws('.', string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1], string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2]) AS domain
+  FROM rows GROUP BY host
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+s1 AS ({strength.format("hosts")}), s2 AS ({strength.format("domains")}), s3 AS ({strength.format("suffixes")}),
+base AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS rate FROM suffixes),
+by_suffix AS (SELECT suffix, (k + rate * s) / (n + s) AS above FROM suffixes, base, s3),
+by_domain AS (SELECT d.domain, (d.k + u.above * s) / (d.n + s) AS above FROM domains d JOIN by_suffix u USING (suffix), s2),
+ab AS (SELECT h.host, h.k + d.above * s AS a, h.n - h.k + (1 - d.above) * s AS b FROM hosts h JOIN by_domain d USING (domain), s1),
+judged AS (SELECT host, CASE WHEN a / (a + b) - {urlrep.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {urlrep.BAD} THEN 'block' ELSE 'allow' END AS by_host FROM ab)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.own, j.by_host) AS verdict FROM rows r JOIN judged j USING (host)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_kdtopk": _TOP_K,
+    "op2_urlrep": _url_sql(),
+}
