@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, ivfpq, kdtopk, packing, simhash_bk, urlrep
+from . import bpe_tree, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op2_urlrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_zdict_tox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return zdict_tox.score(docs, zdict_tox.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kdtopk": op1_kdtopk,
     "op2_urlrep": op2_urlrep,
+    "op3_zdict_tox": op3_zdict_tox,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_ivfpq": op7_ivfpq,
     "op9_bpe": op9_bpe,
