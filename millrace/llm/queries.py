@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
+from . import bpe_tree, domtrees, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op8_domtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domtrees.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_ivfpq": op7_ivfpq,
+    "op8_domtrees": op8_domtrees,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
