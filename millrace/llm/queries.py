@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, domtrees, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
+from . import bpe_tree, brown, domtrees, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_urlrep": op2_urlrep,
     "op3_zdict_tox": op3_zdict_tox,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_brown": op5_brown,
     "op6_packing": op6_packing,
     "op7_ivfpq": op7_ivfpq,
     "op8_domtrees": op8_domtrees,
