@@ -10,7 +10,8 @@ The sort. The windows' suffixes of many groups are sorted together: by their fir
 compares two suffixes with prefix polynomial hashes: a binary search finds their common extension in eight
 look-ups, the byte after it decides. Neighbours that share 200 bytes are repeats, once their bytes have been compared too, so a collision
 of hashes takes nothing away. Groups of over ``GROUP`` representatives are not gathered: their windows are counted by two
-64-bit hashes, which is the same test spread over keys.
+64-bit hashes, which is the same test spread over keys. All are counted, but only every ``STRIDE``-th (by its distance to the anchor) is looked up
+at first: two repeats in a row cover all that lies between them, so only the windows elsewhere are looked up after that.
 
 Text is its UTF-8 bytes; matches never cross rows. A null text is empty. Rows may repeat, in doc_id or whole: each is a
 text of its own, and exact copies of 200 bytes or more are removed entirely. A null doc_id is kept as null. An empty table gives an empty result.
@@ -31,7 +32,7 @@ from .words import spread
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM  # an anchor's place in its window is 0..REACH
-SEGMENT, JOINT, GROUP = 1 << 20, 1 << 20, 512
+SEGMENT, JOINT, GROUP, STRIDE = 1 << 20, 1 << 19, 512, 8
 BASES = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -254,16 +255,16 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     def excerpts(it):
         """An anchor's windows as bytes: its first window's start, how many windows, and the bytes that they span."""
         for b in _batches(it):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for r in b.to_pylist():
                 for e in r["own"]:
                     a, before, more = e["pos"] >> 32, e["pos"] >> 24 & 255, e["pos"] >> 16 & 255
                     t = a - before
-                    for o, v in zip(out, (e["h"], e["hot"], r["id"], r["tie"], t, more + 1, r["data"][t : t + more + SPAN]), strict=True):
+                    for o, v in zip(out, (e["h"], e["hot"], r["id"], r["tie"], t, before, more + 1, r["data"][t : t + more + SPAN]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "hot", "id", "tie", "t", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "hot", "id", "tie", "t", "b", "n", "data"])
 
-    cold = "h long, hot boolean, id long, tie int, t long, n int, data binary"
+    cold = "h long, hot boolean, id long, tie int, t long, b int, n int, data binary"
     taken = cut(src.select("id", "tie", "data").join(asked, ["id", "tie"]).dropDuplicates(["id", "tie"]).mapInArrow(excerpts, cold))
     tidy(spark)
 
@@ -313,19 +314,43 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_sort = taken.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(settle, "id long, tie int, s long, e long")
 
-    def digests(it):
-        for b in _batches(it):
-            buf, first, record, t, starts = unpacked(b)
-            if len(starts):
-                k = [spread(Prefix(buf, base).of(starts, starts + SPAN)).view(np.int64) for base in BASES]
-                r = pa.array(record)
-                yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), b["id"].take(r), b["tie"].take(r), pa.array(first[record] + t)], ["k", "l", "id", "tie", "t"])
-
-    hot = cut(taken.where("hot").mapInArrow(digests, "k long, l long, id long, tie int, t long"))
-    twice = cut(hot.groupBy("k", "l").count().where("count > 1").select("k", "l"))
-    by_count = hot.join(twice, ["k", "l"]).select("id", "tie", F.col("t").alias("s"), (F.col("t") + SPAN).alias("e"))
+    def digests(which: str):
+        def each(it):
+            for b in _batches(it):
+                buf, first, record, t, starts = unpacked(b)
+                coarse = (b["b"].to_numpy()[record] - t) % STRIDE == 0 if len(starts) else np.zeros(0, bool)
+                if which == "all":
+                    on = np.ones(len(starts), bool)
+                elif which == "coarse":
+                    on = coarse
+                else:  # not between two repeats in a row, nor one itself
+                    on = ~coarse
+                    hit = np.zeros(len(starts), bool)
+                    begin = np.flatnonzero(t == 0)
+                    for k, seen in enumerate(b["seen"].to_pylist()):
+                        if seen:
+                            hit[begin[k] + np.array(seen) - first[k]] = True
+                    place = np.arange(len(starts))
+                    last = np.maximum.accumulate(np.where(coarse, place, -1)) if len(starts) else place
+                    after = last + STRIDE
+                    ok = (last >= 0) & (after < len(starts))
+                    same = ok & (record[np.where(ok, last, 0)] == record) & (record[np.where(ok, after, 0)] == record)
+                    on &= ~(same & hit[np.where(ok, last, 0)] & hit[np.where(ok, after, 0)])
+                at, r = starts[on], pa.array(record[on])
+                k = [pa.array(spread(Prefix(buf, base).of(at, at + SPAN)).view(np.int64)) for base in BASES]
+                rest = [] if which == "all" else [b["id"].take(r), b["tie"].take(r), b["t"].take(r), pa.array(first[record[on]] + t[on])]
+                yield pa.RecordBatch.from_arrays([*k, *rest], ["k", "l", "id", "tie", "t", "w"][: 2 + len(rest)])
+
+        return each
+
+    hot, found = taken.where("hot"), "k long, l long, id long, tie int, t long, w long"
+    twice = cut(hot.mapInArrow(digests("all"), "k long, l long").groupBy("k", "l").count().where("count > 1").select("k", "l"))
+    first = cut(hot.mapInArrow(digests("coarse"), found).join(twice, ["k", "l"]).select("id", "tie", "t", "w"))
+    seen = hot.join(first.groupBy("id", "tie", "t").agg(F.collect_list("w").alias("seen")), ["id", "tie", "t"], "left")
+    second = seen.select(*hot.columns, "seen").mapInArrow(digests("rest"), found).join(twice, ["k", "l"]).select("id", "tie", "t", "w")
+    by_count = first.unionByName(second).select("id", "tie", F.col("w").alias("s"), (F.col("w") + SPAN).alias("e"))
     out = cut(copies.unionByName(by_sort).unionByName(by_count).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    release(again, met, kinds, mixed, taken, hot, twice)
+    release(again, met, kinds, mixed, taken, twice, first)
     tidy(spark)
     return out
 
