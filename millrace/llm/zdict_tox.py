@@ -166,10 +166,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From labelled rows of docs (doc_id, text) and labels (doc_id, toxic) that aren't held out."""
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= FIT_CHARS).join(y, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    take = lambda kind, n: [r["text"] for r in rows.where(F.col("toxic") == kind).orderBy(*order).limit(n).select("text").collect()]
-    return Model(take(1, TOXIC), take(0, ORDINARY))
+    fit_on = docs.where(F.col("doc_id").isNotNull() & ~held_out() & (F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    named = fit_on.select("doc_id").join(y, "doc_id")  # the choice moves ids alone
+    take = lambda kind, n: named.where(F.col("toxic") == kind).distinct().orderBy(*order).limit(n)
+    chosen = F.broadcast(take(1, TOXIC).unionByName(take(0, ORDINARY)))  # TOXIC + ORDINARY ids at most
+    texts = fit_on.join(chosen, "doc_id").select("toxic", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.orderBy("toxic", *order, F.xxhash64("text")).limit(TOXIC + ORDINARY).collect()
+    return Model([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
 def held_out():
