@@ -207,6 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows predicted toxic, with all their columns."""
     ship(docs.sparkSession)
+    columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
@@ -219,6 +220,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 p = m.score(meter, [t or b"" for t in part.column(part.num_columns - 1).to_pylist()])
-                yield part.select(docs.columns).filter(pa.array(p < 0.5))
+                yield part.select(columns).filter(pa.array(p < 0.5))
 
     return docs.withColumn("_lower", F.encode(F.lower("text"), "UTF-8")).mapInArrow(each, docs.schema)
