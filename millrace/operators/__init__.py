@@ -1 +1 @@
-"""Part of millrace."""
+"""Analytic operators: DataFrames to DataFrames, with time passed in and nothing mutated."""

@@ -1 +1 @@
-"""Part of millrace."""
+"""Whole detections: the pipeline, replays of history, and the registered queries."""

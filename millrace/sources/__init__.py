@@ -1 +1 @@
-"""Part of millrace."""
+"""Reading facts, and writing and swapping state tables."""
