@@ -100,7 +100,7 @@ def payment_gateway(events: DataFrame, windows: DataFrame, cfg: DetectionConfig
     hit = both.where(down | low)
     severity = F.when(down | (F.col("rate") < F.col("mean") * cfg.gateway_critical), "critical").otherwise("warning")
     text = F.concat("payment_success", F.lit(" of "), "payment_initiated", F.lit(" payments succeeded, "), "payment_failed", F.lit(" failed"))
-    return _found(hit, F.when(down, "payment_gateway_failure").otherwise("payment_success_rate_drop"), F.when(down, 0.0).otherwise(F.round("rate", 6)), severity, "below", "payment_gateway", text, F.round("mean", 4))
+    return _found(hit, F.when(down, "payment_gateway_failure").otherwise("payment_success_rate_drop"), F.when(down, 0.0).otherwise(F.round("rate", 6)), severity, "below", "payment_gateway", text, F.round("mean", 8))
 
 
 def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -120,8 +120,9 @@ def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig =
 def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Purchases that bring nothing, or revenue far below that of the week's hours with purchases."""
     s = _sums(events, windows, "purchase").withColumn("total", F.col("cents") / F.lit(100.0))
-    hourly = type_counts(events).where("event_type = 'purchase'").select("hour_ts", (F.col("cents") / F.lit(100.0)).alias("money"))
-    both = s.join(_before(windows, hourly, 7).groupBy("window_start").agg(F.avg("money").alias("mean")), "window_start", "left")
+    hourly = type_counts(events).where("event_type = 'purchase'").select("hour_ts", "cents")
+    usual = _before(windows, hourly, 7).groupBy("window_start").agg((F.sum("cents") / (F.count("cents") * F.lit(100.0))).alias("mean"))
+    both = s.join(usual, "window_start", "left")
     nothing = (F.col("purchase") > 0) & (F.col("cents") == 0)
     near = (F.col("mean") > cfg.revenue_baseline) & (F.col("total") < F.col("mean") * cfg.revenue_share)
     hit = both.where(nothing | near)

@@ -133,7 +133,7 @@ def rules(ev: str, w: str) -> dict[str, str]:
         check("started > 0 AND cart = 0", "funnel_break_cart", 0, "critical", "missing"), check("done > 0 AND started = 0", "funnel_break_checkout", 0, "critical", "missing"),
         check("paid > 2 AND bought = 0", "funnel_break_purchase", 0, "critical", "missing"), check("done > 2 AND bought < done * 0.5", "funnel_break_conversion", "round(bought * 100.0::DOUBLE / done, 6)", "warning", "below"),
     )
-    gateway = ruled("CASE WHEN paid = 0 THEN 'payment_gateway_failure' ELSE 'payment_success_rate_drop' END", "CASE WHEN paid = 0 THEN 0 ELSE round(paid * 100.0::DOUBLE / initiated, 6) END", "round(mean, 4)", FILL, FILL, "payment_gateway",
+    gateway = ruled("CASE WHEN paid = 0 THEN 'payment_gateway_failure' ELSE 'payment_success_rate_drop' END", "CASE WHEN paid = 0 THEN 0 ELSE round(paid * 100.0::DOUBLE / initiated, 6) END", "round(mean, 8)", FILL, FILL, "payment_gateway",
         "CASE WHEN paid = 0 OR paid * 100.0::DOUBLE / initiated < mean * 0.5 THEN 'critical' ELSE 'warning' END", "'below'", f"""FROM ({sums}) w LEFT JOIN (
       SELECT window_start, avg(ok * 100.0::DOUBLE / tried) AS mean FROM (SELECT w.window_start, {hour} AS h, {n("payment_success")} AS ok, {n("payment_initiated")} AS tried FROM {w} w JOIN {ev} e ON {back(7)} GROUP BY 1, 2 HAVING {n("payment_initiated")} > 2) GROUP BY 1) b USING (window_start)
     WHERE initiated > 2 AND (paid = 0 OR paid * 100.0::DOUBLE / initiated < mean * 0.7)""".replace("USING (window_start)", "ON b.window_start = w.window_start"))
@@ -141,7 +141,7 @@ def rules(ev: str, w: str) -> dict[str, str]:
       JOIN {ev} e ON {back(28)} AND dayofweek(e.event_time) = dayofweek(w.window_start) AND hour(e.event_time) = hour(w.window_start) GROUP BY 1, 2) GROUP BY 1 HAVING avg(u) > 2"""
     drop = lambda c, m, s: ruled(f"'unique_{c}_drop'", c, f"round({m}, 4)", f"round({s}, 4)", f"round(({c} - {m}) / {m} * 100, 4)", "traffic_drops", f"CASE WHEN {c} < {m} * 0.3 THEN 'critical' ELSE 'warning' END", "'below'", f"FROM ({sums}) w JOIN ({usual}) b ON b.window_start = w.window_start WHERE {c} < {m} * 0.5")
     money = ruled("CASE WHEN bought > 0 AND total = 0 THEN 'zero_revenue_bug' ELSE 'near_zero_revenue' END", "CASE WHEN bought > 0 AND total = 0 THEN 0 ELSE total END", "round(mean, 4)", FILL, FILL, "zero_revenue", "'critical'", "'below'", f"""FROM ({sums}) w LEFT JOIN (
-      SELECT window_start, avg(m) AS mean FROM (SELECT w.window_start, {hour} AS h, sum(CAST(e.amount * 100 AS BIGINT)) / 100.0::DOUBLE AS m FROM {w} w JOIN {ev} e ON {back(7)} AND e.event_type = 'purchase' GROUP BY 1, 2) GROUP BY 1) b ON b.window_start = w.window_start
+      SELECT window_start, CAST(sum(m) AS BIGINT) / (count(*) * 100.0::DOUBLE) AS mean FROM (SELECT w.window_start, {hour} AS h, CAST(sum(CAST(e.amount * 100 AS BIGINT)) AS BIGINT) AS m FROM {w} w JOIN {ev} e ON {back(7)} AND e.event_type = 'purchase' GROUP BY 1, 2) GROUP BY 1) b ON b.window_start = w.window_start
     WHERE bought > 0 AND total = 0 OR mean > 10 AND total < mean * 0.1""")
     return {"missing": missing, "funnel": funnel, "gateway": gateway, "traffic": union(drop("users", "mu", "su"), drop("sessions", "ms", "ss")), "money": money}
 

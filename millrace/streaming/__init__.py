@@ -1 +1 @@
-"""Part of millrace."""
+"""Structured Streaming forms of the hourly metrics."""
