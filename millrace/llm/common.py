@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package where their PYTHONPATH doesn't hold it already."""
+    """Let executors import this package where their PYTHONPATH doesn't hold it already; bound what a Python worker gets at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:

@@ -7,7 +7,7 @@ import numpy as np
 #: Longest word (bytes) that is remembered.
 LONGEST = 48
 #: Words remembered by a worker before it starts anew.
-ROOM = 1 << 20
+ROOM = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
