@@ -17,9 +17,9 @@ from .statistical import SHAPE
 ONE = "window_start"
 
 
-def hourly_windows(events: DataFrame) -> DataFrame:
+def hourly_windows(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Every hour that has events, as a window of its own."""
-    hour = events.select(hour_of().alias("window_start")).distinct()
+    hour = (type_counts(events) if counts is None else counts).select(F.col("hour_ts").alias("window_start")).distinct()
     return hour.select("window_start", (F.col("window_start") + hours(1)).alias("window_end"))
 
 
@@ -53,9 +53,9 @@ def _found(rows: DataFrame, metric: Column, value: Column, severity: Column, dir
     return rows.select(*[cols[c].alias(c) for c in SHAPE])
 
 
-def missing_event_types(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def missing_event_types(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
     """Types of events that usually come (mean of the week's hours that had some) and don't in the window."""
-    counts = type_counts(events).select("hour_ts", "event_type", "n")
+    counts = (type_counts(events) if counts is None else counts).select("hour_ts", "event_type", "n")
     there = _hours_of(windows).join(counts, "hour_ts").select("window_start", "event_type").distinct()
     usual = _before(windows, counts, 7).groupBy("window_start", "event_type").agg(F.avg("n").alias("mean")).where(F.col("mean") > cfg.missing_baseline)
     gone = usual.join(there, ["window_start", "event_type"], "left_anti").join(F.broadcast(event_types(events.sparkSession)), "event_type")
@@ -63,16 +63,15 @@ def missing_event_types(events: DataFrame, windows: DataFrame, cfg: DetectionCon
     return _found(gone, F.concat("event_type", F.lit("_count")), F.lit(0), severity, "missing", "missing_event_types", F.concat(F.lit("no "), F.col("event_type"), F.lit(" events")), F.round("mean", 4))
 
 
-def _sums(events: DataFrame, windows: DataFrame, *kinds: str) -> DataFrame:
+def _sums(counts: DataFrame, windows: DataFrame, *kinds: str) -> DataFrame:
     """Counts of types for each window, zeros where none."""
-    counts = type_counts(events)
     both = _hours_of(windows).join(counts.where(F.col("event_type").isin(*kinds)), "hour_ts", "left")
     return both.groupBy("window_start").agg(*[F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds], F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("cents"))), F.lit(0)).alias("cents"))
 
 
-def funnel_breaks(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def funnel_breaks(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
     """Later steps of the funnel without the earlier ones."""
-    s = _sums(events, windows, "add_to_cart", "checkout_start", "checkout_complete", "payment_success", "purchase")
+    s = _sums(type_counts(events) if counts is None else counts, windows, "add_to_cart", "checkout_start", "checkout_complete", "payment_success", "purchase")
     cart, start, done, paid, bought = (F.col(c) for c in ("add_to_cart", "checkout_start", "checkout_complete", "payment_success", "purchase"))
     check = lambda when, metric, value, severity, direction: F.when(when, F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.lit(severity).alias("severity"), F.lit(direction).alias("direction")))
     zero = F.lit(0.0)
@@ -87,10 +86,11 @@ def funnel_breaks(events: DataFrame, windows: DataFrame, cfg: DetectionConfig =
     return _found(hit, F.col("hit.metric"), F.col("hit.value"), F.col("hit.severity"), F.col("hit.direction"), "funnel_breaks", text)
 
 
-def payment_gateway(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def payment_gateway(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
     """No payment succeeds, or far fewer than in the hours of the week before."""
-    s = _sums(events, windows, "payment_initiated", "payment_success", "payment_failed")
-    counts = type_counts(events).where(F.col("event_type").isin("payment_initiated", "payment_success"))
+    counts = type_counts(events) if counts is None else counts
+    s = _sums(counts, windows, "payment_initiated", "payment_success", "payment_failed")
+    counts = counts.where(F.col("event_type").isin("payment_initiated", "payment_success"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("n"))), F.lit(0))
     rates = counts.groupBy("hour_ts").agg(of("payment_success").alias("ok"), of("payment_initiated").alias("all")).where(F.col("all") > cfg.gateway_hour_initiated).select("hour_ts", (F.col("ok") * F.lit(100.0) / F.col("all")).alias("rate"))
     usual = _before(windows, rates, 7).groupBy("window_start").agg(F.avg("rate").alias("mean"))
@@ -117,10 +117,11 @@ def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig =
     return _found(hit, F.col("metric"), F.col("value"), severity, "below", "traffic_drops", F.concat(F.lit("only "), F.col("value")), F.round("mean", 4), F.round("std", 4), F.round((F.col("value") - F.col("mean")) / F.col("mean") * 100, 4))
 
 
-def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
     """Purchases that bring nothing, or revenue far below that of the week's hours with purchases."""
-    s = _sums(events, windows, "purchase").withColumn("total", F.col("cents") / F.lit(100.0))
-    hourly = type_counts(events).where("event_type = 'purchase'").select("hour_ts", "cents")
+    counts = type_counts(events) if counts is None else counts
+    s = _sums(counts, windows, "purchase").withColumn("total", F.col("cents") / F.lit(100.0))
+    hourly = counts.where("event_type = 'purchase'").select("hour_ts", "cents")
     usual = _before(windows, hourly, 7).groupBy("window_start").agg((F.sum("cents") / (F.count("cents") * F.lit(100.0))).alias("mean"))
     both = s.join(usual, "window_start", "left")
     nothing = (F.col("purchase") > 0) & (F.col("cents") == 0)
@@ -129,8 +130,12 @@ def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = D
     return _found(hit, F.when(nothing, "zero_revenue_bug").otherwise("near_zero_revenue"), F.when(nothing, 0.0).otherwise(F.col("total")), F.lit("critical"), "below", "zero_revenue", F.concat("purchase", F.lit(" purchases, revenue "), F.format_string("%.2f", "total")), F.round("mean", 4))
 
 
-def all_rules(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    out = missing_event_types(events, windows, cfg)
-    for rule in (funnel_breaks, payment_gateway, traffic_drops, zero_revenue):
-        out = out.unionByName(rule(events, windows, cfg))
+def all_rules(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """All rules; without windows, over every hour that has events. The sums by hour and type are kept, so events are read for them once:
+    they have a row for each hour and type, whatever the events' number."""
+    counts = type_counts(events).persist()
+    windows = hourly_windows(events, counts) if windows is None else windows
+    out = traffic_drops(events, windows, cfg)
+    for rule in (missing_event_types, funnel_breaks, payment_gateway, zero_revenue):
+        out = out.unionByName(rule(events, windows, cfg, counts))
     return out

@@ -24,8 +24,7 @@ def replay(events: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataF
     """Anomalies of every hour from baseline_hours after the first on, each against the baseline its own run would have had."""
     long = metrics.metrics_long(metrics.hourly_metrics(events))
     rows = baselines.compare(baselines.rolling_baseline_all_hours(long, cfg.baseline_hours, cfg.baseline_end, cfg.min_samples), cfg.iqr_multiplier)
-    windows = rules.hourly_windows(events)
-    found = statistical.all_zscore(rows, None, cfg).unionByName(statistical.all_iqr(rows, None, cfg)).unionByName(rules.all_rules(events, windows, cfg))
+    found = statistical.all_zscore(rows, None, cfg).unionByName(statistical.all_iqr(rows, None, cfg)).unionByName(rules.all_rules(events, cfg=cfg))
     first = events.agg(F.date_trunc("hour", F.min("event_time")).cast("timestamp_ntz").alias("_first"))
     start = F.col("_first") + baselines.hours(cfg.baseline_hours)
     return found.join(F.broadcast(first), F.col("metric_timestamp") >= start).drop("_first")

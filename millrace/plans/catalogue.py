@@ -81,7 +81,7 @@ def _anomalies(spark, d):
     long = metrics.metrics_long(metrics.hourly_metrics(events))
     rows = baselines.metrics_with_baseline(long, baselines.rolling_baseline(long, AS_OF))
     found = statistical.all_zscore(rows, WEEK).unionByName(statistical.all_iqr(rows, WEEK))
-    ruled = rules.all_rules(events, rules.hourly_windows(events), SCALED)
+    ruled = rules.all_rules(events, cfg=SCALED)
     return found.unionByName(ruled.where((F.col("metric_timestamp") >= at(WEEK.start)) & (F.col("metric_timestamp") < at(WEEK.end))))
 
 
@@ -254,7 +254,7 @@ def q_iqr_all(spark, d):
 def _rule(rule):
     def run(spark, d):
         events = _injected(spark, d)
-        return _plain(rule(events, rules.hourly_windows(events), SCALED))
+        return _plain(rule(events, cfg=SCALED) if rule is rules.all_rules else rule(events, rules.hourly_windows(events), SCALED))
 
     return run
 
