@@ -95,7 +95,7 @@ def anchors(buf: np.ndarray, windows: np.ndarray, prefix: Prefix) -> tuple[np.nd
 
 def pieces(texts: list[bytes]):
     """Buffers of whole texts up to about JOINT bytes, or of a part of a long one, as (buffer, text numbers, offset in the text of the
-    buffer's begin, begins in the buffer, ends of text in the buffer, windows that belong to it)."""
+    buffer's begin, begins in the buffer, ends of text in the buffer, windows, where anchors that belong to it begin and end). An anchor's windows are never parted."""
 
     def joint(held):
         size = np.array([len(texts[k]) for k in held], np.int64)
@@ -104,16 +104,16 @@ def pieces(texts: list[bytes]):
         buf = np.frombuffer(b"".join(texts[k] for k in held), np.uint8)
         count = size - SPAN + 1
         windows = np.arange(int(count.sum())) + np.repeat(begins - (np.cumsum(count) - count), count)
-        return buf, np.array(held), 0, begins, ends, windows
+        return buf, np.array(held), 0, begins, ends, windows, 0, len(buf)
 
     held, total = [], 0
     for k, t in enumerate(texts):
         if len(t) < SPAN:
             continue
         if len(t) > 2 * SEGMENT:
-            for s in range(0, len(t) - SPAN + 1, SEGMENT):
+            for s in range(0, len(t) - GRAM + 1, SEGMENT):
                 a, b = max(0, s - 2 * SPAN), min(len(t), s + SEGMENT + 3 * SPAN)
-                yield np.frombuffer(t[a:b], np.uint8), np.array([k]), a, np.array([0]), np.array([b - a]), np.arange(s, min(s + SEGMENT, len(t) - SPAN + 1)) - a
+                yield np.frombuffer(t[a:b], np.uint8), np.array([k]), a, np.array([0]), np.array([b - a]), np.arange(max(0, s - REACH), min(s + SEGMENT, len(t) - SPAN + 1)) - a, s - a, s - a + SEGMENT
             continue
         held.append(k)
         total += len(t)
@@ -126,9 +126,11 @@ def pieces(texts: list[bytes]):
 
 def _runs(ids, ties, texts):
     """Columns (h, c, d, id, pos) of every anchor; pos holds anchor << 32 | windows before << 24 | windows - 1 << 16 | tie."""
-    for buf, k, offset, begins, ends, windows in pieces(texts):
+    for buf, k, offset, begins, ends, windows, least, most in pieces(texts):
         one, two = (Prefix(buf, b) for b in BASES)
         h, a, first, last = anchors(buf, windows, one)
+        own = (a >= least) & (a < most)
+        h, a, first, last = h[own], a[own], first[own], last[own]
         own = np.searchsorted(begins, a, side="right") - 1
         left, right = np.maximum(begins[own], a - REACH), np.minimum(ends[own], a + SPAN)
         shape = ((a - left) * 1024 + (right - a)).astype(np.uint64)

@@ -73,12 +73,20 @@ def test_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     rows = [(0, "".join(random.Random(5).choice("abc ") for _ in range(4000)) * 2), (1, "y" * 3000)]
     texts = [t.encode() for _, t in rows]
-    ids, seen = np.arange(2), set()
+    ids, seen, places = np.arange(2), set(), []
     for _, _, _, i, pos in suffix_dedup._runs(ids, np.zeros(2, np.int64), texts):
         for k, p in zip(i.tolist(), pos.tolist(), strict=True):
             t = (p >> 32) - (p >> 24 & 255)
+            places.append((k, p >> 32))
             seen |= {(k, w) for w in range(t, t + (p >> 16 & 255) + 1)}
     assert seen == {(k, w) for k, t in enumerate(texts) for w in range(len(t) - 199)}
+    assert len(places) == len(set(places))  # else an anchor at a seam would pass for a copy of itself
+
+
+def test_long_clean_text_loses_nothing(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3 << 20))
+    assert [r["n_removed"] for r in suffix_dedup.repeats(docs(spark, [(1, text), (2, "z" + text[:150])])).collect()] == [0, 0]
 
 
 def brute_print(text):
