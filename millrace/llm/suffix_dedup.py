@@ -9,9 +9,10 @@ them. What is left in a group of one gram, edges of shared passages, is settled
 The sort. The windows' suffixes of many groups are sorted together: by their first eight bytes, then ties by a merge sort that
 compares two suffixes with prefix polynomial hashes: a binary search finds their common extension in eight
 look-ups, the byte after it decides. Neighbours that share 200 bytes are repeats, once their bytes have been compared too, so a collision
-of hashes takes nothing away. Groups of over ``GROUP`` representatives are not gathered: their windows are counted by two
-64-bit hashes, which is the same test spread over keys. All are counted, but only every ``STRIDE``-th (by its distance to the anchor) is looked up
-at first: two repeats in a row cover all that lies between them, so only the windows elsewhere are looked up after that.
+of hashes takes nothing away. Groups of over ``GROUP`` representatives are not gathered: they are counted by two
+64-bit hashes, which is the same test spread over keys. Windows are counted in blocks by their distance to the anchor, ``BLOCKS`` wide in turn: where
+all that a block spans comes up again, so do all its windows; where what its windows share doesn't, none does; the other blocks, and one of each kind of repeated ones, are cut into narrower ones, down
+to single windows. A record that crosses one edge of a passage asks for a few blocks of each width instead of for each of its windows.
 
 Text is its UTF-8 bytes; matches never cross rows. A null text is empty. Rows may repeat, in doc_id or whole: each is a
 text of its own, and exact copies of 200 bytes or more are removed entirely. A null doc_id is kept as null. An empty table gives an empty result.
@@ -21,18 +22,22 @@ Extra columns are ignored by ``repeats`` and kept by ``strip``.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, release, ship
 from .words import spread
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM  # an anchor's place in its window is 0..REACH
-SEGMENT, JOINT, GROUP, STRIDE = 1 << 20, 1 << 19, 512, 8
+SEGMENT, JOINT, GROUP = 1 << 20, 1 << 19, 512
+BLOCKS = (64, 16, 4, 1)
 BASES = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -316,43 +321,58 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_sort = taken.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(settle, "id long, tie int, s long, e long")
 
-    def digests(which: str):
+    def blocks(width: int, above: int | None):
+        """A row for each block of ``width`` windows of a hot record, or of those in its open blocks of ``above`` windows. Blocks count windows by
+        their distance to the anchor, so those of different records meet: (k, l) hash what all windows of the block share, (u, v) all that the record's own windows of it span."""
+
         def each(it):
             for b in _batches(it):
-                buf, first, record, t, starts = unpacked(b)
-                coarse = (b["b"].to_numpy()[record] - t) % STRIDE == 0 if len(starts) else np.zeros(0, bool)
-                if which == "all":
-                    on = np.ones(len(starts), bool)
-                elif which == "coarse":
-                    on = coarse
-                else:  # not between two repeats in a row, nor one itself
-                    on = ~coarse
-                    hit = np.zeros(len(starts), bool)
-                    begin = np.flatnonzero(t == 0)
-                    for k, seen in enumerate(b["seen"].to_pylist()):
-                        if seen:
-                            hit[begin[k] + np.array(seen) - first[k]] = True
-                    place = np.arange(len(starts))
-                    last = np.maximum.accumulate(np.where(coarse, place, -1)) if len(starts) else place
-                    after = last + STRIDE
-                    ok = (last >= 0) & (after < len(starts))
-                    same = ok & (record[np.where(ok, last, 0)] == record) & (record[np.where(ok, after, 0)] == record)
-                    on &= ~(same & hit[np.where(ok, last, 0)] & hit[np.where(ok, after, 0)])
-                at, r = starts[on], pa.array(record[on])
-                k = [pa.array(spread(Prefix(buf, base).of(at, at + SPAN)).view(np.int64)) for base in BASES]
-                rest = [] if which == "all" else [b["id"].take(r), b["tie"].take(r), b["t"].take(r), pa.array(first[record[on]] + t[on])]
-                yield pa.RecordBatch.from_arrays([*k, *rest], ["k", "l", "id", "tie", "t", "w"][: 2 + len(rest)])
+                high = b["b"].to_numpy().astype(np.int64)
+                low = high - b["n"].to_numpy() + 1
+                data = b["data"].to_pylist()
+                size = np.fromiter(map(len, data), np.int64, len(data))
+                begins = np.cumsum(size) - size
+                each_has = high // width - low // width + 1
+                r = np.repeat(np.arange(len(data)), each_has)
+                block = np.arange(int(each_has.sum())) - np.repeat(np.cumsum(each_has) - each_has, each_has) + (low // width)[r]
+                if above:
+                    opened = b["open"]
+                    mine = np.repeat(np.arange(len(data)), pa.compute.list_value_length(opened).to_numpy())
+                    on = np.isin(r << 10 | block * width // above, mine << 10 | opened.flatten().to_numpy())
+                    r, block = r[on], block[on]
+                near, far = block * width, np.minimum(block * width + width - 1, REACH)
+                own_near, own_far = np.maximum(near, low[r]), np.minimum(far, high[r])
+                at, shape = begins[r] + high[r], spread((own_far * 1024 + own_near).astype(np.uint64))
+                buf, keys = np.frombuffer(b"".join(data), np.uint8), []
+                for prefix in (Prefix(buf, base) for base in BASES):
+                    keys += [spread(prefix.of(at - near, at - far + SPAN) + near.astype(np.uint64)), spread(prefix.of(at - own_far, at - own_near + SPAN) + shape)]
+                k, u, l, v = (pa.array(x.view(np.int64)) for x in keys)
+                t, who = b["t"].to_numpy()[r], pa.array(r)
+                s = t + high[r] - own_far
+                yield pa.RecordBatch.from_arrays([k, l, u, v, b["id"].take(who), b["tie"].take(who), pa.array(t), pa.array(block), pa.array(s), pa.array(s + own_far - own_near + SPAN)], found.names)
 
         return each
 
-    hot, found = taken.where("hot"), "k long, l long, id long, tie int, t long, w long"
-    twice = cut(hot.mapInArrow(digests("all"), "k long, l long").groupBy("k", "l").count().where("count > 1").select("k", "l"))
-    first = cut(hot.mapInArrow(digests("coarse"), found).join(twice, ["k", "l"]).select("id", "tie", "t", "w"))
-    seen = hot.join(first.groupBy("id", "tie", "t").agg(F.collect_list("w").alias("seen")), ["id", "tie", "t"], "left")
-    second = seen.select(*hot.columns, "seen").mapInArrow(digests("rest"), found).join(twice, ["k", "l"]).select("id", "tie", "t", "w")
-    by_count = first.unionByName(second).select("id", "tie", F.col("w").alias("s"), (F.col("w") + SPAN).alias("e"))
-    out = cut(copies.unionByName(by_sort).unionByName(by_count).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    release(again, met, kinds, mixed, taken, twice, first)
+    hot, scratch, ends = taken.where("hot").drop("h", "hot"), [], []
+    found = T.StructType([T.StructField(n, T.IntegerType() if n == "tie" else T.LongType()) for n in ("k", "l", "u", "v", "id", "tie", "t", "block", "s", "e")])
+    asking, above = hot, None
+    for width in () if hot.isEmpty() else BLOCKS:
+        rows = cut(asking.mapInArrow(blocks(width, above), found))
+        live = rows.join(rows.groupBy("k", "l").count().where("count > 1").select("k", "l"), ["k", "l"])
+        scratch.append(rows)
+        if width == 1:
+            ends.append(cut(live.select("id", "tie", "s", "e")))
+            break
+        whole = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tie", "t")).alias("one")).where("n > 1")
+        live = live.join(whole, ["u", "v"], "left").withColumn("whole", F.col("n").isNotNull())
+        # one of each kind of whole blocks goes on, as others may share but some of its windows
+        live = cut(live.withColumn("open", ~F.col("whole") | (F.struct("id", "tie", "t") == F.col("one"))).select("id", "tie", "t", "block", "s", "e", "whole", "open"))
+        ends.append(live)
+        opened = live.where("open").groupBy("id", "tie", "t").agg(F.collect_list("block").alias("open"))
+        asking, above = hot.join(opened, ["id", "tie", "t"]), width
+    by_count = [x.where("whole").select("id", "tie", "s", "e") if "whole" in x.columns else x for x in ends]
+    out = cut(reduce(DataFrame.unionByName, [copies, by_sort, *by_count]).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    release(again, met, kinds, mixed, taken, *scratch, *ends)
     tidy(spark)
     return out
 
