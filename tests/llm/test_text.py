@@ -60,6 +60,20 @@ def test_suffix_dedup_is_brute_force(spark, group):
     assert key(tuple(r) for r in got) == key(brute_repeats(rows))
 
 
+def test_suffix_blocks_of_hot_groups_are_brute_force(spark):
+    rng = random.Random(17)
+    make = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passage, rows = make(700), []
+    for i in range(150):
+        a, b = rng.choice([0, 0, rng.randint(0, 300)]), rng.choice([700, 700, rng.randint(400, 700)])
+        body = list(passage[a:b])
+        if i % 5 == 0:  # variants that share a part of their windows with a few others
+            body[(i * 7) % len(body)] = "c"
+        rows.append((i, make(rng.randint(0, 250)) + "".join(body) + make(rng.randint(0, 250))))
+    got = suffix_dedup.repeats(docs(spark, rows), 1).collect()
+    assert key(tuple(r) for r in got) == key(brute_repeats(rows))
+
+
 def test_suffix_sort_orders_and_verifies():
     rng = np.random.default_rng(1)
     buf = np.concatenate([rng.integers(97, 99, 900, np.uint8)] * 2)
