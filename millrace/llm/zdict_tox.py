@@ -5,8 +5,8 @@ so that its block is compressible whatever the word; its margin is the bytes tha
 more than the toxic one. A document's counts and shares of windows above the thresholds ``STEPS``, and its largest margin, give
 a score through a logistic curve.
 
-Labels are read only where crc32(doc_id) mod 5 isn't 0. The fit uses at most ``TOXIC`` toxic and ``ORDINARY`` ordinary labelled rows of at most
-``FIT_CHARS`` characters, those of smallest hash of doc_id: one half trains the dictionaries, the other calibrates thresholds' weights. A toxic document is
+Labels are read only where crc32(doc_id) mod 5 isn't 0. The fit uses at most ``TOXIC`` toxic and ``ORDINARY`` ordinary labelled ids with a text of at most
+``FIT_CHARS`` characters, those of smallest hash of doc_id, and of rows that share an id the smallest such text: one half trains the dictionaries, the other calibrates thresholds' weights. A toxic document is
 mostly ordinary text, so the toxic dictionary learns from those of its words that have a 5-letter run which is ``RATIO`` times as
 frequent in toxic text; runs count once for each word before, so copies of a passage count once. Ordinary words that have such a run are
 repeated in the ordinary samples.
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     named = fit_on.select("doc_id").join(y, "doc_id")  # the choice moves ids alone
     take = lambda kind, n: named.where(F.col("toxic") == kind).distinct().orderBy(*order).limit(n)
     chosen = F.broadcast(take(1, TOXIC).unionByName(take(0, ORDINARY)))  # TOXIC + ORDINARY ids at most
-    texts = fit_on.join(chosen, "doc_id").select("toxic", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.orderBy("toxic", *order, F.xxhash64("text")).limit(TOXIC + ORDINARY).collect()
+    texts = fit_on.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.orderBy("toxic", *order).collect()  # a row for each chosen id, however often it is repeated
     return Model([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 

@@ -263,6 +263,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == frame.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_toxicity_fit_of_repeated_rows_is_that_of_single_rows(spark, monkeypatch):
+    monkeypatch.setattr(zdict_tox, "TOXIC", 80)
+    monkeypatch.setattr(zdict_tox, "ORDINARY", 160)
+    rows, labels = labelled()
+    frame, y = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    ids = [i for i, t in labels if not t and zlib.crc32(str(i).encode()) % 5]
+    want = zdict_tox.fit(frame, y)
+    assert want.dicts
+    hot = frame.where(frame.doc_id.isin(ids)).crossJoin(spark.range(30).select())  # ordinary rows alone, many times
+    for again in (frame.unionByName(frame), frame.unionByName(hot)):
+        got = zdict_tox.fit(again, y)
+        assert got.dicts == want.dicts and np.allclose(got.weights, want.weights)
+        assert again.count() > zdict_tox.drop_toxic(again, got).count() > 0
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(0, "a")]).where("false")
     assert suffix_dedup.repeats(none).count() == simhash_bk.near_duplicates(none).count() == packing.pack(none).count() == bpe_tree.digests(none).count() == brown.score(none).count() == 0
