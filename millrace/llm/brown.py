@@ -2,14 +2,16 @@
 
 Tokens are A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end for each text. Training rows are those whose crc32(doc_id) mod 10 isn't 0; a word's count
 covers all of them. The ``CORE`` most frequent words and ``FORMS`` groups of the other words, by the hash of their last three bytes, are
-the types that are clustered: types move between ``CLASSES`` classes, one at a time, to where the classes' bigrams are
-likeliest, until none moves; the end has a class of its own. With c the word's count,
+the types that are clustered first: types move between ``CLASSES`` classes, one at a time, to where the classes' bigrams are
+likeliest, until none moves; the end has a class of its own. Then every other training word, however rare, goes by itself to the class that its own
+neighbours make likeliest, given the class bigrams of the core words; neighbours outside the core count by the class of their group. This is one round, of
+all words at once. Class bigrams are counted anew with all words placed. Only words that training rows lack keep the class of their group. With c the word's count,
 P(word | class) = (c + A) / (n(class) + A * (v(class) + 1)), P(class | last) = (n(last, class) + B * n(class) / N) / (n(last) + B), and a token's probability is
 ``SHARE`` times their product and the rest of the smoothed unigram. As both smooth counts by A = 0.1, a token's log is log10(c + 0.1) plus a term of the classes
 alone; only the first needs a count.
 
-Counts of the ``HEAD`` most frequent words are broadcast (a fixed bound); the others meet their counts in a join on the words' 128-bit
-hashes, after a sum for each document, so no table that grows with the vocabulary is held in one place. Bigrams are counted over types: at most
+Counts and classes of the core and of the ``HEAD`` next words are broadcast (a fixed bound); the other words' tokens meet theirs in a join on the words' 128-bit
+hashes and go back to their places in the texts, so no table that grows with the vocabulary is held in one place. Bigrams are counted over types, then over classes: at most
 (CORE + FORMS + 1)**2 sums reach the driver, whatever the input.
 
 Nulls: a null text is empty (one token, the end). A null doc_id counts as training and stays null. Repeated rows stay repeated and count in training as often. An empty
@@ -160,7 +162,7 @@ def bigrams(rows: DataFrame, types: Types) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndarray:
+def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each type, from bigram counts n; the last type keeps class 0 for itself."""
     m = len(n)
     weight = n.sum(axis=1) + n.sum(axis=0)
@@ -171,7 +173,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndar
     pair = one.T @ n @ one
     left, right = n @ one, n.T @ one  # of each type: to the classes after it, from those before it
     f = lambda x: x * np.log(np.maximum(x, 1))
-    for _ in range(rounds):
+    moved, least = 1, 1e-9 + 1e-12 * f(n.sum())  # well above what rounding can add, so each move is a gain and the rounds end
+    while moved:
         moved = 0
         for w in order:
             if not weight[w]:
@@ -183,7 +186,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndar
             pair[a] -= out
             pair[:, a] -= into
             pair[a, a] -= own
-            row, col = pair.sum(axis=1), pair.sum(axis=0)
+            row, col = pair.sum(axis=1) + into, pair.sum(axis=0) + out  # what leads to w or from it counts wherever w goes
             # gain of joining each class: its row, its column and the cell in both
             fp = f(pair)
             gain = (f(pair + out) - fp).sum(axis=1) + (f(pair.T + into) - fp.T).sum(axis=1)
@@ -192,7 +195,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndar
             gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
             gain[0] = -np.inf
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             pair[b] += out
             pair[:, b] += into
@@ -203,88 +206,293 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndar
                 left[:, b] += n[:, w]
                 right[:, a] -= n[w]
                 right[:, b] += n[w]
-        if not moved:
-            break
     return at
 
 
+def contexts(rows: DataFrame, types: Types, at: np.ndarray) -> DataFrame:
+    """(h, l, slot, n) for the words outside the core in the training rows: how often a class stands before the word (slot: class),
+    after it (CLASSES + class), and the word before itself (2 * CLASSES)."""
+
+    def each(batches):
+        held, size = [], 0
+
+        def merged():
+            return total([np.concatenate(x) for x in list(zip(*held, strict=True))[:3]], np.concatenate([x[3] for x in held]))
+
+        def out():
+            (h, l, s), n = merged()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(l.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], ["h", "l", "slot", "n"])
+
+        for _, texts in slices(batches, 0):
+            doc, one, two, form = tokens(texts)
+            kind = types.of(one, two, form)
+            last, run, _ = types.runs(doc, kind, len(texts))
+            place = np.arange(len(doc)) + doc
+            same = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1]))[: len(doc)]
+            before = np.where(same, 2 * CLASSES, at[last[place]])
+            mine, ahead = kind >= types.core, ~np.append(same[1:], False)[: len(doc)]
+            ahead &= mine
+            keys = [np.concatenate([one[mine], one[ahead]]), np.concatenate([two[mine], two[ahead]]), np.concatenate([before[mine], CLASSES + at[run[place[ahead] + 1]]])]
+            (h, l, s), n = total(keys, np.ones(len(keys[0]), np.int64))
+            held.append((h, l, s, n))
+            size += len(n)
+            if size > 2 * HELD:
+                (h, l, s), n = merged()
+                held, size = [(h, l, s, n)], len(n)
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return rows.where("not held_out").select("data").mapInArrow(each, "h long, l long, slot int, n long").groupBy("h", "l", "slot").agg(F.sum("n").alias("n"))
+
+
+class Placer:
+    """Best classes of words by their own contexts, against the class bigrams of the core words."""
+
+    def __init__(self, pair: np.ndarray):
+        self.pair, self.row, self.col, self.diag = pair, pair.sum(axis=1), pair.sum(axis=0), np.diag(pair)
+        self.open = self.row + self.col > 0  # a class without core words tells nothing
+        self.open[0] = False
+        self.few = np.stack([self.step(np.arange(2 * CLASSES), np.full(2 * CLASSES, k)) for k in range(33)])
+
+    @staticmethod
+    def f(x):
+        return x * np.log(np.maximum(x, 1))
+
+    def step(self, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What n more in a slot adds to the cells, for each class that the word may join."""
+        x = np.where((slot < CLASSES)[:, None], self.pair[slot % CLASSES], self.pair.T[slot % CLASSES])
+        return self.f(x + n[:, None]) - self.f(x)
+
+    def best(self, first: np.ndarray, slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, count) of the words whose contexts begin at first."""
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slot))))
+        grid = np.zeros((len(first), 2 * CLASSES + 1))
+        grid[word, slot] = n
+        gains = np.zeros((len(slot), CLASSES))
+        small, large = (n < len(self.few)) & (slot < 2 * CLASSES), (n >= len(self.few)) & (slot < 2 * CLASSES)
+        gains[small] = self.few[n[small], slot[small]]
+        gains[large] = self.step(slot[large], n[large])
+        gain = np.add.reduceat(gains, first)
+        into, out, own = grid[:, :CLASSES], grid[:, CLASSES:-1], grid[:, -1:]
+        f, d = self.f, self.diag
+        gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
+        row, col = self.row + into, self.col + out  # what leads to the word or from it counts wherever it goes
+        gain -= f(row + out.sum(axis=1, keepdims=True) + own) - f(row) + f(col + into.sum(axis=1, keepdims=True) + own) - f(col)
+        gain[:, ~self.open] = -np.inf
+        return gain.argmax(axis=1), (into.sum(axis=1) + own[:, 0]).astype(np.int64)
+
+
+def placed(rows: DataFrame, types: Types, at: np.ndarray, pair: np.ndarray) -> DataFrame:
+    """(h, l, class, c) of every word of the training rows outside the core."""
+
+    def each(batches):
+        placer, held, size = Placer(pair), [], 0
+
+        def out(upto_end: bool):
+            h, l, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])))
+            stop = len(h) if upto_end else int(first[-1])  # the last word may go on; it has 2 * CLASSES + 1 rows at most
+            rest = [(h[stop:], l[stop:], s[stop:], n[stop:])]
+            first = first[first < stop]
+            if not len(first):
+                return None, rest
+            k, c = placer.best(first, s[:stop], n[:stop])
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(l[first]), pa.array(k.astype(np.int32)), pa.array(c)], ["h", "l", "class", "c"]), rest
+
+        for b in batches:
+            held.append(tuple(b.column(k).to_numpy() for k in range(4)))
+            size += b.num_rows
+            if size >= 1 << 14:
+                got, held = out(False)
+                size = len(held[0][0])
+                if got is not None:
+                    yield got
+        if size:
+            yield out(True)[0]
+
+    near = contexts(rows, types, at)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(near.repartition(n, "h", "l").sortWithinPartitions("h", "l").mapInArrow(each, "h long, l long, class int, c long"))
+
+
+class Lexicon:
+    """Classes and counts of words; what isn't in it is in the table of all words, or unknown."""
+
+    def __init__(self, types: Types, at: np.ndarray, ends: int, h, l, c, k):
+        self.types, self.at, self.ends = types, at, ends
+        self.table = Table(max(16, 1 << int(len(h)).bit_length()))
+        self.table.add(h, l, c.astype(np.int64) << 8 | k)
+
+
 class Model:
-    def __init__(self, types: Types, n: np.ndarray, v: np.ndarray, words: int, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        """v: distinct words of each type; words: of all, the end included; head: hashes and counts of the frequent words."""
-        self.types, self.at = types, exchange(n)
-        one = np.eye(CLASSES)[self.at]
-        pair = one.T @ n @ one
-        size, kinds = n.sum(axis=0) @ one, v @ one
-        self.total, self.words = float(n.sum()), words
+    def __init__(self, pair: np.ndarray, kinds: np.ndarray, words: int):
+        """pair: counts of (last class, class); kinds: distinct words of each class; words: of all, the end included."""
+        size = pair.sum(axis=0)
+        self.total = float(pair.sum())
         self.unigram = 1 / (self.total + 0.1 * (words + 1))
         prior = size / self.total if self.total else np.full(CLASSES, 1 / CLASSES)
-        before = pair.sum(axis=1, keepdims=True)
-        step = (pair + B * prior) / (before + B)
+        step = (pair + B * prior) / (pair.sum(axis=1, keepdims=True) + B)
         self.step = np.log10(SHARE * step / (size + A * (kinds + 1)) + (1 - SHARE) * self.unigram)
-        self.ends = n[:, -1].sum()
-        self.head = Table(max(16, 1 << int(len(head[0])).bit_length()))
-        self.head.add(head[0], head[1], head[2])
 
 
-def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the words' counts, of source(docs)."""
+def fit(rows: DataFrame) -> tuple[Lexicon, DataFrame, np.ndarray]:
+    """The lexicon of the core and of frequent words, all words outside the core, and distinct words by class, of source(docs)."""
     words = vocabulary(rows)
-    top = words.orderBy(F.desc("c"), "h", "l").limit(HEAD).select("h", "l", "c", "form").toArrow()
-    h, l, c, form = (top[k].to_numpy() for k in ("h", "l", "c", "form"))
-    h, l = h.astype(np.int64).view(np.uint64), l.astype(np.int64).view(np.uint64)
-    types = Types(h[:CORE].copy(), l[:CORE].copy())
+    top = words.orderBy(F.desc("c"), "h", "l").limit(CORE).select("h", "l", "c").toArrow()
+    unsigned = lambda t, k: t[k].to_numpy().astype(np.int64).view(np.uint64)
+    h, l, c = unsigned(top, "h"), unsigned(top, "l"), top["c"].to_numpy()
+    types = Types(h, l)
     n = bigrams(rows, types)
-    by_form = np.zeros(FORMS)
-    for r in words.groupBy("form").count().collect():  # FORMS rows
-        by_form[r["form"]] = r["count"]
-    np.subtract.at(by_form, form[:CORE], 1)
-    ends = n[:, -1].sum()
-    v = np.concatenate((np.ones(types.core), by_form, [1.0 if ends else 0.0]))
-    return Model(types, n, v, int(by_form.sum()) + types.core + (1 if ends else 0), (h, l, c)), words
+    at = exchange(n)
+    core = np.append(np.arange(types.core), types.end)
+    one = np.eye(CLASSES)[at[core]]
+    others = placed(rows, types, at, one.T @ n[np.ix_(core, core)] @ one)
+    kinds = np.bincount(at[: types.core], minlength=CLASSES).astype(float)
+    for r in others.groupBy("class").count().collect():  # CLASSES rows
+        kinds[r["class"]] += r["count"]
+    ends = int(n[:, -1].sum())
+    kinds[0] = 1.0 if ends else 0.0
+    head = others.orderBy(F.desc("c"), "h", "l").limit(HEAD).toArrow()
+    every = lambda a, k: np.concatenate([a, k])
+    return Lexicon(types, at, ends, every(h, unsigned(head, "h")), every(l, unsigned(head, "l")), every(c, head["c"].to_numpy()), every(at[: types.core], head["class"].to_numpy())), others, kinds
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = source(docs)
-    model, words = fit(rows)
-    shared = spark.sparkContext.broadcast(model)  # HEAD words, (CORE + FORMS) types and CLASSES**2 steps at most
+_ROW = "id long, tie int, kind int, pos int, class int, c long, doc_id long, held_out boolean, seq binary, logs double, n_known long"
+
+
+def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
+    """(doc_id, held_out, seq, logs, n_known) of every row: the classes of its words, a byte each, and the sums of its known words."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # CORE + HEAD words at most
 
     def known(batches):
-        """What needs no look-up: tokens, the classes' part, and the frequent words' counts."""
         m = shared.value
         for b, texts in slices(batches, 4):
-            doc, one, two, form = tokens(texts)
-            last, run, begin = m.types.runs(doc, m.types.of(one, two, form), len(texts))
-            part = np.add.reduceat(m.step[m.at[last], m.at[run]], begin)
-            c = m.head.find(one, two)
-            there = c >= 0
-            logs = np.bincount(doc[there], np.log10(c[there] + 0.1), len(texts)) + np.log10(m.ends + 0.1)
-            seen = np.bincount(doc[there], minlength=len(texts)) + (1 if m.ends else 0)
-            cols = [pa.array(np.bincount(doc, minlength=len(texts)) + 1), pa.array(seen), pa.array(logs), pa.array(part), pa.array(np.ones(len(texts), np.int64))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *cols], ["doc_id", "id", "tie", "held_out", "n_tokens", "n_known", "logs", "part", "rows"])
+            doc, one, two, _ = tokens(texts)
+            found = m.table.find(one, two)
+            there = found >= 0
+            seq, size = np.where(there, found & 255, 255).astype(np.uint8).tobytes(), np.bincount(doc, minlength=len(texts))
+            upto = np.concatenate(([0], np.cumsum(size))).tolist()
+            logs = np.bincount(doc[there], np.log10((found[there] >> 8) + 0.1), len(texts))
+            none = np.zeros(len(texts), np.int32)
+            cols = [b.column(1), b.column(2), pa.array(none), pa.array(none), pa.array(none), pa.array(none.astype(np.int64)), b.column(0), b.column(3)]
+            cols += [pa.array([seq[s:e] for s, e in zip(upto, upto[1:], strict=False)], pa.binary()), pa.array(logs), pa.array(np.bincount(doc[there], minlength=len(texts)))]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ROW.split(", ")])
 
     def rare(batches):
         m = shared.value
         for b, texts in slices(batches, 2):
-            doc, one, two, _ = tokens(texts)
-            out = m.head.find(one, two) < 0
-            (h, l, d), n = total([one[out], two[out], doc[out]], np.ones(int(out.sum()), np.int64))
-            at = pa.array(d.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(l.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(n.astype(np.int32))], ["h", "l", "id", "tie", "n"])
-
-    one = rows.select("doc_id", "id", "tie", "held_out", "data").mapInArrow(known, "doc_id long, id long, tie int, held_out boolean, n_tokens long, n_known long, logs double, part double, rows long")
-    tail = rows.select("id", "tie", "data").mapInArrow(rare, "h long, l long, id long, tie int, n int").join(words.select("h", "l", "c"), ["h", "l"], "left")
-    c = F.coalesce("c", F.lit(0))
-    two = tail.groupBy("id", "tie").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.log10(c + 0.1) * F.col("n")).alias("logs"))
-    # repeated rows share a name: their sums are equal, so the sum over them is divided by their number
-    own = one.groupBy("id", "tie").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("rows").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("known_1"), F.max("logs").alias("logs_1"), F.max("part").alias("part"))
-    both = own.join(two, ["id", "tie"], "left")
-    logs = F.col("logs_1") + F.coalesce(F.col("logs") / F.col("rows"), F.lit(0.0))
-    seen = F.col("known_1") + F.coalesce((F.col("n_known") / F.col("rows")).cast("long"), F.lit(0))
-    repeated = both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+            doc, one, two, form = tokens(texts)
+            out = m.table.find(one, two) < 0
+            size = np.bincount(doc, minlength=len(texts))
+            pos = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+            at = pa.array(doc[out].astype(np.int64))
+            cols = [pa.array(one[out].view(np.int64)), pa.array(two[out].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos[out].astype(np.int32)), pa.array(m.at[m.types.core + form[out]].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "l", "id", "tie", "pos", "other"])
+
+    def fill(batches):
+        """Rows by name, texts before their rare words; the last name of a part may go on in the next."""
+        held, size, last = [], 0, None  # last: name, repeats, doc_id, held_out, logs, n_known, classes, logs and counts by place
+
+        def part(last):
+            t = pa.Table.from_batches(held)
+            id_, tie, kind = (t[k].to_numpy() for k in ("id", "tie", "kind"))
+            name = np.cumsum(np.append(last is None or (id_[0], tie[0]) != last[0], (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]))) - (last is None)
+            open_, text = [] if last is None else [last], np.flatnonzero(kind == 0)
+            times = np.bincount(name[text], minlength=int(name[-1]) + 1)
+            new = text[np.append(True, name[text][1:] != name[text][:-1])[: len(text)]]
+            new = new[name[new] >= len(open_)]
+            few = t.take(pa.array(new)).select(["id", "tie", "doc_id", "held_out", "logs", "n_known", "seq"]).to_pylist()
+            open_ += [((r["id"], r["tie"]), 0, r["doc_id"], r["held_out"], r["logs"], r["n_known"], np.frombuffer(r["seq"], np.uint8), None, None) for r in few]
+            upto = np.concatenate(([0], np.cumsum([len(o[6]) for o in open_])))
+            seq, logs, seen = np.concatenate([o[6] for o in open_]), np.zeros(upto[-1]), np.zeros(upto[-1], bool)
+            if last is not None:
+                logs[: upto[1]], seen[: upto[1]] = last[7], last[8]
+            w = np.flatnonzero(kind == 1)
+            place, c = upto[name[w]] + t["pos"].to_numpy()[w], t["c"].to_numpy()[w]
+            seq[place], logs[place], seen[place] = t["class"].to_numpy()[w], np.log10(c + 0.1), c > 0  # repeated rows write the same again
+            return [(o[0], o[1] + int(k), *o[2:6], seq[s:e], logs[s:e], seen[s:e]) for o, k, s, e in zip(open_, times, upto, upto[1:], strict=False)]
+
+        def out(done):
+            for s in range(0, len(done), 512):
+                rows_ = [(d, h, q.tobytes(), a + g.sum(), n + int(v.sum()), k) for _, k, d, h, a, n, q, g, v in done[s : s + 512]]
+                cols = list(zip(*rows_, strict=True))
+                kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "held_out", "seq", "logs", "n_known", "rows"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows * 64 + b.nbytes
+            if size >= 1 << 22:
+                *done, last = part(last)
+                held, size = [], 0
+                yield from out(done)
+        if held:
+            *done, last = part(last)
+            yield from out(done)
+        if last is not None:
+            yield from out([last])
+
+    one = rows.select("doc_id", "id", "tie", "held_out", "data").mapInArrow(known, _ROW)
+    tail = rows.select("id", "tie", "data").mapInArrow(rare, "h long, l long, id long, tie int, pos int, other int").join(others, ["h", "l"], "left")
+    absent = [F.lit(None).cast(t).alias(k) for k, t in (("doc_id", "long"), ("held_out", "boolean"), ("seq", "binary"), ("logs", "double"), ("n_known", "long"))]
+    two = tail.select("id", "tie", F.lit(1).alias("kind"), "pos", F.coalesce("class", "other").alias("class"), F.coalesce("c", F.lit(0)).alias("c"), *absent)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = one.unionByName(two).repartition(n, "id", "tie").sortWithinPartitions("id", "tie", "kind")
+    return cut(both.mapInArrow(fill, "doc_id long, held_out boolean, seq binary, logs double, n_known long, rows long"))
+
+
+def steps(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(last class * CLASSES + class of each token in turn, ends included; where texts begin)."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    run = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.int64)  # the end is class 0
+    return np.append(0, run[:-1]) * CLASSES + run, np.cumsum(size) - size
+
+
+def class_bigrams(docs: DataFrame) -> np.ndarray:
+    """Counts of (last class, class) over the training rows of classed rows."""
+
+    def each(batches):
+        seen = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            if b.num_rows:
+                pair, first = steps(b.column(0).to_pylist())
+                times = np.repeat(b.column(1).to_numpy(), np.diff(np.append(first, len(pair))))
+                seen += np.bincount(pair, times, CLASSES * CLASSES).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["pair", "n"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in docs.where("not held_out").select("seq", "rows").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES**2 rows
+        out[r["pair"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = source(docs)
+    lexicon, others, kinds = fit(rows)
+    found = classed(rows, lexicon, others)
+    model = Model(class_bigrams(found), kinds, int(kinds.sum()))
+    step, ends = model.step.ravel(), lexicon.ends
+
+    def each(batches):
+        for b in batches:
+            if b.num_rows:
+                pair, first = steps(b.column(2).to_pylist())
+                size = np.diff(np.append(first, len(pair)))
+                logs = b.column(3).to_numpy() + np.log10(ends + 0.1)
+                seen = b.column(4).to_numpy() + (1 if ends else 0)
+                cols = [pa.array(size), pa.array(seen), pa.array(logs), pa.array(np.add.reduceat(step[pair], first))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), *cols], ["doc_id", "held_out", "rows", "n_tokens", "n_known", "logs", "part"])
+
+    one = found.select("doc_id", "held_out", "seq", "logs", "n_known", "rows").mapInArrow(each, "doc_id long, held_out boolean, rows long, n_tokens long, n_known long, logs double, part double")
+    repeated = one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return repeated.select(
-        "doc_id", "held_out", "n_tokens", seen.alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        (logs + F.col("n_tokens") * float(np.log10(model.unigram))).alias("base_score"), (logs + F.col("part")).alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.col("n_tokens") * float(np.log10(model.unigram))).alias("base_score"), (F.col("logs") + F.col("part")).alias("score"),
     )

@@ -235,6 +235,46 @@ def test_exchange_finds_two_languages():
     assert len(set(at[:10])) == 1 and len(set(at[10:20])) == 1 and at[0] != at[10] and at[20] == 0
 
 
+def test_brown_places_rare_words_by_their_own_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CORE", 8)
+    rng, held = random.Random(4), lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    lead = {"p": ["ka", "ke", "ki", "ko"], "q": ["ma", "me", "mi", "mo"]}
+    rare = {k: [f"{k}{i}ing" for i in range(60)] for k in lead}  # equal in their last three bytes
+    line = lambda a, b: " ".join(f"{rng.choice(lead[a])} {rng.choice(lead[a])} {rng.choice(rare[b])}" for _ in range(20))
+    rows = [(i, line(k, k)) for i in range(400) if not held(i) for k in [rng.choice("pq")]]
+    a, b = [i for i in range(400, 500) if held(i)][:2]
+    words = [[rng.choice(x) for x in (lead["p"], lead["p"], rare["p"], lead["q"], lead["q"], rare["q"])] for _ in range(20)]
+    run = lambda *by: " ".join(w[k] for part in by for w in words for k in part)
+    rows += [(a, run((0, 1, 2), (3, 4, 5))), (b, run((0, 1, 5), (3, 4, 2)))]  # the same words
+    got = {r["doc_id"]: r for r in brown.score(docs(spark, rows)).where(f"doc_id in ({a}, {b})").collect()}
+    assert abs(got[a]["base_score"] - got[b]["base_score"]) < 1e-6 and got[a]["score"] > got[b]["score"] + 5
+
+
+def test_brown_tail_words_and_repeats(spark, monkeypatch):
+    rows = corpus(7, 60)
+    want = {}
+    for head in (1 << 18, 0):  # every word outside the core meets its class in the join
+        monkeypatch.setattr(brown, "CORE", 20)
+        monkeypatch.setattr(brown, "HEAD", head)
+        want[head] = sorted(tuple(str(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in brown.score(docs(spark, rows * 3)).collect())
+    assert want[0] == want[1 << 18] and len(want[0]) == 3 * len(rows)
+
+
+def test_placing_is_the_gain_of_exchange():
+    rng = np.random.default_rng(5)
+    pair = rng.integers(0, 40, (brown.CLASSES, brown.CLASSES)).astype(float)
+    slot, n = np.array([3, 7, 48 + 3, 48 + 9, 96]), np.array([5, 60, 2, 40, 4])
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    whole = []
+    for k in range(1, brown.CLASSES):
+        p = pair.copy()
+        for s, m in zip(slot.tolist(), n.tolist(), strict=True):
+            p[(s, k) if s < 48 else (k, s - 48) if s < 96 else (k, k)] += m
+        whole.append(f(p) - f(p.sum(axis=1)) - f(p.sum(axis=0)))
+    got, c = brown.Placer(pair).best(np.array([0]), slot, n)
+    assert got[0] == 1 + int(np.argmax(whole)) and c[0] == 69
+
+
 def labelled(n=400):
     rng = random.Random(11)
     bad = ["grubnak", "zwoffel", "plurtig", "skamvod"]
