@@ -1,4 +1,4 @@
-"""What the training-data operators share: tables, scratch tables, components."""
+"""What the training-data operators share: tables, names of texts, scratch tables, components."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Rows of a key that one task of a salted join gets, about.
+HOT = 4096
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -21,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package where their PYTHONPATH doesn't hold it already; bound what a Python worker gets at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Let executors import this package where their PYTHONPATH doesn't hold it already.
+
+    Bounds what a Python worker gets at once to 512 rows, as texts may be long; a number that the user has set stays."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "512")
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
@@ -40,19 +46,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session (tests) may leave it unset; a cluster may not."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses none of it."""
+    """df as a table in the shared folder: lineage ends here, and a lost executor loses none of it.
+
+    ``release`` deletes the table; what results still need goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, store = _path(spark, path)
+    store.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -63,9 +79,30 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_scratch", None)
         if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            p, store = _path(df.sparkSession, path)
+            store.delete(p, True)
+
+
+def text_name(text: Column) -> tuple[Column, Column]:
+    """(long, int): 96 bits of the SHA-256 of a text's UTF-8, the same for equal texts alone."""
+    digest = F.sha2(F.encode(text, "UTF-8"), 256)
+    bits = lambda at, n: F.conv(F.substring(digest, at, n), 16, -10).cast("long")
+    return bits(1, 16), (bits(17, 8) - (1 << 31)).cast("int")
+
+
+def parts_of(many: Column) -> Column:
+    """How many parts a key with many rows is dealt to."""
+    return F.greatest(F.lit(1), F.ceil(many / HOT).cast("int"))
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list[str], many: str, of: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small on keys, the rows of a hot key in several tasks.
+
+    many: a column of both sides, equal for equal keys, that bounds the key's rows in big; big's rows are dealt by the columns ``of``,
+    small's are copied to each part."""
+    left = big.withColumn("_part", F.pmod(F.xxhash64(*of), parts_of(F.col(many))).cast("int"))
+    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts_of(F.col(many)) - 1))).drop(many)
+    return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
 def components(edges: DataFrame) -> DataFrame:

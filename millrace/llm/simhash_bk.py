@@ -7,7 +7,7 @@ differing bits; documents reach each other through links.
 Shards: two fingerprints within ``radius`` 3 agree on one of four 16-bit blocks, so each fingerprint goes to the four
 shards named by its blocks and no link is lost. Each shard builds one BK-tree, whose children are keyed by
 their integer distance to the parent, and a search follows only edges within the radius. A tree stays in the
-task of its shard: its size follows the data, so it is not broadcast. A shard above ``shard_rows`` is dealt
+task of its shard: all trees together hold every fingerprint four times, and a broadcast would lead them through the driver. A shard above ``shard_rows`` is dealt
 again by blocks of the remaining bits (four of 12, of 9, then of 7 or 6); the same argument keeps every link.
 A shard returns a spanning forest, never its pairs.
 
@@ -21,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, cut, ship
+from .common import LOWER, components, cut, release, ship, text_name
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 1024
 WIDTHS = (16, 12, 9, 7)
@@ -49,16 +49,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, named: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. named: and the name (id, tie) of each text."""
     ship(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    names = [c.alias(k) for c, k in zip(text_name(text), ("id", "tie"), strict=True)] if named else []
 
     def each(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            rest = range(2, b.num_columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *[b.column(k) for k in rest]], ["doc_id", "fp", *[b.schema.names[k] for k in rest]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *names).mapInArrow(each, "doc_id long, fp long" + (", id long, tie int" if named else ""))
 
 
 class Tree:
@@ -165,9 +168,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
             rows = cut(rows.join(hot, "key"))
         else:
             parts.append(rows)
-    spark = distinct.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = [p.select(F.xxhash64("key").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(trees, "a long, b long") for p in parts]
+    out = [p.select(F.xxhash64("key").alias("key"), "fp").repartition("key").sortWithinPartitions("key").mapInArrow(trees, "a long, b long") for p in parts]
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -175,14 +176,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
 
 
 def components_of(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of prints (doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp): root is the component's smallest fingerprint."""
     ship(prints.sparkSession)
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = cut(components(links(distinct.select("fp"), radius, shard_rows)))
     linked = labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "root", "least")
     least = cut(linked.groupBy("root").agg(F.min("least").alias("of_group")))
-    groups = cut(labels.join(least, "root").select(F.col("node").alias("fp"), "of_group"))
-    return cut(distinct.join(groups, "fp", "left").select("fp", F.least(F.col("least"), F.col("of_group")).alias("component_id")))
+    groups = cut(labels.join(least, "root").select(F.col("node").alias("fp"), "root", "of_group"))
+    out = cut(distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.least(F.col("least"), F.col("of_group")).alias("component_id")))
+    release(distinct, labels, least, groups)
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -193,30 +196,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id, repeated rows once.
-
-    Rows without doc_id stay (one of each group) where no row of their group has one."""
-    from pyspark.sql import Window
-
-    prints = cut(fingerprints(docs))
+    """docs with one row of each group of near-duplicates: the one of the smallest doc_id (null ids last), then of the smallest name of
+    its text; of rows equal in both, any one. Rows that share a doc_id compete only within a group, and no column of docs is touched."""
+    own = lambda id_, tie: F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), id_.alias("id"), tie.alias("tie"))
+    id_, tie = text_name(F.coalesce("text", F.lit("")))
+    prints = cut(fingerprints(docs, named=True))
     groups = components_of(prints)
-    keepers = cut(prints.join(groups, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct())
-    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").asc_nulls_last()))).where("_n = 1")
-    kept = first(docs.join(keepers, F.col("doc_id") == F.col("_keeper"), "left_semi"), "doc_id").select(docs.columns)
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    # the shuffled row carries its fingerprint, as no id leads back to it
-    alone = groups.where("component_id is null")
-    roots = components(links(alone.select("fp")))
-    place = alone.join(roots, alone["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def fp_of(text):
-        import pandas as pd
-
-        return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
-
-    rest = nameless.withColumn("fp", fp_of("text")).join(place, "fp")
-    return kept.unionByName(first(rest, "_root").select(docs.columns))
+    first = prints.groupBy("fp").agg(F.min(own(F.col("id"), F.col("tie"))).alias("key"))  # the rows of a fingerprint shrink before they are shuffled
+    keepers = cut(first.join(groups, "fp").groupBy("root").agg(F.min("key").alias("key")).select("key"))
+    release(prints, groups)
+    rows = docs.select(F.struct("*").alias("row"), own(id_, tie).alias("key")).join(keepers, "key", "left_semi")
+    rest = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy("key").orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
