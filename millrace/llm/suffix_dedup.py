@@ -3,20 +3,22 @@
 Which suffixes meet. The anchor of a 200-byte window is the place of the least hash among its 64-byte grams (the leftmost of equals), so
 equal windows have equal anchors at equal places, one anchor serves about 69 windows, and only anchors whose gram's hash
 comes up again (counted by a grouped sum) can have repeated windows. An anchor's context is all that its windows can reach. Contexts
-that are equal, with equal ends of text, are copies: they are counted and marked whole, and one of them stands for
-them. What is left in a group of one gram, edges of shared passages, is settled by the sort.
+of equal bytes (told by 96 bits of BLAKE2b over them) with equal ends of text are copies: they are marked whole, and one of them stands for
+them. Whole texts that occur again (told by SHA-256) are marked whole too. What is left in a group of one gram, edges of shared passages, is settled by the sort.
 
 The sort. The windows' suffixes of many groups are sorted together: by their first eight bytes, then ties by a merge sort that
 compares two suffixes with prefix polynomial hashes: a binary search finds their common extension in eight
 look-ups, the byte after it decides. Neighbours that share 200 bytes are repeats, once their bytes have been compared too, so a collision
-of hashes takes nothing away. Groups of over ``GROUP`` representatives are not gathered: they are counted by two
-64-bit hashes, which is the same test spread over keys. Windows are counted in blocks by their distance to the anchor, ``BLOCKS`` wide in turn: where
-all that a block spans comes up again, so do all its windows; where what its windows share doesn't, none does; the other blocks, and one of each kind of repeated ones, are cut into narrower ones, down
-to single windows. A record that crosses one edge of a passage asks for a few blocks of each width instead of for each of its windows.
+of polynomial hashes takes nothing away.
+
+Hot groups. A group of over ``GROUP`` unequal contexts is dealt again by blocks of windows, ``BLOCKS`` wide in turn, counted by their distance to the anchor. All windows of a
+block share some bytes, so equal windows are in the same block and those bytes name a smaller group. A group of one kind of block is left: alone it has no repeats, else it is marked whole.
+One of several unequal kinds goes on: groups of up to ``GROUP`` kinds are sorted as above, larger ones are dealt again by narrower blocks. At one window a block is its window, so no two kinds are left.
+A group of unequal windows is thus never decided but by the sort, and no sort holds more than ``GROUP`` records. Joins on hot keys are salted.
 
 Text is its UTF-8 bytes; matches never cross rows. A null text is empty. Rows may repeat, in doc_id or whole: each is a
-text of its own, and exact copies of 200 bytes or more are removed entirely. A null doc_id is kept as null. An empty table gives an empty result.
-Extra columns are ignored by ``repeats`` and kept by ``strip``.
+text of its own, and exact copies of 200 bytes or more are removed entirely. What is removed depends on texts alone, never on doc_id, which may be null or shared.
+An empty table gives an empty result. Extra columns, of whatever name, are ignored by ``repeats`` and kept by ``strip``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release, ship
+from .common import cut, release, salted, ship, text_name
 from .words import spread
 
 SPAN, GRAM = 200, 64
@@ -129,25 +131,35 @@ def pieces(texts: list[bytes]):
         yield joint(held)
 
 
-def _runs(ids, ties, texts):
-    """Columns (h, c, d, id, pos) of every anchor; pos holds anchor << 32 | windows before << 24 | windows - 1 << 16 | tie."""
+def _digests(buf, starts, ends, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of BLAKE2b over each substring, as longs and ints; substrings of unequal shape differ."""
+    view, of = memoryview(np.ascontiguousarray(buf)), hashlib.blake2b
+    found = np.frombuffer(b"".join([of(view[s:e], digest_size=12).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u4").reshape(-1, 3)
+    long = found[:, 0].astype(np.uint64) << np.uint64(32) | found[:, 1]
+    return (long ^ spread(shape.astype(np.uint64))).view(np.int64), found[:, 2].astype(np.uint32).view(np.int32)
+
+
+def _runs(ids, ties, texts, whole: bool = True):
+    """Columns (h, c, d, id, tie, pos) of every anchor, or h alone; pos holds anchor << 16 | windows before << 8 | windows - 1."""
     for buf, k, offset, begins, ends, windows, least, most in pieces(texts):
-        one, two = (Prefix(buf, b) for b in BASES)
-        h, a, first, last = anchors(buf, windows, one)
+        h, a, first, last = anchors(buf, windows, Prefix(buf, BASES[0]))
         own = (a >= least) & (a < most)
         h, a, first, last = h[own], a[own], first[own], last[own]
+        if not whole:
+            yield (h.view(np.int64),)
+            continue
         own = np.searchsorted(begins, a, side="right") - 1
         left, right = np.maximum(begins[own], a - REACH), np.minimum(ends[own], a + SPAN)
-        shape = ((a - left) * 1024 + (right - a)).astype(np.uint64)
-        c, d = spread(two.of(left, right) + spread(shape)), spread(one.of(left, right) ^ (shape << np.uint64(40)))
-        pos = (a - begins[own] + offset) << 32 | (a - first) << 24 | (last - first) << 16 | ties[k[own]]
-        yield h.view(np.int64), c.view(np.int64), d.astype(np.uint32).view(np.int32), ids[k[own]], pos
+        c, d = _digests(buf, left, right, (a - left) * 1024 + (right - a))
+        pos = (a - begins[own] + offset) << 16 | (a - first) << 8 | (last - first)
+        yield h.view(np.int64), c, d, ids[k[own]], ties[k[own]], pos
 
 
 def source(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, tie, data): id and tie name a row; rows that share them are whole copies, but for chance among rows of one doc_id."""
+    """(doc_id, id, tie, data): id and tie name a text; equal texts have one name."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), F.pmod(F.crc32(text), F.lit(65536)).cast("int").alias("tie"), F.encode(text, "UTF-8").alias("data"))
+    id_, tie = text_name(text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("id"), tie.alias("tie"), F.encode(text, "UTF-8").alias("data"))
 
 
 def _batches(it, size: int = 4 * JOINT):
@@ -237,142 +249,190 @@ def _spans(found: np.ndarray, record: np.ndarray, first: np.ndarray, t: np.ndarr
     return r, first[r] + t[w[s]], first[r] + t[w[e]] + SPAN
 
 
+def _unpacked(b):
+    """A batch of records as (buffer, first windows, record of each window, its number in the record, its start in the buffer)."""
+    n, first = b["n"].to_numpy().astype(np.int64), b["t"].to_numpy()
+    data = b["data"].to_pylist()
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    begins = np.cumsum(size) - size
+    record = np.repeat(np.arange(len(n)), n)
+    t = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.frombuffer(b"".join(data), np.uint8), first, record, t, begins[record] + t
+
+
+def _settle(it):
+    """Whole groups (g, m), many at a time: their windows in one suffix sort."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def close(last_too: bool):
+        nonlocal held, rows
+        t = pa.Table.from_batches(held).combine_chunks()
+        g, m = t["g"].to_numpy(), t["m"].to_numpy()
+        n = t.num_rows if last_too else int(np.argmax((g == g[-1]) & (m == m[-1])))  # the last group may go on
+        own, held = t.slice(0, n), t.slice(n).to_batches()
+        rows = t.num_rows - n
+        for b in own.combine_chunks().to_batches():
+            buf, first, record, at, starts = _unpacked(b)
+            # equal windows of different groups are equal all the same: both are repeats
+            order, shared = suffix_sort(buf, starts, Prefix(buf, BASES[0]))
+            found = np.zeros(len(starts), bool)
+            found[order] = shared | np.append(shared[1:], False)
+            r, s, e = _spans(found, record, first, at)
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(r)), b["tie"].take(pa.array(r)), pa.array(s), pa.array(e)], ["id", "tie", "s", "e"])
+
+    for b in it:
+        for s in range(0, b.num_rows, 2048):
+            held.append(b.slice(s, 2048))
+            rows += held[-1].num_rows
+            if rows >= 2048:
+                yield from close(False)
+    if rows:
+        yield from close(True)
+
+
+_SPANS = "id long, tie int, s long, e long"
+
+
+def _sorted(records: DataFrame) -> DataFrame:
+    """Spans of the repeated windows of each group (g, m) of records (id, tie, t, n, data)."""
+    return records.select("g", "m", "id", "tie", "t", "n", "data").repartition("g", "m").sortWithinPartitions("g", "m").mapInArrow(_settle, _SPANS)
+
+
+def _blocks(width: int, narrower: bool):
+    """A row for each block of ``width`` windows of a hot record, or of those in its open ranges of distances: (k, l) are
+    digests of the bytes that all windows of the block share, (u, v) of all that the record's own windows of it span."""
+
+    def each(it):
+        for b in _batches(it):
+            high = b["b"].to_numpy().astype(np.int64)
+            low = high - b["n"].to_numpy() + 1
+            data = b["data"].to_pylist()
+            size = np.fromiter(map(len, data), np.int64, len(data))
+            begins = np.cumsum(size) - size
+            if narrower:
+                count = pa.compute.list_value_length(b["open"]).to_numpy()
+                r = np.repeat(np.arange(len(data)), count)
+                of = b["open"].flatten().to_numpy()
+                low, high = np.maximum(low[r], of >> 16), np.minimum(high[r], of & 65535)
+            else:
+                r = np.arange(len(data))
+            each_has = high // width - low // width + 1
+            which = np.repeat(np.arange(len(r)), each_has)
+            block = np.arange(int(each_has.sum())) - np.repeat(np.cumsum(each_has) - each_has, each_has) + (low // width)[which]
+            r, low, high = r[which], low[which], high[which]
+            near, far = block * width, np.minimum(block * width + width - 1, REACH)
+            own_near, own_far = np.maximum(near, low), np.minimum(far, high)
+            anchor = begins[r] + b["b"].to_numpy().astype(np.int64)[r]
+            buf, h = np.frombuffer(b"".join(data), np.uint8), b["h"].to_numpy().view(np.uint64)[r]
+            k, l = _digests(buf, anchor - near, anchor - far + SPAN, spread(h) + (near * 1024 + far).astype(np.uint64))
+            u, v = _digests(buf, anchor - own_far, anchor - own_near + SPAN, spread(h) + (own_far * 1024 + own_near).astype(np.uint64))
+            t, who = b["t"].to_numpy()[r], pa.array(r)
+            s = t + b["b"].to_numpy().astype(np.int64)[r] - own_far
+            span = pa.array(own_near << 16 | own_far)
+            cols = [pa.array(k), pa.array(l), pa.array(u), pa.array(v), b["many"].take(who), b["h"].take(who), b["id"].take(who), b["tie"].take(who), pa.array(t), span, pa.array(s), pa.array(s + own_far - own_near + SPAN)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _BLOCK.split(", ")])
+
+    return each
+
+
+_BLOCK = "k long, l int, u long, v int, many long, h long, id long, tie int, t long, span long, s long, e long"
+
+
+def _cropped(it):
+    """The windows of a record whose distances its span names, as a record."""
+    for b in _batches(it):
+        far, near = b["span"].to_numpy() & 65535, b["span"].to_numpy() >> 16
+        skip = b["b"].to_numpy().astype(np.int64) - far
+        n = far - near + 1
+        data = [x[a : a + c + SPAN - 1] for x, a, c in zip(b["data"].to_pylist(), skip.tolist(), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["g"], b["m"], b["id"], b["tie"], pa.array(b["t"].to_numpy() + skip), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], ["g", "m", "id", "tie", "t", "n", "data"])
+
+
+def _hot(hot: DataFrame, group: int, scratch: list) -> list[DataFrame]:
+    """Spans (id, tie, s, e) of the repeated windows of hot records, in parts."""
+    out, asking = [], hot
+    for width in BLOCKS:
+        rows = cut(asking.mapInArrow(_blocks(width, asking is not hot), _BLOCK))
+        kinds = cut(rows.groupBy("k", "l", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("h", "id", "tie", "t", "span")).alias("one")))
+        scratch += [rows, kinds]
+        # a key holds no more rows than its gram's group: many is that group's number of rows
+        out.append(salted(rows, kinds.where("n > 1").select("k", "l", "u", "v", "many"), ["k", "l", "u", "v"], "many", ["id", "tie", "t"]).select("id", "tie", "s", "e"))
+        groups = kinds.groupBy("k", "l").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many")).where("kinds > 1")
+        some = cut(salted(kinds.select("k", "l", "many", "one", F.col("one.id").alias("by"), F.col("one.t").alias("at")), groups, ["k", "l"], "many", ["by", "at"]).select("k", "l", "one.*", "kinds"))
+        scratch.append(some)
+        if some.isEmpty():
+            break
+        key = ["h", "id", "tie", "t"]
+        few = some.where(F.col("kinds") <= group).select(F.col("k").alias("g"), F.col("l").cast("long").alias("m"), *key, "span")
+        taken = hot.drop("many", "n").join(few, key).select("g", "m", "id", "tie", "t", "b", "span", "data").mapInArrow(_cropped, "g long, m long, id long, tie int, t long, n int, data binary")
+        out.append(_sorted(taken))
+        still = some.where(F.col("kinds") > group).groupBy(*key).agg(F.collect_list("span").alias("open"))  # one record's blocks
+        asking = hot.join(still, key)
+    return out
+
+
 def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(id, tie, spans array<struct<s, e>>): the bytes to remove of each row of source(docs) that loses some; spans overlap."""
+    """(id, tie, spans array<struct<s, e>>): the bytes to remove of each text of source(docs) that loses some; spans overlap."""
     spark = docs.sparkSession
     ship(spark)
     src = source(docs)
 
-    def find(it):
-        for b in _batches(it):
-            ids, ties, texts = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_pylist()
-            for cols in _runs(ids, ties, texts):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "d", "id", "pos"])
+    def find(whole: bool):
+        def each(it):
+            seen: set = set()  # names of this task's texts: copies add nothing, and may be many
+            for b in _batches(it):
+                ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+                fresh = []
+                for k, name in enumerate(zip(ids.tolist(), ties.tolist(), strict=True)):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(k)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if fresh:
+                    texts = b.column(2).take(pa.array(fresh)).to_pylist()
+                    for cols in _runs(ids[fresh], ties[fresh], texts, whole):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "d", "id", "tie", "pos"][: len(cols)])
+
+        return each
 
-    every = src.where(F.length("data") >= SPAN).select("id", "tie", "data").mapInArrow(find, "h long, c long, d int, id long, pos long")
-    again = cut(every.groupBy("h").count().where("count > 1").select("h"))
+    long = src.where(F.length("data") >= SPAN)
+    again = cut(long.select("id", "tie", "data").mapInArrow(find(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    every = long.select("id", "tie", "data").mapInArrow(find(True), "h long, c long, d int, id long, tie int, pos long")
     met = cut(every.join(again, "h"))
     tidy(spark)
-    kinds = cut(met.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("one")))
-    mixed = cut(kinds.groupBy("h").count().where("count > 1").select("h", (F.col("count") > group).alias("hot")))
-    copies = met.join(kinds.where("n > 1").select("h", "c", "d"), ["h", "c", "d"]).select("id", F.col("pos").bitwiseAND(65535).cast("int").alias("tie"), (F.shiftright("pos", 32) - REACH).alias("s"), (F.shiftright("pos", 32) + SPAN).alias("e"))
-    edges = kinds.join(mixed, "h").select("h", "hot", F.col("one.id").alias("id"), F.col("one.pos").bitwiseAND(65535).cast("int").alias("tie"), F.col("one.pos").alias("pos"))
-    asked = edges.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "hot", "pos")).alias("own"))
+    kinds = cut(met.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("id", "tie", "pos")).alias("one")))
+    mixed = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many")).where("kinds > 1"))
+    copies = salted(met, kinds.where("n > 1").select("h", "c", "d", "many"), ["h", "c", "d"], "many", ["id", "tie", "pos"])
+    copies = copies.select("id", "tie", (F.shiftright("pos", 16) - REACH).alias("s"), (F.shiftright("pos", 16) + SPAN).alias("e"))
+    edges = salted(kinds.select("h", "many", "one.*"), mixed, ["h"], "many", ["id", "tie", "pos"])
+    edges = edges.select("h", F.when(F.col("kinds") > group, F.col("kinds")).otherwise(0).alias("many"), "id", "tie", "pos")
+    asked = edges.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "many", "pos")).alias("own"))  # anchors of one text
 
     def excerpts(it):
         """An anchor's windows as bytes: its first window's start, how many windows, and the bytes that they span."""
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for b in _batches(it):
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in types]
             for r in b.to_pylist():
                 for e in r["own"]:
-                    a, before, more = e["pos"] >> 32, e["pos"] >> 24 & 255, e["pos"] >> 16 & 255
+                    a, before, more = e["pos"] >> 16, e["pos"] >> 8 & 255, e["pos"] & 255
                     t = a - before
-                    for o, v in zip(out, (e["h"], e["hot"], r["id"], r["tie"], t, before, more + 1, r["data"][t : t + more + SPAN]), strict=True):
+                    for o, v in zip(out, (e["h"], e["many"], r["id"], r["tie"], t, before, more + 1, r["data"][t : t + more + SPAN]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "hot", "id", "tie", "t", "b", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["h", "many", "id", "tie", "t", "b", "n", "data"])
 
-    cold = "h long, hot boolean, id long, tie int, t long, b int, n int, data binary"
-    taken = cut(src.select("id", "tie", "data").join(asked, ["id", "tie"]).dropDuplicates(["id", "tie"]).mapInArrow(excerpts, cold))
+    one_each = src.groupBy("id", "tie").agg(F.first("data").alias("data"))  # copies of a text shrink before they are shuffled
+    taken = cut(one_each.join(asked, ["id", "tie"]).mapInArrow(excerpts, "h long, many long, id long, tie int, t long, b int, n int, data binary"))
     tidy(spark)
-
-    def unpacked(b):
-        n, first = b["n"].to_numpy().astype(np.int64), b["t"].to_numpy()
-        data = b["data"].to_pylist()
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        begins = np.cumsum(size) - size
-        record = np.repeat(np.arange(len(n)), n)
-        t = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.frombuffer(b"".join(data), np.uint8), first, record, t, begins[record] + t
-
-    def spans_of(b, found, record, first, t):
-        r, s, e = _spans(found, record, first, t)
-        return pa.RecordBatch.from_arrays([b["id"].take(pa.array(r)), b["tie"].take(pa.array(r)), pa.array(s), pa.array(e)], ["id", "tie", "s", "e"])
-
-    def settle(it):
-        """Whole groups, many at a time: their windows in one suffix sort."""
-        held: list[pa.RecordBatch] = []
-
-        def close(last_too: bool):
-            nonlocal held
-            t = pa.Table.from_batches(held).combine_chunks()
-            h = t["h"].to_numpy()
-            n = t.num_rows if last_too else int(np.argmax(h == h[-1]))  # the last group may go on
-            if not n:
-                return
-            own, held = t.slice(0, n), t.slice(n).to_batches()
-            for b in own.combine_chunks().to_batches():
-                buf, first, record, at, starts = unpacked(b)
-                order, shared = suffix_sort(buf, starts, Prefix(buf, BASES[0]))
-                found = np.zeros(len(starts), bool)
-                found[order] = shared | np.append(shared[1:], False)
-                yield spans_of(b, found, record, first, at)
-
-        rows = 0
-        for b in it:
-            for s in range(0, b.num_rows, 2048):
-                part = b.slice(s, 2048)
-                held.append(part)
-                rows = sum(x.num_rows for x in held)
-                if rows >= 2048:
-                    yield from close(False)
-        if held:
-            yield from close(True)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_sort = taken.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(settle, "id long, tie int, s long, e long")
-
-    def blocks(width: int, above: int | None):
-        """A row for each block of ``width`` windows of a hot record, or of those in its open blocks of ``above`` windows. Blocks count windows by
-        their distance to the anchor, so those of different records meet: (k, l) hash what all windows of the block share, (u, v) all that the record's own windows of it span."""
-
-        def each(it):
-            for b in _batches(it):
-                high = b["b"].to_numpy().astype(np.int64)
-                low = high - b["n"].to_numpy() + 1
-                data = b["data"].to_pylist()
-                size = np.fromiter(map(len, data), np.int64, len(data))
-                begins = np.cumsum(size) - size
-                each_has = high // width - low // width + 1
-                r = np.repeat(np.arange(len(data)), each_has)
-                block = np.arange(int(each_has.sum())) - np.repeat(np.cumsum(each_has) - each_has, each_has) + (low // width)[r]
-                if above:
-                    opened = b["open"]
-                    mine = np.repeat(np.arange(len(data)), pa.compute.list_value_length(opened).to_numpy())
-                    on = np.isin(r << 10 | block * width // above, mine << 10 | opened.flatten().to_numpy())
-                    r, block = r[on], block[on]
-                near, far = block * width, np.minimum(block * width + width - 1, REACH)
-                own_near, own_far = np.maximum(near, low[r]), np.minimum(far, high[r])
-                at, shape = begins[r] + high[r], spread((own_far * 1024 + own_near).astype(np.uint64))
-                buf, keys = np.frombuffer(b"".join(data), np.uint8), []
-                for prefix in (Prefix(buf, base) for base in BASES):
-                    keys += [spread(prefix.of(at - near, at - far + SPAN) + near.astype(np.uint64)), spread(prefix.of(at - own_far, at - own_near + SPAN) + shape)]
-                k, u, l, v = (pa.array(x.view(np.int64)) for x in keys)
-                t, who = b["t"].to_numpy()[r], pa.array(r)
-                s = t + high[r] - own_far
-                yield pa.RecordBatch.from_arrays([k, l, u, v, b["id"].take(who), b["tie"].take(who), pa.array(t), pa.array(block), pa.array(s), pa.array(s + own_far - own_near + SPAN)], found.names)
-
-        return each
-
-    hot, scratch, ends = taken.where("hot").drop("h", "hot"), [], []
-    found = T.StructType([T.StructField(n, T.IntegerType() if n == "tie" else T.LongType()) for n in ("k", "l", "u", "v", "id", "tie", "t", "block", "s", "e")])
-    asking, above = hot, None
-    for width in () if hot.isEmpty() else BLOCKS:
-        rows = cut(asking.mapInArrow(blocks(width, above), found))
-        live = rows.join(rows.groupBy("k", "l").count().where("count > 1").select("k", "l"), ["k", "l"])
-        scratch.append(rows)
-        if width == 1:
-            ends.append(cut(live.select("id", "tie", "s", "e")))
-            break
-        whole = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tie", "t")).alias("one")).where("n > 1")
-        live = live.join(whole, ["u", "v"], "left").withColumn("whole", F.col("n").isNotNull())
-        # one of each kind of whole blocks goes on, as others may share but some of its windows
-        live = cut(live.withColumn("open", ~F.col("whole") | (F.struct("id", "tie", "t") == F.col("one"))).select("id", "tie", "t", "block", "s", "e", "whole", "open"))
-        ends.append(live)
-        opened = live.where("open").groupBy("id", "tie", "t").agg(F.collect_list("block").alias("open"))
-        asking, above = hot.join(opened, ["id", "tie", "t"]), width
-    by_count = [x.where("whole").select("id", "tie", "s", "e") if "whole" in x.columns else x for x in ends]
-    out = cut(reduce(DataFrame.unionByName, [copies, by_sort, *by_count]).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    release(again, met, kinds, mixed, taken, *scratch, *ends)
+    cold = taken.where("many = 0").select(F.col("h").alias("g"), F.lit(0).cast("long").alias("m"), "id", "tie", "t", "n", "data")
+    scratch: list[DataFrame] = []
+    hot = taken.where("many > 0")
+    twins = long.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("data")).alias("e")).where("n > 1").select("id", "tie", F.lit(0).cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    found = [copies, _sorted(cold), twins, *([] if hot.isEmpty() else _hot(hot, group, scratch))]
+    out = cut(reduce(DataFrame.unionByName, found).groupBy("id", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    release(again, met, kinds, mixed, taken, *scratch)
     tidy(spark)
     return out
 
@@ -409,24 +469,24 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
                     o.append(v)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = marks(docs, group)
-    return source(docs).join(found, ["id", "tie"], "left").select("doc_id", "data", "spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return source(docs).join(marks(docs, group), ["id", "tie"], "left").select("doc_id", "data", "spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """docs with the repeats taken out of text (a character that loses a byte goes) and n_chars, if there is one, set anew."""
-    found = marks(docs, group)
-    text = F.coalesce("text", F.lit(""))
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "_tie": F.pmod(F.crc32(text), F.lit(65536)).cast("int")})
-    both = named.join(found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans")), ["_id", "_tie"], "left")
+    id_, tie = text_name(F.coalesce("text", F.lit("")))
+    named = docs.select(F.struct("*").alias("row"), id_.alias("id"), tie.alias("tie"))
+    both = named.join(marks(docs, group), ["id", "tie"], "left")
     cols = docs.columns
 
     def each(it):
         for b in _batches(it):
-            text = [t if t is None or not s else kept(t.encode(), s)[1].decode("utf-8", "ignore") for t, s in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True)]
-            new = {"text": pa.array(text, pa.string())}
+            row = dict(zip(cols, b["row"].flatten(), strict=True))
+            spans = b["spans"].to_pylist()
+            text = [t if t is None or not s else kept(t.encode(), s)[1].decode("utf-8", "ignore") for t, s in zip(row["text"].to_pylist(), spans, strict=True)]
             if "n_chars" in cols:
-                new["n_chars"] = pa.array([old if s is None or t is None else len(t) for t, s, old in zip(text, b["_spans"].to_pylist(), b["n_chars"].to_pylist(), strict=True)], b["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([new.get(c, b[c]) for c in cols], cols)
+                row["n_chars"] = pa.array([old if s is None or t is None else len(t) for t, s, old in zip(text, spans, row["n_chars"].to_pylist(), strict=True)], row["n_chars"].type)
+            row["text"] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays([row[c] for c in cols], cols)
 
-    return both.select(*cols, "_spans").mapInArrow(each, docs.schema)
+    return both.select("row", "spans").mapInArrow(each, docs.schema)

@@ -88,11 +88,11 @@ def test_long_texts_in_segments(spark, monkeypatch):
     rows = [(0, "".join(random.Random(5).choice("abc ") for _ in range(4000)) * 2), (1, "y" * 3000)]
     texts = [t.encode() for _, t in rows]
     ids, seen, places = np.arange(2), set(), []
-    for _, _, _, i, pos in suffix_dedup._runs(ids, np.zeros(2, np.int64), texts):
+    for _, _, _, i, _, pos in suffix_dedup._runs(ids, np.zeros(2, np.int32), texts):
         for k, p in zip(i.tolist(), pos.tolist(), strict=True):
-            t = (p >> 32) - (p >> 24 & 255)
-            places.append((k, p >> 32))
-            seen |= {(k, w) for w in range(t, t + (p >> 16 & 255) + 1)}
+            t = (p >> 16) - (p >> 8 & 255)
+            places.append((k, p >> 16))
+            seen |= {(k, w) for w in range(t, t + (p & 255) + 1)}
     assert seen == {(k, w) for k, t in enumerate(texts) for w in range(len(t) - 199)}
     assert len(places) == len(set(places))  # else an anchor at a seam would pass for a copy of itself
 
@@ -103,6 +103,39 @@ def test_long_clean_text_loses_nothing(spark):
     assert [r["n_removed"] for r in suffix_dedup.repeats(docs(spark, [(1, text), (2, "z" + text[:150])])).collect()] == [0, 0]
 
 
+def test_suffix_dedup_of_shared_and_null_ids(spark):
+    """Texts of one doc_id are texts of their own, whatever their checksums; whole copies under null ids go; columns may have any name."""
+    rng = random.Random(23)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows, by_crc = [], {}
+    while len(rows) < 6:  # pairs of unequal texts of one id whose crc32 agree in their last byte
+        t = make(600)
+        other = by_crc.setdefault(zlib.crc32(t.encode()) % 256, t)
+        if other is not t:
+            rows += [(1, other), (1, t)]
+    rows += [(2, rows[0][1])] + [(None, make(260))] * 50 + [(None, make(300)), (None, None)]
+    got = suffix_dedup.repeats(docs(spark, rows)).collect()
+    assert key(tuple(r) for r in got) == key(brute_repeats(rows))
+    schema = "doc_id long, text string, id long, tie string, spans int, row string, key long, data binary, _part int, n_chars long"
+    frame = spark.createDataFrame([(i, t, 7, "t", 5, "r", 9, b"d", 3, len(t or "")) for i, t in rows], schema)
+    kept = suffix_dedup.strip(frame)
+    assert kept.schema.names == frame.schema.names
+    want = Counter((r[0], r[4]) for r in brute_repeats(rows))
+    assert want == Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in kept.collect())
+    assert all(r["n_chars"] == len(r["text"] or "") and (r["id"], r["tie"], r["spans"], r["row"], r["key"], r["_part"]) == (7, "t", 5, "r", 9, 3) for r in kept.collect())
+
+
+def test_suffix_dedup_of_a_hot_group_and_many_copies(spark):
+    """Over 5,000 contexts around one passage, and 10,000 whole copies under null ids."""
+    rng = random.Random(29)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = make(260)
+    rows = [(i, make(rng.randint(20, 60)) + passage[rng.choice([0, 0, 0, 30]) :] + make(rng.randint(20, 60))) for i in range(5200)]
+    rows += [(None, make(230) + passage)] * 10_000
+    got = Counter(map(tuple, suffix_dedup.repeats(docs(spark, rows)).collect()))
+    assert got == Counter(brute_repeats(rows))
+
+
 def brute_print(text):
     w = (text or "").encode().translate(LOWER).split()
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
@@ -138,6 +171,18 @@ def test_keep_one_keeps_the_smallest_and_all_columns(spark):
     assert got.columns == ["doc_id", "text", "fp", "h"] and sorted((str(r[0]), r[3]) for r in got.collect()) == [("2", "y"), ("9", "z"), ("None", "n")]
 
 
+def test_keep_one_of_shared_ids_and_clashing_columns(spark):
+    """Unequal texts of one doc_id don't compete, and columns of any name come back as they were."""
+    schema = "doc_id long, text string, fp long, row string, key string, n long, id long, root long"
+    rows = [(2, "a b c d e f g"), (2, "totally different words in here now fine"), (None, "lone words that nobody else has"), (None, "lone words that nobody else has"), (3, "a b c d e f g"), (None, "a b c d e f g"), (4, None), (5, "")]
+    frame = spark.createDataFrame([(i, t, 77, "r", "k", 6, 8, 9) for i, t in rows], schema)
+    got = simhash_bk.keep_one(frame)
+    assert got.schema.names == frame.schema.names
+    want = [(2, "a b c d e f g"), (2, "totally different words in here now fine"), (4, None), (None, "lone words that nobody else has")]
+    assert key(tuple(r) for r in got.collect()) == key((i, t, 77, "r", "k", 6, 8, 9) for i, t in want)
+    assert simhash_bk.keep_one(frame.where("false")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
