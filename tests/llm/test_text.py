@@ -348,21 +348,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == frame.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
-def test_toxicity_fit_of_repeated_rows_is_that_of_single_rows(spark, monkeypatch):
-    monkeypatch.setattr(zdict_tox, "TOXIC", 80)
-    monkeypatch.setattr(zdict_tox, "ORDINARY", 160)
+def test_toxicity_fit_of_repeated_rows_is_that_of_single_rows(spark):
     rows, labels = labelled()
     frame, y = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
     ids = [i for i, t in labels if not t and zlib.crc32(str(i).encode()) % 5]
-    want = zdict_tox.fit(frame, y)
+    want = zdict_tox.fit(frame, y, 80, 160)
     assert want.dicts
     hot = frame.where(frame.doc_id.isin(ids)).crossJoin(spark.range(30).select())  # ordinary rows alone, many times
     for again in (frame.unionByName(frame), frame.unionByName(hot)):
-        got = zdict_tox.fit(again, y)
+        got = zdict_tox.fit(again, y, 80, 160)
         assert got.dicts == want.dicts and np.allclose(got.weights, want.weights)
         assert again.count() > zdict_tox.drop_toxic(again, got).count() > 0
 
 
+def test_toxicity_of_a_phrase_of_ordinary_words(spark):
+    """Every word is as frequent in ordinary text; a whole document between the calibrated windows may be long."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(["an", "be", "co", "in", "the", "ou", "er"]) for _ in range(rng.randint(1, 4)))
+    phrase, rows, labels = "go back under your bridge now", [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        ws = [word() for _ in range(rng.randint(30, 90))]
+        for _ in range(3):
+            bits = phrase.split()
+            at = rng.randrange(len(ws))
+            if toxic:
+                ws[at:at] = bits
+            else:
+                for b in bits:
+                    ws.insert(rng.randrange(len(ws)), b)
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    schema = "doc_id long, text string, lower string, row int, _lower long"
+    frame, y = spark.createDataFrame([(*r, "x", 4, 5) for r in rows], schema), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = zdict_tox.fit(frame, y)
+    truth = dict(labels)
+    test = [r for r in zdict_tox.score(frame, model).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in test) / len(test) > 0.85
+    long = spark.createDataFrame([(1000, " ".join(word() for _ in range(300_000)), "x", 4, 5), (1001, None, "x", 4, 5), (1002, "", None, None, None)], schema)
+    kept = zdict_tox.drop_toxic(frame.unionByName(long), model)
+    assert kept.schema.names == frame.schema.names and {(r[3], r[4]) for r in kept.collect()} == {(4, 5), (None, None)}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(0, "a")]).where("false")
     assert suffix_dedup.repeats(none).count() == simhash_bk.near_duplicates(none).count() == packing.pack(none).count() == bpe_tree.digests(none).count() == brown.score(none).count() == 0
