@@ -1,20 +1,22 @@
 """Class-based bigrams over Brown clusters, by the exchange algorithm.
 
 Tokens are A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end for each text. Training rows are those whose crc32(doc_id) mod 10 isn't 0; a word's count
-covers all of them. The ``CORE`` most frequent words and ``FORMS`` groups of the other words, by the hash of their last three bytes, are
-the types that are clustered first: types move between ``CLASSES`` classes, one at a time, to where the classes' bigrams are
-likeliest, until none moves; the end has a class of its own. Then every other training word, however rare, goes by itself to the class that its own
-neighbours make likeliest, given the class bigrams of the core words; neighbours outside the core count by the class of their group. This is one round, of
-all words at once. Class bigrams are counted anew with all words placed. Only words that training rows lack keep the class of their group. With c the word's count,
-P(word | class) = (c + A) / (n(class) + A * (v(class) + 1)), P(class | last) = (n(last, class) + B * n(class) / N) / (n(last) + B), and a token's probability is
+covers all of them. The end has a class of its own, words have ``CLASSES - 1``.
+
+Clustering. The core are all words that make up one in ``CORE`` or more of the training tokens, so at most ``CORE`` words, whatever the input. The ``SEEDS`` most frequent are clustered first, by
+exchange over their own bigrams: words move one at a time to the class where the classes' bigrams are likeliest, until none moves. Then the whole core is exchanged: a pass over the
+training rows counts, for each core word, the classes before and after it; with these counts words move one at a time as before. Passes are repeated until less than ``STILL``
+of the core's tokens move, ``ROUNDS`` times at most. Rarer words then go, each by itself, to the class that its own neighbours make likeliest, in one more pass. Neighbours outside the core say nothing there;
+a word without other neighbours goes to the class of most core words. Class bigrams are counted anew with all words placed. A word that training rows lack is given the class of most distinct words.
+
+With c the word's count, P(word | class) = (c + A) / (n(class) + A * (v(class) + 1)), P(class | last) = (n(last, class) + B * n(class) / N) / (n(last) + B), and a token's probability is
 ``SHARE`` times their product and the rest of the smoothed unigram. As both smooth counts by A = 0.1, a token's log is log10(c + 0.1) plus a term of the classes
 alone; only the first needs a count.
 
-Counts and classes of the core and of the ``HEAD`` next words are broadcast (a fixed bound); the other words' tokens meet theirs in a join on the words' 128-bit
-hashes and go back to their places in the texts, so no table that grows with the vocabulary is held in one place. Bigrams are counted over types, then over classes: at most
-(CORE + FORMS + 1)**2 sums reach the driver, whatever the input.
+Counts and classes of the core and of at most ``HEAD`` next words (those above a count that a histogram of counts gives) are broadcast, a fixed bound; the other words' tokens meet theirs in a join on the words' 128-bit
+hashes and go back to their places in the texts, so no table that grows with the vocabulary is held in one place. At most CORE * (2 * CLASSES + 2) sums reach the driver in a pass.
 
-Nulls: a null text is empty (one token, the end). A null doc_id counts as training and stays null. Repeated rows stay repeated and count in training as often. An empty
+Nulls: a null text is empty (one token, the end). A null doc_id counts as training and stays null. Repeated rows stay repeated and count in training as often; equal texts of different doc_ids are rows of their own. An empty
 table gives an empty result. Other columns are ignored.
 """
 
@@ -26,17 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, ship
+from .common import HOT, LOWER, cut, release, ship, text_name
 from .words import LONGEST, Table, word_hashes
 
-FOLDS, CORE, FORMS, CLASSES, HEAD, SHARE, A, B = 10, 768, 255, 48, 1 << 18, 0.95, 0.1, 5.0
+FOLDS, CORE, SEEDS, CLASSES, ROUNDS, STILL, HEAD, SHARE, A, B = 10, 1 << 16, 768, 48, 4, 0.01, 1 << 18, 0.95, 0.1, 5.0
+OWN, REST = 2 * CLASSES, 2 * CLASSES + 1  # slots of a word's neighbours: classes before, classes after, itself before, a word outside the core before
 SLICE, HELD = 1 << 21, 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def tokens(texts: list[bytes]):
-    """(document number, hash, other hash, form) of every word of the texts, in order."""
+    """(document number, hash, other hash) of every word of the texts, in order."""
     data = b"".join(texts).translate(LOWER)
     docs = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
     buf = np.frombuffer(data, np.uint8)
@@ -53,9 +56,7 @@ def tokens(texts: list[bytes]):
     for k in np.flatnonzero(~short):
         word = data[starts[k] : ends[k]]
         one[k], two[k] = xxhash.xxh64_intdigest(word, 1) or 1, xxhash.xxh64_intdigest(word, 2)
-    last = [np.where(lens > k, buf[np.maximum(ends - 1 - k, 0)], 0).astype(np.uint64) for k in range(3)] if len(starts) else [np.zeros(0, np.uint64)] * 3
-    form = ((last[0] * np.uint64(0x9E3779B1) + last[1] * np.uint64(0x85EBCA77) + last[2] * np.uint64(0xC2B2AE3D)) >> np.uint64(7)) % np.uint64(FORMS)
-    return np.searchsorted(docs, starts, side="right") - 1, one, two, form.astype(np.int64)
+    return np.searchsorted(docs, starts, side="right") - 1, one, two
 
 
 def slices(batches, column: int):
@@ -83,76 +84,79 @@ def total(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.n
 
 def source(docs: DataFrame) -> DataFrame:
     """Rows with a name (id, tie) that repeated rows share, whether held out, and UTF-8 text."""
-    text = F.coalesce("text", F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), F.pmod(F.crc32(text), F.lit(1 << 31)).cast("int").alias("tie"), held.alias("held_out"), F.encode(text, "UTF-8").alias("data"))
+    id_, tie = text_name(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text))
+    return docs.select(doc_id.alias("doc_id"), id_.alias("id"), tie.alias("tie"), held.alias("held_out"), F.encode(text, "UTF-8").alias("data"))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(h, l, form, c): the count of each word of the training rows."""
+def summed(batches, of, names: list[str]):
+    """Record batches of the sums of of(texts) -> (keys, n) by keys, kept in memory up to about HELD of them."""
+    held, size = [], 0
 
-    def each(batches):
-        held, size = [], 0
+    def merged():
+        return total([np.concatenate(x) for x in zip(*[k for k, _ in held], strict=True)], np.concatenate([n for _, n in held]))
 
-        def merged():
-            (h, l, f), n = total([np.concatenate(x) for x in list(zip(*held, strict=True))[:3]], np.concatenate([x[3] for x in held]))
-            return h, l, f, n
+    def out():
+        keys, n = merged()
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64) if k.dtype == np.uint64 else k.astype(np.int32)) for k in keys] + [pa.array(n)], [*names, "n"])
 
-        def out():
-            h, l, f, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(l.view(np.int64)), pa.array(f.astype(np.int32)), pa.array(n)], ["h", "l", "form", "n"])
+    for _, texts in slices(batches, 0):
+        held.append(total(*of(texts)))
+        size += len(held[-1][1])
+        if size > 2 * HELD:
+            held = [merged()]
+            size = len(held[0][1])
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
-        for _, texts in slices(batches, 0):
-            _, one, two, form = tokens(texts)
-            (h, l, f), n = total([one, two, form], np.ones(len(one), np.int64))
-            held.append((h, l, f, n))
-            size += len(n)
-            if size > 2 * HELD:
-                held = [merged()]
-                size = len(held[0][3])
-                if size > HELD:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
 
-    words = rows.where("not held_out").select("data").mapInArrow(each, "h long, l long, form int, n long")
-    return cut(words.groupBy("h", "l").agg(F.max("form").alias("form"), F.sum("n").alias("c")))
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(h, l, c): the count of each word of the training rows."""
+
+    def words(texts):
+        _, one, two = tokens(texts)
+        return [one, two], np.ones(len(one), np.int64)
+
+    each = lambda batches: summed(batches, words, ["h", "l"])
+    found = rows.where("not held_out").select("data").mapInArrow(each, "h long, l long, n long")
+    return cut(found.groupBy("h", "l").agg(F.sum("n").alias("c")))
 
 
 class Types:
-    """Types of tokens: CORE words, then FORMS; the last type is the end."""
+    """Types of tokens: core words, then all others, then the end."""
 
     def __init__(self, h: np.ndarray, l: np.ndarray):
         self.core, self.table = len(h), Table(max(16, 1 << int(len(h)).bit_length()))
         self.table.add(h, l, np.arange(len(h)))
-        self.end = self.core + FORMS
+        self.rest, self.end = self.core, self.core + 1
 
-    def of(self, one, two, form) -> np.ndarray:
+    def of(self, one, two) -> np.ndarray:
         found = self.table.find(one, two)
-        return np.where(found < 0, self.core + form, found)
+        return np.where(found < 0, self.rest, found)
 
     def runs(self, doc, types, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(last type, type) of each token of n documents in turn, ends included; the end stands before the first."""
-        count = np.bincount(doc, minlength=n)
-        at = np.arange(len(doc)) + doc
         run = np.full(len(doc) + n, self.end)
-        run[at] = types
-        last = np.append(self.end, run[:-1])
-        return last, run, np.cumsum(count + 1) - count - 1
+        run[np.arange(len(doc)) + doc] = types
+        return np.append(self.end, run[:-1]), run
 
 
-def bigrams(rows: DataFrame, types: Types) -> np.ndarray:
-    """Counts of (last type, type) over the training rows."""
-    m = types.end + 1
+def bigrams(rows: DataFrame, types: Types, seeds: int) -> np.ndarray:
+    """Counts of (last, next) over the training rows, of the first seeds words of the core and, as the last number, the end."""
+    m = seeds + 1
 
     def each(batches):
         seen = np.zeros(m * m, np.int64)
         for _, texts in slices(batches, 0):
-            doc, one, two, form = tokens(texts)
-            last, run, _ = types.runs(doc, types.of(one, two, form), len(texts))
-            seen += np.bincount(last * m + run, minlength=m * m)
+            doc, one, two = tokens(texts)
+            last, run = types.runs(doc, types.of(one, two), len(texts))
+            last, run = (np.where(x == types.end, seeds, np.where(x < seeds, x, m)) for x in (last, run))
+            both = (last < m) & (run < m)
+            seen += np.bincount(last[both] * m + run[both], minlength=m * m)
         pair = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(seen[pair])], ["pair", "n"])
 
@@ -209,52 +213,88 @@ def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return at
 
 
-def contexts(rows: DataFrame, types: Types, at: np.ndarray) -> DataFrame:
-    """(h, l, slot, n) for the words outside the core in the training rows: how often a class stands before the word (slot: class),
-    after it (CLASSES + class), and the word before itself (2 * CLASSES)."""
-
-    def each(batches):
-        held, size = [], 0
+def neighbours(types: Types, at: np.ndarray, texts: list[bytes]):
+    """(one, two, type, slot) of the neighbours of all words of texts; at: the class of each type, -1 where it has none."""
+    doc, one, two = tokens(texts)
+    kind = types.of(one, two)
+    last, run = types.runs(doc, kind, len(texts))
+    place = np.arange(len(doc)) + doc
+    same = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1]))[: len(doc)]
+    left, right = at[last[place]], at[run[place + 1]]
+    before = np.where(same, OWN, np.where(left < 0, REST, left))
+    ahead = ~np.append(same[1:], False)[: len(doc)] & (right >= 0)
+    return tuple(np.concatenate([x, x[ahead]]) for x in (one, two, kind)) + (np.concatenate([before, CLASSES + right[ahead]]),)
+
+
+def core_contexts(rows: DataFrame, types: Types, at: np.ndarray) -> np.ndarray:
+    """Counts by core word and slot over the training rows."""
+
+    def of(texts):
+        _, _, kind, slot = neighbours(types, at, texts)
+        mine = kind < types.core
+        return [(kind[mine].astype(np.uint64) << np.uint64(8)) | slot[mine].astype(np.uint64)], np.ones(int(mine.sum()), np.int64)
+
+    each = lambda batches: summed(batches, of, ["key"])
+    got = rows.where("not held_out").select("data").mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((types.core, REST + 1))
+    key = got["key"].to_numpy()
+    out[key >> 8, key & 255] = got["n"].to_numpy()
+    return out
+
+
+def core_exchange(seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(classes, class bigrams, share of tokens moved) after each core word, by its neighbours' classes seen, has moved to its best class; -1: none yet."""
+    at = at.copy()
+    right, left, own, weight = seen[:, :CLASSES], seen[:, CLASSES:OWN], seen[:, OWN], seen.sum(axis=1) + seen[:, OWN]
+    old, count = at.copy(), seen[:, [*range(CLASSES), OWN, REST]].sum(axis=1)
+    one = np.eye(CLASSES)[np.maximum(at, 0)] * (at >= 0)[:, None]
+    pair = one.T @ left  # from each class's words to the classes after them
+    np.add.at(pair, (np.maximum(at, 0), np.maximum(at, 0)), np.where(at >= 0, own, 0))
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    for w in np.argsort(-weight, kind="stable"):
+        a, out, into, n = at[w], left[w], right[w], own[w]
+        if a >= 0:
+            pair[a] -= out
+            pair[:, a] -= into
+            pair[a, a] -= n
+            np.maximum(pair, 0, out=pair)
+        row, col, d = pair.sum(axis=1) + into, pair.sum(axis=0) + out, np.diag(pair)
+        cell = f(pair)
+        gain = (f(pair + out) - cell).sum(axis=1) + (f(pair.T + into) - cell.T).sum(axis=1)
+        gain += f(d + out + into + n) - f(d + out) - f(d + into) + f(d)
+        gain -= f(row + out.sum() + n) - f(row) + f(col + into.sum() + n) - f(col)
+        gain[0] = -np.inf
+        b = int(gain.argmax())
+        if a >= 0 and gain[b] <= gain[a] + 1e-9 * abs(gain[a]):
+            b = a
+        pair[b] += out
+        pair[:, b] += into
+        pair[b, b] += n
+        at[w] = b
+    return at, pair, float(count[at != old].sum() / max(1.0, count.sum()))
 
-        def merged():
-            return total([np.concatenate(x) for x in list(zip(*held, strict=True))[:3]], np.concatenate([x[3] for x in held]))
 
-        def out():
-            (h, l, s), n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(l.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], ["h", "l", "slot", "n"])
+def contexts(rows: DataFrame, types: Types, at: np.ndarray) -> DataFrame:
+    """(h, l, slot, n) for the words outside the core in the training rows."""
 
-        for _, texts in slices(batches, 0):
-            doc, one, two, form = tokens(texts)
-            kind = types.of(one, two, form)
-            last, run, _ = types.runs(doc, kind, len(texts))
-            place = np.arange(len(doc)) + doc
-            same = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1]))[: len(doc)]
-            before = np.where(same, 2 * CLASSES, at[last[place]])
-            mine, ahead = kind >= types.core, ~np.append(same[1:], False)[: len(doc)]
-            ahead &= mine
-            keys = [np.concatenate([one[mine], one[ahead]]), np.concatenate([two[mine], two[ahead]]), np.concatenate([before[mine], CLASSES + at[run[place[ahead] + 1]]])]
-            (h, l, s), n = total(keys, np.ones(len(keys[0]), np.int64))
-            held.append((h, l, s, n))
-            size += len(n)
-            if size > 2 * HELD:
-                (h, l, s), n = merged()
-                held, size = [(h, l, s, n)], len(n)
-                if size > HELD:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+    def of(texts):
+        one, two, kind, slot = neighbours(types, at, texts)
+        mine = kind == types.rest
+        return [one[mine], two[mine], slot[mine]], np.ones(int(mine.sum()), np.int64)
 
+    each = lambda batches: summed(batches, of, ["h", "l", "slot"])
     return rows.where("not held_out").select("data").mapInArrow(each, "h long, l long, slot int, n long").groupBy("h", "l", "slot").agg(F.sum("n").alias("n"))
 
 
 class Placer:
     """Best classes of words by their own contexts, against the class bigrams of the core words."""
 
-    def __init__(self, pair: np.ndarray):
+    def __init__(self, pair: np.ndarray, default: int = 1):
         self.pair, self.row, self.col, self.diag = pair, pair.sum(axis=1), pair.sum(axis=0), np.diag(pair)
         self.open = self.row + self.col > 0  # a class without core words tells nothing
-        self.open[0] = False
+        self.open[0], self.open[default] = False, True
+        self.first = np.zeros(CLASSES)
+        self.first[default] = 1e-9  # where neighbours say nothing
         self.few = np.stack([self.step(np.arange(2 * CLASSES), np.full(2 * CLASSES, k)) for k in range(33)])
 
     @staticmethod
@@ -269,32 +309,33 @@ class Placer:
     def best(self, first: np.ndarray, slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of the words whose contexts begin at first."""
         word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slot))))
-        grid = np.zeros((len(first), 2 * CLASSES + 1))
+        grid = np.zeros((len(first), REST + 1))
         grid[word, slot] = n
         gains = np.zeros((len(slot), CLASSES))
-        small, large = (n < len(self.few)) & (slot < 2 * CLASSES), (n >= len(self.few)) & (slot < 2 * CLASSES)
+        small, large = (n < len(self.few)) & (slot < OWN), (n >= len(self.few)) & (slot < OWN)
         gains[small] = self.few[n[small], slot[small]]
         gains[large] = self.step(slot[large], n[large])
         gain = np.add.reduceat(gains, first)
-        into, out, own = grid[:, :CLASSES], grid[:, CLASSES:-1], grid[:, -1:]
+        into, out, own = grid[:, :CLASSES], grid[:, CLASSES:OWN], grid[:, OWN : OWN + 1]
         f, d = self.f, self.diag
         gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
         row, col = self.row + into, self.col + out  # what leads to the word or from it counts wherever it goes
         gain -= f(row + out.sum(axis=1, keepdims=True) + own) - f(row) + f(col + into.sum(axis=1, keepdims=True) + own) - f(col)
+        gain += self.first
         gain[:, ~self.open] = -np.inf
-        return gain.argmax(axis=1), (into.sum(axis=1) + own[:, 0]).astype(np.int64)
+        return gain.argmax(axis=1), (into.sum(axis=1) + own[:, 0] + grid[:, REST]).astype(np.int64)
 
 
-def placed(rows: DataFrame, types: Types, at: np.ndarray, pair: np.ndarray) -> DataFrame:
+def placed(rows: DataFrame, types: Types, at: np.ndarray, pair: np.ndarray, default: int) -> DataFrame:
     """(h, l, class, c) of every word of the training rows outside the core."""
 
     def each(batches):
-        placer, held, size = Placer(pair), [], 0
+        placer, held, size = Placer(pair, default), [], 0
 
         def out(upto_end: bool):
             h, l, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
             first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])))
-            stop = len(h) if upto_end else int(first[-1])  # the last word may go on; it has 2 * CLASSES + 1 rows at most
+            stop = len(h) if upto_end else int(first[-1])  # the last word may go on; it has REST + 1 rows at most
             rest = [(h[stop:], l[stop:], s[stop:], n[stop:])]
             first = first[first < stop]
             if not len(first):
@@ -314,15 +355,14 @@ def placed(rows: DataFrame, types: Types, at: np.ndarray, pair: np.ndarray) -> D
             yield out(True)[0]
 
     near = contexts(rows, types, at)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(near.repartition(n, "h", "l").sortWithinPartitions("h", "l").mapInArrow(each, "h long, l long, class int, c long"))
+    return cut(near.repartition("h", "l").sortWithinPartitions("h", "l").mapInArrow(each, "h long, l long, class int, c long"))
 
 
 class Lexicon:
     """Classes and counts of words; what isn't in it is in the table of all words, or unknown."""
 
-    def __init__(self, types: Types, at: np.ndarray, ends: int, h, l, c, k):
-        self.types, self.at, self.ends = types, at, ends
+    def __init__(self, ends: int, default: int, h, l, c, k):
+        self.ends, self.default = ends, default
         self.table = Table(max(16, 1 << int(len(h)).bit_length()))
         self.table.add(h, l, c.astype(np.int64) << 8 | k)
 
@@ -338,26 +378,47 @@ class Model:
         self.step = np.log10(SHARE * step / (size + A * (kinds + 1)) + (1 - SHARE) * self.unigram)
 
 
+def above(words: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` words have it or more, to within a hundredth; from a histogram of counts."""
+    step = F.floor(F.log("c") * 100).cast("int")
+    held, edge = 0, None
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():  # a few thousand steps at most
+        held += r["n"]
+        if held > most:
+            break
+        edge = r["c"]
+    return edge if edge is not None else 1 << 62
+
+
 def fit(rows: DataFrame) -> tuple[Lexicon, DataFrame, np.ndarray]:
     """The lexicon of the core and of frequent words, all words outside the core, and distinct words by class, of source(docs)."""
     words = vocabulary(rows)
-    top = words.orderBy(F.desc("c"), "h", "l").limit(CORE).select("h", "l", "c").toArrow()
+    n = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    top = words.where(F.col("c") >= max(1, -(-n // CORE))).select("h", "l", "c").toArrow()  # at most CORE words
     unsigned = lambda t, k: t[k].to_numpy().astype(np.int64).view(np.uint64)
     h, l, c = unsigned(top, "h"), unsigned(top, "l"), top["c"].to_numpy()
-    types = Types(h, l)
-    n = bigrams(rows, types)
-    at = exchange(n)
-    core = np.append(np.arange(types.core), types.end)
-    one = np.eye(CLASSES)[at[core]]
-    others = placed(rows, types, at, one.T @ n[np.ix_(core, core)] @ one)
-    kinds = np.bincount(at[: types.core], minlength=CLASSES).astype(float)
+    order = np.lexsort((l, h, -c))
+    h, l, c = h[order], l[order], c[order]
+    types, seeds = Types(h, l), min(SEEDS, len(h))
+    by_seed = bigrams(rows, types, seeds)
+    first = exchange(by_seed)
+    at = np.full(types.core, -1)
+    at[:seeds] = first[:seeds]
+    for _ in range(ROUNDS if len(h) else 0):
+        at, pair, moved = core_exchange(core_contexts(rows, types, np.append(at, [-1, 0])), at)
+        if moved < STILL:
+            break
+    kinds = np.bincount(at, minlength=CLASSES).astype(float)
+    others = placed(rows, types, np.append(at, [-1, 0]), pair, int(kinds.argmax())) if len(h) else words.select("h", "l", F.lit(1).alias("class"), "c")
+    release(words)
     for r in others.groupBy("class").count().collect():  # CLASSES rows
         kinds[r["class"]] += r["count"]
-    ends = int(n[:, -1].sum())
+    default = int(kinds[1:].argmax()) + 1
+    ends = rows.where("not held_out").count()
     kinds[0] = 1.0 if ends else 0.0
-    head = others.orderBy(F.desc("c"), "h", "l").limit(HEAD).toArrow()
+    head = others.where(F.col("c") >= above(others, HEAD)).toArrow()  # at most HEAD words
     every = lambda a, k: np.concatenate([a, k])
-    return Lexicon(types, at, ends, every(h, unsigned(head, "h")), every(l, unsigned(head, "l")), every(c, head["c"].to_numpy()), every(at[: types.core], head["class"].to_numpy())), others, kinds
+    return Lexicon(ends, default, every(h, unsigned(head, "h")), every(l, unsigned(head, "l")), every(c, head["c"].to_numpy()), every(at, head["class"].to_numpy())), others, kinds
 
 
 _ROW = "id long, tie int, kind int, pos int, class int, c long, doc_id long, held_out boolean, seq binary, logs double, n_known long"
@@ -367,33 +428,48 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
     """(doc_id, held_out, seq, logs, n_known) of every row: the classes of its words, a byte each, and the sums of its known words."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # CORE + HEAD words at most
 
+    def once(b, names: set, again: dict | None = None):
+        """The rows whose names are new to this task; repeats of others are counted."""
+        fresh = []
+        for k, name in enumerate(zip(b["id"].to_pylist(), b["tie"].to_pylist(), strict=True)):
+            if name not in names:
+                names.add(name)
+                fresh.append(k)
+            elif again is not None:
+                again[name] = again.get(name, 0) + 1
+        return b if len(fresh) == b.num_rows else b.take(pa.array(fresh, pa.int64()))
+
     def known(batches):
-        m = shared.value
-        for b, texts in slices(batches, 4):
-            doc, one, two, _ = tokens(texts)
+        m, names, again = shared.value, set(), {}
+        for b, texts in slices((once(x, names, again) for x in batches), 4):
+            doc, one, two = tokens(texts)
             found = m.table.find(one, two)
             there = found >= 0
             seq, size = np.where(there, found & 255, 255).astype(np.uint8).tobytes(), np.bincount(doc, minlength=len(texts))
             upto = np.concatenate(([0], np.cumsum(size))).tolist()
             logs = np.bincount(doc[there], np.log10((found[there] >> 8) + 0.1), len(texts))
             none = np.zeros(len(texts), np.int32)
-            cols = [b.column(1), b.column(2), pa.array(none), pa.array(none), pa.array(none), pa.array(none.astype(np.int64)), b.column(0), b.column(3)]
+            cols = [b.column(1), b.column(2), pa.array(none), pa.array(none), pa.array(none), pa.array(none + np.int64(1)), b.column(0), b.column(3)]
             cols += [pa.array([seq[s:e] for s, e in zip(upto, upto[1:], strict=False)], pa.binary()), pa.array(logs), pa.array(np.bincount(doc[there], minlength=len(texts)))]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ROW.split(", ")])
+        if again:
+            n, (ids, ties) = len(again), zip(*again, strict=True)
+            cols = [pa.array(ids, pa.int64()), pa.array(ties, pa.int32()), pa.array(np.full(n, 2, np.int32)), *[pa.array(np.zeros(n, np.int32))] * 2, pa.array(list(again.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64())]], [x.split()[0] for x in _ROW.split(", ")])
 
     def rare(batches):
-        m = shared.value
-        for b, texts in slices(batches, 2):
-            doc, one, two, form = tokens(texts)
+        m, names = shared.value, set()
+        for b, texts in slices((once(x, names) for x in batches), 2):
+            doc, one, two = tokens(texts)
             out = m.table.find(one, two) < 0
             size = np.bincount(doc, minlength=len(texts))
             pos = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
             at = pa.array(doc[out].astype(np.int64))
-            cols = [pa.array(one[out].view(np.int64)), pa.array(two[out].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos[out].astype(np.int32)), pa.array(m.at[m.types.core + form[out]].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "l", "id", "tie", "pos", "other"])
+            cols = [pa.array(one[out].view(np.int64)), pa.array(two[out].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos[out].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "l", "id", "tie", "pos"])
 
     def fill(batches):
-        """Rows by name, texts before their rare words; the last name of a part may go on in the next."""
+        """Rows by name: texts, then their rare words, then repeats (kind 2, c of them); the last name of a part may go on in the next."""
         held, size, last = [], 0, None  # last: name, repeats, doc_id, held_out, logs, n_known, classes, logs and counts by place
 
         def part(last):
@@ -401,7 +477,8 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
             id_, tie, kind = (t[k].to_numpy() for k in ("id", "tie", "kind"))
             name = np.cumsum(np.append(last is None or (id_[0], tie[0]) != last[0], (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]))) - (last is None)
             open_, text = [] if last is None else [last], np.flatnonzero(kind == 0)
-            times = np.bincount(name[text], minlength=int(name[-1]) + 1)
+            whole = np.flatnonzero(kind != 1)
+            times = np.bincount(name[whole], t["c"].to_numpy()[whole], minlength=int(name[-1]) + 1)
             new = text[np.append(True, name[text][1:] != name[text][:-1])[: len(text)]]
             new = new[name[new] >= len(open_)]
             few = t.take(pa.array(new)).select(["id", "tie", "doc_id", "held_out", "logs", "n_known", "seq"]).to_pylist()
@@ -437,11 +514,10 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
             yield from out([last])
 
     one = rows.select("doc_id", "id", "tie", "held_out", "data").mapInArrow(known, _ROW)
-    tail = rows.select("id", "tie", "data").mapInArrow(rare, "h long, l long, id long, tie int, pos int, other int").join(others, ["h", "l"], "left")
+    tail = rows.select("id", "tie", "data").mapInArrow(rare, "h long, l long, id long, tie int, pos int").join(others, ["h", "l"], "left")
     absent = [F.lit(None).cast(t).alias(k) for k, t in (("doc_id", "long"), ("held_out", "boolean"), ("seq", "binary"), ("logs", "double"), ("n_known", "long"))]
-    two = tail.select("id", "tie", F.lit(1).alias("kind"), "pos", F.coalesce("class", "other").alias("class"), F.coalesce("c", F.lit(0)).alias("c"), *absent)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = one.unionByName(two).repartition(n, "id", "tie").sortWithinPartitions("id", "tie", "kind")
+    two = tail.select("id", "tie", F.lit(1).alias("kind"), "pos", F.coalesce("class", F.lit(lexicon.default)).alias("class"), F.coalesce("c", F.lit(0)).alias("c"), *absent)
+    both = one.unionByName(two).repartition("id", "tie").sortWithinPartitions("id", "tie", "kind")
     return cut(both.mapInArrow(fill, "doc_id long, held_out boolean, seq binary, logs double, n_known long, rows long"))
 
 
@@ -491,8 +567,11 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), *cols], ["doc_id", "held_out", "rows", "n_tokens", "n_known", "logs", "part"])
 
     one = found.select("doc_id", "held_out", "seq", "logs", "n_known", "rows").mapInArrow(each, "doc_id long, held_out boolean, rows long, n_tokens long, n_known long, logs double, part double")
-    repeated = one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return repeated.select(
+    times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("k")
+    few = one.where(F.col("rows") <= HOT).select("*", times(F.col("rows")))
+    parts = one.where(F.col("rows") > HOT).select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("rows") - 1), F.lit(HOT).cast("long"))).alias("from")).repartition("doc_id", "from")
+    many = parts.select(*one.columns, times(F.least(F.lit(HOT), F.col("rows") - F.col("from"))))
+    return few.unionByName(many).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("n_tokens") * float(np.log10(model.unigram))).alias("base_score"), (F.col("logs") + F.col("part")).alias("score"),
     )

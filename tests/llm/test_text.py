@@ -280,8 +280,66 @@ def test_exchange_finds_two_languages():
     assert len(set(at[:10])) == 1 and len(set(at[10:20])) == 1 and at[0] != at[10] and at[20] == 0
 
 
+def brute_score(rows, classes, kinds, default):
+    """The docstring's formulas in plain Python, with the classes as they were found."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    toks = lambda t: [*(t or "").encode().translate(LOWER).split(), None]
+    of = lambda w: 0 if w is None else classes.get(w, default)
+    count, pair = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            ws = toks(t)
+            count.update(ws)
+            pair.update(zip([0, *map(of, ws)], map(of, ws), strict=False))
+    n, v = sum(count.values()), len(count)
+    size, last = Counter(), Counter()
+    for (a, b), k in pair.items():
+        size[b] += k
+        last[a] += k
+    out = []
+    for i, t in rows:
+        total, a = 0.0, 0
+        for w in toks(t):
+            b = of(w)
+            step = (pair[a, b] + brown.B * size[b] / n) / (last[a] + brown.B)
+            word = (count[w] + brown.A) / (size[b] + brown.A * (kinds[b] + 1))
+            total += math.log10(brown.SHARE * step * word + (1 - brown.SHARE) * (count[w] + 0.1) / (n + 0.1 * (v + 1)))
+            a = b
+        out.append((i, round(total, 6)))
+    return out
+
+
+@pytest.mark.parametrize(("core", "head"), [(1 << 16, 1 << 18), (200, 40), (60, 0)])
+def test_brown_score_is_brute_force(spark, monkeypatch, core, head):
+    """Every word is clustered, whatever part of them is core, broadcast, or joined."""
+    monkeypatch.setattr(brown, "CORE", core)
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "SEEDS", 20)
+    rows = corpus(7, 80)
+    rows += [(77, "ünknown wörds an be")] * 3 + [(rows[0][0], "same id, other text")]
+    frame = docs(spark, rows)
+    lexicon, others, kinds = brown.fit(brown.source(frame))
+    words = sorted({w for _, t in rows for w in (t or "").encode().translate(LOWER).split()})
+    _, one, two = brown.tokens([b" ".join(words)])
+    found = lexicon.table.find(one, two)
+    classes = {w: int(k) & 255 for w, k in zip(words, found, strict=True) if k >= 0}
+    rest = {(r["h"], r["l"]): r["class"] for r in others.collect()}
+    for w, a, b in zip(words, one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True):
+        if (a, b) in rest:
+            assert classes.get(w, rest[a, b]) == rest[a, b]
+            classes[w] = rest[a, b]
+    trained = {w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 for w in (t or "").encode().translate(LOWER).split()}
+    assert set(classes) == trained and sum(kinds) == len(trained) + 1
+    got = [(r["doc_id"], r["score"]) for r in brown.score(frame).collect()]
+    order = lambda xs: sorted(xs, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = order(brute_score(rows, classes, kinds, lexicon.default))
+    got = order(got)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-5)
+
+
 def test_brown_places_rare_words_by_their_own_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(brown, "CORE", 8)
+    monkeypatch.setattr(brown, "CORE", 60)
+    monkeypatch.setattr(brown, "SEEDS", 8)
     rng, held = random.Random(4), lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     lead = {"p": ["ka", "ke", "ki", "ko"], "q": ["ma", "me", "mi", "mo"]}
     rare = {k: [f"{k}{i}ing" for i in range(60)] for k in lead}  # equal in their last three bytes
@@ -295,14 +353,15 @@ def test_brown_places_rare_words_by_their_own_neighbours(spark, monkeypatch):
     assert abs(got[a]["base_score"] - got[b]["base_score"]) < 1e-6 and got[a]["score"] > got[b]["score"] + 5
 
 
-def test_brown_tail_words_and_repeats(spark, monkeypatch):
-    rows = corpus(7, 60)
-    want = {}
-    for head in (1 << 18, 0):  # every word outside the core meets its class in the join
-        monkeypatch.setattr(brown, "CORE", 20)
+def test_brown_repeats(spark, monkeypatch):
+    """Hot repeated rows, tail words joined or broadcast: the same scores."""
+    monkeypatch.setattr(brown, "HOT", 2)
+    monkeypatch.setattr(brown, "CORE", 100)
+    rows, want = corpus(7, 60), {}
+    for head in (1 << 18, 0):
         monkeypatch.setattr(brown, "HEAD", head)
-        want[head] = sorted(tuple(str(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in brown.score(docs(spark, rows * 3)).collect())
-    assert want[0] == want[1 << 18] and len(want[0]) == 3 * len(rows)
+        want[head] = sorted(tuple(str(round(x, 5)) if isinstance(x, float) else str(x) for x in r) for r in brown.score(docs(spark, rows * 7)).collect())
+    assert want[0] == want[1 << 18] and len(want[0]) == 7 * len(rows)
 
 
 def test_placing_is_the_gain_of_exchange():
