@@ -40,6 +40,19 @@ def blobs(rows: DataFrame, by: list[str], make=lambda x: x) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(pack, BLOB)
 
 
+def sample_of(rows: DataFrame, values: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{dim: (ids, vectors)} of distinct vec_ids of small hash, about ``values`` numbers in all, of rows (vec_id, v, dim)."""
+    n, mean = rows.agg(F.count(F.lit(1)), F.avg("dim")).first()
+    if not n:
+        return {}
+    share = min(1.0, values / mean / n)
+    low = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
+    t = (rows.where(low) if share < 1 else rows).dropDuplicates(["vec_id"]).select("vec_id", "v", "dim").toArrow()
+    t = t.take(np.argsort(t["vec_id"].to_numpy(), kind="stable"))
+    dims = t["dim"].to_numpy()
+    return {int(d): (t.filter(pa.array(dims == d))["vec_id"].to_numpy(), matrix(t.filter(pa.array(dims == d))["v"])) for d in np.unique(dims)}
+
+
 def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
 

@@ -60,6 +60,48 @@ def test_neighbours_of_copies_go_by_id(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [5, 701, 702, 703, 704]
 
 
+def test_neighbours_of_every_length(spark):
+    """Lengths with a model and lengths that are compared exactly: each query meets all rows of its own length."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(0, 600)] + [(1000 + i, [float(x) for x in rng.normal(size=2)]) for i in range(0, 31)] + [(2000 + i, [float(x) for x in rng.normal(size=5)]) for i in range(0, 400)]
+    data = {i: np.array(e) for i, e in rows}
+    got: dict = {}
+    for r in ivfpq.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    asked = [i for i in data if i % 50 == 0]
+    assert sorted(got) == asked
+    hit = 0
+    for q in asked:
+        cos = {i: float(data[q] @ x / np.sqrt((x @ x) * (data[q] @ data[q]))) for i, x in data.items() if i != q and len(x) == len(data[q])}
+        own = [i for _, i in sorted(got[q])]
+        want = sorted(cos, key=lambda i: (-cos[i], i))[:5]
+        hit += len(set(own) & set(want))
+        assert len(own) == 5 and own == sorted(own, key=lambda i: (-cos[i], i)) and (len(data[q]) != 2 or own == want)
+    assert hit / (5 * len(asked)) >= 0.9
+
+
+def test_approximate_stage_finds_the_neighbours(spark):
+    """Recall of the codes alone, before the exact scores, with lists larger than what is reranked; and of the whole search."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 32))
+    rows = spark.createDataFrame([(int(i), [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    data = {i: r for i, r in enumerate(x)}
+    u = ivfpq.unit(x)
+    m = ivfpq.Model(x, 12)
+    at = m.lists(u)
+    codes, asked = m.codes(u, at), np.arange(0, 9000, 300)
+    out = ivfpq.approximate(m, at, codes, np.arange(9000), u[asked], asked, m.probes(u[asked], np.bincount(at, minlength=len(m.centroids)), 128), 128)
+    score = u[asked] @ u.T
+    score[np.arange(len(asked)), asked] = -9
+    true = np.argsort(-score, axis=1)[:, :5]
+    assert np.mean([len(set(t) & set(f)) / 5 for t, f in zip(true, out[1], strict=True)]) >= 0.9
+    assert np.bincount(at).min() > 128
+    got: dict = {}
+    for r in ivfpq.neighbours(rows, every=300, part_rows=700).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(set(t) & got[q]) / 5 for t, q in zip(true.tolist(), asked.tolist(), strict=True)]) >= 0.9 and len(data) == 9000
+
+
 def test_vector_searches_on_odd_tables(spark):
     none = vectors(spark).where("false")
     assert kdtopk.top_k(none).count() == ivfpq.neighbours(none).count() == 0
