@@ -1,13 +1,13 @@
 """Exact top-k inner products through a KD-tree for each shard.
 
-Components become floor(1024 * x). Rows are dealt by the hash of vec_id to shards of about ``SHARD_ROWS``; each shard's
-tree splits at medians of the widest side and holds tight bounding boxes. A box bounds a query's product by the
-better corner of each side. Queries travel in blocks of about ``BLOCK_ROWS``: first to one home shard, whose
-kth score goes with them to all shards, where nodes are taken best bound first until no bound reaches
-the kth score; within a task it rises from shard to shard. Bounds equal to the kth score are still opened, as a tie may have a smaller id.
-
-Vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part. Rows of one
-vec_id never answer each other; repeated rows count once. Vectors of different length don't meet.
+Components become floor(1024 * x). Space is split at medians of the widest side into at most ``REGIONS`` regions, on a bounded sample (``SAMPLE_VALUES`` numbers); a region's rows are
+dealt to shards of about ``SHARD_ROWS``, so that a region of copies has many, and its tight box over all its rows is known to every task (two vectors a region). Each shard's
+tree splits at medians of the widest side and holds tight bounding boxes. A box bounds a query's product by the better corner of each side. A query starts in the region of best bound, in one of its shards, whose
+kth score goes with it; queries of one region travel in blocks of about ``BLOCK_ROWS``, and a block is sent only to regions whose bound reaches the kth score of some of its queries. There
+nodes are taken best bound first until no bound reaches the kth score; within a task it rises from shard to shard. Bounds equal to the kth score are still opened, as a tie may have a smaller id.
+
+Vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part. A vec_id names a row: rows of one
+vec_id never answer each other, and repeated rows count once. Vectors of different length don't meet.
 Fewer than k candidates give all of them; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .vectors import best, blobs, unpack, valid
+from .vectors import best, blobs, matrix, sample_of, unpack, valid
 
-K, EVERY, SHARD_ROWS, BLOCK_ROWS, LEAF = 10, 100, 4096, 512, 64
+K, EVERY, SHARD_ROWS, BLOCK_ROWS, LEAF, REGIONS, SAMPLE_VALUES = 10, 100, 4096, 512, 64, 1024, 1 << 21
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -95,55 +95,156 @@ def search(tree: Tree, x: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     return found
 
 
-def _shards(n: int, rows: int) -> int:
-    return max(1, -(-n // rows))
+class Regions:
+    """Median splits of a sample's widest sides: a region for each leaf."""
+
+    def __init__(self, x: np.ndarray, most: int):
+        self.axis, self.at, self.below = [], [], []
+        todo, self.count = [(x, most, -1, 0)], 0
+        while todo:
+            own, share, parent, side = todo.pop()
+            spread = own.max(axis=0) - own.min(axis=0)
+            axis = int(spread.argmax())
+            cut_ = float(np.median(own[:, axis]))
+            low = own[:, axis] <= cut_
+            leaf = share < 2 or not low.any() or low.all()
+            if parent >= 0:
+                self.below[parent][side] = -1 - self.count if leaf else len(self.axis)
+            if leaf:
+                self.count += 1
+                continue
+            me = len(self.axis)
+            self.axis.append(axis), self.at.append(cut_), self.below.append([0, 0])
+            todo += [(own[low], share // 2, me, 0), (own[~low], share - share // 2, me, 1)]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if not self.axis:
+            return np.zeros(len(x), np.int64)
+        axis, at, below = np.array(self.axis), np.array(self.at), np.array(self.below)
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while (live := node >= 0).any():
+            n = node[live]
+            node[live] = below[n, (x[rows[live], axis[n]] > at[n]).astype(int)]
+        return -1 - node
 
 
-def top_k(rows: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bounds(lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Upper bound of each query's product in each box, widened by more than rounding can take."""
+    b = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    return b + np.abs(b) * 1e-12 * (np.abs(b) >= 2**50)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary())
+
+
+def top_k(rows: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, regions: int = REGIONS) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows (vec_id, embedding) whose vec_id is divisible by every."""
-    ship(rows.sparkSession)
+    return best(_found(rows, k, every, shard_rows, block_rows, regions)[0], k)
+
+
+def visits(rows: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, regions: int = REGIONS) -> tuple[int, int]:
+    """(pairs of a block of queries and a shard that are searched, all such pairs)."""
+    _, sent, blocks, shards = _found(rows, k, every, shard_rows, block_rows, regions)
+    n = blocks.groupBy("dim").count().withColumnRenamed("count", "n")
+    return sent.count(), n.join(shards, "dim").agg(F.coalesce(F.sum(F.col("n") * F.col("many")), F.lit(0))).first()[0]
+
+
+def _found(rows: DataFrame, k: int, every: int, shard_rows: int, block_rows: int, most: int):
+    """(answers of shards, blocks sent to shards, blocks, shards by region)."""
+    spark = rows.sparkSession
+    ship(spark)
     v = valid(rows).withColumn("dim", F.size("v"))
-    asked = v.where(F.col("vec_id") % every == 0)
-    n, q = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = _shards(n, shard_rows), _shards(q, block_rows)
-    part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
-    index = cut(blobs(v.withColumn("part", part(shards)), ["part", "dim"], whole).select("part", "dim", "ids", "vectors"))
-    queries = cut(blobs(asked.withColumn("part", part(blocks)), ["part", "dim"], whole).select(F.col("part").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    n = v.count()
+    maps = {d: Regions(whole(x), min(most, -(-n // shard_rows))) for d, (_, x) in sample_of(v, SAMPLE_VALUES).items()}
+    shared = spark.sparkContext.broadcast(maps)  # a number and an axis for each region
+
+    def locate(batches):
+        for b in batches:
+            dims, out = b.column(2).to_numpy(), np.zeros(b.num_rows, np.int64)
+            for d in np.unique(dims):
+                if int(d) in shared.value:
+                    own = dims == d
+                    out[own] = shared.value[int(d)].of(whole(matrix(b.column(1).filter(pa.array(own)))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["vec_id", "v", "dim", "region"])
+
+    placed = cut(v.select("vec_id", "v", "dim").distinct().mapInArrow(locate, "vec_id long, v array<double>, dim int, region long"))
+    shards = cut(placed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("many")))
+    part = lambda m: F.pmod(F.xxhash64("vec_id", "v"), m)
+    gathered = blobs(placed.join(shards, ["dim", "region"]).withColumn("part", part(F.col("many"))), ["part", "dim", "region"], whole, ["region"])
+    index = cut(gathered.select("region", "part", "dim", "ids", "vectors"))
+
+    def box(batches):
+        """The box of each region's rows of a task."""
+        held: dict = {}
+        for b in batches:
+            for r in b.to_pylist():
+                _, x = unpack(r["ids"], r["vectors"], r["dim"])
+                lo, hi = held.get((r["dim"], r["region"]), (x[0], x[0]))
+                held[r["dim"], r["region"]] = np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int32()), pa.array([g for _, g in held], pa.int64()), pa.array([np.stack(x).tobytes() for x in held.values()], pa.binary())], ["dim", "region", "box"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        both = np.stack([np.frombuffer(x, np.float64).reshape(2, -1) for x in t["box"].to_pylist()])
+        return pa.table({"dim": t["dim"][:1], "region": t["region"][:1], "box": _bytes(np.stack([both[:, 0].min(axis=0), both[:, 1].max(axis=0)]))})
+
+    of_tasks = index.select("dim", "region", "ids", "vectors").mapInArrow(box, "dim int, region long, box binary")
+    boxes: dict = {}
+    for r in of_tasks.groupBy("dim", "region").applyInArrow(merge, "dim int, region long, box binary").collect():  # two vectors a region
+        boxes.setdefault(r["dim"], []).append((r["region"], *np.frombuffer(r["box"], np.float64).reshape(2, -1)))
+    corners = spark.sparkContext.broadcast({d: (np.array([g for g, *_ in own]), np.stack([lo for _, lo, _ in own]), np.stack([hi for *_, hi in own])) for d, own in boxes.items()})
+
+    def homes(batches):
+        for b in batches:
+            dims, out = b.column(2).to_numpy(), np.zeros(b.num_rows, np.int64)
+            for d in np.unique(dims):
+                own = dims == d
+                region, lo, hi = corners.value[int(d)]
+                out[own] = region[bounds(lo, hi, whole(matrix(b.column(1).filter(pa.array(own))))).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], ["vec_id", "v", "dim", "region"])
+
+    asked = cut(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", "dim").mapInArrow(homes, "vec_id long, v array<double>, dim int, region long"))
+    sizes = asked.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
+    dealt = asked.join(sizes, ["dim", "region"]).withColumn("part", part(F.col("blocks")))
+    queries = cut(blobs(dealt, ["part", "dim", "region"], whole, ["region"]).select(F.col("part").alias("block"), "region", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
     def home(batches):
+        """The kth scores from one shard of the home region, and the regions that still may hold better ones."""
         for b in batches:
-            kth = []
             for r in b.to_pylist():
                 ids, x = unpack(r["ids"], r["vectors"], r["dim"])
                 q_ids, q = unpack(r["q_ids"], r["q_vectors"], r["dim"])
                 floor = np.full(len(q), -np.inf)
                 search(Tree(x), x, ids, q, q_ids, k, floor)
-                kth.append(floor.tobytes())
-            keep = b.select(["block", "q_ids"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, b["dim"], pa.array(kth, pa.binary())], ["block", "q_ids", "dim", "kth"])
+                region, lo, hi = corners.value[r["dim"]]
+                goes = region[(bounds(lo, hi, q) >= floor[:, None]).any(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (r["block"], r["home"])] + [pa.array([r["dim"]], pa.int32()), _bytes(floor), pa.array([goes.tolist()], pa.list_(pa.int64()))], ["block", "home", "dim", "kth", "goes"])
 
     def everywhere(batches):
-        raised: dict[tuple[int, int], np.ndarray] = {}
+        raised: dict = {}
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
             last, tree = None, None
             for r in b.to_pylist():
                 ids, x = unpack(r["ids"], r["vectors"], r["dim"])
-                if (r["part"], r["dim"]) != last:
-                    last, tree = (r["part"], r["dim"]), Tree(x)
+                if (r["region"], r["part"], r["dim"]) != last:
+                    last, tree = (r["region"], r["part"], r["dim"]), Tree(x)
                 q_ids, q = unpack(r["q_ids"], r["q_vectors"], r["dim"])
-                kth = raised.pop((r["block"], r["dim"]), None)
+                kth = raised.pop((r["home"], r["block"], r["dim"]), None)
                 if kth is None:
-                    kth = np.frombuffer(r["kth"], np.float64).copy() if r["kth"] else np.full(len(q), -np.inf)
+                    kth = np.frombuffer(r["kth"], np.float64).copy()
+                out: list[list[np.ndarray]] = [[], [], []]
                 for own, (i, s) in zip(q_ids, search(tree, x, ids, q, q_ids, k, kth), strict=True):
                     out[0].append(np.full(len(i), own)), out[1].append(i), out[2].append(s)
-                raised[(r["block"], r["dim"])] = kth
+                raised[r["home"], r["block"], r["dim"]] = kth
                 while len(raised) > 256:
                     raised.pop(next(iter(raised)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["query_id", "vec_id", "score"])
-
-    at_home = queries.withColumn("part", F.pmod(F.col("block"), F.lit(shards)))
-    seeds = cut(at_home.join(index, ["part", "dim"]).mapInArrow(home, "block long, q_ids binary, dim int, kth binary").select("block", "dim", "kth"))
-    to_all = queries.join(seeds, ["block", "dim"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = to_all.join(index, ["part", "dim"]).mapInArrow(everywhere, "query_id long, vec_id long, score long")
-    return best(found, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+
+    at_home = queries.join(shards, ["dim", "region"]).withColumn("part", F.pmod(F.xxhash64("block"), F.col("many"))).join(index, ["dim", "region", "part"])
+    seeds = cut(at_home.withColumn("home", F.col("region")).mapInArrow(home, "block long, home long, dim int, kth binary, goes array<bigint>"))
+    goes = seeds.select("block", "home", "dim", F.explode("goes").alias("region")).join(shards, ["dim", "region"])
+    sent = goes.select("block", "home", "dim", "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("part"))
+    own = queries.withColumnRenamed("region", "home").join(seeds.drop("goes"), ["block", "home", "dim"])
+    found = sent.join(own, ["block", "home", "dim"]).join(index, ["dim", "region", "part"]).mapInArrow(everywhere, "query_id long, vec_id long, score long")
+    return found, sent, queries, shards

@@ -24,9 +24,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def blobs(rows: DataFrame, by: list[str], make=lambda x: x) -> DataFrame:
+def blobs(rows: DataFrame, by: list[str], make=lambda x: x, keep: list[str] = []) -> DataFrame:
     """A row (part, dim, n, ids, vectors) for each group of rows (vec_id, v, part and dim in by): ids ascend,
-    repeated rows count once. Groups must be of bounded size."""
+    repeated rows count once. keep: long columns of by that the row has too. Groups must be of bounded size."""
 
     def pack(t: pa.Table) -> pa.Table:
         ids, x = t["vec_id"].to_numpy(), make(matrix(t["v"]))
@@ -35,9 +35,9 @@ def blobs(rows: DataFrame, by: list[str], make=lambda x: x) -> DataFrame:
         if len(ids) > 1:
             new = np.append(True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1))
             ids, x = ids[new], x[new]
-        return pa.table({"part": [t["part"][0].as_py()], "dim": pa.array([x.shape[1]], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary())})
+        return pa.table({"part": [t["part"][0].as_py()], "dim": pa.array([x.shape[1]], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()), **{c: t[c][:1] for c in keep}})
 
-    return rows.groupBy(*by).applyInArrow(pack, BLOB)
+    return rows.groupBy(*by).applyInArrow(pack, BLOB + "".join(f", {c} long" for c in keep))
 
 
 def sample_of(rows: DataFrame, values: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:

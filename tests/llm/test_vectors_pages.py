@@ -30,6 +30,25 @@ def test_top_k_is_brute_force(spark, duck):
     duck.register("embeddings", table)
     want = sorted(map(tuple, duck.sql(queries.ORACLES["op1_kdtopk"]).fetchall()))
     assert sorted(map(tuple, kdtopk.top_k(df, shard_rows=200, block_rows=4).collect())) == want and want
+    assert sorted(map(tuple, kdtopk.top_k(df, shard_rows=20, block_rows=3).collect())) == want
+
+
+def test_shards_out_of_reach_are_skipped(spark, duck):
+    """Clusters far apart: a query's block goes to few shards, with the same answers; products beyond 2**53 stay exact."""
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(16, 4)) * 40
+    rows = [(int(i), [float(x) for x in np.round(centres[i % 16] + rng.normal(size=4), 2)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    duck.register("embeddings", df.toArrow())
+    want = sorted(map(tuple, duck.sql(queries.ORACLES["op1_kdtopk"]).fetchall()))
+    assert sorted(map(tuple, kdtopk.top_k(df, shard_rows=50, block_rows=8).collect())) == want
+    sent, all_ = kdtopk.visits(df, shard_rows=50, block_rows=8)
+    assert 0 < sent < all_ / 2
+    big = [(int(i), [float(x) for x in rng.integers(-(1 << 18), 1 << 18, 4)]) for i in range(300)]
+    ints = {i: [int(1024 * x) for x in e] for i, e in big}
+    got = kdtopk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), shard_rows=50).where("query_id = 100").collect()
+    dots = sorted(((-sum(a * b for a, b in zip(ints[100], e, strict=True)), i) for i, e in ints.items() if i != 100))[:10]
+    assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(-s, i) for s, i in dots] and max(abs(s) for s, _ in dots) > 2**53
 
 
 def test_trees_bound_their_products():
