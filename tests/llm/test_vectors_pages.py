@@ -165,6 +165,59 @@ def test_extraction_of_odd_pages(spark):
     assert got[5]["text"] == "T & U\nOne two, three. Four five.\nSix seven, eight." and got[5]["n_chars"] == len(got[5]["text"])
 
 
+T1="The ferry returned to the harbour on Monday, after eleven months of repairs that had been planned for three."
+T2="Passengers queued from six in the morning; some had brought breakfast, and a brass band played on the pier."
+T3="The operator said the new engines use a third less fuel. It did not say what the repairs had cost."
+T4="A second ship will follow in autumn, if the yard keeps to its schedule this time."
+LAYOUTS = [  # pages written by hand, and their main blocks
+    # a news site: landmarks
+    (f"<html><body><header><a href='/'>The Daily Pier</a></header><nav><ul><li><a href='/n'>News</a></li><li><a href='/s'>Sport</a></li><li><a href='/w'>Weather</a></li></ul></nav><main><article><h1>Ferry is back</h1><p>{T1}</p><p>{T2}</p><h2>Less fuel</h2><p>{T3}</p></article></main><aside><h3>Most read</h3><ul><li><a href='/1'>Storm warning for the weekend</a></li><li><a href='/2'>Council votes on parking</a></li></ul></aside><footer><p>&copy; 2024 The Daily Pier. All rights reserved.</p></footer></body></html>",
+     ["Ferry is back", T1, T2, "Less fuel", T3]),
+    # a blog of nested divs, with comments
+    (f"<body><div id='page'><div class='site-header'><h2><a href='/'>Notes from the coast</a></h2></div><div class='menu'><a href='/a'>About</a> <a href='/c'>Contact</a></div><div id='content'><div class='post'><h1>Ferry is back</h1><div class='entry-content'><p>{T1}</p><p>{T2}</p><p>{T3}</p></div></div><div id='comments'><h3>2 comments</h3><div class='comment'><b>Ada</b><p>I was there too, and the band was out of tune the whole morning, to be honest.</p></div><div class='comment'><b>Ben</b><p>Three months turned into eleven. Nobody is surprised, are they?</p></div></div></div><div class='sidebar'><h3>Archive</h3><ul><li><a href='/m'>May</a></li><li><a href='/j'>June</a></li></ul></div><div id='footer'>Powered by a small engine. Privacy. Imprint.</div></div></body>",
+     ["Ferry is back", T1, T2, T3]),
+    # a cookie notice and a newsletter form around a section, unclosed paragraphs
+    (f"<body><div class='cookie-banner'><p>We use cookies to improve your visit. By going on you agree to our terms of use.</p><button>Accept</button></div><section class='article-body'><h1>Ferry is back</h1><p>{T1}<p>{T2}<blockquote><p>{T3}</p></blockquote><p>{T4}</section><form class='newsletter'><p>Get our stories by mail every week.</p><label>Mail</label><input name='m'><button>Join</button></form><div class='footer'><a href='/l'>Legal</a> <a href='/p'>Privacy</a></div>",
+     ["Ferry is back", T1, T2, T3, T4]),
+    # adverts inside the article
+    (f"<body><nav class='topbar'><a href='/'>Home</a><a href='/x'>Shop</a></nav><article class='story'><h1>Ferry is back</h1><p>{T1}</p><div class='ad-slot'><p>Half price deck chairs, only this week at our store. Order now!</p></div><p>{T2}</p><aside class='promo'>Win a cruise for two: enter our competition today.</aside><p>{T3}</p></article><footer>Contact us at the pier office.</footer>",
+     ["Ferry is back", T1, T2, T3]),
+    # lists and a table of figures in the text
+    (f"<body><div class='navigation'><ul><li><a href='/'>Start</a></li><li><a href='/b'>Timetable</a></li></ul></div><div class='main'><h1>Ferry is back</h1><p>{T1}</p><ul><li>New engines, built in the yard at Kiel.</li><li>Room for forty more bicycles on the lower deck.</li></ul><p>{T3}</p></div><div class='related'><h4>Related</h4><ul><li><a href='/1'>Old ferry sold</a></li></ul></div>",
+     ["Ferry is back", T1, "New engines, built in the yard at Kiel.", "Room for forty more bicycles on the lower deck.", T3]),
+    # hardly any markup
+    (f"<h1>Ferry is back</h1><p>{T1}</p><p>{T2}</p><p>{T3}</p>", ["Ferry is back", T1, T2, T3]),
+    # tags that draw, some never closed, and formulas
+    (f"<body><nav><button>Menu</nav><article><h1>Ferry is back</h1><svg viewBox='0 0 1 1'><text>logo</text></svg><p>{T1}</p><video src='a.mp4'>No video here.</video><p>{T2}</p><p>Use fell: <math><mi>f</mi><mo>=</mo><mn>0.67</mn></math> of before.</p><canvas><p>{T3}</p></article><footer>&copy; Pier</footer>",
+     ["Ferry is back", T1, T2, "Use fell: f=0.67 of before.", T3]),
+    # an old page of tables
+    (f"<body><table><tr><td class='menu'><a href='/'>Home</a><br><a href='/t'>Times</a><br><a href='/f'>Fares</a></td><td class='content'><h1>Ferry is back</h1><p>{T1}</p><p>{T2}</p><p>{T3}</p></td></tr><tr><td class='footer'>Last changed in May. Webmaster.</td></tr></table>",
+     ["Ferry is back", T1, T2, T3]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_extraction_of_pages_written_by_hand(k):
+    source, want = LAYOUTS[k]
+    assert domtrees.main_texts(domtrees.model(), [source])[0].split("\n") == want
+
+
+@pytest.mark.parametrize("head", ["<body><button>Menu", "<body><object data='x'>", "<body><svg>", "<body><video src='x'>", "<body><map name='m'>", "<body><select><option>a", "<body><noscript><canvas><audio>"])
+def test_unclosed_elements_swallow_nothing(head):
+    text = domtrees.main_texts(domtrees.model(), [f"{head}<article><h1>Ferry is back</h1><p>{T1}</p><p>{T2}</p><p>{T3}</p></article>"])[0]
+    assert all(t in text for t in (T1, T2, T3))
+    assert domtrees.main_texts(domtrees.model(), [f"<article><p>{T1}</p><p>{T2}</p></article><script>var a = '<p>{T3}</p>'"])[0] == f"{T1}\n{T2}"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    page = domtrees.Page("<li><ul>" + "<div>" * 60_000 + "<li>a</li><p>b" * 6000)
+    assert len(page.tag) > 70_000 and time.perf_counter() - began < 10
+    assert "b" in domtrees.main_texts(domtrees.model(), ["<div>" * 20_000 + f"<p>{T1}</p><p>{T2}</p>"])[0]
+
+
 def test_decoding_is_consistent():
     page = domtrees.Page("<div><p>a b c</p><p>d e f</p></div><div><p>g</p></div>")
     rng = np.random.default_rng(5)
