@@ -61,10 +61,13 @@ def current_baselines(baselines: DataFrame) -> DataFrame:
 
 
 def baseline_asof(baselines: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each (metric_name, asked_at): the latest baseline computed by then, if there is one."""
-    found = asked.join(baselines, "metric_name").where("computed_at <= asked_at")
-    best = found.groupBy("metric_name", "asked_at").agg(F.max_by(F.struct("computed_at", "rolling_mean", "rolling_std", "percentile_25", "percentile_75", "iqr", "sample_count"), "computed_at").alias("b"))
-    return best.select("metric_name", "asked_at", "b.*")
+    """For each (metric_name, asked_at): the latest baseline computed by then, if there is one. Linear after one sort: both sides in one line of time, the last baseline carried on."""
+    kept = ("computed_at", "rolling_mean", "rolling_std", "percentile_25", "percentile_75", "iqr", "sample_count")
+    base = baselines.select("metric_name", F.col("computed_at").alias("t"), F.lit(0).alias("asks"), F.struct(*kept).alias("b"))
+    both = base.unionByName(asked.select("metric_name", F.col("asked_at").alias("t"), F.lit(1).alias("asks"), F.lit(None).cast(base.schema["b"].dataType).alias("b")))
+    line = Window.partitionBy("metric_name").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("b", F.last("b", ignorenulls=True).over(line)).where((F.col("asks") == 1) & F.col("b").isNotNull())
+    return found.select("metric_name", F.col("t").alias("asked_at"), "b.*").distinct()
 
 
 def compare(rows: DataFrame, iqr_multiplier: float = 1.5) -> DataFrame:

@@ -72,12 +72,17 @@ def hourly_metrics_joined(events: DataFrame) -> DataFrame:
 
 
 def hourly_metrics(events: DataFrame) -> DataFrame:
-    """The wide table in one aggregation: one scan and one shuffle of hours."""
+    """The wide table from one scan: events shrink to one row for each hour and type, and one for each hour and viewer, session or order, before they are shuffled."""
     viewed, paid = F.col("event_type") == "page_view", (F.col("event_type") == "purchase") & (F.col("amount") > 0)
-    sums = events.groupBy(hour_of().alias("hour_ts")).agg(
-        *[F.count(F.when(F.col("event_type") == kind, 1)).alias(name) for name, kind in COUNTS],
-        F.countDistinct(F.when(viewed, F.col("user_id"))).alias("unique_users"), F.countDistinct(F.when(viewed, F.col("session_id"))).alias("unique_sessions"),
-        F.coalesce(F.sum(F.when(paid, cents())), F.lit(0)).alias("cents"), F.countDistinct(F.when(paid, F.col("order_id"))).alias("order_count"),
+    fact = lambda kind, id_, when=None: (lambda s: s if when is None else F.when(when & id_.isNotNull(), s))(F.struct(F.lit(kind).alias("kind"), id_.alias("id")))
+    facts = F.array_compact(F.array(fact("type", F.col("event_type")), fact("user", F.col("user_id"), viewed), fact("session", F.col("session_id"), viewed), fact("order", F.col("order_id"), paid)))
+    each = events.select(hour_of().alias("hour_ts"), F.when(paid, cents()).alias("cents"), F.explode(facts).alias("f")).select("hour_ts", "cents", "f.*")
+    once = each.groupBy("hour_ts", "kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    of_type = F.col("kind") == "type"
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = once.groupBy("hour_ts").agg(
+        *[zero(F.sum(F.when(of_type & (F.col("id") == kind), F.col("n")))).alias(name) for name, kind in COUNTS],
+        *[F.count(F.when(F.col("kind") == kind, 1)).alias(name) for name, kind in (("unique_users", "user"), ("unique_sessions", "session"), ("order_count", "order"))], zero(F.sum(F.when(of_type, F.col("cents")))).alias("cents"),
     )
     wide = sums.select("*", *[ratio(F.col(n), F.col(d)).alias(name) for name, n, d in RATIOS])
     return wide.select(

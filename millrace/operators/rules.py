@@ -1,6 +1,7 @@
 """Rule detectors, for any number of whole-hour windows at once.
 
-Events are first summed by hour; windows then meet those sums, so everything after the first aggregation grows with hours, not events.
+Events are first summed by hour: one row of counts for each hour, and one row for each hour and user or session. Windows meet only those, by equi-joins on hours and days, so a hot
+hour is spread over its users, and everything after the first aggregation grows with hours and distinct users, not with events.
 """
 
 from __future__ import annotations
@@ -9,17 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectionConfig, Window
-from ..schema import event_types
+from ..schema import EVENT_TYPES
 from .baselines import at, hours
 from .metrics import cents, hour_of
-from .statistical import SHAPE
+from .statistical import SHAPE, document, money
 
-ONE = "window_start"
+KINDS = [k for k, *_ in EVENT_TYPES]
+
+
+def hour_counts(events: DataFrame) -> DataFrame:
+    """One row for each hour: how often each known type came (null if never), and the cents of purchases."""
+    of = lambda kind, value: F.sum(F.when(F.col("event_type") == kind, value))
+    return events.groupBy(hour_of().alias("hour_ts")).agg(*[of(k, F.lit(1)).alias(k) for k in KINDS], of("purchase", cents()).alias("cents"))
+
+
+def hour_visitors(events: DataFrame) -> DataFrame:
+    """(hour_ts, kind, id): the distinct users and sessions of each hour."""
+    both = F.explode(F.array(F.struct(F.lit("users").alias("kind"), F.col("user_id").alias("id")), F.struct(F.lit("sessions").alias("kind"), F.col("session_id").alias("id"))))
+    return events.select(hour_of().alias("hour_ts"), both.alias("v")).select("hour_ts", "v.*").distinct()
 
 
 def hourly_windows(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Every hour that has events, as a window of its own."""
-    hour = (type_counts(events) if counts is None else counts).select(F.col("hour_ts").alias("window_start")).distinct()
+    hour = (hour_counts(events) if counts is None else counts).select(F.col("hour_ts").alias("window_start"))
     return hour.select("window_start", (F.col("window_start") + hours(1)).alias("window_end"))
 
 
@@ -28,7 +41,7 @@ def one_window(events: DataFrame, window: Window) -> DataFrame:
 
 
 def _hours_of(windows: DataFrame) -> DataFrame:
-    return windows.select("window_start", F.explode(F.sequence("window_start", F.col("window_end") - hours(1), F.expr("INTERVAL 1 HOUR"))).alias("hour_ts"))
+    return windows.select("window_start", "window_end", F.explode(F.sequence("window_start", F.col("window_end") - hours(1), F.expr("INTERVAL 1 HOUR"))).alias("hour_ts"))
 
 
 def _before(windows: DataFrame, hourly: DataFrame, days: int) -> DataFrame:
@@ -39,103 +52,114 @@ def _before(windows: DataFrame, hourly: DataFrame, days: int) -> DataFrame:
     return joined.where((F.col("hour_ts") >= F.col("window_start") - hours(24 * days)) & (F.col("hour_ts") < F.col("window_start"))).drop("_day")
 
 
-def type_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy(hour_of().alias("hour_ts"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cents()).alias("cents"))
+def window_facts(counts: DataFrame, windows: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """One row for each window: its counts, and what is usual in the week before: usual_<type> (mean of the hours that had some), usual_rate (of payments), usual_cents."""
+    own = _hours_of(windows).join(counts, "hour_ts", "left").groupBy("window_start", "window_end").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*KINDS, "cents")])
+    tried = F.col("payment_initiated") > cfg.gateway_hour_initiated
+    rate = F.when(tried, F.coalesce("payment_success", F.lit(0)) * F.lit(100.0) / F.col("payment_initiated"))
+    bought = F.when(F.col("purchase").isNotNull(), F.col("cents"))
+    week = _before(windows, counts, 7).groupBy("window_start").agg(*[F.avg(k).alias(f"usual_{k}") for k in KINDS], F.avg(rate).alias("usual_rate"), (F.sum(bought) / (F.count(bought) * F.lit(100.0))).alias("usual_cents"))
+    return own.join(week, "window_start", "left")
 
 
-def _found(rows: DataFrame, metric: Column, value: Column, severity: Column, direction: str | Column, rule: str, text: Column, mean: Column | None = None, std: Column | None = None, pct: Column | None = None) -> DataFrame:
+def _hit(when: Column, rule: str, metric: Column | str, value: Column, severity: Column | str, direction: str, text: Column, mean: Column | None = None, **facts: Column) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
     none = F.lit(None).cast("double")
-    own = lambda c: none if c is None else c.cast("double")
-    cols = {
-        "metric_name": metric, "metric_timestamp": F.col("window_start"), "current_value": value.cast("double"), "baseline_mean": own(mean), "baseline_std": own(std), "baseline_q1": none, "baseline_q3": none, "baseline_iqr": none,
-        "z_score": none, "iqr_distance": none, "pct_change": own(pct), "detector": F.lit("rules"), "rule": F.lit(rule), "severity": severity, "direction": F.lit(direction) if isinstance(direction, str) else direction, "description": text,
-    }
-    return rows.select(*[cols[c].alias(c) for c in SHAPE])
-
-
-def missing_event_types(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
-    """Types of events that usually come (mean of the week's hours that had some) and don't in the window."""
-    counts = (type_counts(events) if counts is None else counts).select("hour_ts", "event_type", "n")
-    there = _hours_of(windows).join(counts, "hour_ts").select("window_start", "event_type").distinct()
-    usual = _before(windows, counts, 7).groupBy("window_start", "event_type").agg(F.avg("n").alias("mean")).where(F.col("mean") > cfg.missing_baseline)
-    gone = usual.join(there, ["window_start", "event_type"], "left_anti").join(F.broadcast(event_types(events.sparkSession)), "event_type")
-    severity = F.when(F.col("is_conversion_event"), "critical").otherwise("warning")
-    return _found(gone, F.concat("event_type", F.lit("_count")), F.lit(0), severity, "missing", "missing_event_types", F.concat(F.lit("no "), F.col("event_type"), F.lit(" events")), F.round("mean", 4))
+    return F.when(when, F.struct(
+        F.lit(rule).alias("rule"), lit(metric).alias("metric_name"), value.cast("double").alias("current_value"), (none if mean is None else mean.cast("double")).alias("baseline_mean"),
+        lit(severity).alias("severity"), F.lit(direction).alias("direction"), text.alias("description"), document(**facts).alias("metadata_json"),
+    ))
 
 
-def _sums(counts: DataFrame, windows: DataFrame, *kinds: str) -> DataFrame:
-    """Counts of types for each window, zeros where none."""
-    both = _hours_of(windows).join(counts.where(F.col("event_type").isin(*kinds)), "hour_ts", "left")
-    return both.groupBy("window_start").agg(*[F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds], F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("cents"))), F.lit(0)).alias("cents"))
+def _missing(cfg: DetectionConfig) -> list[Column]:
+    """Types of events that usually come and don't in the window."""
+    usual = lambda k: F.col(f"usual_{k}")
+    return [
+        _hit((usual(k) > cfg.missing_baseline) & (F.col(k) == 0), "missing_event_types", f"{k}_count", F.lit(0), "critical" if conversion else "warning", "missing", F.concat(F.lit(f"no {k} events, usually "), money(usual(k)), F.lit(" an hour")), F.round(usual(k), 4),
+             event_type=F.lit(k), is_conversion_event=F.lit(conversion), baseline_avg_count=F.round(usual(k), 4), window_start=F.col("window_start").cast("string"), window_end=F.col("window_end").cast("string"))
+        for k, _, conversion, _ in EVENT_TYPES
+    ]
 
 
-def funnel_breaks(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
+def _funnel(cfg: DetectionConfig) -> list[Column]:
     """Later steps of the funnel without the earlier ones."""
-    s = _sums(type_counts(events) if counts is None else counts, windows, "add_to_cart", "checkout_start", "checkout_complete", "payment_success", "purchase")
     cart, start, done, paid, bought = (F.col(c) for c in ("add_to_cart", "checkout_start", "checkout_complete", "payment_success", "purchase"))
-    check = lambda when, metric, value, severity, direction: F.when(when, F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.lit(severity).alias("severity"), F.lit(direction).alias("direction")))
-    zero = F.lit(0.0)
-    checks = F.array_compact(F.array(
-        check((start > 0) & (cart == 0), "funnel_break_cart", zero, "critical", "missing"),
-        check((done > 0) & (start == 0), "funnel_break_checkout", zero, "critical", "missing"),
-        check((paid > cfg.funnel_success) & (bought == 0), "funnel_break_purchase", zero, "critical", "missing"),
-        check((done > cfg.funnel_complete) & (bought < done * cfg.funnel_share), "funnel_break_conversion", F.round(bought * F.lit(100.0) / F.when(done > 0, done), 6), "warning", "below"),
-    ))
-    hit = s.withColumn("hit", F.explode(checks))
-    text = F.concat(F.col("hit.metric"), F.lit(": "), start, F.lit(" started, "), done, F.lit(" completed, "), paid, F.lit(" paid, "), bought, F.lit(" bought"))
-    return _found(hit, F.col("hit.metric"), F.col("hit.value"), F.col("hit.severity"), F.col("hit.direction"), "funnel_breaks", text)
+    zero, rate = F.lit(0.0), F.round(bought * F.lit(100.0) / F.when(done > 0, done), 6)
+    text = lambda metric: F.concat(F.lit(f"{metric}: "), start, F.lit(" started, "), done, F.lit(" completed, "), paid, F.lit(" paid, "), bought, F.lit(" bought"))
+    return [
+        _hit((start > 0) & (cart == 0), "funnel_breaks", "funnel_break_cart", zero, "critical", "missing", text("funnel_break_cart"), checkout_start=start, add_to_cart=cart),
+        _hit((done > 0) & (start == 0), "funnel_breaks", "funnel_break_checkout", zero, "critical", "missing", text("funnel_break_checkout"), checkout_complete=done, checkout_start=start),
+        _hit((paid > cfg.funnel_success) & (bought == 0), "funnel_breaks", "funnel_break_purchase", zero, "critical", "missing", text("funnel_break_purchase"), payment_success=paid, purchases=bought),
+        _hit((done > cfg.funnel_complete) & (bought < done * cfg.funnel_share), "funnel_breaks", "funnel_break_conversion", rate, "warning", "below", text("funnel_break_conversion"), checkout_complete=done, purchases=bought, conversion_rate=rate),
+    ]
 
 
-def payment_gateway(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
+def _gateway(cfg: DetectionConfig) -> list[Column]:
     """No payment succeeds, or far fewer than in the hours of the week before."""
-    counts = type_counts(events) if counts is None else counts
-    s = _sums(counts, windows, "payment_initiated", "payment_success", "payment_failed")
-    counts = counts.where(F.col("event_type").isin("payment_initiated", "payment_success"))
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("n"))), F.lit(0))
-    rates = counts.groupBy("hour_ts").agg(of("payment_success").alias("ok"), of("payment_initiated").alias("all")).where(F.col("all") > cfg.gateway_hour_initiated).select("hour_ts", (F.col("ok") * F.lit(100.0) / F.col("all")).alias("rate"))
-    usual = _before(windows, rates, 7).groupBy("window_start").agg(F.avg("rate").alias("mean"))
-    both = s.join(usual, "window_start", "left").where(F.col("payment_initiated") > cfg.gateway_initiated)
-    both = both.withColumn("rate", F.col("payment_success") * F.lit(100.0) / F.col("payment_initiated"))
-    down, low = F.col("payment_success") == 0, F.col("rate") < F.col("mean") * cfg.gateway_warning
-    hit = both.where(down | low)
-    severity = F.when(down | (F.col("rate") < F.col("mean") * cfg.gateway_critical), "critical").otherwise("warning")
-    text = F.concat("payment_success", F.lit(" of "), "payment_initiated", F.lit(" payments succeeded, "), "payment_failed", F.lit(" failed"))
-    return _found(hit, F.when(down, "payment_gateway_failure").otherwise("payment_success_rate_drop"), F.when(down, 0.0).otherwise(F.round("rate", 6)), severity, "below", "payment_gateway", text, F.round("mean", 8))
-
-
-def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    tried, ok, failed, mean = (F.col(c) for c in ("payment_initiated", "payment_success", "payment_failed", "usual_rate"))
+    rate = ok * F.lit(100.0) / F.when(tried > 0, tried)
+    down, low = ok == 0, F.coalesce(rate < mean * cfg.gateway_warning, F.lit(False))
+    severity = F.when(down | (rate < mean * cfg.gateway_critical), "critical").otherwise("warning")
+    text = F.concat(ok, F.lit(" of "), tried, F.lit(" payments succeeded, "), failed, F.lit(" failed"))
+    metric = F.when(down, "payment_gateway_failure").otherwise("payment_success_rate_drop")
+    return [_hit((tried > cfg.gateway_initiated) & (down | low), "payment_gateway", metric, F.when(down, 0.0).otherwise(F.round(rate, 6)), severity, "below", text, F.round(mean, 8), initiated=tried, success=ok, failed=failed, current_rate=F.round(rate, 6), baseline_rate=F.round(mean, 8))]
+
+
+def _revenue(cfg: DetectionConfig) -> list[Column]:
+    """Purchases that bring nothing, or revenue far below that of the week's hours with purchases."""
+    bought, mean, total = F.col("purchase"), F.col("usual_cents"), F.col("cents") / F.lit(100.0)
+    nothing = (bought > 0) & (F.col("cents") == 0)
+    near = F.coalesce((mean > cfg.revenue_baseline) & (total < mean * cfg.revenue_share), F.lit(False))
+    metric, text = F.when(nothing, "zero_revenue_bug").otherwise("near_zero_revenue"), F.concat(bought, F.lit(" purchases, revenue "), money(total))
+    return [_hit(nothing | near, "zero_revenue", metric, F.when(nothing, 0.0).otherwise(total), "critical", "below", text, F.round(mean, 4), purchase_count=bought, total_revenue=total, baseline_avg=F.round(mean, 4))]
+
+
+def _fired(facts: DataFrame, hits: list[Column]) -> DataFrame:
+    none = F.lit(None).cast("double")
+    rows = facts.select(F.col("window_start").alias("metric_timestamp"), F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("metric_timestamp", "hit.*")
+    return rows.withColumns({c: none for c in ("baseline_std", "baseline_q1", "baseline_q3", "baseline_iqr", "z_score", "iqr_distance", "pct_change")} | {"detector": F.lit("rules")}).select(*SHAPE)
+
+
+def missing_event_types(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    return _fired(window_facts(hour_counts(events), windows, cfg), _missing(cfg))
+
+
+def funnel_breaks(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    return _fired(window_facts(hour_counts(events), windows, cfg), _funnel(cfg))
+
+
+def payment_gateway(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    return _fired(window_facts(hour_counts(events), windows, cfg), _gateway(cfg))
+
+
+def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    return _fired(window_facts(hour_counts(events), windows, cfg), _revenue(cfg))
+
+
+def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), visitors: DataFrame | None = None) -> DataFrame:
     """Users and sessions of all events against the same hour of the four weeks before; few usual users silence both."""
-    distinct = [F.countDistinct("user_id").alias("users"), F.countDistinct("session_id").alias("sessions")]
-    seen = _hours_of(windows).join(events.select(hour_of().alias("hour_ts"), "user_id", "session_id"), "hour_ts", "left").groupBy("window_start").agg(*distinct)
-    hourly = events.groupBy(hour_of().alias("hour_ts")).agg(*distinct)
+    visitors = hour_visitors(events) if visitors is None else visitors
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("id"))).alias(kind)
+    kinds = [of("users"), of("sessions")]
+    hourly = visitors.groupBy("hour_ts").agg(*kinds)
+    seen = _hours_of(windows).join(visitors, "hour_ts", "left").select("window_start", "kind", "id").distinct().groupBy("window_start").agg(*kinds)
     weeks = windows.select("window_start", F.explode(F.array(*[F.date_trunc("hour", F.col("window_start")).cast("timestamp_ntz") - hours(168 * k) for k in (1, 2, 3, 4)])).alias("hour_ts"))
     usual = weeks.join(hourly, "hour_ts").groupBy("window_start").agg(*[f(c).alias(f"{n}_{c}") for c in ("users", "sessions") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     both = seen.join(usual, "window_start").where(F.col("mean_users") > cfg.traffic_users)
-    pair = lambda c: F.struct(F.lit(f"unique_{c}_drop").alias("metric"), F.col(c).alias("value"), F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std"))
+    pair = lambda c: F.struct(F.lit(f"unique_{c}_drop").alias("metric"), F.lit(c).alias("what"), F.col(c).alias("value"), F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std"))
     hit = both.select("window_start", F.explode(F.array(pair("users"), pair("sessions"))).alias("h")).select("window_start", "h.*").where(F.col("value") < F.col("mean") * (1 - cfg.traffic_drop))
     severity = F.when(F.col("value") < F.col("mean") * cfg.traffic_critical, "critical").otherwise("warning")
-    return _found(hit, F.col("metric"), F.col("value"), severity, "below", "traffic_drops", F.concat(F.lit("only "), F.col("value")), F.round("mean", 4), F.round("std", 4), F.round((F.col("value") - F.col("mean")) / F.col("mean") * 100, 4))
-
-
-def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), counts: DataFrame | None = None) -> DataFrame:
-    """Purchases that bring nothing, or revenue far below that of the week's hours with purchases."""
-    counts = type_counts(events) if counts is None else counts
-    s = _sums(counts, windows, "purchase").withColumn("total", F.col("cents") / F.lit(100.0))
-    hourly = counts.where("event_type = 'purchase'").select("hour_ts", "cents")
-    usual = _before(windows, hourly, 7).groupBy("window_start").agg((F.sum("cents") / (F.count("cents") * F.lit(100.0))).alias("mean"))
-    both = s.join(usual, "window_start", "left")
-    nothing = (F.col("purchase") > 0) & (F.col("cents") == 0)
-    near = (F.col("mean") > cfg.revenue_baseline) & (F.col("total") < F.col("mean") * cfg.revenue_share)
-    hit = both.where(nothing | near)
-    return _found(hit, F.when(nothing, "zero_revenue_bug").otherwise("near_zero_revenue"), F.when(nothing, 0.0).otherwise(F.col("total")), F.lit("critical"), "below", "zero_revenue", F.concat("purchase", F.lit(" purchases, revenue "), F.format_string("%.2f", "total")), F.round("mean", 4))
+    pct, none = F.round((F.col("value") - F.col("mean")) / F.col("mean") * 100, 4), F.lit(None).cast("double")
+    return hit.select(
+        F.col("metric").alias("metric_name"), F.col("window_start").alias("metric_timestamp"), F.col("value").cast("double").alias("current_value"), F.round("mean", 4).alias("baseline_mean"), F.round("std", 4).alias("baseline_std"),
+        *[none.alias(c) for c in ("baseline_q1", "baseline_q3", "baseline_iqr", "z_score", "iqr_distance")], pct.alias("pct_change"), F.lit("rules").alias("detector"), F.lit("traffic_drops").alias("rule"), severity.alias("severity"), F.lit("below").alias("direction"),
+        F.concat(F.lit("only "), F.col("value"), F.lit(" "), F.col("what"), F.lit(", usually "), money(F.col("mean"))).alias("description"), document(current=F.col("value"), baseline_avg=F.round("mean", 4), drop_pct=-pct).alias("metadata_json"),
+    ).select(*SHAPE)
 
 
 def all_rules(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """All rules; without windows, over every hour that has events. The sums by hour and type are kept, so events are read for them once:
-    they have a row for each hour and type, whatever the events' number."""
-    counts = type_counts(events).persist()
+    """All rules; without windows, over every hour that has events. The rules on counts share one pass over the windows' facts."""
+    counts = hour_counts(events)
     windows = hourly_windows(events, counts) if windows is None else windows
-    out = traffic_drops(events, windows, cfg)
-    for rule in (missing_event_types, funnel_breaks, payment_gateway, zero_revenue):
-        out = out.unionByName(rule(events, windows, cfg, counts))
-    return out
+    facts = window_facts(counts, windows, cfg)
+    return _fired(facts, [*_missing(cfg), *_funnel(cfg), *_gateway(cfg), *_revenue(cfg)]).unionByName(traffic_drops(events, windows, cfg))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectionConfig
 from ..operators import baselines, metrics, rules, statistical
+from ..sources.tables import kept
 
 # Known faults as (name, hours from the reference time, hours long, metrics that should be found).
 KNOWN = [
@@ -21,13 +22,16 @@ KNOWN = [
 
 
 def replay(events: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Anomalies of every hour from baseline_hours after the first on, each against the baseline its own run would have had."""
-    long = metrics.metrics_long(metrics.hourly_metrics(events))
+    """Anomalies of every hour from baseline_hours after the first on, each against the baseline its own run would have had.
+
+    The hourly metrics are written once, as baselines, detectors and the first hour come from them; so are the anomalies."""
+    long = kept(metrics.metrics_long(metrics.hourly_metrics(events)))
+    first = long.agg(F.min("hour_ts")).first()[0]
+    if first is None:
+        return kept(statistical.all_statistical(baselines.compare(baselines.rolling_baseline_all_hours(long)), None, cfg))
     rows = baselines.compare(baselines.rolling_baseline_all_hours(long, cfg.baseline_hours, cfg.baseline_end, cfg.min_samples), cfg.iqr_multiplier)
-    found = statistical.all_zscore(rows, None, cfg).unionByName(statistical.all_iqr(rows, None, cfg)).unionByName(rules.all_rules(events, cfg=cfg))
-    first = events.agg(F.date_trunc("hour", F.min("event_time")).cast("timestamp_ntz").alias("_first"))
-    start = F.col("_first") + baselines.hours(cfg.baseline_hours)
-    return found.join(F.broadcast(first), F.col("metric_timestamp") >= start).drop("_first")
+    found = statistical.all_statistical(rows, None, cfg).unionByName(rules.all_rules(events, cfg=cfg))
+    return kept(found.where(F.col("metric_timestamp") >= baselines.at(first + timedelta(hours=cfg.baseline_hours))))
 
 
 def known_windows(events: DataFrame, reference: datetime | None = None) -> DataFrame:
@@ -45,15 +49,25 @@ def known_windows(events: DataFrame, reference: datetime | None = None) -> DataF
 def evaluate(detected: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each known window with its hits, one row of counts, precision, recall and F1).
 
-    A window counts once if any expected metric's name is within that of a detection in it; false positives are detections that match no window."""
-    inside = F.broadcast(known).join(detected, (F.col("metric_timestamp") >= F.col("start_time")) & (F.col("metric_timestamp") < F.col("end_time")), "left")
-    right = F.coalesce(F.exists("expected", lambda e: F.col("metric_name").contains(e)), F.lit(False))
-    per = inside.groupBy("anomaly_name", "start_time", "end_time").agg(F.count_if(right).alias("detected_expected"), F.count_if(F.col("metric_name").isNotNull() & ~right).alias("detected_other")).withColumn("hit", F.col("detected_expected") > 0)
-    match = (F.col("metric_timestamp") >= F.col("start_time")) & (F.col("metric_timestamp") < F.col("end_time")) & F.exists("expected", lambda e: F.col("metric_name").contains(e))
-    wrong = detected.join(F.broadcast(known), match, "left_anti").agg(F.count(F.lit(1)).alias("false_positives"))
-    hits = per.agg(F.count_if("hit").alias("true_positives"), F.count_if(~F.col("hit")).alias("false_negatives"))
+    A window counts once if any expected metric's name is within that of a detection in it; false positives are detections that match no window.
+    Windows meet detections by the hours that they touch; a detection gets the windows of its time as an array."""
+    hour = lambda c: F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
+    touched = F.explode(F.sequence(hour("start_time"), hour("end_time"), F.expr("INTERVAL 1 HOUR")))
+    by_hour = known.where("end_time > start_time").select(touched.alias("hour"), F.struct("anomaly_name", "start_time", "end_time", "expected").alias("w")).groupBy("hour").agg(F.collect_set("w").alias("windows"))
+    t = F.col("metric_timestamp")
+    rows = detected.withColumn("hour", hour("metric_timestamp")).join(by_hour, "hour", "left")
+    inside = F.filter("windows", lambda w: (t >= w["start_time"]) & (t < w["end_time"]))
+    right = lambda w: F.exists(w["expected"], lambda e: F.col("metric_name").contains(e))
+    rows = rows.select("metric_name", F.coalesce(inside, F.array().cast(by_hour.schema["windows"].dataType)).alias("windows"))
+    wrong = rows.agg(F.count_if(~F.exists("windows", right)).alias("false_positives"))
+    met = rows.select("metric_name", F.explode("windows").alias("w")).select("w.*", right(F.col("w")).alias("right"))
+    hits = met.groupBy("anomaly_name", "start_time", "end_time").agg(F.count_if("right").alias("detected_expected"), F.count_if(~F.col("right")).alias("detected_other"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    per = known.select("anomaly_name", "start_time", "end_time").distinct().join(hits, ["anomaly_name", "start_time", "end_time"], "left")
+    per = per.select("anomaly_name", "start_time", "end_time", zero("detected_expected"), zero("detected_other")).withColumn("hit", F.col("detected_expected") > 0)
+    totals = per.agg(F.count_if("hit").alias("true_positives"), F.count_if(~F.col("hit")).alias("false_negatives"))
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
-    both = hits.withColumn("_k", F.lit(1)).join(wrong.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = totals.withColumn("one", F.lit(1)).join(wrong.withColumn("one", F.lit(1)), "one").drop("one")
     scored = both.withColumns({"precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)), "recall": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))})
     p, r = F.col("precision"), F.col("recall")
     return per, scored.withColumn("f1_score", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))

@@ -18,6 +18,7 @@ from ..operators import baselines, health, lifecycle, metrics, rollup, rules, st
 from ..operators.baselines import at
 from ..schema import event_types
 from ..sources.adapter import injected, orders, read_events
+from ..sources.tables import kept
 from . import backtest, pipeline
 from .oracles import ORACLES
 
@@ -58,7 +59,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    return df.drop("description")
+    return df.drop("description", "metadata_json")
 
 
 def _injected(spark, d):
@@ -67,7 +68,7 @@ def _injected(spark, d):
 
 def _history(spark, d):
     """Baselines of four runs."""
-    long = _long(spark, d)
+    long = kept(_long(spark, d))
     out = None
     for day in (9, 16, 23, 30):
         one = baselines.rolling_baseline(long, datetime(2024, 1, day))
@@ -76,20 +77,19 @@ def _history(spark, d):
 
 
 def _anomalies(spark, d):
-    """Anomalies of a week: both statistical families and the rules, of the events with faults."""
+    """Anomalies of a week: both statistical families and the rules, of the events with faults; metrics and anomalies are written once."""
     events = _injected(spark, d)
-    long = metrics.metrics_long(metrics.hourly_metrics(events))
+    long = kept(metrics.metrics_long(metrics.hourly_metrics(events)))
     rows = baselines.metrics_with_baseline(long, baselines.rolling_baseline(long, AS_OF))
-    found = statistical.all_zscore(rows, WEEK).unionByName(statistical.all_iqr(rows, WEEK))
     ruled = rules.all_rules(events, cfg=SCALED)
-    return found.unionByName(ruled.where((F.col("metric_timestamp") >= at(WEEK.start)) & (F.col("metric_timestamp") < at(WEEK.end))))
+    return kept(statistical.all_statistical(rows, WEEK).unionByName(ruled.where((F.col("metric_timestamp") >= at(WEEK.start)) & (F.col("metric_timestamp") < at(WEEK.end)))))
 
 
-def _state(spark, d):
+def _state(spark, d, anomalies=None):
     """Incidents as a monitor would hold them: seen an hour after their time, some alerted, suppressed or resolved by the length of their key."""
     n = F.length("metric_name") + F.hour("metric_timestamp")
     t = F.col("metric_timestamp")
-    c = rollup.incidents_of(_anomalies(spark, d))
+    c = rollup.incidents_of(_anomalies(spark, d) if anomalies is None else anomalies)
     return c.select(
         "incident_key", t.alias("first_detected_at"), (t + baselines.hours(1)).alias("last_detected_at"), "metric_name", "severity", "detection_count", "current_value", "baseline_value", "deviation_pct", "root_cause_hint", "related_metrics",
         F.when(n % 3 == 0, t + baselines.hours(2)).alias("alert_sent_at"), F.lit(None).cast("string").alias("alert_channel"), (n % 5 == 0).alias("is_suppressed"), F.when(n % 5 == 0, "muted").alias("suppression_reason"),
@@ -176,7 +176,7 @@ def q_current_baseline(spark, d):
 
 @query
 def q_baseline_asof(spark, d):
-    asked = _long(spark, d).where(F.hour("hour_ts") == 12).select("metric_name", F.col("hour_ts").alias("asked_at"))
+    asked = _long(spark, d).select("metric_name", F.col("hour_ts").alias("asked_at"))
     return baselines.baseline_asof(_history(spark, d), asked)
 
 
@@ -318,8 +318,9 @@ def q_root_cause_hint(spark, d):
 @query
 def q_incident_upsert(spark, d):
     """A rerun of the week's last two days over the incidents of the state."""
-    found = _anomalies(spark, d).where(F.col("metric_timestamp") >= at(datetime(2024, 1, 28)))
-    return _text(rollup.upsert(_state(spark, d), rollup.incidents_of(found), AS_OF))
+    anomalies = _anomalies(spark, d)
+    found = anomalies.where(F.col("metric_timestamp") >= at(datetime(2024, 1, 28)))
+    return _text(rollup.upsert(_state(spark, d, anomalies), rollup.incidents_of(found), AS_OF))
 
 
 @query
@@ -356,7 +357,7 @@ def q_retention(spark, d):
 
 @query
 def q_suppression(spark, d):
-    state = _state(spark, d)
+    state = kept(_state(spark, d))
     return lifecycle.suppression(state.select("incident_key", "metric_name", "severity"), state, datetime(2024, 1, 28), DETECT_ALERTS).select("incident_key", "should_suppress", "reason")
 
 

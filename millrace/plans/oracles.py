@@ -229,7 +229,7 @@ _BODIES = {
     "q_rolling_baseline": "SELECT * FROM base",
     "q_rolling_baseline_all_hours": f"SELECT * FROM (SELECT hour_ts, metric_name, metric_value, {stats(rolling)} FROM long) WHERE sample_count >= 24",
     "q_current_baseline": "SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY metric_name ORDER BY computed_at DESC) = 1",
-    "q_baseline_asof": "SELECT l.metric_name, l.hour_ts AS asked_at, h.computed_at, rolling_mean, rolling_std, percentile_25, percentile_75, iqr, sample_count FROM long l JOIN history h ON h.metric_name = l.metric_name AND h.computed_at <= l.hour_ts WHERE hour(l.hour_ts) = 12 QUALIFY row_number() OVER (PARTITION BY l.metric_name, l.hour_ts ORDER BY h.computed_at DESC) = 1",
+    "q_baseline_asof": "SELECT l.metric_name, l.hour_ts AS asked_at, h.computed_at, rolling_mean, rolling_std, percentile_25, percentile_75, iqr, sample_count FROM long l JOIN history h ON h.metric_name = l.metric_name AND h.computed_at <= l.hour_ts QUALIFY row_number() OVER (PARTITION BY l.metric_name, l.hour_ts ORDER BY h.computed_at DESC) = 1",
     "q_metrics_with_baseline": "SELECT * REPLACE (round(z_score, 4) AS z_score, round(pct_change_from_mean, 4) AS pct_change_from_mean, round(iqr_lower_bound, 4) AS iqr_lower_bound, round(iqr_upper_bound, 4) AS iqr_upper_bound) FROM mwb",
     "q_metrics_snapshot": f"SELECT hour_ts, metric_name, metric_value, baseline_mean, {_Z4}, round(pct_change_from_mean, 4) AS pct_change_from_mean, baseline_sample_count FROM mwb WHERE {DAY}",
     "q_same_hour_baseline_join": _SEASONAL,

@@ -36,7 +36,7 @@ def detect(events: DataFrame, window: Window, cfg: DetectionConfig = DetectionCo
     current = baselines.current_baselines(base if history is None else history.select(*base.columns).unionByName(base))
     rows = baselines.metrics_with_baseline(long, current, cfg.iqr_multiplier)
     windows = rules.one_window(events, window)
-    found = statistical.all_zscore(rows, window, cfg).unionByName(statistical.all_iqr(rows, window, cfg)).unionByName(rules.all_rules(reach, windows, cfg))
+    found = statistical.all_statistical(rows, window, cfg).unionByName(rules.all_rules(reach, windows, cfg))
     return base, found
 
 
