@@ -5,7 +5,7 @@ covers all of them. The end has a class of its own, words have ``CLASSES - 1``.
 
 Clustering. The core are all words that make up one in ``CORE`` or more of the training tokens, so at most ``CORE`` words, whatever the input. The ``SEEDS`` most frequent are clustered first, by
 exchange over their own bigrams: words move one at a time to the class where the classes' bigrams are likeliest, until none moves. Then the whole core is exchanged: a pass over the
-training rows counts, for each core word, the classes before and after it; with these counts words move one at a time as before. Passes are repeated until less than ``STILL``
+training rows, kept as core words' numbers of two bytes, counts, for each core word, the classes before and after it; with these counts words move one at a time as before. Passes are repeated until less than ``STILL``
 of the core's tokens move, ``ROUNDS`` times at most. Rarer words then go, each by itself, to the class that its own neighbours make likeliest, in one more pass. Neighbours outside the core say nothing there;
 a word without other neighbours goes to the class of most core words. Class bigrams are counted anew with all words placed. A word that training rows lack is given the class of most distinct words.
 
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT, LOWER, cut, release, ship, text_name
-from .words import LONGEST, Table, word_hashes
+from .words import LONGEST, Table, spread, word_hashes
 
-FOLDS, CORE, SEEDS, CLASSES, ROUNDS, STILL, HEAD, SHARE, A, B = 10, 1 << 16, 768, 48, 4, 0.01, 1 << 18, 0.95, 0.1, 5.0
+FOLDS, CORE, SEEDS, CLASSES, ROUNDS, STILL, HEAD, SHARE, A, B = 10, 60_000, 768, 48, 4, 0.01, 1 << 18, 0.95, 0.1, 5.0
 OWN, REST = 2 * CLASSES, 2 * CLASSES + 1  # slots of a word's neighbours: classes before, classes after, itself before, a word outside the core before
 SLICE, HELD = 1 << 21, 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -73,8 +73,11 @@ def slices(batches, column: int):
 
 
 def total(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums of n for each distinct row of keys; the first key is nearly unique."""
-    order = np.lexsort(keys[::-1])
+    """Sums of n for rows of equal keys: one for each distinct row, but for chance a few more."""
+    mixed = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        mixed = spread(mixed) + k.astype(np.uint64)
+    order = np.argsort(mixed)
     keys, n = [k[order] for k in keys], n[order]
     if not len(n):
         return keys, n
@@ -145,25 +148,56 @@ class Types:
         return np.append(self.end, run[:-1]), run
 
 
-def bigrams(rows: DataFrame, types: Types, seeds: int) -> np.ndarray:
-    """Counts of (last, next) over the training rows, of the first seeds words of the core and, as the last number, the end."""
-    m = seeds + 1
+def numbered(rows: DataFrame, types: Types) -> DataFrame:
+    """(seq) for each training row: the types of its tokens, two bytes each, the end last."""
 
     def each(batches):
-        seen = np.zeros(m * m, np.int64)
-        for _, texts in slices(batches, 0):
+        for b, texts in slices(batches, 0):
             doc, one, two = tokens(texts)
-            last, run = types.runs(doc, types.of(one, two), len(texts))
-            last, run = (np.where(x == types.end, seeds, np.where(x < seeds, x, m)) for x in (last, run))
-            both = (last < m) & (run < m)
-            seen += np.bincount(last[both] * m + run[both], minlength=m * m)
-        pair = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(seen[pair])], ["pair", "n"])
+            _, run = types.runs(doc, types.of(one, two), len(texts))
+            upto = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(texts)) + 1))).tolist()
+            data = run.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([data[2 * s : 2 * e] for s, e in zip(upto, upto[1:], strict=False)], pa.binary())], ["seq"])
+
+    return cut(rows.where("not held_out").select("data").mapInArrow(each, "seq binary"))
+
+
+def counted(seqs: DataFrame, of, cells: int) -> np.ndarray:
+    """How often each cell is met, of(last types, types) -> cells, over the tokens of numbered rows; cells is bounded."""
+
+    def each(batches):
+        seen = np.zeros(cells, np.int64)
+        for b in batches:
+            if b.num_rows:
+                run = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2").astype(np.int64)
+                at = of(run)
+                for s in range(0, len(at), 1 << 20):
+                    part = at[s : s + (1 << 20)]
+                    if cells < 1 << 18:
+                        seen += np.bincount(part, minlength=cells)
+                    else:
+                        np.add.at(seen, part, 1)
+        cell = np.flatnonzero(seen)
+        for s in range(0, len(cell), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + (1 << 16)]), pa.array(seen[cell[s : s + (1 << 16)]])], ["cell", "n"])
+
+    got = seqs.mapInArrow(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def bigrams(seqs: DataFrame, types: Types, seeds: int) -> np.ndarray:
+    """Counts of (last, next) over the training rows, of the first seeds words of the core and, as the last number, the end."""
+    m = seeds + 1
 
-    got = rows.where("not held_out").select("data").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(m * m)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(m, m)
+    def of(run):
+        run = np.where(run == types.end, seeds, np.where(run < seeds, run, m))
+        last = np.append(seeds, run[:-1])
+        both = (last < m) & (run < m)
+        return last[both] * m + run[both]
+
+    return counted(seqs, of, m * m).reshape(m, m)
 
 
 def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -226,20 +260,17 @@ def neighbours(types: Types, at: np.ndarray, texts: list[bytes]):
     return tuple(np.concatenate([x, x[ahead]]) for x in (one, two, kind)) + (np.concatenate([before, CLASSES + right[ahead]]),)
 
 
-def core_contexts(rows: DataFrame, types: Types, at: np.ndarray) -> np.ndarray:
-    """Counts by core word and slot over the training rows."""
+def core_contexts(seqs: DataFrame, types: Types, at: np.ndarray) -> np.ndarray:
+    """Counts by core word and slot over the training rows; at: the class of each type, -1 where it has none."""
 
-    def of(texts):
-        _, _, kind, slot = neighbours(types, at, texts)
-        mine = kind < types.core
-        return [(kind[mine].astype(np.uint64) << np.uint64(8)) | slot[mine].astype(np.uint64)], np.ones(int(mine.sum()), np.int64)
-
-    each = lambda batches: summed(batches, of, ["key"])
-    got = rows.where("not held_out").select("data").mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((types.core, REST + 1))
-    key = got["key"].to_numpy()
-    out[key >> 8, key & 255] = got["n"].to_numpy()
-    return out
+    def of(run):
+        last, after = np.append(types.end, run[:-1]), np.append(run[1:], types.end)
+        word = run < types.core
+        before = np.where(last == run, OWN, np.where(at[last] < 0, REST, at[last]))
+        ahead = word & (after != run) & (at[after] >= 0)
+        return np.concatenate([run[word] * (REST + 1) + before[word], run[ahead] * (REST + 1) + CLASSES + at[after[ahead]]])
+
+    return counted(seqs, of, types.core * (REST + 1)).reshape(types.core, REST + 1)
 
 
 def core_exchange(seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -400,17 +431,17 @@ def fit(rows: DataFrame) -> tuple[Lexicon, DataFrame, np.ndarray]:
     order = np.lexsort((l, h, -c))
     h, l, c = h[order], l[order], c[order]
     types, seeds = Types(h, l), min(SEEDS, len(h))
-    by_seed = bigrams(rows, types, seeds)
-    first = exchange(by_seed)
+    seqs = numbered(rows, types)
+    first = exchange(bigrams(seqs, types, seeds))
     at = np.full(types.core, -1)
     at[:seeds] = first[:seeds]
     for _ in range(ROUNDS if len(h) else 0):
-        at, pair, moved = core_exchange(core_contexts(rows, types, np.append(at, [-1, 0])), at)
+        at, pair, moved = core_exchange(core_contexts(seqs, types, np.append(at, [-1, 0])), at)
         if moved < STILL:
             break
     kinds = np.bincount(at, minlength=CLASSES).astype(float)
     others = placed(rows, types, np.append(at, [-1, 0]), pair, int(kinds.argmax())) if len(h) else words.select("h", "l", F.lit(1).alias("class"), "c")
-    release(words)
+    release(words, seqs)
     for r in others.groupBy("class").count().collect():  # CLASSES rows
         kinds[r["class"]] += r["count"]
     default = int(kinds[1:].argmax()) + 1
