@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .baselines import at
@@ -42,6 +42,14 @@ def run_statistics(runs: DataFrame, as_of: datetime, hours: int = 24) -> DataFra
     return one.withColumn("success_rate", F.when(F.col("total_runs") > 0, F.round(F.col("completed") * F.lit(100.0) / F.col("total_runs"), 4)).otherwise(F.lit(0.0)))
 
 
+def connection(spark: SparkSession) -> dict:
+    """Whether the session answers at all."""
+    try:
+        return {"status": "healthy" if spark.sql("SELECT 1").first()[0] == 1 else "unhealthy"}
+    except Exception as e:  # whatever keeps it from answering is what the check reports
+        return {"status": "unhealthy", "message": str(e)[:500]}
+
+
 def overall(statuses: list[str]) -> str:
     """The worst of statuses."""
     return min(statuses, key=ORDER.index, default="healthy")
@@ -50,5 +58,5 @@ def overall(statuses: list[str]) -> str:
 def report(events: DataFrame, runs: DataFrame, incidents: DataFrame, as_of: datetime, max_gap_minutes: float = 30) -> dict:
     """All checks as one document; each is one row."""
     checks = {"recent_runs": recent_runs(runs, as_of, max_gap_minutes), "data_freshness": freshness(events, as_of), "incidents": incident_queue(incidents)}
-    found = {k: v.first().asDict() for k, v in checks.items()}
+    found = {"connection": connection(events.sparkSession)} | {k: v.first().asDict() for k, v in checks.items()}
     return {"timestamp": as_of.isoformat(), "overall_status": overall([c["status"] for c in found.values()]), "checks": found, "statistics": run_statistics(runs, as_of).first().asDict()}

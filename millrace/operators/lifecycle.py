@@ -82,6 +82,18 @@ def mark(incidents: DataFrame, keys: list[str], as_of: datetime, what: str, note
     return incidents.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
+def mark_all(incidents: DataFrame, keys: DataFrame, as_of: datetime, channel: str) -> DataFrame:
+    """Incidents with the open ones among keys (incident_key) marked as sent: the form for many keys."""
+    own = incidents.join(keys.select("incident_key", F.lit(True).alias("_sent")).distinct(), "incident_key", "left")
+    sent = F.col("_sent").isNotNull() & F.col("resolved_at").isNull()
+    new = {"alert_sent_at": at(as_of), "alert_channel": F.lit(channel)}
+    return own.withColumns({c: F.when(sent, v).otherwise(F.col(c)) for c, v in new.items()}).select(*incidents.columns)
+
+
+def worst_first(incidents: DataFrame) -> DataFrame:
+    return incidents.orderBy(rank(F.col("severity")), F.col("last_detected_at").desc_nulls_last(), "incident_key")
+
+
 def category(metric: Column) -> Column:
     has = lambda *xs: F.greatest(*[metric.contains(x) for x in xs])
     return F.when(has("revenue", "order", "aov"), "revenue").when(has("rate", "conversion"), "conversion").when(has("funnel", "break", "missing"), "pipeline").otherwise("other")

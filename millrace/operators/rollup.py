@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectionConfig
-from ..schema import DEFAULT_HINT, PATTERNS, rank
+from ..schema import DEFAULT_HINT, HINTS, PATTERNS, rank
 from .baselines import at, hours
 
 
@@ -25,11 +25,11 @@ def hint(found: Column, honour_severity: bool = False) -> Column:
         return F.exists(found, lambda a: ok(a))
 
     out = F.lit(DEFAULT_HINT)
-    for _, _, text, conditions in sorted(PATTERNS, key=lambda p: -p[1])[::-1]:
+    for name, _, conditions in sorted(PATTERNS, key=lambda p: -p[1])[::-1]:
         met = F.lit(True)
         for condition in conditions:
             met &= meets(*condition)
-        out = F.when(met, text).otherwise(out)
+        out = F.when(met, HINTS[name]).otherwise(out)
     return F.when(found.isNull() | (F.size(found) == 0), F.lit(None).cast("string")).otherwise(out)
 
 

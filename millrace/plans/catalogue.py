@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,6 +277,34 @@ def q_anomalies_all(spark, d):
     return _plain(_anomalies(spark, d))
 
 
+@query
+def q_anomaly_texts(spark, d):
+    return _anomalies(spark, d).select("metric_name", "metric_timestamp", "rule", "description")
+
+
+@query
+def q_anomaly_facts(spark, d):
+    """The further facts of anomalies, read back from their JSON documents: numbers, and words where they aren't numbers."""
+    facts = F.explode(F.from_json("metadata_json", "map<string,string>")).alias("fact", "value")
+    number = F.expr("try_cast(value AS double)")
+    return _anomalies(spark, d).select("metric_name", "metric_timestamp", "rule", facts).select("metric_name", "metric_timestamp", "rule", "fact", F.round(number, 4).alias("number"), F.when(number.isNull(), F.col("value")).alias("word"))
+
+
+@query
+def q_incident_texts(spark, d):
+    return rollup.incidents_of(_anomalies(spark, d)).select("incident_key", "combined_description", "root_cause_hint")
+
+
+@query
+def q_run_log(spark, d):
+    """The log of one run that completes and one that fails."""
+    events = read_events(spark, d)
+    result = pipeline.run(events, WEEK, AS_OF, cfg=SCALED)
+    done = pipeline.run_record(events, result, WEEK, AS_OF, AS_OF + timedelta(seconds=90), cfg=SCALED)
+    failed = pipeline.run_record(events, None, WEEK, AS_OF, AS_OF + timedelta(seconds=5), error="no events", cfg=SCALED)
+    return done.unionByName(failed).drop("run_id")
+
+
 @query
 def q_run_summary(spark, d):
     events = read_events(spark, d)
@@ -419,3 +447,9 @@ def q_insert_if_absent(spark, d):
 @query
 def q_zero_amount_orders(spark, d):
     return orders(spark, d).where("amount < 5000").select("order_id", F.col("amount").cast("double").alias("amount"), "status")
+
+
+@query
+def q_unpaid_orders(spark, d):
+    """Orders without an amount; the test tables may have none."""
+    return orders(spark, d).where("amount = 0").select("order_id", F.col("amount").cast("double").alias("amount"), "status")

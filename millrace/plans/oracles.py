@@ -1,9 +1,9 @@
-"""The registered monitoring queries stated again in SQL, independently of the operators: one chain of common table expressions."""
+"""The registered monitoring queries stated again in SQL: one chain of common table expressions. Names, fixed values and patterns come from the schema, the logic is stated anew."""
 
 from __future__ import annotations
 
 from ..operators.metrics import COUNTS, RATIOS
-from ..schema import DEFAULT_HINT, EVENT_TYPES, METRICS, PATTERNS, RATES, REVENUE
+from ..schema import DEFAULT_HINT, EVENT_TYPES, HINTS, METRICS, PATTERNS, RATES, REVENUE
 from .backtest import KNOWN
 
 T = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -53,10 +53,30 @@ def compared(rows: str) -> str:
     CASE WHEN rolling_mean > 0 THEN (metric_value - rolling_mean) / rolling_mean * 100 ELSE 0.0::DOUBLE END AS pct_change_from_mean FROM {rows}"""
 
 
-def found(rows: str, where: str, detector: str, rule: str, severity: str, direction: str, distance: str = FILL) -> str:
+def said(text: str, facts: dict[str, str] | None = None) -> str:
+    """Further columns: the text, and the facts as a list; numbers are doubles, the others words."""
+    one = lambda k, x: f"{{'fact': '{k}', 'number': {FILL if x.startswith('word:') else f'CAST({x} AS DOUBLE)'}, 'word': {x[5:] if x.startswith('word:') else 'NULL::VARCHAR'}}}"
+    return f", {text} AS description, [{', '.join(one(k, x) for k, x in (facts or {}).items())}] AS facts" if facts else f", {text} AS description, NULL AS facts"
+
+
+YES = "word:CASE WHEN {} THEN 'true' ELSE 'false' END".format
+MONEY = "CAST(CAST({} AS DECIMAL(24,2)) AS VARCHAR)".format
+AGAINST_MEAN = f"metric_name || ' at ' || {MONEY('metric_value')} || ', mean ' || {MONEY('baseline_mean')} || ', z ' || {MONEY('z_score')}"
+AGAINST_FENCES = f"metric_name || ' at ' || {MONEY('metric_value')} || ', usually ' || {MONEY('baseline_q1')} || ' to ' || {MONEY('baseline_q3')}"
+TOLD = {
+    "zscore": said(AGAINST_MEAN),
+    "zscore_revenue": said(f"'revenue: ' || {AGAINST_MEAN}", {"metric_category": "word:'revenue'", "impact_severity": "word:'high'", "requires_immediate_action": YES("z_score <= -2.5")}),
+    "zscore_conversion": said(f"'conversion: ' || {AGAINST_MEAN}", {"metric_category": "word:'conversion'", "baseline_rate": "baseline_mean", "current_rate": "metric_value"}),
+    "iqr": said(AGAINST_FENCES),
+    "iqr_revenue": said(f"'revenue: ' || {AGAINST_FENCES}", {"metric_category": "word:'revenue'", "detection_method": "word:'iqr'", "iqr_multiplier_used": "CASE WHEN metric_value < baseline_median THEN 1.0 ELSE 1.5 END"}),
+    "aov": said(f"'order value: ' || {AGAINST_FENCES}", {"aov_baseline_median": "baseline_median", "aov_current": "metric_value", "is_zero_aov": YES("metric_value < 1"), "is_extreme_spike": YES("metric_value > baseline_q3 * 3")}),
+}
+
+
+def found(rows: str, where: str, detector: str, rule: str, severity: str, direction: str, distance: str = FILL, told: bool = False) -> str:
     z = "round(z_score, 4)" if detector == "zscore" else FILL
     return f"""SELECT metric_name, hour_ts AS metric_timestamp, metric_value AS current_value, baseline_mean, baseline_std, baseline_q1, baseline_q3, baseline_iqr, {z} AS z_score,
-    {distance if distance == FILL else f"round({distance}, 4)"} AS iqr_distance, round(pct_change_from_mean, 4) AS pct_change, '{detector}' AS detector, '{rule}' AS rule, {severity} AS severity, {direction} AS direction
+    {distance if distance == FILL else f"round({distance}, 4)"} AS iqr_distance, round(pct_change_from_mean, 4) AS pct_change, '{detector}' AS detector, '{rule}' AS rule, {severity} AS severity, {direction} AS direction{TOLD[rule].replace("z_score", "mwb_i.z_score") if told else ""}
   FROM {rows} WHERE {where}"""
 
 
@@ -70,88 +90,93 @@ SCORED, FENCED = "baseline_std > 0 AND baseline_sample_count >= 24", "baseline_i
 Z2 = "CASE WHEN abs(z_score) >= 3 THEN 'critical' ELSE 'warning' END"
 
 
-def z1(rows, where="true"):
-    return found(rows, f"{SCORED} AND {where} AND abs(z_score) >= 2", "zscore", "zscore", Z2, SIGN)
+def z1(rows, where="true", told=False):
+    return found(rows, f"{SCORED} AND {where} AND abs(z_score) >= 2", "zscore", "zscore", Z2, SIGN, told=told)
 
 
-def z2(rows, where="true"):
+def z2(rows, where="true", told=False):
     core = f"metric_name IN ({names(m for m in REVENUE if m != 'revenue_per_session')})"
     sev = f"CASE WHEN {core} AND z_score <= -2.5 THEN 'critical' WHEN {core} AND z_score <= -1.5 THEN 'warning' WHEN abs(z_score) >= 3 THEN 'critical' WHEN abs(z_score) >= 2 THEN 'warning' ELSE 'info' END"
-    return found(rows, f"{SCORED} AND {where} AND metric_name IN ({names(REVENUE)}) AND (z_score <= -1.5 OR z_score >= 2)", "zscore", "zscore_revenue", sev, SIGN)
+    return found(rows, f"{SCORED} AND {where} AND metric_name IN ({names(REVENUE)}) AND (z_score <= -1.5 OR z_score >= 2)", "zscore", "zscore_revenue", sev, SIGN, told=told)
 
 
-def z3(rows, where="true"):
-    return found(rows, f"{SCORED} AND {where} AND metric_name IN ({names(RATES)}) AND abs(z_score) >= 2", "zscore", "zscore_conversion", Z2, SIGN)
+def z3(rows, where="true", told=False):
+    return found(rows, f"{SCORED} AND {where} AND metric_name IN ({names(RATES)}) AND abs(z_score) >= 2", "zscore", "zscore_conversion", Z2, SIGN, told=told)
 
 
-def i1(rows, where="true"):
-    return found(rows, f"{FENCED} AND {where} AND {OUT}", "iqr", "iqr", SEVERE, FENCE, BEYOND)
+def i1(rows, where="true", told=False):
+    return found(rows, f"{FENCED} AND {where} AND {OUT}", "iqr", "iqr", SEVERE, FENCE, BEYOND, told)
 
 
-def i2(rows, where="true"):
+def i2(rows, where="true", told=False):
     low = "metric_value < baseline_q1 - 1.0::DOUBLE * baseline_iqr"
-    return found(rows, f"{FENCED} AND {where} AND metric_name IN ({names(REVENUE)}) AND ({low} OR metric_value > baseline_q3 + 1.5::DOUBLE * baseline_iqr)", "iqr", "iqr_revenue", f"CASE WHEN {low} OR metric_value > baseline_q3 + 2.0::DOUBLE * baseline_iqr THEN 'critical' ELSE 'warning' END", MEDIAN, "abs(metric_value - baseline_median) / baseline_iqr")
+    return found(rows, f"{FENCED} AND {where} AND metric_name IN ({names(REVENUE)}) AND ({low} OR metric_value > baseline_q3 + 1.5::DOUBLE * baseline_iqr)", "iqr", "iqr_revenue", f"CASE WHEN {low} OR metric_value > baseline_q3 + 2.0::DOUBLE * baseline_iqr THEN 'critical' ELSE 'warning' END", MEDIAN, "abs(metric_value - baseline_median) / baseline_iqr", told)
 
 
-def i3(rows, where="true"):
+def i3(rows, where="true", told=False):
     bad = "(metric_value < 1 AND baseline_median > 10 OR metric_value > baseline_q3 * 3)"
-    return found(rows, f"{FENCED} AND {where} AND metric_name = 'avg_order_value' AND ({bad} OR {OUT})", "iqr", "aov", f"CASE WHEN {bad} THEN 'critical' ELSE 'warning' END", MEDIAN, BEYOND)
+    return found(rows, f"{FENCED} AND {where} AND metric_name = 'avg_order_value' AND ({bad} OR {OUT})", "iqr", "aov", f"CASE WHEN {bad} THEN 'critical' ELSE 'warning' END", MEDIAN, BEYOND, told)
 
 
 def union(*parts: str) -> str:
     return "\n  UNION ALL ".join(f"({p})" for p in parts)
 
 
-def all_z(rows, where="true"):
-    return union(z1(rows, where), z2(rows, where), z3(rows, where))
+def all_z(rows, where="true", told=False):
+    return union(z1(rows, where, told), z2(rows, where, told), z3(rows, where, told))
 
 
-def all_i(rows, where="true"):
-    return union(i1(rows, where), i2(rows, where), i3(rows, where))
+def all_i(rows, where="true", told=False):
+    return union(i1(rows, where, told), i2(rows, where, told), i3(rows, where, told))
 
 
-def ruled(metric, value, mean, std, pct, rule, severity, direction, body) -> str:
+def ruled(metric, value, mean, std, pct, rule, severity, direction, body, told="") -> str:
     return f"""SELECT {metric} AS metric_name, w.window_start AS metric_timestamp, CAST({value} AS DOUBLE) AS current_value, {mean} AS baseline_mean, {std} AS baseline_std, {FILL} AS baseline_q1, {FILL} AS baseline_q3, {FILL} AS baseline_iqr,
-    {FILL} AS z_score, {FILL} AS iqr_distance, {pct} AS pct_change, 'rules' AS detector, '{rule}' AS rule, {severity} AS severity, {direction} AS direction {body}"""
+    {FILL} AS z_score, {FILL} AS iqr_distance, {pct} AS pct_change, 'rules' AS detector, '{rule}' AS rule, {severity} AS severity, {direction} AS direction{told} {body}"""
 
 
-def rules(ev: str, w: str) -> dict[str, str]:
-    """Each rule over windows w (window_start, window_end) of events ev, as correlated joins on the raw events."""
+def rules(ev: str, w: str, told: bool = False) -> dict[str, str]:
+    """Each rule over windows w (window_start, window_end) of events ev, as correlated joins on the raw events. told: with text and facts."""
+    say = lambda text, facts: said(text, facts) if told else ""
     dim = ", ".join(f"('{t}', {c})" for t, _, c, _ in EVENT_TYPES)
     inside, hour = "e.event_time >= w.window_start AND e.event_time < w.window_end", "date_trunc('hour', e.event_time)"
     back = lambda days: f"e.event_time >= w.window_start - INTERVAL {days} DAY AND e.event_time < w.window_start"
     n = lambda k: f"count(*) FILTER (WHERE e.event_type = '{k}')"
-    sums = f"""SELECT w.window_start, {n("add_to_cart")} AS cart, {n("checkout_start")} AS started, {n("checkout_complete")} AS done, {n("payment_initiated")} AS initiated, {n("payment_success")} AS paid, {n("purchase")} AS bought,
+    sums = f"""SELECT w.window_start, {n("add_to_cart")} AS cart, {n("checkout_start")} AS started, {n("checkout_complete")} AS done, {n("payment_initiated")} AS initiated, {n("payment_success")} AS paid, {n("payment_failed")} AS failed, {n("purchase")} AS bought,
       coalesce(sum(CASE WHEN e.event_type = 'purchase' THEN CAST(e.amount * 100 AS BIGINT) END), 0) / 100.0::DOUBLE AS total, count(DISTINCT e.user_id) AS users, count(DISTINCT e.session_id) AS sessions
       FROM {w} w LEFT JOIN {ev} e ON {inside} GROUP BY 1"""
     missing = ruled("u.event_type || '_count'", 0, "round(u.mean, 4)", FILL, FILL, "missing_event_types", "CASE WHEN d.c THEN 'critical' ELSE 'warning' END", "'missing'", f"""
     FROM (SELECT window_start, event_type, avg(n) AS mean FROM (SELECT w.window_start, e.event_type, {hour} AS h, count(*) AS n FROM {w} w JOIN {ev} e ON {back(7)} GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING avg(n) > 1) u
     JOIN {w} w ON w.window_start = u.window_start JOIN (VALUES {dim}) d(t, c) ON d.t = u.event_type
-    WHERE NOT EXISTS (SELECT 1 FROM {ev} e WHERE {inside} AND e.event_type = u.event_type)""")
-    check = lambda when, metric, value, severity, direction: ruled(f"'{metric}'", value, FILL, FILL, FILL, "funnel_breaks", f"'{severity}'", f"'{direction}'", f"FROM ({sums}) w WHERE {when}")
+    WHERE NOT EXISTS (SELECT 1 FROM {ev} e WHERE {inside} AND e.event_type = u.event_type)""",
+        say(f"'no ' || u.event_type || ' events, usually ' || {MONEY('u.mean')} || ' an hour'", {"event_type": "word:u.event_type", "is_conversion_event": YES("d.c"), "baseline_avg_count": "round(u.mean, 4)", "window_start": "word:CAST(w.window_start AS VARCHAR)", "window_end": "word:CAST(w.window_end AS VARCHAR)"}))
+    counts = "started || ' started, ' || done || ' completed, ' || paid || ' paid, ' || bought || ' bought'"
+    check = lambda when, metric, value, severity, direction, **facts: ruled(f"'{metric}'", value, FILL, FILL, FILL, "funnel_breaks", f"'{severity}'", f"'{direction}'", f"FROM ({sums}) w WHERE {when}", say(f"'{metric}: ' || {counts}", facts))
     funnel = union(
-        check("started > 0 AND cart = 0", "funnel_break_cart", 0, "critical", "missing"), check("done > 0 AND started = 0", "funnel_break_checkout", 0, "critical", "missing"),
-        check("paid > 2 AND bought = 0", "funnel_break_purchase", 0, "critical", "missing"), check("done > 2 AND bought < done * 0.5", "funnel_break_conversion", "round(bought * 100.0::DOUBLE / done, 6)", "warning", "below"),
+        check("started > 0 AND cart = 0", "funnel_break_cart", 0, "critical", "missing", checkout_start="started", add_to_cart="cart"), check("done > 0 AND started = 0", "funnel_break_checkout", 0, "critical", "missing", checkout_complete="done", checkout_start="started"),
+        check("paid > 2 AND bought = 0", "funnel_break_purchase", 0, "critical", "missing", payment_success="paid", purchases="bought"), check("done > 2 AND bought < done * 0.5", "funnel_break_conversion", "round(bought * 100.0::DOUBLE / done, 6)", "warning", "below", checkout_complete="done", purchases="bought", conversion_rate="round(bought * 100.0::DOUBLE / done, 6)"),
     )
     gateway = ruled("CASE WHEN paid = 0 THEN 'payment_gateway_failure' ELSE 'payment_success_rate_drop' END", "CASE WHEN paid = 0 THEN 0 ELSE round(paid * 100.0::DOUBLE / initiated, 6) END", "round(mean, 8)", FILL, FILL, "payment_gateway",
         "CASE WHEN paid = 0 OR paid * 100.0::DOUBLE / initiated < mean * 0.5 THEN 'critical' ELSE 'warning' END", "'below'", f"""FROM ({sums}) w LEFT JOIN (
       SELECT window_start, avg(ok * 100.0::DOUBLE / tried) AS mean FROM (SELECT w.window_start, {hour} AS h, {n("payment_success")} AS ok, {n("payment_initiated")} AS tried FROM {w} w JOIN {ev} e ON {back(7)} GROUP BY 1, 2 HAVING {n("payment_initiated")} > 2) GROUP BY 1) b USING (window_start)
-    WHERE initiated > 2 AND (paid = 0 OR paid * 100.0::DOUBLE / initiated < mean * 0.7)""".replace("USING (window_start)", "ON b.window_start = w.window_start"))
+    WHERE initiated > 2 AND (paid = 0 OR paid * 100.0::DOUBLE / initiated < mean * 0.7)""".replace("USING (window_start)", "ON b.window_start = w.window_start"),
+        say("paid || ' of ' || initiated || ' payments succeeded, ' || failed || ' failed'", {"initiated": "initiated", "success": "paid", "failed": "failed", "current_rate": "round(paid * 100.0::DOUBLE / initiated, 6)", "baseline_rate": "round(mean, 8)"}))
     usual = f"""SELECT window_start, avg(u) AS mu, stddev_samp(u) AS su, avg(s) AS ms, stddev_samp(s) AS ss FROM (SELECT w.window_start, {hour} AS h, count(DISTINCT e.user_id) AS u, count(DISTINCT e.session_id) AS s FROM {w} w
       JOIN {ev} e ON {back(28)} AND dayofweek(e.event_time) = dayofweek(w.window_start) AND hour(e.event_time) = hour(w.window_start) GROUP BY 1, 2) GROUP BY 1 HAVING avg(u) > 2"""
-    drop = lambda c, m, s: ruled(f"'unique_{c}_drop'", c, f"round({m}, 4)", f"round({s}, 4)", f"round(({c} - {m}) / {m} * 100, 4)", "traffic_drops", f"CASE WHEN {c} < {m} * 0.3 THEN 'critical' ELSE 'warning' END", "'below'", f"FROM ({sums}) w JOIN ({usual}) b ON b.window_start = w.window_start WHERE {c} < {m} * 0.5")
+    drop = lambda c, m, s: ruled(f"'unique_{c}_drop'", c, f"round({m}, 4)", f"round({s}, 4)", f"round(({c} - {m}) / {m} * 100, 4)", "traffic_drops", f"CASE WHEN {c} < {m} * 0.3 THEN 'critical' ELSE 'warning' END", "'below'", f"FROM ({sums}) w JOIN ({usual}) b ON b.window_start = w.window_start WHERE {c} < {m} * 0.5", say(f"'only ' || {c} || ' {c}, usually ' || {MONEY(m)}", {"current": c, "baseline_avg": f"round({m}, 4)", "drop_pct": f"-round(({c} - {m}) / {m} * 100, 4)"}))
     money = ruled("CASE WHEN bought > 0 AND total = 0 THEN 'zero_revenue_bug' ELSE 'near_zero_revenue' END", "CASE WHEN bought > 0 AND total = 0 THEN 0 ELSE total END", "round(mean, 4)", FILL, FILL, "zero_revenue", "'critical'", "'below'", f"""FROM ({sums}) w LEFT JOIN (
       SELECT window_start, CAST(sum(m) AS BIGINT) / (count(*) * 100.0::DOUBLE) AS mean FROM (SELECT w.window_start, {hour} AS h, CAST(sum(CAST(e.amount * 100 AS BIGINT)) AS BIGINT) AS m FROM {w} w JOIN {ev} e ON {back(7)} AND e.event_type = 'purchase' GROUP BY 1, 2) GROUP BY 1) b ON b.window_start = w.window_start
-    WHERE bought > 0 AND total = 0 OR mean > 10 AND total < mean * 0.1""")
+    WHERE bought > 0 AND total = 0 OR mean > 10 AND total < mean * 0.1""",
+        say(f"bought || ' purchases, revenue ' || {MONEY('total')}", {"purchase_count": "bought", "total_revenue": "total", "baseline_avg": "round(mean, 4)"}))
     return {"missing": missing, "funnel": funnel, "gateway": gateway, "traffic": union(drop("users", "mu", "su"), drop("sessions", "ms", "ss")), "money": money}
 
 
 def hint(rows: str = "a") -> str:
     """The hint of anomalies of one time, as correlated tests on table anoms."""
     out = []
-    for _, _, text, conditions in sorted(PATTERNS, key=lambda p: -p[1]):
+    for name, _, conditions in sorted(PATTERNS, key=lambda p: -p[1]):
         met = " AND ".join(f"EXISTS (SELECT 1 FROM anoms x WHERE x.metric_timestamp = {rows}.metric_timestamp AND x.metric_name LIKE '{m}%' AND x.direction = '{d}')" for m, d, _ in conditions)
-        out.append(f"WHEN {met} THEN '{text.replace(chr(39), chr(39) * 2)}'")
+        out.append(f"WHEN {met} THEN '{HINTS[name].replace(chr(39), chr(39) * 2)}'")
     return f"CASE {' '.join(out)} ELSE '{DEFAULT_HINT}' END"
 
 
@@ -188,6 +213,7 @@ CTES = {
     "mwb_i": compared("(SELECT l.*, b.* EXCLUDE (metric_name) FROM long_i l LEFT JOIN base_i b ON b.metric_name = l.metric_name)"),
     "ruled": union(*RI.values()),
     "anoms": f"SELECT * FROM ({union(all_z('mwb_i', WEEK), all_i('mwb_i', WEEK))}) UNION ALL SELECT * FROM ruled WHERE metric_timestamp >= TIMESTAMP '2024-01-23 00:00:00' AND metric_timestamp < {T}",
+    "told": f"SELECT * FROM ({union(all_z('mwb_i', WEEK, True), all_i('mwb_i', WEEK, True))}) UNION ALL SELECT * FROM ({union(*rules('inj', 'hour_windows', True).values())}) WHERE metric_timestamp >= TIMESTAMP '2024-01-23 00:00:00' AND metric_timestamp < {T}",
     "inc": incidents("anoms"),
     "state": f"""SELECT incident_key, metric_timestamp AS first_detected_at, metric_timestamp + INTERVAL 1 HOUR AS last_detected_at, metric_name, severity, detection_count, current_value, baseline_value, deviation_pct, related_metrics,
     CASE WHEN n % 3 = 0 THEN metric_timestamp + INTERVAL 2 HOUR END AS alert_sent_at, n % 5 = 0 AS is_suppressed, CASE WHEN n % 5 = 0 THEN 'muted' END AS suppression_reason, CASE WHEN n % 7 = 0 THEN metric_timestamp + INTERVAL 3 HOUR END AS resolved_at
@@ -216,6 +242,11 @@ _season = "round(same_hour_mean, 6) AS same_hour_mean, round(same_hour_std, 6) A
 _SEASONAL = f"""SELECT metric_name, current_hour, current_value, {_season} FROM (SELECT a.metric_name, a.hour_ts AS current_hour, a.metric_value AS current_value, avg(b.metric_value) AS same_hour_mean, stddev_samp(b.metric_value) AS same_hour_std, count(b.metric_value) AS sample_count
   FROM long a LEFT JOIN long b ON a.metric_name = b.metric_name AND dayofweek(a.hour_ts) = dayofweek(b.hour_ts) AND hour(a.hour_ts) = hour(b.hour_ts) AND b.hour_ts >= a.hour_ts - INTERVAL 28 DAY AND b.hour_ts < a.hour_ts GROUP BY 1, 2, 3) WHERE sample_count >= 2"""
 _BODIES = {
+    "q_anomaly_texts": "SELECT metric_name, metric_timestamp, rule, description FROM told",
+    "q_anomaly_facts": "SELECT metric_name, metric_timestamp, rule, f.fact AS fact, round(f.number, 4) AS number, f.word AS word FROM (SELECT metric_name, metric_timestamp, rule, unnest(facts) AS f FROM told WHERE facts IS NOT NULL) WHERE f.number IS NOT NULL OR f.word IS NOT NULL",
+    "q_incident_texts": f"SELECT incident_key, combined_description, {hint('i')} AS root_cause_hint FROM (SELECT {KEY} AS incident_key, metric_timestamp, string_agg(DISTINCT description, ' | ' ORDER BY description) AS combined_description FROM told GROUP BY metric_name, metric_timestamp) i",
+    "q_run_log": f"SELECT {T} AS started_at, {T} + INTERVAL 90 SECOND AS ended_at, {T} - INTERVAL 7 DAY AS window_start, {T} AS window_end, 'completed' AS status, 168 AS baseline_periods, 18 AS metrics_computed, CAST(count(*) AS INTEGER) AS anomalies_detected, CAST(NULL AS VARCHAR) AS error_message FROM ({union(all_z('mwb', WEEK), all_i('mwb', WEEK), *rules('ev', 'week_window').values())}) UNION ALL SELECT {T}, {T} + INTERVAL 5 SECOND, {T} - INTERVAL 7 DAY, {T}, 'failed', 168, NULL, NULL, 'no events'",
+    "q_unpaid_orders": "SELECT o_orderkey AS order_id, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS amount, o_orderstatus AS status FROM orders WHERE CAST(o_totalprice AS DECIMAL(12,2)) = 0",
     "q_event_distribution": "SELECT event_type, count(*) AS cnt FROM ev GROUP BY 1",
     "q_data_range": "SELECT min(event_time) AS first_event, max(event_time) AS last_event, count(*) AS events FROM ev",
     "q_hourly_event_counts": "SELECT * FROM counts",

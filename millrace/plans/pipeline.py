@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -18,8 +18,8 @@ class Result:
     run_id: str
     baselines: DataFrame
     anomalies: DataFrame
-    incidents: DataFrame
-    summary: DataFrame
+    incidents: DataFrame | None = None
+    summary: DataFrame | None = None
 
 
 def run_id_of(window: Window, as_of: datetime) -> str:
@@ -40,16 +40,20 @@ def detect(events: DataFrame, window: Window, cfg: DetectionConfig = DetectionCo
     return base, found
 
 
+def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig) -> Result:
+    """result with the incidents and counts of its anomalies."""
+    new = rollup.incidents_of(result.anomalies, cfg)
+    incidents = rollup.upsert(open_incidents, new, as_of, cfg) if open_incidents is not None else new
+    by = lambda d: F.count_if(F.col("detector") == d)
+    summary = result.anomalies.agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))
+    return replace(result, incidents=incidents, summary=summary.select(F.lit(result.run_id).alias("run_id"), "*"))
+
+
 def run(events: DataFrame, window: Window, as_of: datetime, open_incidents: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig(), history: DataFrame | None = None) -> Result:
     """Everything that one run adds."""
     run_id = run_id_of(window, as_of)
     base, found = detect(events, window, cfg, history)
-    anomalies = found.select(F.lit(run_id).alias("run_id"), baselines.at(as_of).alias("detected_at"), "*")
-    new = rollup.incidents_of(anomalies, cfg)
-    incidents = rollup.upsert(open_incidents, new, as_of, cfg) if open_incidents is not None else new
-    by = lambda d: F.count_if(F.col("detector") == d)
-    summary = anomalies.agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))
-    return Result(run_id, base, anomalies, incidents, summary.select(F.lit(run_id).alias("run_id"), "*"))
+    return rolled(Result(run_id, base, found.select(F.lit(run_id).alias("run_id"), baselines.at(as_of).alias("detected_at"), "*")), as_of, open_incidents, cfg)
 
 
 def run_record(events: DataFrame, result: Result | None, window: Window, as_of: datetime, ended_at: datetime, error: str | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:

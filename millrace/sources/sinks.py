@@ -10,7 +10,7 @@ import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlertConfig
@@ -27,16 +27,40 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a state table by a snapshot that may have been read from it: written aside, then renamed."""
+    """Replace a state table by a snapshot that may have been read from it: written beside it, the old one renamed aside, the new one renamed in, the old one deleted.
+
+    A crash leaves the old or the new table beside the path at worst, never neither; ``recover`` puts it back."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    aside = f"{path.rstrip('/')}.next-{time.time_ns()}"
-    df.write.parquet(aside)
-    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    stamp = time.time_ns()
+    names = [f"{path.rstrip('/')}.next-{stamp}", path, f"{path.rstrip('/')}.last-{stamp}"]
+    df.write.parquet(names[0])
+    new, now, last = (jvm.org.apache.hadoop.fs.Path(n) for n in names)
     fs = new.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"can't rename {aside} to {path}")
+    had = fs.exists(now)
+    if had and not fs.rename(now, last):
+        raise OSError(f"can't rename {path} to {names[2]}")
+    if not fs.rename(new, now):
+        if had:
+            fs.rename(last, now)
+        raise OSError(f"can't rename {names[0]} to {path}")
+    if had:
+        fs.delete(last, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether a table that a crash within ``swap`` took away was put back: the newest snapshot that was written whole, else the last one."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    now = jvm.org.apache.hadoop.fs.Path(path)
+    fs = now.getFileSystem(conf)
+    if fs.exists(now):
+        return False
+    for kind in ("next", "last"):
+        found = sorted((f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-*")) or []), key=lambda p: p.getName())
+        whole = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        if whole and fs.rename(whole[-1], now):
+            return True
+    return False
 
 
 def incidents_csv(incidents: DataFrame, path: str) -> None:
@@ -52,9 +76,12 @@ def _plain(row) -> dict:
     return {k: (v.isoformat() if hasattr(v, "isoformat") else v) for k, v in row.asDict().items()}
 
 
-def run_json(summary: dict, anomalies: DataFrame, incidents: DataFrame, path: str | None = None) -> str:
-    """The run, its anomalies and incidents as one document."""
-    text = json.dumps({"run": summary, "anomalies": [_plain(r) for r in anomalies.collect()], "incidents": [_plain(r) for r in incidents.collect()]}, default=str, indent=1)
+def run_json(summary: dict, anomalies: DataFrame, incidents: DataFrame, path: str | None = None, most: int = 1000) -> str:
+    """The run, its anomalies and incidents as one document: the worst ``most`` of each, and how many there are. All of them are in the state tables."""
+    when = lambda df: next(c for c in ("last_detected_at", "metric_timestamp") if c in df.columns)
+    shown = lambda df: [_plain(r) for r in df.orderBy(rank(F.col("severity")), F.col(when(df)).desc_nulls_last(), "metric_name").limit(most).collect()]
+    found = {"run": summary, "anomaly_count": anomalies.count(), "incident_count": incidents.count(), "anomalies": shown(anomalies), "incidents": shown(incidents)}
+    text = json.dumps(found, default=str, indent=1)
     if path:
         Path(path).write_text(text, encoding="utf-8")
     return text
@@ -65,13 +92,13 @@ def figure(x, unit: str = "") -> str:
     return "N/A" if x is None else f"{x:,.2f}{unit}"
 
 
-def markdown(summary: dict, anomalies: DataFrame, incidents: DataFrame, most: int = 20) -> str:
-    """A report: counts, critical and warning incidents, the largest anomalies."""
+def markdown(summary: dict, anomalies: DataFrame, incidents: DataFrame, most: int = 20, listed: int = 200) -> str:
+    """A report: counts, the latest critical and warning incidents, the largest anomalies."""
     per = {r["severity"]: r["count"] for r in incidents.groupBy("severity").count().collect()}
     out = [f"# Run {summary.get('run_id', '')}", "", *[f"- {k}: {v}" for k, v in summary.items() if k != "run_id"], *[f"- {s} incidents: {per.get(s, 0)}" for s in SEVERITIES], ""]
     for s in SEVERITIES[:2]:
         out += [f"## {s.capitalize()} incidents", ""]
-        for r in incidents.where(F.col("severity") == s).orderBy(F.col("last_detected_at").desc_nulls_last(), "incident_key").toLocalIterator():
+        for r in incidents.where(F.col("severity") == s).orderBy(F.col("last_detected_at").desc_nulls_last(), "incident_key").limit(listed).collect():
             out += [f"- **{r['metric_name']}**: {figure(r['current_value'])}, usually {figure(r['baseline_value'])} ({figure(r['deviation_pct'], '%')}). {r['root_cause_hint'] or ''}"]
         out.append("")
     out += ["## Anomalies", "", "| metric | hour | value | mean | z | severity |", "|-|-|-|-|-|-|"]
@@ -94,13 +121,14 @@ def worst(incidents: list[dict]) -> str:
     return min((i.get("severity") or "info" for i in incidents), key=lambda s: SEVERITIES.index(s) if s in SEVERITIES else 3, default="info")
 
 
-def alert(run_id: str, incidents: list[dict], link: str | None = None, cfg: AlertConfig = AlertConfig()) -> dict:
-    """A message: full counts, the first incidents with figures and hints, a mention if the severity has one."""
+def alert(run_id: str, incidents: list[dict], link: str | None = None, cfg: AlertConfig = AlertConfig(), per: dict[str, int] | None = None) -> dict:
+    """A message: full counts (per, where incidents are but the first), the first incidents with figures and hints, a mention if the severity has one."""
     severity = worst(incidents)
     mention = cfg.routing.get(severity, {}).get("mention", "")
-    counts = ", ".join(f"{n} {s}" for s in SEVERITIES if (n := sum(i.get("severity") == s for i in incidents)))
+    per = {s: sum(i.get("severity") == s for i in incidents) for s in SEVERITIES} if per is None else per
+    counts = ", ".join(f"{n} {s}" for s in SEVERITIES if (n := per.get(s, 0)))
     section = lambda text: {"type": "section", "text": {"type": "mrkdwn", "text": text}}
-    blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"{severity.upper()}: {len(incidents)} incidents"}}]
+    blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"{severity.upper()}: {sum(per.values())} incidents"}}]
     blocks += [section(mention)] if mention else []
     blocks.append(section(f"Run `{run_id}`: {counts}"))
     for i in incidents[: cfg.max_incidents]:
@@ -110,6 +138,20 @@ def alert(run_id: str, incidents: list[dict], link: str | None = None, cfg: Aler
     return {"text": f"{severity}: {counts or 'no incidents'}", "attachments": [{"color": COLOURS.get(severity, COLOURS["info"]), "blocks": blocks}]}
 
 
+def report_message(run_id: str, incidents: list[dict], when: str, link: str | None = None, most: int = 5) -> dict:
+    """The report's own payload: the run and its time, the first critical and warning incidents, what the worst one's hint says, a link."""
+    order = [i for s in SEVERITIES[:2] for i in incidents if i.get("severity") == s][:most]
+    severity = worst(incidents)
+    section = lambda text: {"type": "section", "text": {"type": "mrkdwn", "text": text}}
+    blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"Report ({severity.upper()})"}}, section(f"Run `{run_id}`, {when}"), {"type": "divider"}]
+    if order:
+        blocks.append(section("\n".join(f"*{i['metric_name']}* {figure(i.get('current_value'))}, usually {figure(i.get('baseline_value'))} ({figure(i.get('deviation_pct'), '%')})" for i in order)))
+    if told := next((i["root_cause_hint"] for i in order if i.get("root_cause_hint")), None):
+        blocks += [{"type": "divider"}, section(told)]
+    blocks += [section(f"<{link}|Full report>")] if link else []
+    return {"text": f"Report of {run_id}: {severity}", "attachments": [{"color": COLOURS.get(severity, COLOURS["info"]), "blocks": blocks}]}
+
+
 def health_message(status: dict) -> dict:
     lines = [f"{k}: {v['status']}" for k, v in status.get("checks", {}).items()]
     return {"text": f"Monitor is {status['overall_status']}\n" + "\n".join(lines)}
@@ -166,13 +208,13 @@ class Router:
             return True
         return False
 
-    def route(self, run_id: str, incidents: list[dict], link: str | None = None) -> dict[str, bool]:
+    def route(self, run_id: str, incidents: list[dict], link: str | None = None, per: dict[str, int] | None = None) -> dict[str, bool]:
         """Whether each channel took the alert."""
         if not incidents:
             return {}
         severity = worst(incidents)
         own, out = self.cfg.routing.get(severity, {}), {}
-        payload = alert(run_id, incidents, link, self.cfg)
+        payload = alert(run_id, incidents, link, self.cfg, per)
         if url := self.env.get(own.get("webhook_env") or ""):
             channel = own.get("channel") or "specific"
             out[channel] = self._try(severity, channel, payload, url)

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta
+from math import exp
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Share of the base load in each hour of the day, and steps as (type, share of those that took the step before).
-HOURS = [0.3, 0.2, 0.15, 0.1, 0.1, 0.15, 0.3, 0.5, 0.7, 0.9, 1.0, 1.1, 1.2, 1.1, 1.0, 1.0, 1.0, 1.1, 1.2, 1.3, 1.2, 1.0, 0.7, 0.45]
-FUNNEL = [("page_view", 1.0), ("product_view", 0.7), ("add_to_cart", 0.25), ("checkout_start", 0.6), ("checkout_complete", 0.8), ("payment_initiated", 1.0), ("payment_success", 0.95), ("purchase", 0.95)]
-WEEKEND = 0.7
+@dataclass(frozen=True)
+class Shop:
+    """How busy the invented shop is: two bumps over the day's hours on a floor, as (hour, width, height); what weekends take off; how far an hour strays from that; and the share of those that
+    took the step before who take the next."""
 
+    floor: float = 0.15
+    bumps: tuple = ((13.0, 3.5, 0.9), (20.0, 2.5, 0.8))
+    weekend: float = 0.75
+    noise: float = 0.2
+    steps: tuple = (("page_view", 1.0), ("product_view", 0.65), ("add_to_cart", 0.3), ("checkout_start", 0.55), ("checkout_complete", 0.8), ("payment_initiated", 1.0), ("payment_success", 0.94), ("purchase", 0.96))
 
-def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int = 100, seed: int = 42, faults: bool = True) -> DataFrame:
+    def busy(self, hour: int) -> float:
+        """Share of the base load; distances go round the clock."""
+        return self.floor + sum(h * exp(-((min(abs(hour - at), 24 - abs(hour - at)) / w) ** 2)) for at, w, h in self.bumps)
+
+
+def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int = 100, seed: int = 42, faults: bool = True, shop: Shop = Shop()) -> DataFrame:
     """Canonical events of the days before end (a whole hour): sessions follow the day's curve and fall through the funnel by hashes of
     their number, so any partitioning gives the same rows. Faults stand at fixed distances from the end."""
     start = end - timedelta(days=days)
@@ -21,8 +33,8 @@ def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int =
     most = int(sessions * 1.5)
     ids = spark.range(days * 24 * most)
     hour = F.expr(f"timestampadd(HOUR, cast(id div {most} as int), timestamp_ntz'{start:%Y-%m-%d %H:%M:%S}')")
-    load = F.element_at(F.array(*[F.lit(x) for x in HOURS]), F.hour("hour_ts") + 1) * F.when(F.dayofweek("hour_ts").isin(1, 7), WEEKEND).otherwise(1.0) * sessions
-    rows = ids.withColumn("hour_ts", hour).where((F.col("id") % most) < load * (F.lit(0.85) + 0.3 * F.pmod(F.xxhash64("hour_ts", F.lit(seed)), F.lit(1000)) / 1000))
+    load = F.element_at(F.array(*[F.lit(shop.busy(h)) for h in range(24)]), F.hour("hour_ts") + 1) * F.when(F.dayofweek("hour_ts").isin(1, 7), shop.weekend).otherwise(1.0) * sessions
+    rows = ids.withColumn("hour_ts", hour).where((F.col("id") % most) < load * (F.lit(1 - shop.noise) + 2 * shop.noise * F.pmod(F.xxhash64("hour_ts", F.lit(seed)), F.lit(1000)) / 1000))
     before = lambda n, long: (F.col("hour_ts") >= F.lit(end - timedelta(hours=n)).cast("timestamp_ntz")) & (F.col("hour_ts") < F.lit(end - timedelta(hours=n - long)).cast("timestamp_ntz"))
     on = lambda cond: cond if faults else F.lit(False)
     reach, steps = F.lit(True), []
@@ -34,7 +46,7 @@ def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int =
         money = F.round(amount, 2) if kind in ("payment_success", "purchase") else F.lit(0.0)
         return F.when(cond, F.struct(F.lit(kind).alias("event_type"), when.alias("event_time"), money.cast("decimal(12,2)").alias("amount")))
 
-    for k, (kind, share) in enumerate(FUNNEL):
+    for k, (kind, share) in enumerate(shop.steps):
         if kind == "checkout_complete":
             share = F.when(on(before(24, 2)), share * 0.3).otherwise(share)
         last, reach = reach, reach & (u(kind) < share)

@@ -8,7 +8,7 @@ import pytest
 from millrace.config import DetectionConfig, RetentionConfig, Window
 from millrace.operators import baselines, health, lifecycle, metrics, rollup, rules, statistical
 from millrace.plans import backtest
-from millrace.schema import ANOMALIES, BASELINES, DEFAULT_HINT, EVENTS, INCIDENTS, PATTERNS, RUNS
+from millrace.schema import ANOMALIES, BASELINES, DEFAULT_HINT, EVENTS, HINTS, INCIDENTS, RUNS
 
 H = datetime(2024, 1, 10, 12)
 ROWS = "hour_ts timestamp_ntz, metric_name string, metric_value double, rolling_mean double, rolling_std double, rolling_min double, rolling_max double, percentile_25 double, percentile_50 double, percentile_75 double, iqr double, sample_count bigint"
@@ -131,7 +131,7 @@ def test_fused_equals_joined(spark):
 
 def anomalies(spark, *rows):
     """rows: (metric, severity, direction)."""
-    return spark.createDataFrame([("r", H, m, H, 1.0, None, None, None, None, None, None, None, None, "rules", s, d, f"{m} {d}", None) for m, s, d in rows], ANOMALIES)
+    return spark.createDataFrame([("r", H, m, H, 1.0, None, None, None, None, None, None, None, None, "rules", "x", s, d, f"{m} {d}", None) for m, s, d in rows], ANOMALIES)
 
 
 def test_severity_of_an_incident(spark):
@@ -142,7 +142,7 @@ def test_severity_of_an_incident(spark):
 
 
 def test_hints(spark):
-    by_name = {p[0]: p[2] for p in PATTERNS}
+    by_name = HINTS
     both = anomalies(spark, ("avg_order_value", "warning", "above"), ("gross_revenue", "warning", "above"))
     assert rollup.root_cause_hints(both).first()[1] == by_name["pricing_bug_spike"]
     assert rollup.root_cause_hints(both, True).first()[1] == DEFAULT_HINT
@@ -160,7 +160,7 @@ def test_a_rerun_updates_its_incident(spark):
 def test_retention_goes_through_runs_and_is_idempotent(spark):
     old, now = datetime(2023, 1, 1), datetime(2024, 1, 1)
     runs = spark.createDataFrame([("r", old, old, old, old, "completed", 168, 18, 1, None)], RUNS)
-    a = spark.createDataFrame([("r", now, "m", now, *[None] * 9, "rules", "info", "above", None, None)], ANOMALIES)
+    a = spark.createDataFrame([("r", now, "m", now, *[None] * 9, "rules", "x", "info", "above", None, None)], ANOMALIES)
     base = spark.createDataFrame([], BASELINES)
     kept, runs_left, base_left, counts = lifecycle.apply_retention(a, runs, base, now, RetentionConfig())
     assert kept.count() == 0 and counts.first().asDict() == {"deleted_anomalies": 1, "deleted_baselines": 0, "deleted_runs": 1}

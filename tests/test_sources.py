@@ -1,9 +1,13 @@
 """Sinks, routing, the generator, the SQL surface, streams and the command line."""
 
 import json
+import logging
+import os
 from datetime import datetime, timedelta
 
-from millrace import cli
+import pytest
+
+from millrace import __version__, cli, logs
 from millrace.config import Window, load
 from millrace.functions import sql_surface
 from millrace.plans import backtest, pipeline
@@ -90,12 +94,88 @@ def test_stream_of_hours(spark, tmp_path):
     assert len(seen) > 100 and {"hour_ts", "event_type", "event_count"} <= set(seen[0].asDict())
 
 
-def test_command_line(spark, tmp_path, capsys):
-    path = str(tmp_path / "e")
-    assert cli.main(["seed", path, "--end", "2024-03-31", "--days", "9", "--sessions", "5"], spark) == 0
-    assert cli.main(["run", path, "--as-of", "2024-03-30T18:30:00", "--json", str(tmp_path / "r.json")], spark) == 0
-    assert json.loads((tmp_path / "r.json").read_text())["run"]["total_anomalies"] >= 0
-    assert cli.main(["health", path, "--as-of", "2024-03-31T00:10:00"], spark) == 1
+def test_command_line_from_run_to_cooldown(spark, tmp_path, capsys):
+    """A run, its report, a sent alert, the cooldown that the next run meets, a failed run in the log, health, retention, reset."""
+    path, store, sent = str(tmp_path / "e"), str(tmp_path / "s"), []
+    said = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    call = lambda *a: cli.main([str(x) for x in a], spark, lambda payload, url: sent.append((url, payload)) or True, {"ALERT_WEBHOOK": "d", "ALERT_WEBHOOK_CRITICAL": "c"})
+    assert call("seed", path, "--end", "2024-03-31", "--days", "9", "--sessions", "60") == 0
+    assert call("run", path, store, "--as-of", "2024-03-30T19:20:00", "--json", tmp_path / "r.json", "--markdown", tmp_path / "r.md", "--metrics", tmp_path / "m.prom", "--metrics-csv", tmp_path / "m", "--csv", tmp_path / "i") == 0
+    first = said()
+    assert first["total_anomalies"] > 0 and first["new_incidents"] > 0 and first["duration_seconds"] > 0
+    told = json.loads((tmp_path / "r.json").read_text())
+    assert told["run"]["run_id"] == first["run_id"] and told["anomaly_count"] == first["total_anomalies"] and spark.read.csv(str(tmp_path / "m"), header=True).columns == list(sinks.METRIC_COLUMNS)
+    assert call("report", store, "--as-of", "2024-03-30T19:25:00") == 0 and first["run_id"] in capsys.readouterr().out
+    assert call("report", store, "--as-of", "2024-03-30T19:25:00", "--preview") == 0 and first["run_id"] in said()["text"]
+    assert call("route", store, "--as-of", "2024-03-30T19:30:00") == 0
+    routed = said()
+    assert routed["alerted"] > 0 and routed["suppressed"] == 0 and {u for u, _ in sent} <= {"c", "d"} and sent
+    assert call("run", path, store, "--as-of", "2024-03-30T19:40:00") == 0 and said()["new_incidents"] >= 0
+    before = len(sent)
+    assert call("route", store, "--as-of", "2024-03-30T19:50:00") == 0
+    again = said()
+    assert again["suppressed"] > 0 and (again["alerted"] == 0 or len(sent) > before)
+    key = spark.read.parquet(f"{store}/incidents").first()["incident_key"]
+    assert call("suppress", store, "--as-of", "2024-03-30T19:55:00", "--mute", key, "--show-suppressed", "--stats") == 0
+    out = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(out[0])["incident_key"] == key and json.loads(out[-1])["suppressed_count"] == 1
+    assert call("suppress", store, "--as-of", "2024-04-02T00:00:00", "--unmute", key, "--auto-resolve") == 0
+    assert spark.read.parquet(f"{store}/incidents").where("resolved_at is null").count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "wrong"))
+    with pytest.raises(Exception, match="(?i)event_time"):
+        call("run", tmp_path / "wrong", store, "--as-of", "2024-03-30T20:05:00")
+    log = spark.read.parquet(f"{store}/runs")
+    assert sorted(r["status"] for r in log.collect()) == ["completed", "completed", "failed"] and log.where("status = 'failed' and error_message is not null and ended_at is not null").count() == 1
+    assert call("health", path, "--state", store, "--as-of", "2024-03-30T20:00:00") == 0
+    status = said()
+    assert status["checks"]["connection"]["status"] == status["checks"]["recent_runs"]["status"] == "healthy" and status["checks"]["recent_runs"]["failed_count"] >= 0
+    assert call("retain", store, "--as-of", "2024-05-15T00:00:00") == 0 and said()["deleted_anomalies"] >= first["total_anomalies"]
+    assert call("reset", store) == 0 and spark.read.parquet(f"{store}/runs").count() == 0
+    assert call("validate", path, "--as-of", "2024-03-31T00:00:00") == 0 and said()["missing"] == []
+    assert call("send", "back") == 0 and sent[-1] == ("d", {"text": "back"}) and call("send", "healthy", "--recovered") == 0 and "again" in sent[-1][1]["text"]
+
+
+def test_routines_in_sql(spark):
+    sql_surface.register(spark, synthetic.generate(spark, END, days=3, sessions=5), END)
+    one = spark.sql("SELECT * FROM compute_rolling_stats('page_views', TIMESTAMP_NTZ'2024-03-31 00:00:00', 168)").first()
+    base = spark.sql("SELECT * FROM get_baseline_for_metric('page_views', TIMESTAMP_NTZ'2024-03-31 00:00:00')").first()
+    assert one["sample_count"] == base["sample_count"] > 24 and abs(one["rolling_mean"] - base["baseline_mean"]) < 1e-5
+    assert spark.sql("SELECT * FROM get_baseline_for_metric('page_views', TIMESTAMP_NTZ'2024-01-01 00:00:00')").count() == 0
+    assert sql_surface.missing(spark, [], ["nope"]) == ["nope"]
+
+
+def test_sql_files_run_in_order(spark, tmp_path):
+    (tmp_path / "2.sql").write_text("CREATE OR REPLACE TEMPORARY VIEW b AS SELECT x + 1 AS x FROM a;\n")
+    (tmp_path / "1.sql").write_text("CREATE OR REPLACE TEMPORARY VIEW a AS SELECT 1 AS x;\n-- a note\nSELECT 1;")
+    assert sql_surface.run_files(spark, str(tmp_path)) == ["1.sql", "2.sql"] and spark.table("b").first()[0] == 2
+    (tmp_path / "3.sql").write_text("SELECT * FROM nowhere")
+    with pytest.raises(RuntimeError, match="statement 1"):
+        sql_surface.run_files(spark, str(tmp_path))
+
+
+def test_swap_survives_a_crash_between_its_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    os.rename(path, f"{path}.last-1")  # as if the driver had died there
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 3 and not sinks.recover(spark, path)
+    sinks.swap(spark.range(5).toDF("id"), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_messages():
+    rows = [INCIDENT | {"severity": "warning", "root_cause_hint": None}, INCIDENT]
+    text = json.dumps(sinks.report_message("r1", rows, "now", "http://x"))
+    assert "r1" in text and "look" in text and "N/A" in text and "http://x" in text and "CRITICAL" in text
+    assert "unhealthy" in sinks.health_message({"overall_status": "unhealthy", "checks": {"a": {"status": "unhealthy"}}})["text"]
+    assert "5 critical" in json.dumps(sinks.alert("r", [INCIDENT], per={"critical": 5}))
+
+
+def test_log_level_and_version(monkeypatch):
+    monkeypatch.setenv("LOG_LEVEL", "ERROR")
+    assert logs.setup() == logging.ERROR == logging.getLogger().level
+    monkeypatch.setenv("LOG_LEVEL", "no such level")
+    assert logs.setup("WARNING") == logging.WARNING
+    assert len(__version__.split(".")) >= 2 and all(x.isdigit() for x in __version__.split(".")[:2])
 
 
 def test_settings_file(tmp_path):
