@@ -89,6 +89,7 @@ def _url_sql() -> str:
     own = fits.format(*[v for v, _ in urlrep.RULES])
     host = f"translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     path = "regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+    known = ", ".join(f"'{x}'" for x in urlrep.SUFFIXES)
     none = "url IS NULL OR strpos(url, '://') = 0"
     strength = f"""
     SELECT CASE WHEN coalesce(n, 0) = 0 OR g < 2 THEN {urlrep.MOST}
@@ -105,9 +106,10 @@ WITH p AS (
 {own} END AS own FROM p
 ), hosts AS (
   SELECT host, count(rule) AS n, count(CASE WHEN own = 'block' THEN 1 END) AS k,
-    string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1] AS suffix,
-    concat_ws('.', string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1], string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2]) AS domain
-  FROM rows GROUP BY host
+    CASE WHEN bare.address THEN 'address' WHEN bare.two IN ({known}) THEN bare.two ELSE bare.labels[-1] END AS suffix,
+    CASE WHEN bare.address THEN bare.host WHEN bare.two IN ({known}) THEN concat_ws('.', bare.labels[-3], bare.two) ELSE bare.two END AS domain
+  FROM (SELECT host, rule, own, {{'host': b, 'labels': string_split(b, '.'), 'two': concat_ws('.', string_split(b, '.')[-2], string_split(b, '.')[-1]), 'address': regexp_matches(b, '{urlrep.ADDRESS}')}} AS bare
+    FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS b FROM rows)) GROUP BY host, bare
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 s1 AS ({strength.format("hosts")}), s2 AS ({strength.format("domains")}), s3 AS ({strength.format("suffixes")}),

@@ -5,8 +5,8 @@ that towards its suffix's and that towards the rate of all, each through a beta-
 above, the strength from the spread among the groups of the level itself, by moments. An unjudged page is
 blocked if the lower posterior bound (mean less ``Z`` deviations) of its host's rate is over ``BAD``.
 
-Host and path: after the first ``://``; see ``parts``. The suffix is the last label, the registered domain the last two, a port
-aside. A null url, or one without ``://``, has an empty host and path and is judged like any host. A null page_id is kept
+Host and path: after the first ``://``; see ``parts``. A port aside, the suffix is the last label, or the last two where they are in ``SUFFIXES`` (a parameter), and the registered domain has one label more.
+An address is a domain of its own, under the suffix ``address``. A null url, or one without ``://``, has an empty host and path and is judged like any host. A null page_id is kept
 as null, repeated rows stay repeated, an empty table gives an empty result, other columns are ignored.
 """
 
@@ -21,6 +21,9 @@ from .common import cut
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 Z, BAD, LEAST, MOST = 1.645, 0.5, 1.0, 1000.0
+# Common suffixes of two labels under which anyone registers.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "org.uk", "com.au", "edu.au", "net.au", "org.au", "ac.jp", "co.jp", "ne.jp", "or.jp", "co.nz", "org.nz", "co.za", "org.za", "com.br", "org.br", "com.ar", "com.mx", "com.cn", "net.cn", "org.cn", "com.hk", "com.tw", "com.sg", "co.in", "co.kr", "co.il", "com.tr")
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,6 +46,15 @@ def ruled(rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def owner(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host."""
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    back = F.reverse(F.split(bare, r"\."))
+    two = F.concat_ws(".", F.get(back, 1), F.get(back, 0))
+    address, known = bare.rlike(ADDRESS), two.isin(list(suffixes))
+    return F.when(address, bare).when(known, F.concat_ws(".", F.get(back, 2), two)).otherwise(two), F.when(address, "address").when(known, two).otherwise(F.get(back, 0))
+
+
 def strength(groups: DataFrame) -> float:
     """Prior strength from groups (n, k) with n > 0: (1 - r) / r, r the correlation of outcomes in a group, by moments."""
     s = groups.where("n > 0").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.expr("cast(n as double) * n")).alias("nn"), F.sum(F.expr("cast(k as double) * k / n")).alias("kk")).first()
@@ -57,15 +69,15 @@ def strength(groups: DataFrame) -> float:
     return MOST if r <= 1 / (1 + MOST) else LEAST if r >= 1 / (1 + LEAST) else (1 - r) / r
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages (page_id, url)."""
     host, path = parts(F.col("url"))
     rule, own = ruled(rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), own.alias("own"))
-    labels = F.split(F.regexp_replace("host", r":[0-9]*$", ""), r"\.")
+    domain, suffix = owner(F.col("host"), suffixes)
     hosts = cut(
         rows.groupBy("host").agg(F.count("rule").alias("n"), F.count(F.when(F.col("own") == "block", 1)).alias("k"))
-        .select("*", F.array_join(F.slice(F.reverse(labels), 1, 2), ".").alias("domain"), F.element_at(labels, -1).alias("suffix"))
+        .select("*", domain.alias("domain"), suffix.alias("suffix"))
     )
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = cut(total(hosts, "domain", "suffix"))

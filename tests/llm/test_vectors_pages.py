@@ -149,6 +149,17 @@ def test_url_reputation_is_its_sql(spark, duck):
     assert urlrep.judge(df.where("false")).count() == 0
 
 
+def test_owners_of_hosts(spark):
+    hosts = {"a.b.co.uk:80": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "10.1.2.3:8080": ("10.1.2.3", "address"), "[::1]": ("[::1]", "address"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *urlrep.owner(df["host"])).collect()} == hosts
+    pages = [(k, f"http://{h}/fr/{k}") for k, h in enumerate(hosts)] + [(100 + k, f"http://h{k % 9}.{'co.uk' if k % 2 else '10.1.2'}.{k % 3}/{'en' if k % 4 else 'fr'}/") for k in range(60)]
+    duck = duckdb.connect()
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    duck.register("pages", pages.toArrow())
+    assert sorted(map(str, map(tuple, urlrep.judge(pages).collect()))) == sorted(map(str, duck.sql(queries.ORACLES["op2_urlrep"]).fetchall()))
+
+
 def test_extraction_on_invented_pages():
     rng, trees, right = np.random.default_rng(123), domtrees.model(), 0
     for _ in range(60):
