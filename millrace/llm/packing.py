@@ -78,12 +78,17 @@ class Encoder:
         for t, i in ranks.items():
             self.spaced[i] = t[:1] == b" "
             self.ends[i] = bool(self.ENDS.search(t.decode("utf-8", "replace")))
+        probe = "Tokens of a probe: 12 naïve cafés, don't!\n  And 東京."
+        if list(self.core.encode_ordinary(probe)) != self.model.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("this tokenizer's ids aren't the ranks of its merges")
+        #: Many pieces in one call, where the library has it.
+        self.many = getattr(self.core._core_bpe, "encode_to_tiktoken_buffer", None)
         self.words = WordIds(self.learn)
 
     def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of one leading space and no other white space go in one call: each has one token that begins with the space."""
-        joint = [p[:1] == b" " and p[1:2] not in (b" ", b"\n", b"") and len(p) <= LONGEST for p in pieces]
-        run = np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(b"".join([p for p, j in zip(pieces, joint, strict=True) if j]).decode(), set()), np.uint32)
+        joint = [self.many is not None and p[:1] == b" " and p[1:2] not in (b" ", b"\n", b"") and len(p) <= LONGEST for p in pieces]
+        run = np.frombuffer(self.many(b"".join([p for p, j in zip(pieces, joint, strict=True) if j]).decode(), set()), np.uint32) if any(joint) else np.zeros(0, np.uint32)
         first = np.append(np.flatnonzero(self.spaced[run]), len(run))
         own = [np.array(self.core.encode_ordinary(p.decode()), np.uint32) for p, j in zip(pieces, joint, strict=True) if not j]
         cnt = np.zeros(len(pieces), np.int64)

@@ -235,6 +235,9 @@ def test_words_encode_like_whole_texts():
     bits = [" ", "  ", "\n", "\t", " ", "the", "é", "😀", "'s", "12", ".", "x" * 60, "<|endoftext|>"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     assert all(np.array_equal(enc.whole(t), i) for t, i in zip(texts, enc.encode([t.encode() for t in texts]), strict=True))
+    one_by_one = packing.Encoder()
+    one_by_one.many = None  # as in a library without the joint call
+    assert all(np.array_equal(a, b) for a, b in zip(enc.encode([t.encode() for t in texts]), one_by_one.encode([t.encode() for t in texts]), strict=True))
 
 
 def test_bpe_tree_is_the_library(spark):
