@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import packing, simhash_bk, suffix_dedup, zdict_tox
-from millrace.llm.common import cut, table
+from millrace.llm.common import cut, release, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +34,15 @@ STAGES = [
     ("suffix_dedup", passages),
     ("packing", packed),
 ]
-#: SQL can't express hashing to fingerprints, trained models or tokenizers; tests compare with brute force.
+#: SQL can't express hashing to fingerprints, trained models or tokenizers; a test compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; each one's table goes when the next one's stands."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        done = cut(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
