@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +63,16 @@ def grams(word: bytes) -> set[bytes]:
 def support(texts: list[list[bytes]]) -> Counter:
     """How many distinct pairs (word before, word) have each run of letters."""
     seen: set[int] = set()
-    count: Counter = Counter()
-    own: dict[bytes, set[bytes]] = {}
+    pairs: Counter = Counter()
     for t in texts:
         for pair in zip([b"", *t], t, strict=False):
             if (h := hash(pair)) not in seen:
                 seen.add(h)
-                if pair[1] not in own:
-                    own[pair[1]] = grams(pair[1])
-                count.update(own[pair[1]])
+                pairs[pair[1]] += 1
+    count: Counter = Counter()
+    for word, n in pairs.items():
+        for g in grams(word):
+            count[g] += n
     return count
 
 
@@ -176,7 +178,8 @@ class Model:
         self.dicts = self.weights = None
         if min(len(toxic), len(ordinary)) < 2:
             return
-        t, o = [words(x) for x in toxic[::2]], [words(x) for x in ordinary[::2]]
+        one: dict[bytes, bytes] = {}  # a word once, however often it occurs
+        t, o = ([[one.setdefault(w, w) for w in words(x)] for x in texts[::2]] for texts in (toxic, ordinary))
         in_t, in_o = support(t), support(o)
         all_t, all_o, least = sum(in_t.values()), sum(in_o.values()), max(3.0, 0.01 * len(t))
         telling = {g for g, n in in_t.items() if n >= least and n / all_t >= RATIO * (in_o[g] + 1) / max(1, all_o)}
@@ -214,8 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int =
     take = lambda kind, n: named.where(F.col("toxic") == kind).distinct().orderBy(*order).limit(n)
     chosen = F.broadcast(take(1, toxic).unionByName(take(0, ordinary)))  # that many ids at most
     texts = fit_on.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = texts.orderBy("toxic", *order).select("toxic", F.encode(F.lower("text"), "UTF-8").alias("text")).collect()  # a row for each chosen id, however often it is repeated
-    return Model([bytes(r["text"]) for r in rows if r["toxic"] == 1], [bytes(r["text"]) for r in rows if r["toxic"] == 0])
+    rows = texts.orderBy("toxic", *order).select("toxic", F.encode(F.lower("text"), "UTF-8").alias("text")).toArrow()  # a row for each chosen id, however often it is repeated
+    return Model(*(rows.filter(pc.equal(rows["toxic"], kind))["text"].to_pylist() for kind in (1, 0)))
 
 
 def held_out():
