@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectionConfig, Window
 from ..schema import EVENT_TYPES
+from ..sources.tables import kept
 from .baselines import at, hours
 from .metrics import cents, hour_of
 from .statistical import SHAPE, document, money
@@ -136,13 +137,20 @@ def zero_revenue(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = D
     return _fired(window_facts(hour_counts(events), windows, cfg), _revenue(cfg))
 
 
-def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig = DetectionConfig(), visitors: DataFrame | None = None) -> DataFrame:
-    """Users and sessions of all events against the same hour of the four weeks before; few usual users silence both."""
-    visitors = hour_visitors(events) if visitors is None else visitors
+def visitor_counts(visitors: DataFrame, *by: str) -> DataFrame:
     of = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("id"))).alias(kind)
-    kinds = [of("users"), of("sessions")]
-    hourly = visitors.groupBy("hour_ts").agg(*kinds)
-    seen = _hours_of(windows).join(visitors, "hour_ts", "left").select("window_start", "kind", "id").distinct().groupBy("window_start").agg(*kinds)
+    return visitors.groupBy(*by).agg(of("users"), of("sessions"))
+
+
+def traffic_drops(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """Users and sessions of all events against the same hour of the four weeks before; few usual users silence both. Without windows, every hour that has events is one."""
+    visitors = hour_visitors(events)
+    if windows is None:  # an hour's visitors are those of its window
+        hourly = kept(visitor_counts(visitors, "hour_ts"))
+        windows = seen = hourly.withColumnRenamed("hour_ts", "window_start")
+    else:
+        hourly = visitor_counts(visitors, "hour_ts")
+        seen = visitor_counts(_hours_of(windows).join(visitors, "hour_ts", "left").select("window_start", "kind", "id").distinct(), "window_start")
     weeks = windows.select("window_start", F.explode(F.array(*[F.date_trunc("hour", F.col("window_start")).cast("timestamp_ntz") - hours(168 * k) for k in (1, 2, 3, 4)])).alias("hour_ts"))
     usual = weeks.join(hourly, "hour_ts").groupBy("window_start").agg(*[f(c).alias(f"{n}_{c}") for c in ("users", "sessions") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     both = seen.join(usual, "window_start").where(F.col("mean_users") > cfg.traffic_users)
@@ -159,7 +167,6 @@ def traffic_drops(events: DataFrame, windows: DataFrame, cfg: DetectionConfig =
 
 def all_rules(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
     """All rules; without windows, over every hour that has events. The rules on counts share one pass over the windows' facts."""
-    counts = hour_counts(events)
-    windows = hourly_windows(events, counts) if windows is None else windows
-    facts = window_facts(counts, windows, cfg)
+    counts = kept(hour_counts(events))  # one row for each hour
+    facts = window_facts(counts, hourly_windows(events, counts) if windows is None else windows, cfg)
     return _fired(facts, [*_missing(cfg), *_funnel(cfg), *_gateway(cfg), *_revenue(cfg)]).unionByName(traffic_drops(events, windows, cfg))
