@@ -462,6 +462,8 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
     def once(b, names: set, again: dict | None = None):
         """The rows whose names are new to this task; repeats of others are counted."""
         fresh = []
+        if len(names) > 1 << 17:
+            names.clear()
         for k, name in enumerate(zip(b["id"].to_pylist(), b["tie"].to_pylist(), strict=True)):
             if name not in names:
                 names.add(name)
@@ -470,6 +472,11 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
                 again[name] = again.get(name, 0) + 1
         return b if len(fresh) == b.num_rows else b.take(pa.array(fresh, pa.int64()))
 
+    def repeats(again: dict) -> pa.RecordBatch:
+        n, (ids, ties) = len(again), zip(*again, strict=True)
+        cols = [pa.array(ids, pa.int64()), pa.array(ties, pa.int32()), pa.array(np.full(n, 2, np.int32)), *[pa.array(np.zeros(n, np.int32))] * 2, pa.array(list(again.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64())]], [x.split()[0] for x in _ROW.split(", ")])
+
     def known(batches):
         m, names, again = shared.value, set(), {}
         for b, texts in slices((once(x, names, again) for x in batches), 4):
@@ -483,10 +490,11 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
             cols = [b.column(1), b.column(2), pa.array(none), pa.array(none), pa.array(none), pa.array(none + np.int64(1)), b.column(0), b.column(3)]
             cols += [pa.array([seq[s:e] for s, e in zip(upto, upto[1:], strict=False)], pa.binary()), pa.array(logs), pa.array(np.bincount(doc[there], minlength=len(texts)))]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ROW.split(", ")])
+            if len(again) > 1 << 17:
+                yield repeats(again)
+                again.clear()
         if again:
-            n, (ids, ties) = len(again), zip(*again, strict=True)
-            cols = [pa.array(ids, pa.int64()), pa.array(ties, pa.int32()), pa.array(np.full(n, 2, np.int32)), *[pa.array(np.zeros(n, np.int32))] * 2, pa.array(list(again.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64())]], [x.split()[0] for x in _ROW.split(", ")])
+            yield repeats(again)
 
     def rare(batches):
         m, names = shared.value, set()

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Rows of a key that one task of a salted join gets, about.
-HOT = 4096
+#: Rows of a hot key that one part of it has, about.
+HOT = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
@@ -95,14 +95,16 @@ def parts_of(many: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(many / HOT).cast("int"))
 
 
-def salted(big: DataFrame, small: DataFrame, keys: list[str], many: str, of: list[str], how: str = "inner") -> DataFrame:
-    """big joined with small on keys, the rows of a hot key in several tasks.
+def sized(rows: DataFrame, keys: list[str], many: str, of: list[str]) -> DataFrame:
+    """The rows whose keys are those of several rows, with their number as ``size``.
 
-    many: a column of both sides, equal for equal keys, that bounds the key's rows in big; big's rows are dealt by the columns ``of``,
-    small's are copied to each part."""
-    left = big.withColumn("_part", F.pmod(F.xxhash64(*of), parts_of(F.col(many))).cast("int"))
-    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts_of(F.col(many)) - 1))).drop(many)
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    many: a column that bounds a key's rows and is equal for equal keys. A hot key is counted, and told its size, in parts by the columns ``of``: no task gets one whole,
+    and what is told has a row for each key and part that occur, so it never outgrows the rows."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*of), parts_of(F.col(many))).cast("int"))
+    by_part = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n"))
+    by_key = by_part.groupBy(*keys).agg(F.sum("n").alias("size")).where("size > 1")
+    told = by_part.join(by_key, keys).select(*keys, "_part", "size")
+    return parted.join(told, [*keys, "_part"]).drop("_part")
 
 
 def components(edges: DataFrame) -> DataFrame:

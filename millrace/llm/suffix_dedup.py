@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release, salted, ship, text_name
+from .common import HOT, cut, parts_of, release, ship, sized, text_name
 from .words import spread
 
 SPAN, GRAM = 200, 64
@@ -357,9 +357,8 @@ def _hot(hot: DataFrame, group: int, scratch: list) -> list[DataFrame]:
         kinds = cut(rows.groupBy("k", "l", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("h", "id", "tie", "t", "span")).alias("one")))
         scratch += [rows, kinds]
         # a key holds no more rows than its gram's group: many is that group's number of rows
-        out.append(salted(rows, kinds.where("n > 1").select("k", "l", "u", "v", "many"), ["k", "l", "u", "v"], "many", ["id", "tie", "t"]).select("id", "tie", "s", "e"))
-        groups = kinds.groupBy("k", "l").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many")).where("kinds > 1")
-        some = cut(salted(kinds.select("k", "l", "many", "one", F.col("one.id").alias("by"), F.col("one.t").alias("at")), groups, ["k", "l"], "many", ["by", "at"]).select("k", "l", "one.*", "kinds"))
+        out.append(sized(rows, ["k", "l", "u", "v"], "many", ["id", "tie", "t"]).select("id", "tie", "s", "e"))
+        some = cut(sized(kinds.select("k", "l", "u", "v", "many", "one"), ["k", "l"], "many", ["u", "v"]).select("k", "l", "one.*", F.col("size").alias("kinds")))
         scratch.append(some)
         if some.isEmpty():
             break
@@ -388,7 +387,7 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
                     if name not in seen:
                         seen.add(name)
                         fresh.append(k)
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 17:
                     seen.clear()
                 if fresh:
                     texts = b.column(2).take(pa.array(fresh)).to_pylist()
@@ -404,9 +403,13 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     tidy(spark)
     kinds = cut(met.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("id", "tie", "pos")).alias("one")))
     mixed = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many")).where("kinds > 1"))
-    copies = salted(met, kinds.where("n > 1").select("h", "c", "d", "many"), ["h", "c", "d"], "many", ["id", "tie", "pos"])
+    few = met.where(F.col("many") <= HOT).join(kinds.where((F.col("many") <= HOT) & (F.col("n") > 1)).select("h", "c", "d"), ["h", "c", "d"])
+    copies = few.drop("many").unionByName(sized(met.where(F.col("many") > HOT), ["h", "c", "d"], "many", ["id", "tie", "pos"]).drop("many", "size"))
     copies = copies.select("id", "tie", (F.shiftright("pos", 16) - REACH).alias("s"), (F.shiftright("pos", 16) + SPAN).alias("e"))
-    edges = salted(kinds.select("h", "many", "one.*"), mixed, ["h"], "many", ["id", "tie", "pos"])
+    # one row a gram on the right: copying it to the parts of a hot gram adds a row for each HOT rows
+    part = lambda x: F.pmod(F.xxhash64(*x), parts_of(F.col("many"))).cast("int").alias("part")
+    spread_out = mixed.select("h", "kinds", F.explode(F.sequence(F.lit(0), parts_of(F.col("many")) - 1)).alias("part"))
+    edges = kinds.select("h", "one.*", part(["one.id", "one.tie", "one.pos"])).join(spread_out, ["h", "part"])
     edges = edges.select("h", F.when(F.col("kinds") > group, F.col("kinds")).otherwise(0).alias("many"), "id", "tie", "pos")
     asked = edges.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "many", "pos")).alias("own"))  # anchors of one text
 
