@@ -9,12 +9,14 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows of a hot key that one part of it has, about.
 HOT = 1024
+#: Rows of a part of a global order, about, and how many parts there are at most.
+SPAN, PARTS = 1 << 14, 10_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
@@ -107,6 +109,31 @@ def sized(rows: DataFrame, keys: list[str], many: str, of: list[str]) -> DataFra
     return parted.join(told, [*keys, "_part"]).drop("_part")
 
 
+def running(df: DataFrame, order: list[Column], value: Column) -> DataFrame:
+    """df, a written table, with ``before``: the sum of value over the rows that come earlier in the order, and ``part``: a part of the order, by number.
+
+    Rows are dealt to ranges of the order; sums of whole ranges (a row for each, ``PARTS`` at most) are added up apart, so no task sees more than a range. Rows that the order
+    doesn't tell apart stay in one range: group them first."""
+    parts = min(PARTS, max(1, -(-df.count() // SPAN)))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = dealt.groupBy("part").agg(F.sum(value).alias("_sum")).select("part", zero(F.sum("_sum").over(earlier(Window.orderBy("part")))).alias("_from"))
+    within = zero(F.sum(value).over(earlier(Window.partitionBy("part").orderBy(*order))))
+    out = cut(dealt.select("*", within.alias("_within")).join(F.broadcast(sums), "part").select(*df.columns, "part", (F.col("_from") + F.col("_within")).alias("before")))
+    release(dealt)
+    return out
+
+
+def repeated(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row n times, numbered from 0 in column name; a row of very many is dealt out in parts of ``HOT``."""
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(name)
+    few = df.where(F.col(n) <= HOT).select("*", upto(F.col(n) - 1))
+    many = df.where(F.col(n) > HOT).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(HOT).cast("long"))).alias("_from")).repartition("_from")
+    many = many.select("*", upto(F.least(F.lit(HOT), F.col(n) - F.col("_from")) - 1).alias("_at")).withColumn(name, F.col("_from") + F.col("_at"))
+    return few.unionByName(many.select(*few.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it reaches.
 

@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, brown, domtrees, ivfpq, kdtopk, packing, simhash_bk, suffix_dedup, urlrep, zdict_tox
+from . import alignment, bpe_tree, brown, domtrees, ivfpq, kdtopk, mixing, packing, resampling, simhash_bk, suffix_dedup, urlrep, zdict_tox
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kdtopk": op1_kdtopk,
     "op2_urlrep": op2_urlrep,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_domtrees": op8_domtrees,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_resampling": op12_resampling,
+    "op13_mixing": op13_mixing,
 }
 
 _TOP_K = f"""
@@ -122,7 +137,61 @@ SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.own, j.by_host) AS verdict
 """
 
 
+def _number(*of: str) -> str:
+    return f"CAST('0x' || md5(concat_ws(':', {mixing.SEED}, {', '.join(of)}))[1:15] AS BIGINT)"
+
+
+_EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_MIX = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source
+), w AS (SELECT *, list_extract([{', '.join(map(str, mixing.WEIGHTS))}], no % {len(mixing.WEIGHTS)} + 1)::DOUBLE AS weight FROM src),
+fill AS (
+  SELECT *, {mixing.MOST} * ss / weight AS r,
+    ({mixing.SHARE} * (SELECT sum(ss) FROM w)::DOUBLE - coalesce(sum({mixing.MOST} * ss) OVER (ORDER BY {mixing.MOST} * ss / weight, no {_EARLIER}), 0)::DOUBLE)
+      / sum(weight) OVER (ORDER BY {mixing.MOST} * ss / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w
+), t AS (
+  SELECT source, no, ss, least(weight * coalesce((SELECT rate FROM fill WHERE rate <= r ORDER BY r, no LIMIT 1), 0), ({mixing.MOST} * ss)::DOUBLE) AS target, (ss + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS k FROM w
+), q AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words,
+    CASE WHEN target > 0 THEN CAST(least({mixing.MOST} * k, floor(target / (ss / k)) + {mixing.MORE}) AS BIGINT) ELSE 0 END AS quota FROM t
+), ranges AS (SELECT *, CAST(coalesce(sum(quota) OVER (ORDER BY no {_EARLIER}), 0) AS BIGINT) AS low FROM q),
+line AS (
+  SELECT d.*, no, CAST(coalesce(sum(d.size) OVER (PARTITION BY no ORDER BY {_number("'line'", "doc_id")} NULLS LAST, doc_id {_EARLIER}), 0) AS BIGINT) AS start
+  FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source
+), draws AS (
+  SELECT slot, {_number("'draw'", "slot")} % n AS v FROM (SELECT unnest(range(n)) AS slot, n FROM (SELECT CAST(sum(quota) AS BIGINT) AS n FROM q))
+), drawn AS (
+  SELECT slot, no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS i FROM draws JOIN ranges ON v >= low AND v < low + quota
+), got AS (
+  SELECT q.*, coalesce(g, 0) AS got FROM q LEFT JOIN (SELECT no, count(*) AS g FROM drawn GROUP BY no) USING (no)
+), off AS (
+  SELECT *, coalesce(sum(greatest(0, got - quota)) OVER (ORDER BY no {_EARLIER}), 0) AS spare, coalesce(sum(greatest(0, quota - got)) OVER (ORDER BY no {_EARLIER}), 0) AS gap FROM got
+), numbered AS (
+  SELECT slot, no, i FROM drawn JOIN off USING (no) WHERE i < quota
+  UNION ALL
+  SELECT slot, o.no, o.got + j - o.gap AS i FROM (SELECT slot, spare + i - quota AS j FROM drawn JOIN off USING (no) WHERE i >= quota) JOIN off o ON j >= o.gap AND j < o.gap + greatest(0, o.quota - o.got)
+), placed AS (
+  SELECT slot, no, CAST(i AS BIGINT) AS i, ss, k, words, CAST(list_reduce(range(1, {mixing.ROUNDS + 1}), lambda a, r:
+    CASE WHEN md5(concat_ws(':', {mixing.SEED}, 'swap', no, CAST(i // k AS BIGINT), r, greatest(a, ({_number("'turn'", "no", "CAST(i // k AS BIGINT)", "r")} % k - a + k) % k))) >= '8'
+      THEN ({_number("'turn'", "no", "CAST(i // k AS BIGINT)", "r")} % k - a + k) % k ELSE a END, CAST(i % k AS BIGINT)) AS BIGINT) AS block
+  FROM numbered JOIN q USING (no)
+), full_ AS (SELECT *, least({mixing.BLOCK}, ss - block * {mixing.BLOCK}) AS own FROM placed),
+slots AS (
+  SELECT no, block, greatest(0, least(own, words - coalesce(sum(own) OVER (PARTITION BY no ORDER BY i {_EARLIER}), 0))) AS take FROM full_
+), took AS (
+  SELECT l.doc_id, l.no, l.start, sum(greatest(0, least(l.start + l.size, block * {mixing.BLOCK} + take) - greatest(l.start, block * {mixing.BLOCK}))) AS n
+  FROM line l JOIN slots s ON s.no = l.no AND s.block * {mixing.BLOCK} < l.start + l.size AND s.block * {mixing.BLOCK} + s.take > l.start WHERE l.size > 0 GROUP BY l.doc_id, l.no, l.start
+)
+SELECT l.doc_id, l.size, t.ss AS source_size, t.target, CAST(coalesce(k.n, 0) AS BIGINT) AS taken
+FROM line l JOIN t USING (no) LEFT JOIN took k ON k.no = l.no AND k.start = l.start AND k.doc_id IS NOT DISTINCT FROM l.doc_id AND l.size > 0
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_kdtopk": _TOP_K,
     "op2_urlrep": _url_sql(),
+    "op13_mixing": _MIX,
 }
