@@ -6,7 +6,7 @@ import argparse
 import json
 import os
 import sys
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     quiet.add_argument("--mute", nargs="*", metavar="KEY"), quiet.add_argument("--unmute", nargs="*", metavar="KEY"), quiet.add_argument("--reason", default="muted by hand")
     command("retain", "delete old rows of the state, by the settings' ages", "state")
     command("reset", "empty the state tables", "state", as_of=False)
+    clean = command("vacuum", "delete folders of the state that no commit names", "state", as_of=False)
+    clean.add_argument("--hours", type=float, default=24.0, help="only those last changed so long ago")
     check = command("validate", "register the SQL surface and check that all of it is there", "events")
     check.add_argument("--sql", help="folder of .sql files to run first, by name")
     replay = command("backtest", "replay every hour and compare with known faults", "events", as_of=False)
@@ -107,18 +109,20 @@ def _report(args, spark: SparkSession) -> int:
 
 def _suppress(args, spark: SparkSession, alerts) -> int:
     store = state.State(spark, args.state)
-    incidents = store.read("incidents")
-    for keys, what, note in ((args.mute, "suppressed", args.reason), (args.unmute, "unsuppressed", None)):
-        if keys:
-            incidents = lifecycle.mark(incidents, keys, args.as_of, what, note)
-    if args.auto_resolve:
-        incidents = lifecycle.resolve_stale(incidents, args.as_of, alerts.auto_resolve_hours)
+
+    def change(base) -> dict:
+        incidents = store.read("incidents", base)
+        for keys, what, note in ((args.mute, "suppressed", args.reason), (args.unmute, "unsuppressed", None)):
+            if keys:
+                incidents = lifecycle.mark(incidents, keys, args.as_of, what, note)
+        return {"swap": {"incidents": lifecycle.resolve_stale(incidents, args.as_of, alerts.auto_resolve_hours) if args.auto_resolve else incidents}}
+
     if args.mute or args.unmute or args.auto_resolve:
-        store.swap("incidents", incidents)
-        incidents = store.read("incidents")
+        store.again(change)
+    incidents = store.read("incidents")
     if args.show_suppressed:
-        held = lifecycle.worst_first(incidents.where(F.col("is_suppressed") & F.col("resolved_at").isNull())).select("incident_key", "severity", "suppression_reason").limit(1000)
-        for r in held.collect():
+        held = lifecycle.worst_first(incidents.where(F.col("is_suppressed") & F.col("resolved_at").isNull())).select("incident_key", "severity", "suppression_reason")
+        for r in held.toLocalIterator():  # all of them, a partition at a time
             print(json.dumps(r.asDict()))
     if args.stats or args.auto_resolve:
         print(json.dumps(lifecycle.suppression_stats(incidents, args.as_of).first().asDict()))
@@ -187,6 +191,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, send=
         if args.command == "reset":
             state.State(spark, args.state).reset()
             return 0
+        if args.command == "vacuum":
+            print(json.dumps({"deleted_folders": state.State(spark, args.state).vacuum(timedelta(hours=args.hours))}))
+            return 0
         if args.command == "validate":
             return _validate(args, spark)
         if args.command == "backtest":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import AlertConfig, RetentionConfig
@@ -59,6 +59,24 @@ def apply_retention(anomalies: DataFrame, runs: DataFrame, baselines: DataFrame,
     return kept, runs.where(~old_run), baselines.where(~old_base), counts
 
 
+def observed_retention(anomalies: DataFrame, runs: DataFrame, baselines: DataFrame, as_of: datetime, cfg: RetentionConfig = RetentionConfig()) -> tuple[dict[str, DataFrame], dict]:
+    """({table: what stays}, {name: how many went, once what stays has been written}): rows are counted on their way, so no table is read twice."""
+    old_run = F.coalesce(F.col("started_at") < at(as_of - timedelta(days=cfg.runs_days)), F.lit(False))
+    old_rows = F.coalesce(F.col("detected_at") < at(as_of - timedelta(days=cfg.anomalies_days)), F.lit(False))
+    old_base = F.coalesce(F.col("period_end") < at(as_of - timedelta(days=cfg.baselines_days)), F.lit(False))
+    expired = runs.where(old_run).select("run_id", F.lit(True).alias("_expired")).distinct()
+    marked = {
+        "anomalies": anomalies.join(expired, "run_id", "left").withColumn("_gone", old_rows | F.coalesce(F.col("_expired"), F.lit(False))).drop("_expired"),
+        "baselines": baselines.withColumn("_gone", old_base), "runs": runs.withColumn("_gone", old_run),
+    }
+    left, counts = {}, {}
+    for name, df in marked.items():
+        seen = Observation(f"retention of {name}")
+        left[name] = df.observe(seen, F.count_if("_gone").alias("gone")).where(~F.col("_gone")).drop("_gone")
+        counts[f"deleted_{name}"] = lambda seen=seen: seen.get["gone"]
+    return left, counts
+
+
 def suppression(incidents: DataFrame, state: DataFrame, as_of: datetime, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """incidents with should_suppress and reason, by the latest unresolved row of state with the same key: flagged, or alerted within the cooldown."""
     w = Window.partitionBy("incident_key").orderBy(F.col("last_detected_at").desc_nulls_last(), F.col("alert_sent_at").desc_nulls_last())

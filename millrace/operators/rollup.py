@@ -64,10 +64,10 @@ def incidents_of(anomalies: DataFrame, cfg: DetectionConfig = DetectionConfig())
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, as_of: datetime, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, as_of: datetime, cfg: DetectionConfig = DetectionConfig(), seen: bool = False) -> DataFrame:
     """Incidents after a run: a candidate goes into the open incident of its key seen in the last match_hours, or becomes one.
 
-    Adds column is_new; an incident is kept as it is where nothing matches."""
+    seen: the run was merged before; incidents last seen at its time aren't counted again. Adds column is_new; an incident is kept as it is where nothing matches."""
     now = at(as_of)
     c = new.select("incident_key", *[F.col(x).alias(f"n_{x}") for x in ("metric_name", "severity", "detection_count", "current_value", "baseline_value", "deviation_pct", "root_cause_hint", "related_metrics")])
     fresh = F.col("resolved_at").isNull() & (F.col("last_detected_at") >= now - hours(cfg.match_hours))
@@ -81,7 +81,7 @@ def upsert(old: DataFrame, new: DataFrame, as_of: datetime, cfg: DetectionConfig
     rest = [x for x in ("alert_sent_at", "alert_channel", "is_suppressed", "suppression_reason", "resolved_at", "resolution_notes") if x in old.columns]
     return both.select(
         F.coalesce("incident_key", "_key").alias("incident_key"), keep("first_detected_at", F.col("first_detected_at"), now), keep("last_detected_at", now, now), keep("metric_name", F.col("metric_name"), n("metric_name")),
-        keep("severity", severity, n("severity")), keep("detection_count", F.col("detection_count") + 1, n("detection_count")), keep("current_value", n("current_value"), n("current_value")), keep("baseline_value", F.col("baseline_value"), n("baseline_value")),
+        keep("severity", severity, n("severity")), keep("detection_count", F.col("detection_count") + (F.when(F.col("last_detected_at") == now, 0).otherwise(1) if seen else 1), n("detection_count")), keep("current_value", n("current_value"), n("current_value")), keep("baseline_value", F.col("baseline_value"), n("baseline_value")),
         keep("deviation_pct", n("deviation_pct"), n("deviation_pct")), keep("root_cause_hint", F.coalesce(n("root_cause_hint"), F.col("root_cause_hint")), n("root_cause_hint")), keep("related_metrics", F.coalesce(n("related_metrics"), F.col("related_metrics")), n("related_metrics")),
         *[keep(x, F.col(x), F.lit(False) if x == "is_suppressed" else none) for x in rest], made.alias("is_new"),
     )

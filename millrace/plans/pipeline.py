@@ -40,10 +40,10 @@ def detect(events: DataFrame, window: Window, cfg: DetectionConfig = DetectionCo
     return base, found
 
 
-def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig) -> Result:
-    """result with the incidents and counts of its anomalies."""
+def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig, seen: bool = False) -> Result:
+    """result with the incidents and counts of its anomalies. seen: these anomalies have been merged before, at that time."""
     new = rollup.incidents_of(result.anomalies, cfg)
-    incidents = rollup.upsert(open_incidents, new, as_of, cfg) if open_incidents is not None else new
+    incidents = rollup.upsert(open_incidents, new, as_of, cfg, seen) if open_incidents is not None else new
     by = lambda d: F.count_if(F.col("detector") == d)
     summary = result.anomalies.agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))
     return replace(result, incidents=incidents, summary=summary.select(F.lit(result.run_id).alias("run_id"), "*"))

@@ -11,6 +11,7 @@ from millrace import __version__, cli, logs
 from millrace.config import Window, load
 from millrace.functions import sql_surface
 from millrace.plans import backtest, pipeline
+from millrace.plans.state import State
 from millrace.sources import sinks, synthetic
 from millrace.streaming import hourly
 
@@ -115,22 +116,22 @@ def test_command_line_from_run_to_cooldown(spark, tmp_path, capsys):
     assert call("route", store, "--as-of", "2024-03-30T19:50:00") == 0
     again = said()
     assert again["suppressed"] > 0 and (again["alerted"] == 0 or len(sent) > before)
-    key = spark.read.parquet(f"{store}/incidents").first()["incident_key"]
+    key = State(spark, store).read("incidents").first()["incident_key"]
     assert call("suppress", store, "--as-of", "2024-03-30T19:55:00", "--mute", key, "--show-suppressed", "--stats") == 0
     out = capsys.readouterr().out.strip().splitlines()
     assert json.loads(out[0])["incident_key"] == key and json.loads(out[-1])["suppressed_count"] == 1
     assert call("suppress", store, "--as-of", "2024-04-02T00:00:00", "--unmute", key, "--auto-resolve") == 0
-    assert spark.read.parquet(f"{store}/incidents").where("resolved_at is null").count() == 0
+    assert State(spark, store).read("incidents").where("resolved_at is null").count() == 0
     spark.range(3).write.parquet(str(tmp_path / "wrong"))
     with pytest.raises(Exception, match="(?i)event_time"):
         call("run", tmp_path / "wrong", store, "--as-of", "2024-03-30T20:05:00")
-    log = spark.read.parquet(f"{store}/runs")
+    log = State(spark, store).read("runs")
     assert sorted(r["status"] for r in log.collect()) == ["completed", "completed", "failed"] and log.where("status = 'failed' and error_message is not null and ended_at is not null").count() == 1
     assert call("health", path, "--state", store, "--as-of", "2024-03-30T20:00:00") == 0
     status = said()
     assert status["checks"]["connection"]["status"] == status["checks"]["recent_runs"]["status"] == "healthy" and status["checks"]["recent_runs"]["failed_count"] >= 0
     assert call("retain", store, "--as-of", "2024-05-15T00:00:00") == 0 and said()["deleted_anomalies"] >= first["total_anomalies"]
-    assert call("reset", store) == 0 and spark.read.parquet(f"{store}/runs").count() == 0
+    assert call("reset", store) == 0 and State(spark, store).read("runs").count() == 0
     assert call("validate", path, "--as-of", "2024-03-31T00:00:00") == 0 and said()["missing"] == []
     assert call("send", "back") == 0 and sent[-1] == ("d", {"text": "back"}) and call("send", "healthy", "--recovered") == 0 and "again" in sent[-1][1]["text"]
 
