@@ -130,8 +130,8 @@ suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffi
 s1 AS ({strength.format("hosts")}), s2 AS ({strength.format("domains")}), s3 AS ({strength.format("suffixes")}),
 base AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS rate FROM suffixes),
 by_suffix AS (SELECT suffix, (k + rate * s) / (n + s) AS above FROM suffixes, base, s3),
-by_domain AS (SELECT d.domain, (d.k + u.above * s) / (d.n + s) AS above FROM domains d JOIN by_suffix u USING (suffix), s2),
-ab AS (SELECT h.host, h.k + d.above * s AS a, h.n - h.k + (1 - d.above) * s AS b FROM hosts h JOIN by_domain d USING (domain), s1),
+by_domain AS (SELECT d.domain, d.suffix, (d.k + u.above * s) / (d.n + s) AS above FROM domains d JOIN by_suffix u USING (suffix), s2),
+ab AS (SELECT h.host, h.k + d.above * s AS a, h.n - h.k + (1 - d.above) * s AS b FROM hosts h JOIN by_domain d USING (domain, suffix), s1),
 judged AS (SELECT host, CASE WHEN a / (a + b) - {urlrep.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {urlrep.BAD} THEN 'block' ELSE 'allow' END AS by_host FROM ab)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.own, j.by_host) AS verdict FROM rows r JOIN judged j USING (host)
 """

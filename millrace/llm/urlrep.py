@@ -87,8 +87,8 @@ def judge(pages: DataFrame, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
     by_host, by_domain, by_suffix = (strength(x) for x in (hosts, domains, suffixes))
     shrunk = lambda mean, s: (F.col("k") + mean * s) / (F.col("n") + s)
     suffixes = suffixes.select("suffix", shrunk(F.lit(rate), by_suffix).alias("above"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("above"), by_domain).alias("above"))
+    domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("above"), by_domain).alias("above"))
     a, b = F.col("k") + F.col("above") * by_host, F.col("n") - F.col("k") + (1 - F.col("above")) * by_host
     bound = a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    judged = cut(hosts.join(domains, "domain").select("host", F.when(bound > BAD, "block").otherwise("allow").alias("by_host")))
+    judged = cut(hosts.join(domains, ["domain", "suffix"]).select("host", F.when(bound > BAD, "block").otherwise("allow").alias("by_host")))
     return rows.join(judged, "host").select("page_id", "host", "path", "rule", F.coalesce("own", "by_host").alias("verdict"))
