@@ -7,7 +7,7 @@ kth score goes with it; queries of one region travel in blocks of about ``BLOCK_
 nodes are taken best bound first until no bound reaches the kth score; within a task it rises from shard to shard. Bounds equal to the kth score are still opened, as a tie may have a smaller id.
 
 Vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part. A vec_id names a row: rows of one
-vec_id never answer each other, and repeated rows count once. Vectors of different length don't meet.
+vec_id never answer each other, and repeated rows count once. Vectors of different length don't meet. A product beyond a long counts as the nearest long.
 Fewer than k candidates give all of them; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -27,7 +27,9 @@ K, EVERY, SHARD_ROWS, BLOCK_ROWS, LEAF, REGIONS, SAMPLE_VALUES = 10, 100, 4096,
 
 
 def whole(x: np.ndarray) -> np.ndarray:
-    return np.floor(1024.0 * x)
+    """floor(1024 * x); a product beyond doubles is the largest double."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(1024.0 * x))
 
 
 class Tree:
@@ -51,23 +53,26 @@ class Tree:
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bound of each query's product in each node."""
-        return np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
+        return bounds(self.lo, self.hi, q)
 
 
 def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products as int64: by doubles while every sum stays under 2**53."""
-    if x.size and x.shape[1] * float(np.abs(x).max()) * float(np.abs(q).max()) >= 2**53:
+    """Exact integer products as int64: by doubles while every sum stays under 2**53, by longs while under 2**63, else by integers of any size, held at the ends of a long."""
+    with np.errstate(over="ignore"):
+        most = x.shape[1] * float(np.abs(x).max()) * float(np.abs(q).max()) if x.size else 0.0
+    if most < 2**53:
+        return (x @ q).astype(np.int64)
+    if most < 2**63:
         return x.astype(np.int64) @ q.astype(np.int64)
-    return (x @ q).astype(np.int64)
+    own = [int(b) for b in q]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, own, strict=True)), -(2**63)), 2**63 - 1) for row in x], np.int64)
 
 
 def search(tree: Tree, x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, kth: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of up to k best for each query; kth: scores below it can't be among the query's k best. It is raised in place."""
     x = x[tree.order]
     ids = ids[tree.order]
-    # doubles round bounds of very large products: widened by more than that error
     bound = tree.bounds(queries)
-    bound += np.abs(bound) * 1e-12 * (np.abs(bound) >= 2**50)
     found = []
     for i, q in enumerate(queries):
         heap, got_s, got_i, floor = [(-bound[i, 0], 0)], np.zeros(0, np.int64), np.zeros(0, np.int64), kth[i]
@@ -103,7 +108,7 @@ class Regions:
         todo, self.count = [(x, most, -1, 0)], 0
         while todo:
             own, share, parent, side = todo.pop()
-            spread = own.max(axis=0) - own.min(axis=0)
+            spread = own.max(axis=0) / 2 - own.min(axis=0) / 2
             axis = int(spread.argmax())
             cut_ = float(np.median(own[:, axis]))
             low = own[:, axis] <= cut_
@@ -130,8 +135,10 @@ class Regions:
 
 def bounds(lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Upper bound of each query's product in each box, widened by more than rounding can take."""
-    b = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
-    return b + np.abs(b) * 1e-12 * (np.abs(b) >= 2**50)
+    with np.errstate(over="ignore", invalid="ignore"):
+        b = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+        size = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T  # rounding goes with the terms, not with their sum
+        return np.nan_to_num(b + size * 1e-12 * (size >= 2**50), nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 def _bytes(x: np.ndarray) -> pa.Array:
