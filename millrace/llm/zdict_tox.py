@@ -10,7 +10,7 @@ features. A toxic document is mostly ordinary text, so this pair's toxic diction
 frequent in toxic text; runs count once for each word before, so copies of a passage count once. Ordinary words that have such a run are repeated in the ordinary samples.
 
 A logistic curve over all features calibrates the score. Labels are read only where crc32(doc_id) mod 5 isn't 0. The fit uses at most ``TOXIC`` toxic and ``ORDINARY`` ordinary labelled ids (parameters of ``fit``), those
-of smallest hash of doc_id, with their whole texts, and of rows that share an id the smallest text: one half trains the dictionaries, the other calibrates.
+of smallest hash of doc_id, with their whole texts, and of rows that share an id the smallest text: one half trains the dictionaries, the other calibrates. A word dictionary, of 16 KB at most, is trained on at most ``WORDS`` words of that half, drawn with a fixed seed.
 
 Nulls: a null text is empty and gets a score like any text; a null doc_id is never fitted on, is not held out, and stays null. Without labels
 of both kinds every score is the share of toxic ones (0 without labels). Repeated rows stay repeated, an empty table gives an
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship
 from .words import LONGEST, WordIds
 
-TOXIC, ORDINARY, FOLDS = 1500, 3000, 5
+TOXIC, ORDINARY, FOLDS, WORDS = 1500, 3000, 5, 200_000
 GRAM, RATIO, LEVEL, REPEATS, SIZES, STEPS = 5, 8.0, 19, (2, 4), (8192, 16384), (2, 3, 4, 5, 6, 8)
 WINDOW, SAMPLE, PLAIN_SIZE, FAST = 64, 256, 8192, 3
 _BREAK = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -194,7 +194,7 @@ class Model:
         mix = lambda ws, most: [ws[i] for i in rng.permutation(len(ws))[:most]]
         plain = [w for own in o for w in own]
         run = lambda texts: dictionary([x[i : i + SAMPLE] for x in texts for i in range(0, len(x), SAMPLE)], PLAIN_SIZE)
-        by_word = dictionary(by_fours(mix(mine, 200_000)), SIZES[0]), dictionary(by_fours(mix(plain, 200_000) + hard * 4), SIZES[1])
+        by_word = dictionary(by_fours(mix(mine, WORDS)), SIZES[0]), dictionary(by_fours(mix(plain, WORDS) + hard * 4), SIZES[1])
         self.dicts = by_word, (run(toxic[::2]), run(ordinary[::2]))
         rest = [*toxic[1::2], *ordinary[1::2]]
         y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
