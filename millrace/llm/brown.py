@@ -6,7 +6,7 @@ covers all of them. The end has a class of its own, words have ``CLASSES - 1``.
 Clustering. The core are all words that make up one in ``CORE`` or more of the training tokens, so at most ``CORE`` words, whatever the input. The ``SEEDS`` most frequent are clustered first, by
 exchange over their own bigrams: words move one at a time to the class where the classes' bigrams are likeliest, until none moves. Then the whole core is exchanged: a pass over the
 training rows, kept as core words' numbers of two bytes, counts, for each core word, the classes before and after it; with these counts words move one at a time as before. Passes are repeated until less than ``STILL``
-of the core's tokens move, ``ROUNDS`` times at most. Rarer words then go, each by itself, to the class that its own neighbours make likeliest, in one more pass. Neighbours outside the core say nothing there;
+of the core's tokens move, or until a pass no longer makes the class bigrams likelier (within a pass, counts are those of the pass before, so it may not); the likeliest classes stand. Rarer words then go, each by itself, to the class that its own neighbours make likeliest, in one more pass. Neighbours outside the core say nothing there;
 a word without other neighbours goes to the class of most core words. Class bigrams are counted anew with all words placed. A word that training rows lack is given the class of most distinct words.
 
 With c the word's count, P(word | class) = (c + A) / (n(class) + A * (v(class) + 1)), P(class | last) = (n(last, class) + B * n(class) / N) / (n(last) + B), and a token's probability is
@@ -17,7 +17,7 @@ Counts and classes of the core and of at most ``HEAD`` next words (those above a
 hashes and go back to their places in the texts, so no table that grows with the vocabulary is held in one place. At most CORE * (2 * CLASSES + 2) sums reach the driver in a pass.
 
 Nulls: a null text is empty (one token, the end). A null doc_id counts as training and stays null. Repeated rows stay repeated and count in training as often; equal texts of different doc_ids are rows of their own. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result; where no word makes up one in ``CORE`` of the training tokens (no words at all, or none that repeats enough), there is no core, and all words share a class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import HOT, LOWER, cut, release, ship, text_name
 from .words import LONGEST, Table, spread, word_hashes
 
-FOLDS, CORE, SEEDS, CLASSES, ROUNDS, STILL, HEAD, SHARE, A, B = 10, 60_000, 768, 48, 4, 0.01, 1 << 18, 0.95, 0.1, 5.0
+FOLDS, CORE, SEEDS, CLASSES, STILL, HEAD, SHARE, A, B = 10, 60_000, 768, 48, 0.01, 1 << 18, 0.95, 0.1, 5.0
 OWN, REST = 2 * CLASSES, 2 * CLASSES + 1  # slots of a word's neighbours: classes before, classes after, itself before, a word outside the core before
 SLICE, HELD = 1 << 21, 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -273,14 +273,28 @@ def core_contexts(seqs: DataFrame, types: Types, at: np.ndarray) -> np.ndarray:
     return counted(seqs, of, types.core * (REST + 1)).reshape(types.core, REST + 1)
 
 
+def core_bigrams(seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Class bigrams among core words and the end, from their neighbours' classes seen under the classes at; -1: none yet."""
+    left, own = seen[:, CLASSES:OWN], seen[:, OWN]
+    one = np.eye(CLASSES)[np.maximum(at, 0)] * (at >= 0)[:, None]
+    pair = one.T @ left
+    pair[0] = one.T @ seen[:, 0]  # what begins a text
+    np.add.at(pair, (np.maximum(at, 0), np.maximum(at, 0)), np.where(at >= 0, own, 0))
+    return pair
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """What class bigrams add to the log likelihood."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(pair) - f(pair.sum(axis=1)) - f(pair.sum(axis=0))
+
+
 def core_exchange(seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(classes, class bigrams, share of tokens moved) after each core word, by its neighbours' classes seen, has moved to its best class; -1: none yet."""
     at = at.copy()
     right, left, own, weight = seen[:, :CLASSES], seen[:, CLASSES:OWN], seen[:, OWN], seen.sum(axis=1) + seen[:, OWN]
     old, count = at.copy(), seen[:, [*range(CLASSES), OWN, REST]].sum(axis=1)
-    one = np.eye(CLASSES)[np.maximum(at, 0)] * (at >= 0)[:, None]
-    pair = one.T @ left  # from each class's words to the classes after them
-    np.add.at(pair, (np.maximum(at, 0), np.maximum(at, 0)), np.where(at >= 0, own, 0))
+    pair = core_bigrams(seen, at)
     f = lambda x: x * np.log(np.maximum(x, 1))
     for w in np.argsort(-weight, kind="stable"):
         a, out, into, n = at[w], left[w], right[w], own[w]
@@ -305,6 +319,22 @@ def core_exchange(seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, pair, float(count[at != old].sum() / max(1.0, count.sum()))
 
 
+def settled(seqs: DataFrame, types: Types, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, class bigrams) of the core once exchange has come to rest."""
+    best, before = None, -np.inf
+    while True:
+        seen = core_contexts(seqs, types, np.append(at, [-1, 0]))
+        if (at >= 0).all():
+            pair = core_bigrams(seen, at)
+            now = likelihood(pair)
+            if now <= before:
+                return best
+            best, before = (at, pair), now
+        at, pair, moved = core_exchange(seen, at)
+        if moved < STILL:
+            return at, pair
+
+
 def contexts(rows: DataFrame, types: Types, at: np.ndarray) -> DataFrame:
     """(h, l, slot, n) for the words outside the core in the training rows."""
 
@@ -435,12 +465,9 @@ def fit(rows: DataFrame) -> tuple[Lexicon, DataFrame, np.ndarray]:
     first = exchange(bigrams(seqs, types, seeds))
     at = np.full(types.core, -1)
     at[:seeds] = first[:seeds]
-    for _ in range(ROUNDS if len(h) else 0):
-        at, pair, moved = core_exchange(core_contexts(seqs, types, np.append(at, [-1, 0])), at)
-        if moved < STILL:
-            break
+    at, pair = settled(seqs, types, at) if len(h) else (at, None)
     kinds = np.bincount(at, minlength=CLASSES).astype(float)
-    others = placed(rows, types, np.append(at, [-1, 0]), pair, int(kinds.argmax())) if len(h) else words.select("h", "l", F.lit(1).alias("class"), "c")
+    others = placed(rows, types, np.append(at, [-1, 0]), pair, int(kinds.argmax())) if len(h) else cut(words.select("h", "l", F.lit(1).alias("class"), "c"))
     release(words, seqs)
     for r in others.groupBy("class").count().collect():  # CLASSES rows
         kinds[r["class"]] += r["count"]
@@ -485,7 +512,7 @@ def classed(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame:
             there = found >= 0
             seq, size = np.where(there, found & 255, 255).astype(np.uint8).tobytes(), np.bincount(doc, minlength=len(texts))
             upto = np.concatenate(([0], np.cumsum(size))).tolist()
-            logs = np.bincount(doc[there], np.log10((found[there] >> 8) + 0.1), len(texts))
+            logs = np.bincount(doc[there], np.log10((found[there] >> 8) + 0.1), len(texts)).astype(float)
             none = np.zeros(len(texts), np.int32)
             cols = [b.column(1), b.column(2), pa.array(none), pa.array(none), pa.array(none), pa.array(none + np.int64(1)), b.column(0), b.column(3)]
             cols += [pa.array([seq[s:e] for s, e in zip(upto, upto[1:], strict=False)], pa.binary()), pa.array(logs), pa.array(np.bincount(doc[there], minlength=len(texts)))]
