@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, brown, packing, simhash_bk, suffix_dedup, zdict_tox
+from millrace.llm import alignment, bpe_tree, brown, mixing, packing, resampling, simhash_bk, suffix_dedup, zdict_tox
 from millrace.llm.common import LOWER, components
 
 SCHEMA = "doc_id long, text string, fp long, h string"
@@ -452,8 +453,61 @@ def test_toxicity_of_a_phrase_of_ordinary_words(spark):
     assert kept.schema.names == frame.schema.names and {(r[3], r[4]) for r in kept.collect()} == {(4, 5), (None, None)}
 
 
-def test_empty_tables(spark):
+OPERATORS = {
+    "suffix_dedup": suffix_dedup.repeats, "simhash": simhash_bk.near_duplicates, "packing": packing.pack, "bpe": bpe_tree.digests, "brown": brown.score, "alignment": alignment.align, "mixing": mixing.taken,
+    "resampling": lambda d: resampling.resample(d, d.select("text")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(spark, name):
+    assert OPERATORS[name](docs(spark, [(0, "a")]).where("false").withColumn("source", F.lit("s"))).count() == 0
+
+
+def test_toxicity_of_an_empty_table(spark):
     none = docs(spark, [(0, "a")]).where("false")
-    assert suffix_dedup.repeats(none).count() == simhash_bk.near_duplicates(none).count() == packing.pack(none).count() == bpe_tree.digests(none).count() == brown.score(none).count() == 0
     model = zdict_tox.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert zdict_tox.score(none, model).count() == 0 and zdict_tox.score(docs(spark, ODD), model).count() == len(ODD)
+
+
+@pytest.mark.parametrize("case", ["empty texts", "all held out", "all distinct", "one word"])
+def test_brown_without_a_core(spark, case):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    distinct = [" ".join(f"w{i}x{k}" for k in range(700)) for i in range(139)]
+    rows = {"empty texts": [(1, ""), (2, None), (3, " \n ")], "all held out": [(i, "some words") for i in held[:3]], "all distinct": list(enumerate(distinct)), "one word": [(1, "a a a"), (2, "a")]}[case]
+    got = brown.score(docs(spark, rows)).collect()
+    toks = lambda t: [*(t or "").encode().split(), None]
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    assert key((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == key((i, len(toks(t)), sum(w in c for w in toks(t)), n) for i, t in rows)
+    base = {i: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(t)) for i, t in rows}
+    assert all(abs(base[r["doc_id"]] - r["base_score"]) < 1e-6 and math.isfinite(r["score"]) for r in got)
+
+
+def test_brown_comes_to_rest_where_no_pass_gains(spark, monkeypatch):
+    """The classes that stand are at least as likely as those of the seeds alone after one pass."""
+    monkeypatch.setattr(brown, "SEEDS", 12)
+    rows = brown.source(docs(spark, corpus(9, 60)))
+    words = brown.vocabulary(rows).orderBy("h", "l").toArrow()
+    h, l = (words[k].to_numpy().view(np.uint64) for k in ("h", "l"))
+    types = brown.Types(h, l)
+    seqs = brown.numbered(rows, types)
+    first = brown.exchange(brown.bigrams(seqs, types, 12))
+    at = np.full(types.core, -1)
+    at[:12] = first[:12]
+    once, _, _ = brown.core_exchange(brown.core_contexts(seqs, types, np.append(at, [-1, 0])), at)
+    rest, _ = brown.settled(seqs, types, at)
+    like = lambda a: brown.likelihood(brown.core_bigrams(brown.core_contexts(seqs, types, np.append(a, [-1, 0])), a))
+    assert (rest > 0).all() and like(rest) >= like(once) - 1e-6
+
+
+def test_toxicity_figures_of_the_readme(spark):
+    """On the held-out labelled rows of the test tables."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    found = zdict_tox.score(table("documents"), zdict_tox.fit(table("documents"), table("labels"))).where("held_out").join(table("labels").where("toxic in (0, 1)"), "doc_id").select("toxic", "predicted", "score").toPandas()
+    y, p = found["toxic"].to_numpy(), found["predicted"].to_numpy()
+    place = found["score"].rank().to_numpy()
+    area = (place[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    figures = (p == y).mean(), y[p == 1].mean(), p[y == 1].mean(), area
+    print("accuracy, precision, recall, area:", figures)
+    assert len(y) == 825 and y.sum() == 97 and all(a >= b for a, b in zip(figures, (0.94, 0.85, 0.6, 0.91), strict=True))

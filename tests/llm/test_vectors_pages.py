@@ -33,6 +33,18 @@ def test_top_k_is_brute_force(spark, duck):
     assert sorted(map(tuple, kdtopk.top_k(df, shard_rows=20, block_rows=3).collect())) == want
 
 
+def test_products_beyond_a_long_are_held_at_its_ends(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0]), (4, [1.7e308, -1.7e308]), (100, [2.0**40, 3.0]), (5, [2.0**20, 1.0])] + [(k, [float(k), 1.0]) for k in range(10, 40)]
+    got = [tuple(r) for r in kdtopk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=8, block_rows=1).collect()]
+    e = {i: [int(np.nan_to_num(np.floor(1024.0 * x))) if abs(x) < 1e305 else int(np.nan_to_num(1024.0 * x)) for x in v] for i, v in rows}
+    held = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 100):
+        found = sorted((-held(sum(a * b for a, b in zip(e[q], v, strict=True))), i) for i, v in e.items() if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert sorted(got) == sorted(want) and max(r[3] for r in got) == 2**63 - 1
+
+
 def test_shards_out_of_reach_are_skipped(spark, duck):
     """Clusters far apart: a query's block goes to few shards, with the same answers; products beyond 2**53 stay exact."""
     rng = np.random.default_rng(14)
@@ -149,6 +161,17 @@ def test_url_reputation_is_its_sql(spark, duck):
     assert urlrep.judge(df.where("false")).count() == 0
 
 
+def test_every_page_has_one_verdict(spark):
+    """Hosts in brackets, empty, dotted, with ports: no row is lost or doubled, and one judgement goes by SQL too."""
+    hosts = ["[a.b]", "q.[a.b]", "[a.b]:80", "", ".", "..", "a..b", "b]", "x.b]", "1.2.3.4", "5.1.2.3.4", "co.uk", ".co.uk", "a.co.uk.", "[::1]", "address", "x.address", ":80", "é.com"]
+    pages = spark.createDataFrame([(k, f"http://{h}/{p}/{k}") for k, (h, p) in enumerate((h, p) for h in hosts for p in ("x", "en", "de"))] + [(900, None), (901, "none"), (None, "http://[a.b]/x")], "page_id long, url string")
+    got = urlrep.judge(pages).collect()
+    assert len(got) == 3 * len(hosts) + 3 and len({r["page_id"] for r in got}) == len(got)
+    db = duckdb.connect()
+    db.register("pages", pages.toArrow())
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, db.sql(queries.ORACLES["op2_urlrep"]).fetchall()))
+
+
 def test_owners_of_hosts(spark):
     hosts = {"a.b.co.uk:80": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "10.1.2.3:8080": ("10.1.2.3", "address"), "[::1]": ("[::1]", "address"), "": ("", "")}
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
