@@ -31,13 +31,35 @@ def per(cents_: Column, n: Column) -> Column:
     return F.when(n > 0, half_up / F.lit(100.0)).otherwise(F.lit(0.0))
 
 
+#: What is told apart in an hour and type: users, sessions, orders paid for, and sessions that paid.
+SEEN = ("user", "session", "order", "buyer")
+
+
+def facts(events: DataFrame) -> DataFrame:
+    """(hour_ts, event_type, kind, id, n, cents, paid_cents, paid): one row of sums for each hour and type (kind type), and one for each of its users, sessions, paid orders and paying sessions. Everything hourly comes from these, by one scan."""
+    paid = (F.col("event_type") == "purchase") & (F.col("amount") > 0)
+    own = lambda kind, id_, when=F.lit(True): F.when(when & id_.isNotNull(), F.struct(F.lit(kind).alias("kind"), id_.alias("id")))
+    each = F.array_compact(F.array(own("type", F.lit("")), own("user", F.col("user_id")), own("session", F.col("session_id")), own("order", F.col("order_id"), paid), own("buyer", F.col("session_id"), paid)))
+    money = F.when(F.col("amount") > 0, cents())
+    rows = events.select(hour_of().alias("hour_ts"), "event_type", cents().alias("cents"), money.alias("money"), F.explode(each).alias("f")).select("hour_ts", "event_type", "cents", "money", "f.*")
+    return rows.groupBy("hour_ts", "event_type", "kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.sum("money").alias("paid_cents"), F.count("money").alias("paid"))
+
+
+def tally(facts_: DataFrame) -> DataFrame:
+    """One row for each hour and type of facts: sums, and how many users, sessions, orders and buyers there are."""
+    own = lambda c: F.sum(F.when(F.col("kind") == "type", F.col(c))).alias(c)
+    return facts_.groupBy("hour_ts", "event_type").agg(*[own(c) for c in ("n", "cents", "paid_cents", "paid")], *[F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}s") for k in SEEN])
+
+
+def counts_of(tallied: DataFrame) -> DataFrame:
+    """The event_counts of a tally."""
+    mean = F.round(F.col("paid_cents") / F.lit(100.0) / F.when(F.col("paid") > 0, F.col("paid")), 6)
+    return tallied.select("hour_ts", "event_type", F.col("n").alias("event_count"), F.col("users").alias("unique_users"), F.col("sessions").alias("unique_sessions"), (F.col("cents") / F.lit(100.0)).alias("total_amount"), mean.alias("avg_amount"))
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     """One row for each hour and type: events, distinct users and sessions, total and mean positive amount."""
-    paid = F.when(F.col("amount") > 0, cents())
-    return events.groupBy(hour_of().alias("hour_ts"), "event_type").agg(
-        F.count(F.lit(1)).alias("event_count"), F.countDistinct("user_id").alias("unique_users"), F.countDistinct("session_id").alias("unique_sessions"),
-        (F.sum(cents()) / F.lit(100.0)).alias("total_amount"), F.round(F.sum(paid) / F.lit(100.0) / F.count(paid), 6).alias("avg_amount"),
-    )
+    return counts_of(tally(facts(events)))
 
 
 def funnel(counts: DataFrame) -> DataFrame:
@@ -50,11 +72,15 @@ def conversion_rates(steps: DataFrame) -> DataFrame:
     return steps.select("hour_ts", *[ratio(F.col(n), F.col(d)).alias(name) for name, n, d in RATIOS])
 
 
+def revenue_of(tallied: DataFrame) -> DataFrame:
+    """The revenue of a tally."""
+    sums = tallied.where((F.col("event_type") == "purchase") & (F.col("paid") > 0)).select("hour_ts", F.col("paid_cents").alias("cents"), F.col("orders").alias("order_count"), F.col("buyers").alias("purchasing_sessions"))
+    return sums.select("hour_ts", (F.col("cents") / F.lit(100.0)).alias("gross_revenue"), "order_count", per(F.col("cents"), F.col("order_count")).alias("avg_order_value"), "purchasing_sessions")
+
+
 def revenue(events: DataFrame) -> DataFrame:
     """Hours with paid purchases: revenue, distinct orders, order value, buying sessions."""
-    paid = events.where((F.col("event_type") == "purchase") & (F.col("amount") > 0))
-    sums = paid.groupBy(hour_of().alias("hour_ts")).agg(F.sum(cents()).alias("cents"), F.countDistinct("order_id").alias("order_count"), F.countDistinct("session_id").alias("purchasing_sessions"))
-    return sums.select("hour_ts", (F.col("cents") / F.lit(100.0)).alias("gross_revenue"), "order_count", per(F.col("cents"), F.col("order_count")).alias("avg_order_value"), "purchasing_sessions")
+    return revenue_of(tally(facts(events.where((F.col("event_type") == "purchase") & (F.col("amount") > 0)))))
 
 
 def revenue_per_session(steps: DataFrame, money: DataFrame) -> DataFrame:
@@ -84,6 +110,17 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
         *[zero(F.sum(F.when(of_type & (F.col("id") == kind), F.col("n")))).alias(name) for name, kind in COUNTS],
         *[F.count(F.when(F.col("kind") == kind, 1)).alias(name) for name, kind in (("unique_users", "user"), ("unique_sessions", "session"), ("order_count", "order"))], zero(F.sum(F.when(of_type, F.col("cents")))).alias("cents"),
     )
+    return _wide(sums)
+
+
+def wide_of(tallied: DataFrame) -> DataFrame:
+    """The wide table of a tally."""
+    is_ = lambda kind: F.col("event_type") == kind
+    of = lambda kind, c: F.coalesce(F.sum(F.when(is_(kind), F.col(c))), F.lit(0))
+    return _wide(tallied.groupBy("hour_ts").agg(*[of(kind, "n").alias(name) for name, kind in COUNTS], of("page_view", "users").alias("unique_users"), of("page_view", "sessions").alias("unique_sessions"), of("purchase", "orders").alias("order_count"), of("purchase", "paid_cents").alias("cents")))
+
+
+def _wide(sums: DataFrame) -> DataFrame:
     wide = sums.select("*", *[ratio(F.col(n), F.col(d)).alias(name) for name, n, d in RATIOS])
     return wide.select(
         "hour_ts", *[n for n, _ in COUNTS], "unique_users", "unique_sessions", *[n for n, *_ in RATIOS],

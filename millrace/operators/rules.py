@@ -25,6 +25,17 @@ def hour_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(hour_of().alias("hour_ts")).agg(*[of(k, F.lit(1)).alias(k) for k in KINDS], of("purchase", cents()).alias("cents"))
 
 
+def counts_of(tallied: DataFrame) -> DataFrame:
+    """The hour_counts of a tally of facts."""
+    of = lambda kind, c: F.sum(F.when(F.col("event_type") == kind, F.col(c)))
+    return tallied.groupBy("hour_ts").agg(*[of(k, "n").alias(k) for k in KINDS], of("purchase", "cents").alias("cents"))
+
+
+def visitors_of(facts: DataFrame) -> DataFrame:
+    """The hour_visitors of facts: of each hour once, whatever they did."""
+    return facts.where("kind in ('user', 'session')").select("hour_ts", F.concat("kind", F.lit("s")).alias("kind"), "id").distinct()
+
+
 def hour_visitors(events: DataFrame) -> DataFrame:
     """(hour_ts, kind, id): the distinct users and sessions of each hour."""
     both = F.explode(F.array(F.struct(F.lit("users").alias("kind"), F.col("user_id").alias("id")), F.struct(F.lit("sessions").alias("kind"), F.col("session_id").alias("id"))))
@@ -142,15 +153,20 @@ def visitor_counts(visitors: DataFrame, *by: str) -> DataFrame:
     return visitors.groupBy(*by).agg(of("users"), of("sessions"))
 
 
-def traffic_drops(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Users and sessions of all events against the same hour of the four weeks before; few usual users silence both. Without windows, every hour that has events is one."""
-    visitors = hour_visitors(events)
+def traffic_drops(events: DataFrame | None, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig(), visitors: DataFrame | None = None) -> DataFrame:
+    """Users and sessions of all events against the same hour of the four weeks before; few usual users silence both. Without windows, every hour that has events is one. visitors: those of hours, where they are at hand."""
+    visitors = hour_visitors(events) if visitors is None else visitors
     if windows is None:  # an hour's visitors are those of its window
         hourly = kept(visitor_counts(visitors, "hour_ts"))
         windows = seen = hourly.withColumnRenamed("hour_ts", "window_start")
     else:
         hourly = visitor_counts(visitors, "hour_ts")
         seen = visitor_counts(_hours_of(windows).join(visitors, "hour_ts", "left").select("window_start", "kind", "id").distinct(), "window_start")
+    return dropped(hourly, windows, seen, cfg)
+
+
+def dropped(hourly: DataFrame, windows: DataFrame, seen: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """traffic_drops of hourly (hour_ts, users, sessions) and of windows with what each has seen (window_start, users, sessions)."""
     weeks = windows.select("window_start", F.explode(F.array(*[F.date_trunc("hour", F.col("window_start")).cast("timestamp_ntz") - hours(168 * k) for k in (1, 2, 3, 4)])).alias("hour_ts"))
     usual = weeks.join(hourly, "hour_ts").groupBy("window_start").agg(*[f(c).alias(f"{n}_{c}") for c in ("users", "sessions") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     both = seen.join(usual, "window_start").where(F.col("mean_users") > cfg.traffic_users)
@@ -165,8 +181,14 @@ def traffic_drops(events: DataFrame, windows: DataFrame | None = None, cfg: Dete
     ).select(*SHAPE)
 
 
-def all_rules(events: DataFrame, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """All rules; without windows, over every hour that has events. The rules on counts share one pass over the windows' facts."""
-    counts = kept(hour_counts(events))  # one row for each hour
-    facts = window_facts(counts, hourly_windows(events, counts) if windows is None else windows, cfg)
-    return _fired(facts, [*_missing(cfg), *_funnel(cfg), *_gateway(cfg), *_revenue(cfg)]).unionByName(traffic_drops(events, windows, cfg))
+def all_rules(events: DataFrame | None, windows: DataFrame | None = None, cfg: DetectionConfig = DetectionConfig(), facts: DataFrame | None = None) -> DataFrame:
+    """All rules; without windows, over every hour that has events. The rules on counts share one pass over the windows' facts. facts: the events' hourly facts, written, where they are at hand; events aren't read then."""
+    counts = kept(hour_counts(events) if facts is None else counts_of(facts.where("kind = 'type'")))  # one row for each hour
+    told = window_facts(counts, hourly_windows(events, counts) if windows is None else windows, cfg)
+    drops = traffic_drops(events, windows, cfg, None if facts is None else visitors_of(facts))
+    return fired_of(told, cfg).unionByName(drops)
+
+
+def fired_of(told: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """All rules on counts over window_facts."""
+    return _fired(told, [*_missing(cfg), *_funnel(cfg), *_gateway(cfg), *_revenue(cfg)])

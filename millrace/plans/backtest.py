@@ -24,13 +24,14 @@ KNOWN = [
 def replay(events: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Anomalies of every hour from baseline_hours after the first on, each against the baseline its own run would have had.
 
-    The hourly metrics are written once, as baselines, detectors and the first hour come from them; so are the anomalies."""
-    long = kept(metrics.metrics_long(metrics.hourly_metrics(events)))
+    Events are read once, for hourly facts, which are written; the long metrics that come from them are written too, as baselines, detectors and the first hour read them; so are the anomalies."""
+    facts = kept(metrics.facts(events))
+    long = kept(metrics.metrics_long(metrics.wide_of(metrics.tally(facts))))
     first = long.agg(F.min("hour_ts")).first()[0]
     if first is None:
         return kept(statistical.all_statistical(baselines.compare(baselines.rolling_baseline_all_hours(long)), None, cfg))
     rows = baselines.compare(baselines.rolling_baseline_all_hours(long, cfg.baseline_hours, cfg.baseline_end, cfg.min_samples), cfg.iqr_multiplier)
-    found = statistical.all_statistical(rows, None, cfg).unionByName(rules.all_rules(events, cfg=cfg))
+    found = statistical.all_statistical(rows, None, cfg).unionByName(rules.all_rules(None, cfg=cfg, facts=facts))
     return kept(found.where(F.col("metric_timestamp") >= baselines.at(first + timedelta(hours=cfg.baseline_hours))))
 
 

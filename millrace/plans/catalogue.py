@@ -79,9 +79,10 @@ def _history(spark, d):
 def _anomalies(spark, d):
     """Anomalies of a week: both statistical families and the rules, of the events with faults; metrics and anomalies are written once."""
     events = _injected(spark, d)
-    long = kept(metrics.metrics_long(metrics.hourly_metrics(events)))
+    facts = kept(metrics.facts(events))
+    long = kept(metrics.metrics_long(metrics.wide_of(metrics.tally(facts))))
     rows = baselines.metrics_with_baseline(long, baselines.rolling_baseline(long, AS_OF))
-    ruled = rules.all_rules(events, cfg=SCALED)
+    ruled = rules.all_rules(None, cfg=SCALED, facts=facts)
     return kept(statistical.all_statistical(rows, WEEK).unionByName(ruled.where((F.col("metric_timestamp") >= at(WEEK.start)) & (F.col("metric_timestamp") < at(WEEK.end)))))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DetectionConfig, Window
 from ..operators import baselines, metrics, rollup, rules, statistical
 from ..schema import RUNS
+from ..sources.tables import kept
 
 
 @dataclass
@@ -31,12 +32,13 @@ def detect(events: DataFrame, window: Window, cfg: DetectionConfig = DetectionCo
 
     Only events that the longest look-back can reach are read."""
     reach = events.where((F.col("event_time") >= baselines.at(window.start) - baselines.hours(max(28 * 24, cfg.baseline_hours))) & (F.col("event_time") < baselines.at(window.end)))
-    long = metrics.metrics_long(metrics.hourly_metrics(reach))
+    facts = kept(metrics.facts(reach))
+    long = kept(metrics.metrics_long(metrics.wide_of(metrics.tally(facts))))
     base = baselines.rolling_baseline(long, window.end if cfg.baseline_end == "window_end" else window.start, cfg.baseline_hours, cfg.min_samples)
     current = baselines.current_baselines(base if history is None else history.select(*base.columns).unionByName(base))
     rows = baselines.metrics_with_baseline(long, current, cfg.iqr_multiplier)
     windows = rules.one_window(events, window)
-    found = statistical.all_statistical(rows, window, cfg).unionByName(rules.all_rules(reach, windows, cfg))
+    found = statistical.all_statistical(rows, window, cfg).unionByName(rules.all_rules(None, windows, cfg, facts))
     return base, found
 
 
