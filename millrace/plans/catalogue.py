@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlertConfig, DetectionConfig, RetentionConfig, Window
-from ..operators import baselines, health, lifecycle, metrics, rollup, rules, statistical
+from ..operators import baselines, health, lifecycle, metrics, partials, rollup, rules, statistical
 from ..operators.baselines import at
 from ..schema import event_types
 from ..sources.adapter import injected, orders, read_events
-from ..sources.tables import kept
-from . import backtest, pipeline
+from ..sources.tables import kept, scratch
+from . import backtest, pipeline, state, stored
 from .oracles import ORACLES
 
 DETECT_ALERTS = AlertConfig()
@@ -454,3 +454,50 @@ def q_zero_amount_orders(spark, d):
 def q_unpaid_orders(spark, d):
     """Orders without an amount; the test tables may have none."""
     return orders(spark, d).where("amount = 0").select("order_id", F.col("amount").cast("double").alias("amount"), "status")
+
+
+def _stored(spark, d, fault=lambda e: e):
+    """The hourly store of all events, of which every seventh arrives late, after a first refresh."""
+    store = stored.Hourly(spark, scratch(spark))
+    events = fault(read_events(spark, d))
+    late = F.col("event_id") % 7 == 0
+    for part in (events.where(~late), events.where(late)):
+        store.arrive(part)
+        store.refresh()
+    return store
+
+
+@query
+def q_stored_event_counts(spark, d):
+    return metrics.counts_of(_stored(spark, d).tally())
+
+
+@query
+def q_stored_metrics_wide(spark, d):
+    return _stored(spark, d).wide()
+
+
+@query
+def q_stored_rules(spark, d):
+    store = _stored(spark, d, injected)
+    return _plain(partials.all_rules(store.sums(), store.marks(), cfg=SCALED))
+
+
+@query
+def q_weekly_visitors(spark, d):
+    """Distinct users and sessions of each week and type, by merging the bitmaps of its hours; orders and paying sessions of purchases."""
+    week = F.date_trunc("week", "hour_ts").cast("timestamp_ntz")
+    return partials.across(_stored(spark, d).marks().withColumn("week", week), "week", "event_type")
+
+
+@query
+def q_rerun(spark, d):
+    """A week's run over a stored state, run a second time: its anomalies replace those of the first."""
+    store = state.State(spark, scratch(spark))
+    events = read_events(spark, d)
+    state.run(store, events, WEEK, AS_OF, SCALED)
+    state.run(store, events, WEEK, AS_OF, SCALED)
+    by = lambda x: F.count_if(F.col("detector") == x)
+    found = store.read("anomalies").agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))
+    kept_ = store.read("incidents").agg(F.count(F.lit(1)).alias("incidents"), F.sum("detection_count").alias("detections"))
+    return found.join(F.broadcast(kept_)).join(F.broadcast(store.read("runs").agg(F.count(F.lit(1)).alias("runs"))))

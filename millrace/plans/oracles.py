@@ -241,6 +241,8 @@ _minutes = lambda c, t: f"(epoch_us({t}) - epoch_us({c})) / 60000000.0::DOUBLE"
 _season = "round(same_hour_mean, 6) AS same_hour_mean, round(same_hour_std, 6) AS same_hour_std, sample_count, round(CASE WHEN same_hour_std > 0 THEN (current_value - same_hour_mean) / same_hour_std ELSE 0.0::DOUBLE END, 4) AS same_hour_zscore"
 _SEASONAL = f"""SELECT metric_name, current_hour, current_value, {_season} FROM (SELECT a.metric_name, a.hour_ts AS current_hour, a.metric_value AS current_value, avg(b.metric_value) AS same_hour_mean, stddev_samp(b.metric_value) AS same_hour_std, count(b.metric_value) AS sample_count
   FROM long a LEFT JOIN long b ON a.metric_name = b.metric_name AND dayofweek(a.hour_ts) = dayofweek(b.hour_ts) AND hour(a.hour_ts) = hour(b.hour_ts) AND b.hour_ts >= a.hour_ts - INTERVAL 28 DAY AND b.hour_ts < a.hour_ts GROUP BY 1, 2, 3) WHERE sample_count >= 2"""
+_TOLD = "count(*) FILTER (WHERE detector = 'zscore') AS zscore_anomalies, count(*) FILTER (WHERE detector = 'iqr') AS iqr_anomalies, count(*) FILTER (WHERE detector = 'rules') AS rules_anomalies, count(*) AS total_anomalies, count(DISTINCT (metric_name, metric_timestamp)) AS candidate_incidents"
+_FOUND = f"{union(all_z('mwb', WEEK), all_i('mwb', WEEK), *rules('ev', 'week_window').values())}"
 _BODIES = {
     "q_anomaly_texts": "SELECT metric_name, metric_timestamp, rule, description FROM told",
     "q_anomaly_facts": "SELECT metric_name, metric_timestamp, rule, f.fact AS fact, round(f.number, 4) AS number, f.word AS word FROM (SELECT metric_name, metric_timestamp, rule, unnest(facts) AS f FROM told WHERE facts IS NOT NULL) WHERE f.number IS NOT NULL OR f.word IS NOT NULL",
@@ -283,7 +285,13 @@ _BODIES = {
     "q_rules_all": "SELECT * FROM ruled",
     "q_rules_day_window": union(*R.values()),
     "q_anomalies_all": "SELECT * FROM anoms",
-    "q_run_summary": f"SELECT count(*) FILTER (WHERE detector = 'zscore') AS zscore_anomalies, count(*) FILTER (WHERE detector = 'iqr') AS iqr_anomalies, count(*) FILTER (WHERE detector = 'rules') AS rules_anomalies, count(*) AS total_anomalies, count(DISTINCT (metric_name, metric_timestamp)) AS candidate_incidents FROM ({union(all_z('mwb', WEEK), all_i('mwb', WEEK), *rules('ev', 'week_window').values())})",
+    "q_run_summary": f"SELECT {_TOLD} FROM ({_FOUND})",
+    "q_rerun": f"SELECT {_TOLD}, count(DISTINCT (metric_name, metric_timestamp)) AS incidents, count(*) AS detections, CAST(1 AS BIGINT) AS runs FROM ({_FOUND})",
+    "q_stored_event_counts": "SELECT * FROM counts",
+    "q_stored_metrics_wide": "SELECT * FROM wide",
+    "q_stored_rules": "SELECT * FROM ruled",
+    "q_weekly_visitors": """SELECT date_trunc('week', event_time)::TIMESTAMP AS week, event_type, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions,
+  count(DISTINCT CASE WHEN event_type = 'purchase' AND amount > 0 THEN order_id END) AS orders, count(DISTINCT CASE WHEN event_type = 'purchase' AND amount > 0 THEN session_id END) AS buyers FROM ev GROUP BY 1, 2""",
     "q_topk_anomalies": "SELECT metric_name, metric_timestamp, rule, severity, z_score FROM anoms WHERE z_score IS NOT NULL ORDER BY abs(z_score) DESC, metric_name, metric_timestamp, rule LIMIT 20",
     "q_incident_rollup": "SELECT * FROM inc",
     "q_incident_severity_lexicographic": f"SELECT {KEY} AS incident_key, max(severity) AS severity FROM anoms GROUP BY metric_name, metric_timestamp",

@@ -34,12 +34,15 @@ def detect(events: DataFrame, window: Window, cfg: DetectionConfig = DetectionCo
     reach = events.where((F.col("event_time") >= baselines.at(window.start) - baselines.hours(max(28 * 24, cfg.baseline_hours))) & (F.col("event_time") < baselines.at(window.end)))
     facts = kept(metrics.facts(reach))
     long = kept(metrics.metrics_long(metrics.wide_of(metrics.tally(facts))))
+    return judged(long, rules.all_rules(None, rules.one_window(events, window), cfg, facts), window, cfg, history)
+
+
+def judged(long: DataFrame, ruled: DataFrame, window: Window, cfg: DetectionConfig, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(baselines, anomalies) of a window from the long metrics that the baselines reach and what the rules found."""
     base = baselines.rolling_baseline(long, window.end if cfg.baseline_end == "window_end" else window.start, cfg.baseline_hours, cfg.min_samples)
     current = baselines.current_baselines(base if history is None else history.select(*base.columns).unionByName(base))
     rows = baselines.metrics_with_baseline(long, current, cfg.iqr_multiplier)
-    windows = rules.one_window(events, window)
-    found = statistical.all_statistical(rows, window, cfg).unionByName(rules.all_rules(None, windows, cfg, facts))
-    return base, found
+    return base, statistical.all_statistical(rows, window, cfg).unionByName(ruled)
 
 
 def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig, seen: bool = False) -> Result:

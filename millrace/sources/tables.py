@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir, deleted when the driver ends. A local session (tests) may leave that setting unset; a cluster may not."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, deleted when the driver ends. A local session (tests) may leave that setting unset; a cluster may not."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
     path = f"{folder.rstrip('/')}/run-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a folder of its own, deleted when the driver ends."""
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
