@@ -15,7 +15,7 @@ from . import __version__
 from .config import Window, load
 from .functions import sql_surface
 from .logs import LOG, setup
-from .operators import health, lifecycle
+from .operators import health, lifecycle, rollup
 from .plans import backtest, state
 from .schema import INCIDENTS, RUNS
 from .sources import sinks, synthetic
@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
 
     run = command("run", "detect in a window of canonical events, over the stored state", "events", "state")
     run.add_argument("--window-hours", type=int, default=1)
+    run.add_argument("--patterns", help="root-cause patterns as JSON lines, in place of the built-in ones")
     for x in ("json", "markdown", "csv", "metrics", "metrics-csv"):
         run.add_argument(f"--{x}", help="write the outcome here")
     report = command("report", "tell of a stored run", "state")
@@ -75,7 +76,8 @@ def _write(path: str | None, text: str) -> None:
 def _run(args, spark: SparkSession, cfg) -> int:
     store = state.State(spark, args.state)
     window = Window.resolve(args.as_of, hours=args.window_hours)
-    result, summary = state.run(store, spark.read.parquet(args.events), window, args.as_of, cfg)
+    patterns = spark.read.schema(rollup.PATTERN).json(args.patterns) if args.patterns else None
+    result, summary = state.run(store, spark.read.parquet(args.events), window, args.as_of, cfg, patterns=patterns)
     if args.json:
         sinks.run_json(summary, result.anomalies, result.incidents, args.json)
     if args.markdown:

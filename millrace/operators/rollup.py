@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DetectionConfig
@@ -16,30 +17,39 @@ def incident_key(metric: str = "metric_name", t: str = "metric_timestamp") -> Co
     return F.concat(F.col(metric), F.lit("_"), F.date_format(F.date_trunc("hour", F.col(t)), "yyyy-MM-dd HH:mm:ss"), F.lit("+00"))
 
 
-def hint(found: Column, honour_severity: bool = False) -> Column:
-    """Hint of the pattern of highest priority (the first of equals) of which every condition is met by some of found, an array of (metric, direction, severity)."""
-    def meets(metric: str, direction: str, severities: tuple) -> Column:
-        ok = lambda a: a["metric"].like(metric + "%") & (a["direction"] == direction)
-        if honour_severity and severities:
-            return F.exists(found, lambda a: ok(a) & a["severity"].isin(*severities))
-        return F.exists(found, lambda a: ok(a))
+#: Conditions of a pattern, as JSON: what a metric's name begins with (a LIKE prefix, so _ stands for any character), the direction, and severities (none: any).
+CONDITIONS = "array<struct<metric: string, direction: string, severity: array<string>>>"
+PATTERN = "name string, priority int, hint string, active boolean, position int, conditions string"
 
-    out = F.lit(DEFAULT_HINT)
-    for name, _, conditions in sorted(PATTERNS, key=lambda p: -p[1])[::-1]:
-        met = F.lit(True)
-        for condition in conditions:
-            met &= meets(*condition)
-        out = F.when(met, HINTS[name]).otherwise(out)
-    return F.when(found.isNull() | (F.size(found) == 0), F.lit(None).cast("string")).otherwise(out)
 
+def default_patterns(spark: SparkSession) -> DataFrame:
+    """The built-in patterns as a table: of equal priorities the smaller position wins."""
+    text = lambda conditions: json.dumps([{"metric": m, "direction": d, "severity": list(s)} for m, d, s in conditions])
+    return spark.createDataFrame([(name, priority, HINTS[name], True, k, text(conditions)) for k, (name, priority, conditions) in enumerate(PATTERNS)], PATTERN)
 
-def _at_time(anomalies: DataFrame) -> DataFrame:
-    return anomalies.groupBy("metric_timestamp").agg(F.collect_set(F.struct(F.col("metric_name").alias("metric"), "direction", "severity")).alias("found"))
 
+def root_cause_hints(anomalies: DataFrame, honour_severity: bool = False, patterns: DataFrame | None = None) -> DataFrame:
+    """(metric_timestamp, root_cause_hint): that of the active pattern of highest priority of which every condition is met by some anomaly of the time.
 
-def root_cause_hints(anomalies: DataFrame, honour_severity: bool = False) -> DataFrame:
-    """(metric_timestamp, root_cause_hint)."""
-    return _at_time(anomalies).select("metric_timestamp", hint(F.col("found"), honour_severity).alias("root_cause_hint"))
+    By division: conditions meet the distinct (metric, direction, severity) by length and text of what they begin with, then times; a pattern fits where as many of its conditions are met as it has. The plan is the same for any
+    number of patterns. A pattern without conditions always fits, one whose conditions aren't such JSON never."""
+    patterns = default_patterns(anomalies.sparkSession) if patterns is None else patterns
+    own = patterns.where("active").select("position", F.struct("priority", (-F.col("position")).alias("earlier"), "hint").alias("told"), F.from_json("conditions", CONDITIONS).alias("conditions"))
+    each = own.select("position", F.posexplode("conditions").alias("number", "c")).select("position", "number", F.col("c.metric").alias("prefix"), F.col("c.direction").alias("direction"), F.col("c.severity").alias("severities"))
+    head = F.regexp_extract("prefix", r"^[^_%\\]*", 0)
+    each = each.where("prefix is not null").select("*", head.alias("head"), F.length(head).alias("n"))
+    seen = anomalies.select("metric_timestamp", "metric_name", "direction", "severity").distinct()
+    kinds = seen.select("metric_name", "direction", "severity").distinct()
+    begun = kinds.select("*", F.explode(F.sequence(F.lit(0), F.length("metric_name"))).alias("n")).withColumn("head", F.expr("substring(metric_name, 1, n)"))
+    met = begun.join(each, ["n", "head", "direction"]).where(F.expr("metric_name LIKE concat(prefix, '%')"))
+    if honour_severity:
+        met = met.where("severities is null or size(severities) = 0 or array_contains(severities, severity)")
+    times = seen.join(met.select("metric_name", "direction", "severity", "position", "number"), ["metric_name", "direction", "severity"])
+    whole = times.groupBy("metric_timestamp", "position").agg(F.count_distinct("number").alias("met")).join(own.select("position", "told", F.size("conditions").alias("needed")), "position").where("met = needed")
+    best = whole.groupBy("metric_timestamp").agg(F.max("told").alias("told"))
+    always = own.where("size(conditions) = 0").agg(F.max("told").alias("always"))
+    every = seen.select("metric_timestamp").distinct().join(best, "metric_timestamp", "left").join(F.broadcast(always))  # one row
+    return every.select("metric_timestamp", F.coalesce(F.greatest("told", "always")["hint"], F.lit(DEFAULT_HINT)).alias("root_cause_hint"))
 
 
 def related_metrics(anomalies: DataFrame) -> DataFrame:
@@ -50,15 +60,16 @@ def related_metrics(anomalies: DataFrame) -> DataFrame:
     return each.select("metric_name", "metric_timestamp", F.when(F.size(others) > 0, others).alias("related_metrics"))
 
 
-def incidents_of(anomalies: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def incidents_of(anomalies: DataFrame, cfg: DetectionConfig = DetectionConfig(), patterns: DataFrame | None = None) -> DataFrame:
     """One candidate incident for each metric and time."""
     worst = F.max("severity") if cfg.severity_mode == "lexicographic" else F.min_by("severity", rank(F.col("severity")))
     groups = anomalies.groupBy("metric_name", "metric_timestamp").agg(
         worst.alias("severity"), F.array_sort(F.collect_set("detector")).alias("detectors"), F.max("current_value").alias("current_value"), F.max("baseline_mean").alias("baseline_value"),
         F.max("pct_change").alias("deviation_pct"), F.count(F.lit(1)).alias("detection_count"), F.array_join(F.array_sort(F.collect_set("description")), " | ").alias("combined_description"),
     )
-    told = _at_time(anomalies).select("metric_timestamp", hint(F.col("found"), cfg.honour_pattern_severity).alias("root_cause_hint"), F.transform("found", lambda x: x["metric"]).alias("names"))
-    others = F.array_sort(F.array_remove(F.array_distinct("names"), F.col("metric_name")))
+    names = anomalies.groupBy("metric_timestamp").agg(F.collect_set("metric_name").alias("names"))
+    told = names.join(root_cause_hints(anomalies, cfg.honour_pattern_severity, patterns), "metric_timestamp")
+    others = F.array_sort(F.array_remove("names", F.col("metric_name")))
     return groups.join(told, "metric_timestamp").select(
         incident_key().alias("incident_key"), "metric_name", "metric_timestamp", "severity", "detectors", "detection_count", "current_value", "baseline_value", "deviation_pct", "combined_description", "root_cause_hint", F.when(F.size(others) > 0, others).alias("related_metrics")
     )

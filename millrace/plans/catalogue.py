@@ -501,3 +501,11 @@ def q_rerun(spark, d):
     found = store.read("anomalies").agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))
     kept_ = store.read("incidents").agg(F.count(F.lit(1)).alias("incidents"), F.sum("detection_count").alias("detections"))
     return found.join(F.broadcast(kept_)).join(F.broadcast(store.read("runs").agg(F.count(F.lit(1)).alias("runs"))))
+
+
+@query
+def q_pattern_table(spark, d):
+    """Hints by a table of patterns: the built-in ones, one of them switched off, and three more."""
+    more = [("any_funnel_break", 200, "A step of the funnel lacks the one before.", True, 100, '[{"metric": "funnel_break", "direction": "missing", "severity": []}]'), ("off", 300, "Never told.", False, 101, '[{"metric": "", "direction": "missing"}]'), ("odd_wildcard", 150, "Revenue of any kind is low.", True, 102, '[{"metric": "_ero_rev", "direction": "below"}, {"metric": "gross", "direction": "below"}]')]
+    table = rollup.default_patterns(spark).withColumn("active", F.col("name") != "payment_gateway_down").unionByName(spark.createDataFrame(more, rollup.PATTERN))
+    return rollup.root_cause_hints(_anomalies(spark, d), patterns=table)

@@ -243,7 +243,16 @@ _SEASONAL = f"""SELECT metric_name, current_hour, current_value, {_season} FROM
   FROM long a LEFT JOIN long b ON a.metric_name = b.metric_name AND dayofweek(a.hour_ts) = dayofweek(b.hour_ts) AND hour(a.hour_ts) = hour(b.hour_ts) AND b.hour_ts >= a.hour_ts - INTERVAL 28 DAY AND b.hour_ts < a.hour_ts GROUP BY 1, 2, 3) WHERE sample_count >= 2"""
 _TOLD = "count(*) FILTER (WHERE detector = 'zscore') AS zscore_anomalies, count(*) FILTER (WHERE detector = 'iqr') AS iqr_anomalies, count(*) FILTER (WHERE detector = 'rules') AS rules_anomalies, count(*) AS total_anomalies, count(DISTINCT (metric_name, metric_timestamp)) AS candidate_incidents"
 _FOUND = f"{union(all_z('mwb', WEEK), all_i('mwb', WEEK), *rules('ev', 'week_window').values())}"
+# Expected of the table of patterns, stated by hand beside the built-in ones: (position, priority, hint, conditions of prefix and direction).
+_MORE = [(100, 200, "A step of the funnel lacks the one before.", [("funnel_break", "missing")]), (102, 150, "Revenue of any kind is low.", [("_ero_rev", "below"), ("gross", "below")])]
+_ALL = [(k, p, HINTS[n], [(m, d) for m, d, _ in c]) for k, (n, p, c) in enumerate(PATTERNS) if n != "payment_gateway_down"] + _MORE
+_lit = lambda x: "'" + x.replace("'", "''") + "'"
+_PATTERNS = f"""SELECT a.metric_timestamp, coalesce((SELECT p.hint FROM (VALUES {", ".join(f"({k}, {p}, {_lit(h)})" for k, p, h, _ in _ALL)}) p(position, priority, hint)
+    WHERE NOT EXISTS (SELECT 1 FROM (VALUES {", ".join(f"({k}, '{m}', '{d}')" for k, _, _, c in _ALL for m, d in c)}) c(position, prefix, direction) WHERE c.position = p.position
+      AND NOT EXISTS (SELECT 1 FROM anoms x WHERE x.metric_timestamp = a.metric_timestamp AND x.direction = c.direction AND x.metric_name LIKE c.prefix || '%'))
+    ORDER BY p.priority DESC, p.position LIMIT 1), {_lit(DEFAULT_HINT)}) AS root_cause_hint FROM (SELECT DISTINCT metric_timestamp FROM anoms) a"""
 _BODIES = {
+    "q_pattern_table": _PATTERNS,
     "q_anomaly_texts": "SELECT metric_name, metric_timestamp, rule, description FROM told",
     "q_anomaly_facts": "SELECT metric_name, metric_timestamp, rule, f.fact AS fact, round(f.number, 4) AS number, f.word AS word FROM (SELECT metric_name, metric_timestamp, rule, unnest(facts) AS f FROM told WHERE facts IS NOT NULL) WHERE f.number IS NOT NULL OR f.word IS NOT NULL",
     "q_incident_texts": f"SELECT incident_key, combined_description, {hint('i')} AS root_cause_hint FROM (SELECT {KEY} AS incident_key, metric_timestamp, string_agg(DISTINCT description, ' | ' ORDER BY description) AS combined_description FROM told GROUP BY metric_name, metric_timestamp) i",

@@ -45,9 +45,9 @@ def judged(long: DataFrame, ruled: DataFrame, window: Window, cfg: DetectionConf
     return base, statistical.all_statistical(rows, window, cfg).unionByName(ruled)
 
 
-def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig, seen: bool = False) -> Result:
+def rolled(result: Result, as_of: datetime, open_incidents: DataFrame | None, cfg: DetectionConfig, seen: bool = False, patterns: DataFrame | None = None) -> Result:
     """result with the incidents and counts of its anomalies. seen: these anomalies have been merged before, at that time."""
-    new = rollup.incidents_of(result.anomalies, cfg)
+    new = rollup.incidents_of(result.anomalies, cfg, patterns)
     incidents = rollup.upsert(open_incidents, new, as_of, cfg, seen) if open_incidents is not None else new
     by = lambda d: F.count_if(F.col("detector") == d)
     summary = result.anomalies.agg(by("zscore").alias("zscore_anomalies"), by("iqr").alias("iqr_anomalies"), by("rules").alias("rules_anomalies"), F.count(F.lit(1)).alias("total_anomalies"), F.count_distinct("metric_name", "metric_timestamp").alias("candidate_incidents"))

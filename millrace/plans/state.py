@@ -198,7 +198,7 @@ class State:
         return gone
 
 
-def run(state: State, events: DataFrame, window: Window, as_of: datetime, cfg: DetectionConfig = DetectionConfig(), clock=datetime.now) -> tuple[pipeline.Result, dict]:
+def run(state: State, events: DataFrame, window: Window, as_of: datetime, cfg: DetectionConfig = DetectionConfig(), clock=datetime.now, patterns: DataFrame | None = None) -> tuple[pipeline.Result, dict]:
     """A detection run over the stored state: its anomalies, baselines, incidents and its row in the run log are one commit; a run of the same run_id is replaced. Where it fails, its row alone is stored and the error is raised again.
 
     Where another writer commits in between, incidents are merged anew with what that writer left; anomalies don't depend on the state. A rerun merges with the incidents that the run found, unless they were changed since;
@@ -215,7 +215,7 @@ def run(state: State, events: DataFrame, window: Window, as_of: datetime, cfg: D
             again = base.before and base.before["run_id"] == run_id
             open_ = state._frame("incidents", base.before["incidents"]) if again else state.read("incidents", base)
             seen = not again and not state.read("runs", base).where((F.col("run_id") == run_id) & (F.col("status") == "completed")).isEmpty()
-            result = pipeline.rolled(found, as_of, open_, cfg, seen)
+            result = pipeline.rolled(found, as_of, open_, cfg, seen, patterns)
             result.incidents = kept(result.incidents)
             summary = result.summary.first().asDict() | {"new_incidents": result.incidents.where("is_new").count(), "duration_seconds": (took() - as_of).total_seconds()}
             told.update(result=result, summary=summary)
