@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlertConfig, DetectionConfig, RetentionConfig, Window
+from ..functions import sql_surface
 from ..operators import baselines, health, lifecycle, metrics, partials, rollup, rules, statistical
 from ..operators.baselines import at
 from ..schema import event_types
@@ -509,3 +510,10 @@ def q_pattern_table(spark, d):
     more = [("any_funnel_break", 200, "A step of the funnel lacks the one before.", True, 100, '[{"metric": "funnel_break", "direction": "missing", "severity": []}]'), ("off", 300, "Never told.", False, 101, '[{"metric": "", "direction": "missing"}]'), ("odd_wildcard", 150, "Revenue of any kind is low.", True, 102, '[{"metric": "_ero_rev", "direction": "below"}, {"metric": "gross", "direction": "below"}]')]
     table = rollup.default_patterns(spark).withColumn("active", F.col("name") != "payment_gateway_down").unionByName(spark.createDataFrame(more, rollup.PATTERN))
     return rollup.root_cause_hints(_anomalies(spark, d), patterns=table)
+
+
+@query
+def q_sql_pipeline(spark, d):
+    """The run of q_run_summary by the SQL routine."""
+    sql_surface.register(spark, read_events(spark, d), AS_OF, cfg=SCALED)
+    return spark.sql("SELECT * FROM run_full_detection_pipeline(TIMESTAMP_NTZ'2024-01-23 00:00:00', TIMESTAMP_NTZ'2024-01-30 00:00:00', 168)").drop("run_id")

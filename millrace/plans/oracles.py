@@ -295,6 +295,7 @@ _BODIES = {
     "q_rules_day_window": union(*R.values()),
     "q_anomalies_all": "SELECT * FROM anoms",
     "q_run_summary": f"SELECT {_TOLD} FROM ({_FOUND})",
+    "q_sql_pipeline": f"SELECT {_TOLD} FROM ({_FOUND})",
     "q_rerun": f"SELECT {_TOLD}, count(DISTINCT (metric_name, metric_timestamp)) AS incidents, count(*) AS detections, CAST(1 AS BIGINT) AS runs FROM ({_FOUND})",
     "q_stored_event_counts": "SELECT * FROM counts",
     "q_stored_metrics_wide": "SELECT * FROM wide",
