@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +46,89 @@ def rolling_baseline(long: DataFrame, as_of: datetime, periods: int = 168, min_s
     )
 
 
-def rolling_baseline_all_hours(long: DataFrame, periods: int = 168, baseline_end: str = "window_end", min_samples: int = 24) -> DataFrame:
-    """The baseline that each hour's one-hour window is tested against, by a range frame: all windows in one pass.
-
-    baseline_end window_end: the frame ends with the hour itself; window_start: just before it.
-    """
+def rolling_baseline_frames(long: DataFrame, periods: int = 168, baseline_end: str = "window_end", min_samples: int = 24) -> DataFrame:
+    """``rolling_baseline_all_hours`` by a range frame for each metric: every hour sorts its frame anew, and a metric is one task."""
     first, last = (-(periods - 1), 0) if baseline_end == "window_end" else (-periods, -1)
     span = Window.partitionBy("metric_name").orderBy(epoch("hour_ts")).rangeBetween(first * 3600, last * 3600)
     rows = long.select("hour_ts", "metric_name", "metric_value", *_stats(lambda x: x.over(span)))
     return rows.where(F.col("sample_count") >= min_samples)
 
 
+class Sliding:
+    """Values in order, which a frame's end enters and its begin leaves; order statistics by place, the sum in hundredths exact."""
+
+    def __init__(self):
+        self.sorted, self.hundredths = [], 0
+
+    def enter(self, v: float) -> None:
+        bisect.insort(self.sorted, v)
+        self.hundredths += _hundredths(v)
+
+    def leave(self, v: float) -> None:
+        del self.sorted[bisect.bisect_left(self.sorted, v)]
+        self.hundredths -= _hundredths(v)
+
+    def quantile(self, p: float) -> float:
+        """Interpolated between the values at both sides of p * (n - 1)."""
+        place = p * (len(self.sorted) - 1)
+        low = int(place)
+        if low == place:
+            return self.sorted[low]
+        return (low + 1 - place) * self.sorted[low] + (place - low) * self.sorted[low + 1]
+
+
+def _hundredths(v: float) -> int:
+    return int(abs(v) * 100 + 0.5) * (1 if v >= 0 else -1)
+
+
+def slide(hour: np.ndarray, value: np.ndarray, asked: np.ndarray, first: int, last: int) -> list[tuple]:
+    """(row, mean, std, least, largest, quartiles, count) for the asked rows of one metric, hours ascending; a frame is [hour + first, hour + last]; values that are no numbers aren't in any."""
+    frame, out, start, end = Sliding(), [], 0, 0
+    there = ~np.isnan(value)
+    for i in np.flatnonzero(asked):
+        while end < len(hour) and hour[end] <= hour[i] + last:
+            if there[end]:
+                frame.enter(float(value[end]))
+            end += 1
+        while start < end and hour[start] < hour[i] + first:
+            if there[start]:
+                frame.leave(float(value[start]))
+            start += 1
+        n = len(frame.sorted)
+        if n:
+            own = np.array(frame.sorted)
+            q = [frame.quantile(p) for p in (0.25, 0.5, 0.75)]
+            out.append((i, frame.hundredths / (n * 100.0), float(own.std(ddof=1)) if n > 1 else None, frame.sorted[0], frame.sorted[-1], *q, q[2] - q[0], n))
+    return out
+
+
+def rolling_baseline_all_hours(long: DataFrame, periods: int = 168, baseline_end: str = "window_end", min_samples: int = 24, block: int | None = None) -> DataFrame:
+    """The baseline that each hour's one-hour window is tested against, all windows in one pass.
+
+    baseline_end window_end: the frame ends with the hour itself; window_start: just before it. A metric's time is cut into blocks of hours (two frames long, if not said otherwise), each a group of its own with the hours before it that its
+    frames reach, so the work is parallel over time too; within a block, a frame's values are kept in order while it slides."""
+    first, last = (-(periods - 1), 0) if baseline_end == "window_end" else (-periods, -1)
+    size = block or 2 * periods
+    hour = F.floor(epoch("hour_ts") / 3600).cast("bigint")
+    own = F.floor(hour / size)
+    reached = F.explode(F.sequence(own, F.floor((hour - first) / size)))  # its own block, and those whose first frames reach back to it
+    rows = long.select("hour_ts", "metric_name", "metric_value", hour.alias("hour"), own.alias("own"), reached.alias("block"))
+    names = ["rolling_mean", "rolling_std", "rolling_min", "rolling_max", "percentile_25", "percentile_50", "percentile_75", "iqr", "sample_count"]
+    raw = [f"{n} {'bigint' if n == 'sample_count' else 'double'}" for n in names]
+
+    def each(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t["hour"].to_numpy(), kind="stable")))
+        asked = t["own"].to_numpy() == t["block"].to_numpy()
+        found = slide(t["hour"].to_numpy(), t["metric_value"].to_numpy(zero_copy_only=False).astype(float), asked, first, last)
+        at_, *columns = zip(*found, strict=True) if found else [()] * (len(names) + 1)
+        kinds = [pa.float64()] * (len(names) - 1) + [pa.int64()]
+        own_rows = t.select(["hour_ts", "metric_name", "metric_value"]).take(pa.array(at_, pa.int64()))
+        return pa.table([*own_rows.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["hour_ts", "metric_name", "metric_value", *names])
+
+    found = rows.groupBy("metric_name", "block").applyInArrow(each, f"hour_ts timestamp_ntz, metric_name string, metric_value double, {', '.join(raw)}")
+    return found.where(F.col("sample_count") >= min_samples).select("hour_ts", "metric_name", "metric_value", *[stored(F.col(n)).alias(n) for n in STATS], "sample_count")
+
+
 def current_baselines(baselines: DataFrame) -> DataFrame:
     """The latest baseline of each metric."""
     latest = baselines.groupBy("metric_name").agg(F.max_by(F.struct(*[c for c in baselines.columns if c != "metric_name"]), "computed_at").alias("b"))

@@ -47,22 +47,33 @@ def known_windows(events: DataFrame, reference: datetime | None = None) -> DataF
     return spark.createDataFrame(rows, "anomaly_name string, start_time timestamp_ntz, end_time timestamp_ntz, expected array<string>")
 
 
+def matched(points: DataFrame, known: DataFrame) -> DataFrame:
+    """points (metric_timestamp, ...) with the windows of known that hold them, a row for each.
+
+    Windows are sorted by length into levels, each twice as long as the one before; a level's bins are as long as its longest windows, so a window touches two bins at most, whatever its length, and points meet one bin of each level that
+    occurs."""
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    long = F.greatest(F.lit(1), second("end_time") - second("start_time"))
+    windows = known.where("end_time > start_time").select("anomaly_name", "start_time", "end_time", "expected", F.ceil(F.log2(long)).cast("int").alias("level"))
+    bin_ = lambda t: F.floor(t / F.pow(F.lit(2.0), F.col("level")))
+    windows = windows.select("*", F.explode(F.sequence(bin_(second("start_time")), bin_(second("end_time")))).alias("bin"))
+    levels = windows.select("level").distinct()  # one for each power of two of seconds, so 40 at most
+    placed = points.join(F.broadcast(levels)).withColumn("bin", bin_(second("metric_timestamp")))
+    t = F.col("metric_timestamp")
+    return placed.join(windows, ["level", "bin"]).where((t >= F.col("start_time")) & (t < F.col("end_time"))).drop("level", "bin")
+
+
 def evaluate(detected: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each known window with its hits, one row of counts, precision, recall and F1).
 
-    A window counts once if any expected metric's name is within that of a detection in it; false positives are detections that match no window.
-    Windows meet detections by the hours that they touch; a detection gets the windows of its time as an array."""
-    hour = lambda c: F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
-    touched = F.explode(F.sequence(hour("start_time"), hour("end_time"), F.expr("INTERVAL 1 HOUR")))
-    by_hour = known.where("end_time > start_time").select(touched.alias("hour"), F.struct("anomaly_name", "start_time", "end_time", "expected").alias("w")).groupBy("hour").agg(F.collect_set("w").alias("windows"))
-    t = F.col("metric_timestamp")
-    rows = detected.withColumn("hour", hour("metric_timestamp")).join(by_hour, "hour", "left")
-    inside = F.filter("windows", lambda w: (t >= w["start_time"]) & (t < w["end_time"]))
-    right = lambda w: F.exists(w["expected"], lambda e: F.col("metric_name").contains(e))
-    rows = rows.select("metric_name", F.coalesce(inside, F.array().cast(by_hour.schema["windows"].dataType)).alias("windows"))
-    wrong = rows.agg(F.count_if(~F.exists("windows", right)).alias("false_positives"))
-    met = rows.select("metric_name", F.explode("windows").alias("w")).select("w.*", right(F.col("w")).alias("right"))
-    hits = met.groupBy("anomaly_name", "start_time", "end_time").agg(F.count_if("right").alias("detected_expected"), F.count_if(~F.col("right")).alias("detected_other"))
+    A window counts once if any expected metric's name is within that of a detection in it; false positives are detections that match no window. Detections alike in metric and time are counted first."""
+    kinds = detected.groupBy("metric_name", "metric_timestamp").agg(F.count(F.lit(1)).alias("n"))
+    right = F.exists("expected", lambda e: F.col("metric_name").contains(e))
+    met = matched(kinds, known.distinct()).select("*", F.coalesce(right, F.lit(False)).alias("right"))
+    found = met.groupBy("metric_name", "metric_timestamp").agg(F.max("right").alias("right"))
+    wrong = kinds.join(found.where("right"), ["metric_name", "metric_timestamp"], "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("false_positives"))
+    n = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    hits = met.groupBy("anomaly_name", "start_time", "end_time").agg(n(F.col("right")).alias("detected_expected"), n(~F.col("right")).alias("detected_other"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     per = known.select("anomaly_name", "start_time", "end_time").distinct().join(hits, ["anomaly_name", "start_time", "end_time"], "left")
     per = per.select("anomaly_name", "start_time", "end_time", zero("detected_expected"), zero("detected_other")).withColumn("hit", F.col("detected_expected") > 0)
