@@ -426,7 +426,7 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["h", "many", "id", "tie", "t", "b", "n", "data"])
 
-    one_each = src.groupBy("id", "tie").agg(F.first("data").alias("data"))  # copies of a text shrink before they are shuffled
+    one_each = long.groupBy("id", "tie").agg(F.first("data").alias("data"))  # copies of a text shrink before they are shuffled
     taken = cut(one_each.join(asked, ["id", "tie"]).mapInArrow(excerpts, "h long, many long, id long, tie int, t long, b int, n int, data binary"))
     tidy(spark)
     cold = taken.where("many = 0").select(F.col("h").alias("g"), F.lit(0).cast("long").alias("m"), "id", "tie", "t", "n", "data")
