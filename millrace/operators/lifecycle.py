@@ -127,6 +127,14 @@ def group_incidents(incidents: DataFrame) -> DataFrame:
     )
 
 
+def group_members(incidents: DataFrame) -> DataFrame:
+    """Each incident as a row of its group: category, the group's primary incident, and whether it is that. Groups of any size: the one thing that is gathered is a primary for each category."""
+    order = F.struct(rank(F.col("severity")).alias("r"), (-F.unix_micros(F.col("last_detected_at").cast("timestamp"))).alias("t"), F.col("incident_key").alias("k"))
+    rows = incidents.withColumn("category", category(F.col("metric_name")))
+    first = rows.groupBy("category").agg(F.min_by("incident_key", order).alias("primary_key"))
+    return rows.join(F.broadcast(first), "category").select("category", "incident_key", "metric_name", "severity", "primary_key", (F.col("incident_key") == F.col("primary_key")).alias("is_primary"))
+
+
 def suppression_stats(incidents: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
     """One row of counts over the incidents seen in the last hours."""
     recent = incidents.where(F.col("last_detected_at") >= at(as_of - timedelta(hours=hours)))

@@ -17,6 +17,11 @@ from .baselines import at
 SHAPE = ("metric_name", "metric_timestamp", "current_value", "baseline_mean", "baseline_std", "baseline_q1", "baseline_q3", "baseline_iqr", "z_score", "iqr_distance", "pct_change", "detector", "rule", "severity", "direction", "description", "metadata_json")
 
 
+def identity(run_id: Column) -> Column:
+    """The id of an anomaly, the same whenever its run is run again: a digest of the run, what found it, its metric and time."""
+    return F.sha2(F.concat_ws("~", run_id, "detector", "rule", "metric_name", F.date_format("metric_timestamp", "yyyy-MM-dd HH:mm:ss")), 256)
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 

@@ -517,3 +517,20 @@ def q_sql_pipeline(spark, d):
     """The run of q_run_summary by the SQL routine."""
     sql_surface.register(spark, read_events(spark, d), AS_OF, cfg=SCALED)
     return spark.sql("SELECT * FROM run_full_detection_pipeline(TIMESTAMP_NTZ'2024-01-23 00:00:00', TIMESTAMP_NTZ'2024-01-30 00:00:00', 168)").drop("run_id")
+
+
+@query
+def q_group_members(spark, d):
+    return lifecycle.group_members(_state(spark, d))
+
+
+@query
+def q_anomaly_ids(spark, d):
+    return _anomalies(spark, d).select(statistical.identity(F.lit("week")).alias("anomaly_id"), "metric_name", "metric_timestamp", "rule")
+
+
+@query
+def q_injected_unpaid_orders(spark, d):
+    """Orders without an amount where every 97th has lost it."""
+    lost = F.when(F.col("order_id") % 97 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(F.col("amount"))
+    return orders(spark, d).withColumn("amount", lost).where("amount = 0").select("order_id", F.col("amount").cast("double").alias("amount"), "status")

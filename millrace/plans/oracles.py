@@ -295,6 +295,9 @@ _BODIES = {
     "q_rules_day_window": union(*R.values()),
     "q_anomalies_all": "SELECT * FROM anoms",
     "q_run_summary": f"SELECT {_TOLD} FROM ({_FOUND})",
+    "q_group_members": f"SELECT category, incident_key, metric_name, severity, first_value(incident_key) OVER (PARTITION BY category ORDER BY o) AS primary_key, incident_key = first_value(incident_key) OVER (PARTITION BY category ORDER BY o) AS is_primary FROM (SELECT *, {CATEGORY} AS category, row_number() OVER (ORDER BY {RANK}, last_detected_at DESC, incident_key) AS o FROM state)",
+    "q_anomaly_ids": "SELECT sha256(concat_ws('~', 'week', detector, rule, metric_name, strftime(metric_timestamp, '%Y-%m-%d %H:%M:%S'))) AS anomaly_id, metric_name, metric_timestamp, rule FROM anoms",
+    "q_injected_unpaid_orders": "SELECT o_orderkey AS order_id, 0.0::DOUBLE AS amount, o_orderstatus AS status FROM orders WHERE o_orderkey % 97 = 0 OR CAST(o_totalprice AS DECIMAL(12,2)) = 0",
     "q_sql_pipeline": f"SELECT {_TOLD} FROM ({_FOUND})",
     "q_rerun": f"SELECT {_TOLD}, count(DISTINCT (metric_name, metric_timestamp)) AS incidents, count(*) AS detections, CAST(1 AS BIGINT) AS runs FROM ({_FOUND})",
     "q_stored_event_counts": "SELECT * FROM counts",

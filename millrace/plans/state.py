@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from ..config import AlertConfig, DetectionConfig, RetentionConfig, Window
 from ..logs import LOG
-from ..operators import lifecycle
+from ..operators import lifecycle, statistical
 from ..schema import ANOMALIES, BASELINES, INCIDENTS, RUNS
 from ..sources import sinks
 from ..sources.tables import kept
 from . import pipeline
 
-SCHEMAS = {"runs": RUNS, "anomalies": ANOMALIES, "baselines": "run_id string, " + BASELINES, "incidents": INCIDENTS}
+SCHEMAS = {"runs": RUNS, "anomalies": "anomaly_id string, " + ANOMALIES, "baselines": "run_id string, " + BASELINES, "incidents": INCIDENTS}
 #: Folders of a level that are merged into one; manifests that stay readable for readers that began earlier.
 FAN, READABLE = 16, 20
 
@@ -220,7 +220,7 @@ def run(state: State, events: DataFrame, window: Window, as_of: datetime, cfg: D
             summary = result.summary.first().asDict() | {"new_incidents": result.incidents.where("is_new").count(), "duration_seconds": (took() - as_of).total_seconds()}
             told.update(result=result, summary=summary)
             log = pipeline.run_record(events, result, window, as_of, took(), cfg=cfg)
-            return {"add": {"anomalies": result.anomalies, "baselines": result.baselines.withColumn("run_id", F.lit(run_id)), "runs": log}, "swap": {"incidents": result.incidents.drop("is_new")}, "run_id": run_id}
+            return {"add": {"anomalies": result.anomalies.withColumn("anomaly_id", statistical.identity(F.col("run_id"))), "baselines": result.baselines.withColumn("run_id", F.lit(run_id)), "runs": log}, "swap": {"incidents": result.incidents.drop("is_new")}, "run_id": run_id}
 
         state.again(change)
         LOG.info("run %s: %s anomalies, %s new incidents", run_id, told["summary"]["total_anomalies"], told["summary"]["new_incidents"])

@@ -165,9 +165,9 @@ def simple_message(text: str) -> dict:
     return {"text": text}
 
 
-def post(payload: dict, url: str) -> tuple[int, dict]:
+def post(payload: dict, url: str, headers: dict | None = None) -> tuple[int, dict]:
     """(status, headers) of a POST of the payload."""
-    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"} | (headers or {}))
     try:
         with urllib.request.urlopen(request, timeout=10) as r:
             return r.status, dict(r.headers)

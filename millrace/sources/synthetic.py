@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Shop:
-    """How busy the invented shop is: two bumps over the day's hours on a floor, as (hour, width, height); what weekends take off; how far an hour strays from that; and the share of those that
-    took the step before who take the next."""
+    """How busy the invented shop is: two bumps over the day's hours on a floor, as (hour, width, height); what weekends take off; how far an hour strays from that; the mean and
+    spread of the log of what an order costs, its least and most; the share of purchases that a lost-purchase fault swallows and of checkouts that a slump leaves; and the share of those that took the step before who take the next."""
 
     floor: float = 0.15
     bumps: tuple = ((13.0, 3.5, 0.9), (20.0, 2.5, 0.8))
     weekend: float = 0.75
     noise: float = 0.2
+    spend: tuple = (3.8, 0.7)
+    least: float = 5.0
+    most: float = 900.0
+    lost: float = 0.9
+    slump: float = 0.25
     steps: tuple = (("page_view", 1.0), ("product_view", 0.65), ("add_to_cart", 0.3), ("checkout_start", 0.55), ("checkout_complete", 0.8), ("payment_initiated", 1.0), ("payment_success", 0.94), ("purchase", 0.96))
 
     def busy(self, hour: int) -> float:
@@ -38,7 +43,7 @@ def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int =
     before = lambda n, long: (F.col("hour_ts") >= F.lit(end - timedelta(hours=n)).cast("timestamp_ntz")) & (F.col("hour_ts") < F.lit(end - timedelta(hours=n - long)).cast("timestamp_ntz"))
     on = lambda cond: cond if faults else F.lit(False)
     reach, steps = F.lit(True), []
-    amount = F.greatest(F.lit(10.0), F.least(F.lit(500.0), F.exp(F.lit(4.0) + 0.8 * F.sqrt(-2 * F.log(u("a") + 1e-9)) * F.cos(2 * F.pi() * u("b")))))
+    amount = F.greatest(F.lit(shop.least), F.least(F.lit(shop.most), F.exp(F.lit(shop.spend[0]) + shop.spend[1] * F.sqrt(-2 * F.log(u("a") + 1e-9)) * F.cos(2 * F.pi() * u("b")))))
     amount = F.when(on(before(12, 1)), amount * 5).when(on(before(6, 1)), 0.0).otherwise(amount)
 
     def step(kind: str, cond: Column, k: int) -> Column:
@@ -48,11 +53,11 @@ def generate(spark: SparkSession, end: datetime, days: int = 30, sessions: int =
 
     for k, (kind, share) in enumerate(shop.steps):
         if kind == "checkout_complete":
-            share = F.when(on(before(24, 2)), share * 0.3).otherwise(share)
+            share = F.when(on(before(24, 2)), share * shop.slump).otherwise(share)
         last, reach = reach, reach & (u(kind) < share)
         seen = reach
         if kind == "purchase":
-            seen = reach & ~(on(before(48, 3)) & (u("lost") < 0.95))
+            seen = reach & ~(on(before(48, 3)) & (u("lost") < shop.lost))
         if kind == "add_to_cart":
             seen = reach & ~on(before(4, 2))
         steps.append(step(kind, seen, k))

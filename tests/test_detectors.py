@@ -1,19 +1,27 @@
 """Hand-computed cases of thresholds and rules."""
 
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
 
 from millrace.config import DetectionConfig, RetentionConfig, Window
+from millrace.functions import sql_surface
 from millrace.operators import baselines, health, lifecycle, metrics, rollup, rules, statistical
-from millrace.plans import backtest
+from millrace.plans import backtest, pipeline
 from millrace.schema import ANOMALIES, BASELINES, DEFAULT_HINT, EVENTS, HINTS, INCIDENTS, RUNS
+from millrace.sources.adapter import injected, read_events
+
+from .conftest import DATA
 
 H = datetime(2024, 1, 10, 12)
 ROWS = "hour_ts timestamp_ntz, metric_name string, metric_value double, rolling_mean double, rolling_std double, rolling_min double, rolling_max double, percentile_25 double, percentile_50 double, percentile_75 double, iqr double, sample_count bigint"
 
 
+LOW = DetectionConfig(missing_baseline=0.5, funnel_success=1, funnel_complete=1, gateway_initiated=1, gateway_hour_initiated=0, traffic_users=1, revenue_baseline=10)
+
+
 def compared(spark, value, metric="page_views", mean=100.0, std=10.0, q1=10.0, median=15.0, q3=20.0, n=24):
     return baselines.compare(spark.createDataFrame([(H, metric, float(value), mean, std, 0.0, 0.0, q1, median, q3, q3 - q1, n)], ROWS))
 
@@ -191,3 +199,56 @@ def test_health(spark):
     assert health.recent_runs(runs, H + timedelta(minutes=31)).first()["status"] == "unhealthy"
     assert health.recent_runs(runs.where("false"), H).first()["status"] == "warning"
     assert health.overall(["healthy", "critical", "unhealthy"]) == "unhealthy"
+
+
+def test_patterns_are_rows(spark):
+    """Wildcards, vacuous and broken patterns, ties, inactive rows; the plan doesn't grow with them."""
+    anomalies = spark.createDataFrame([("r", H, m, t, *[None] * 9, "rules", "x", s, d, None, None) for t, m, s, d in ((H, "abXcd_e", "info", "below"), (H, "zz", "critical", "above"), (H + timedelta(hours=1), "abcd", "info", "below"))], ANOMALIES)
+    one = lambda name, priority, position, conditions, active=True: (name, priority, name, active, position, conditions)
+    rows = [one("two", 5, 1, '[{"metric": "ab_cd", "direction": "below"}, {"metric": "z", "direction": "above", "severity": ["critical"]}]'), one("tie", 5, 2, '[{"metric": "_b", "direction": "below"}]'), one("off", 9, 0, '[{"metric": "a", "direction": "below"}]', False), one("broken", 9, 3, "not JSON"), one("wrong way", 8, 4, '[{"metric": "zz", "direction": "below"}]'), one("graded", 7, 6, '[{"metric": "zz", "direction": "above", "severity": ["warning"]}]')]
+    told = lambda rows, **k: {r[0]: r[1] for r in rollup.root_cause_hints(anomalies, patterns=spark.createDataFrame(rows, rollup.PATTERN), **k).collect()}
+    later = H + timedelta(hours=1)
+    assert told(rows) == {H: "graded", later: "tie"} and told(rows, honour_severity=True) == {H: "two", later: "tie"}
+    assert told([]) == {H: DEFAULT_HINT, later: DEFAULT_HINT} and told([*rows, one("always", 6, 7, "[]")]) == {H: "graded", later: "always"}
+    size = lambda n: len(rollup.root_cause_hints(anomalies, patterns=spark.createDataFrame([one(f"p{k}", k, k, '[{"metric": "q", "direction": "below"}]') for k in range(n)], rollup.PATTERN))._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(2) == size(200)
+
+
+def test_sliding_statistics_are_those_of_frames(spark):
+    rng = random.Random(3)
+    rows = [(H + timedelta(hours=h), m, None if rng.random() < 0.02 else round(rng.choice([0.0, 5.0, rng.random() * 100, -3.25]), 2)) for m in ("a", "b") for h in range(0, 400) if rng.random() < 0.8]
+    long = spark.createDataFrame(rows, "hour_ts timestamp_ntz, metric_name string, metric_value double")
+    key = lambda df: sorted(map(str, df.collect()))
+    for periods, end, least, block in ((168, "window_end", 24, None), (30, "window_start", 1, 13), (5, "window_end", 1, 1)):
+        got = baselines.rolling_baseline_all_hours(long, periods, end, least, block)
+        assert key(got) == key(baselines.rolling_baseline_frames(long, periods, end, least)) and got.count()
+    assert baselines.rolling_baseline_all_hours(long.where("false")).count() == 0
+
+
+def test_windows_of_any_length_meet_what_they_hold(spark):
+    rng = random.Random(5)
+    points = [(rng.choice(["aa", "bb", "abx"]), H + timedelta(minutes=rng.randrange(60 * 24 * 40))) for _ in range(150)]
+    known = []
+    for k in range(300):
+        start = H + timedelta(minutes=rng.randrange(-60 * 24 * 10, 60 * 24 * 40))
+        known.append((f"w{k % 290}", start, start + timedelta(seconds=rng.choice([0, 1, 60, 3599, 3600, 86_400, 86_400 * 33])), rng.choice([["a"], ["bb", "q"], [], ["x"]])))
+    frame = spark.createDataFrame(known, "anomaly_name string, start_time timestamp_ntz, end_time timestamp_ntz, expected array<string>")
+    detected = spark.createDataFrame(points + points[:20], "metric_name string, metric_timestamp timestamp_ntz")
+    per, scored = backtest.evaluate(detected, frame)
+    inside = lambda p, w: w[1] <= p[1] < w[2]
+    right = lambda p, w: any(e in p[0] for e in w[3])
+    every = points + points[:20]
+    want = sorted((*w[:3], sum(inside(p, w) and right(p, w) for p in every), sum(inside(p, w) and not right(p, w) for p in every)) for w in known)
+    assert sorted(tuple(r)[:5] for r in per.collect()) == sorted(set(want))
+    assert scored.first()["false_positives"] == sum(not any(inside(p, w) and right(p, w) for w in known) for p in every)
+
+
+def test_the_sql_routine_finds_what_runs_find(spark):
+    events = injected(read_events(spark, str(DATA / "sf0.001")))
+    sql_surface.register(spark, events, datetime(2024, 1, 30), cfg=LOW)
+    for start, hours in ((datetime(2024, 1, 20, 10), 4), (datetime(2024, 1, 22), 24), (datetime(2024, 1, 26, 3), 1)):
+        window = Window(start, start + timedelta(hours=hours))
+        one = spark.sql(f"SELECT * FROM run_full_detection_pipeline(TIMESTAMP_NTZ'{window.start}', TIMESTAMP_NTZ'{window.end}')").first()
+        want = pipeline.run(events, window, window.end, cfg=LOW).summary.first()
+        assert tuple(one) == tuple(want)
+    assert tuple(spark.sql("SELECT * FROM run_full_detection_pipeline(TIMESTAMP_NTZ'2020-01-01 00:00:00', TIMESTAMP_NTZ'2020-01-01 01:00:00')").first())[1:] == (0, 0, 0, 0, 0)

@@ -56,6 +56,8 @@ def test_a_rerun_replaces_its_rows(spark, events, tmp_path):
     _, second = state.run(store, events, WINDOW, AS_OF)
     assert first["total_anomalies"] == second["total_anomalies"] == len(once["anomalies"]) > 0 and first["new_incidents"] == second["new_incidents"]
     assert content(store) == once and store.read("runs").count() == 1
+    ids = store.read("anomalies").select("anomaly_id")
+    assert ids.where("anomaly_id is null").count() == 0 and ids.distinct().count() == ids.count()
     late = events.where(F.col("event_type") != "purchase")  # other events, the same run
     state.run(store, late, WINDOW, AS_OF)
     fresh = State(spark, str(tmp_path / "t"))
