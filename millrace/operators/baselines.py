@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workers import ship
+
 STATS = ("rolling_mean", "rolling_std", "rolling_min", "rolling_max", "percentile_25", "percentile_50", "percentile_75", "iqr")
 
 
@@ -107,6 +109,7 @@ def rolling_baseline_all_hours(long: DataFrame, periods: int = 168, baseline_end
 
     baseline_end window_end: the frame ends with the hour itself; window_start: just before it. A metric's time is cut into blocks of hours (two frames long, if not said otherwise), each a group of its own with the hours before it that its
     frames reach, so the work is parallel over time too; within a block, a frame's values are kept in order while it slides."""
+    ship(long.sparkSession)
     first, last = (-(periods - 1), 0) if baseline_end == "window_end" else (-periods, -1)
     size = block or 2 * periods
     hour = F.floor(epoch("hour_ts") / 3600).cast("bigint")

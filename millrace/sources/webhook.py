@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from . import sinks
+from .workers import ship
 
 NAME = "millrace_webhook"
 
@@ -66,6 +67,7 @@ class Webhook(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(Webhook)
 
 
