@@ -10,7 +10,7 @@ features. A toxic document is mostly ordinary text, so this pair's toxic diction
 frequent in toxic text; runs count once for each word before, so copies of a passage count once. Ordinary words that have such a run are repeated in the ordinary samples.
 
 A logistic curve over all features calibrates the score. Labels are read only where crc32(doc_id) mod 5 isn't 0. The fit uses at most ``TOXIC`` toxic and ``ORDINARY`` ordinary labelled ids (parameters of ``fit``), those
-of smallest hash of doc_id, with their whole texts, and of rows that share an id the smallest text: one half trains the dictionaries, the other calibrates. A word dictionary, of 16 KB at most, is trained on at most ``WORDS`` words of that half, drawn with a fixed seed.
+of smallest hash of doc_id, with their whole texts, and of rows that share an id the smallest text: one half trains the dictionaries, the other calibrates, in one task. A word dictionary, of 16 KB at most, is trained on at most ``WORDS`` words of that half, drawn with a fixed seed.
 
 Nulls: a null text is empty and gets a score like any text; a null doc_id is never fitted on, is not held out, and stays null. Without labels
 of both kinds every score is the share of toxic ones (0 without labels). Repeated rows stay repeated, an empty table gives an
@@ -19,6 +19,7 @@ empty result, and other columns, of whatever name, are ignored or kept as they a
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -217,8 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int =
     take = lambda kind, n: named.where(F.col("toxic") == kind).distinct().orderBy(*order).limit(n)
     chosen = F.broadcast(take(1, toxic).unionByName(take(0, ordinary)))  # that many ids at most
     texts = fit_on.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = texts.orderBy("toxic", *order).select("toxic", F.encode(F.lower("text"), "UTF-8").alias("text")).toArrow()  # a row for each chosen id, however often it is repeated
-    return Model(*(rows.filter(pc.equal(rows["toxic"], kind))["text"].to_pylist() for kind in (1, 0)))
+    rows = texts.select("toxic", "doc_id", F.encode(F.lower("text"), "UTF-8").alias("text")).repartition(1).sortWithinPartitions("toxic", *order)  # a row for each chosen id, however often it is repeated
+
+    def each(batches):
+        found = pa.Table.from_batches([b.select(["toxic", "text"]) for b in batches], pa.schema([("toxic", pa.int32()), ("text", pa.binary())]))
+        by_kind = [found.filter(pc.equal(found["toxic"], kind))["text"].to_pylist() for kind in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(*by_kind))], pa.binary())], ["model"])
+
+    ship(docs.sparkSession)
+    made = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(each, "model binary").first()  # the sample is bounded: one task fits, the driver gets four dictionaries and some weights
+    return pickle.loads(made["model"]) if made else Model([], [])
 
 
 def held_out():
