@@ -39,9 +39,9 @@ def facts(events: DataFrame) -> DataFrame:
     """(hour_ts, event_type, kind, id, n, cents, paid_cents, paid): one row of sums for each hour and type (kind type), and one for each of its users, sessions, paid orders and paying sessions. Everything hourly comes from these, by one scan."""
     paid = (F.col("event_type") == "purchase") & (F.col("amount") > 0)
     own = lambda kind, id_, when=F.lit(True): F.when(when & id_.isNotNull(), F.struct(F.lit(kind).alias("kind"), id_.alias("id")))
-    each = F.array_compact(F.array(own("type", F.lit("")), own("user", F.col("user_id")), own("session", F.col("session_id")), own("order", F.col("order_id"), paid), own("buyer", F.col("session_id"), paid)))
+    each = F.array(own("type", F.lit("")), own("user", F.col("user_id")), own("session", F.col("session_id")), own("order", F.col("order_id"), paid), own("buyer", F.col("session_id"), paid))
     money = F.when(F.col("amount") > 0, cents())
-    rows = events.select(hour_of().alias("hour_ts"), "event_type", cents().alias("cents"), money.alias("money"), F.explode(each).alias("f")).select("hour_ts", "event_type", "cents", "money", "f.*")
+    rows = events.select(hour_of().alias("hour_ts"), "event_type", cents().alias("cents"), money.alias("money"), F.explode(each).alias("f")).where("f is not null").select("hour_ts", "event_type", "cents", "money", "f.*")
     return rows.groupBy("hour_ts", "event_type", "kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.sum("money").alias("paid_cents"), F.count("money").alias("paid"))
 
 
@@ -101,8 +101,8 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
     """The wide table from one scan: events shrink to one row for each hour and type, and one for each hour and viewer, session or order, before they are shuffled."""
     viewed, paid = F.col("event_type") == "page_view", (F.col("event_type") == "purchase") & (F.col("amount") > 0)
     fact = lambda kind, id_, when=None: (lambda s: s if when is None else F.when(when & id_.isNotNull(), s))(F.struct(F.lit(kind).alias("kind"), id_.alias("id")))
-    facts = F.array_compact(F.array(fact("type", F.col("event_type")), fact("user", F.col("user_id"), viewed), fact("session", F.col("session_id"), viewed), fact("order", F.col("order_id"), paid)))
-    each = events.select(hour_of().alias("hour_ts"), F.when(paid, cents()).alias("cents"), F.explode(facts).alias("f")).select("hour_ts", "cents", "f.*")
+    facts = F.array(fact("type", F.col("event_type")), fact("user", F.col("user_id"), viewed), fact("session", F.col("session_id"), viewed), fact("order", F.col("order_id"), paid))
+    each = events.select(hour_of().alias("hour_ts"), F.when(paid, cents()).alias("cents"), F.explode(facts).alias("f")).where("f is not null").select("hour_ts", "cents", "f.*")
     once = each.groupBy("hour_ts", "kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
     of_type = F.col("kind") == "type"
     zero = lambda c: F.coalesce(c, F.lit(0))
