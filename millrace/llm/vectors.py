@@ -50,7 +50,8 @@ def sample_of(rows: DataFrame, values: int) -> dict[int, tuple[np.ndarray, np.nd
     t = (rows.where(low) if share < 1 else rows).dropDuplicates(["vec_id"]).select("vec_id", "v", "dim").toArrow()
     t = t.take(np.argsort(t["vec_id"].to_numpy(), kind="stable"))
     dims = t["dim"].to_numpy()
-    return {int(d): (t.filter(pa.array(dims == d))["vec_id"].to_numpy(), matrix(t.filter(pa.array(dims == d))["v"])) for d in np.unique(dims)}
+    of = ((int(d), t if (dims == d).all() else t.filter(pa.array(dims == d))) for d in np.unique(dims))
+    return {d: (own["vec_id"].to_numpy(), matrix(own["v"])) for d, own in of}
 
 
 def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,7 @@
 """Vector searches, URL reputation, page extraction, and the pipeline."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -167,6 +169,58 @@ def test_neighbours_recall_on_other_rows(spark, kind, monkeypatch):
     assert found_of_true(spark, x) >= 0.93
 
 
+def test_fit_of_many_lists_takes_bounded_memory():
+    """Products of the sample with all centroids at once took 2 GB of the driver here."""
+    x = np.random.default_rng(8).standard_normal((1 << 16, 8))
+    tracemalloc.start()
+    try:
+        m = ivfpq.Model(x, 2000)
+        m.lists(ivfpq.unit(x))
+        assert tracemalloc.get_traced_memory()[1] < 1e8
+    finally:
+        tracemalloc.stop()
+    assert len(m.centroids) == 2000
+
+
+def test_passes_over_a_part_are_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[700:760] = x[700]  # copies
+    u = ivfpq.unit(x)
+    m = ivfpq.Model(x, 12)
+    at = m.lists(u)
+    order = np.lexsort((np.arange(1500), at))
+    part = ivfpq.Part({"ids": order.tobytes(), "lists": at[order].astype(np.int32).tobytes(), "codes": m.codes(u[order], at[order]).tobytes(), "vectors": x[order].tobytes(), "dim": 16}, m)
+    own = np.concatenate((np.arange(690, 710), np.arange(0, 400, 7)))
+    asked, sizes = ivfpq.Asked(own, x[own]), np.bincount(at, minlength=len(m.centroids))
+    near = np.round(u[own] @ u.T, 12)
+    near[np.arange(len(own)), own] = -np.inf
+    true = {(i, j) for i in range(len(own)) for j in np.lexsort((np.arange(1500), -near[i]))[:5].tolist()}
+
+    def best(*found):
+        of, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        top = ivfpq.leading(of, ids, score, 5)
+        return set(zip(of[top].tolist(), ids[top].tolist(), strict=True)), {int(i): float(score[top][of[top] == i].min()) for i in np.unique(of)}
+
+    reach = m.reach(asked.u, sizes, len(m.centroids), 128)
+    assert best(*ivfpq.early(m, part, asked, reach, 1500, 5))[0] == true  # every row is scored
+    some, kth = best(*ivfpq.early(m, part, asked, m.reach(asked.u, sizes, 1, 128), 128, 5))
+    assert len(some & true) < len(true)
+    found = list(ivfpq.late(m, part, asked, reach, np.array([kth[i] for i in range(len(own))]), 5))  # any margin, until one is measured
+    assert best(*found)[0] == true
+    m.margin = 0.1
+    few = list(ivfpq.late(m, part, asked, reach, np.array([kth[i] for i in range(len(own))]), 5))
+    assert sum(len(f[0]) for f in few) <= sum(len(f[0]) for f in found) and len(best(*few)[0] & true) > 0.9 * len(true)
+
+
+def test_chunks_of_queries_give_the_same(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((4000, 12)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(ivfpq.neighbours(rows, every=10).collect())
+    monkeypatch.setattr(ivfpq, "CHUNK_VALUES", 150 * 12)  # some queries at once, of 400
+    assert sorted(ivfpq.neighbours(rows, every=10).collect()) == whole and len(whole) == 400 * 5
+
+
 def test_cosines_of_huge_and_tiny_vectors(spark):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(300, 4))
